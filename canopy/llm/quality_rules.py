@@ -16,11 +16,18 @@ from .textstats import CLASSES, base_stats, char_classes, word_hashes
 #: Common words of a language in its reference histogram; all other words are one more bin.
 COMMON = 40
 #: A document fails when its distance to every reference is above these; shorter ones than the guards aren't compared.
-CHAR_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS = 0.16, 0.45, 100, 50
+CHAR_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS = 0.14, 0.45, 200, 50
+#: Bins of the character histogram; letters and digits are one, so that names, numbers and addresses in prose don't count against it.
+BINS = ("letter", "upper", "space", "stop", "mark")
 #: Distinct words that a task counts before it hands its counts on.
 HELD = 300_000
 
 
+def char_histogram(b: bytes) -> np.ndarray:
+    c = dict(zip(CLASSES, (char_classes(b) / len(b)).tolist(), strict=True))
+    return np.array([c["lower"] + c["wide"] + c["digit"], *[c[k] for k in BINS[1:]]])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (lang, key, n) of words, and of all words under a key that no word can have."""
     held: dict = {}
@@ -48,9 +55,9 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shares of the character classes in each text of at least MIN_CHARS bytes."""
     for batch in batches:
         raw = [(lang, (t or "").encode()) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        raw = [(lang, char_classes(b) / len(b)) for lang, b in raw if len(b) >= MIN_CHARS]
-        x = np.array([c for _, c in raw], float).reshape(-1, len(CLASSES))
-        yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in raw], pa.string()), *[pa.array(x[:, j]) for j in range(len(CLASSES))]], ["lang", *CLASSES])
+        raw = [(lang, char_histogram(b)) for lang, b in raw if len(b) >= MIN_CHARS]
+        x = np.array([c for _, c in raw], float).reshape(-1, len(BINS))
+        yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in raw], pa.string()), *[pa.array(x[:, j]) for j in range(len(BINS))]], ["lang", *BINS])
 
 
 def references(docs: DataFrame, common: int = COMMON) -> list[tuple[np.ndarray, list[bytes], np.ndarray]]:
@@ -60,8 +67,8 @@ def references(docs: DataFrame, common: int = COMMON) -> list[tuple[np.ndarray,
     documents of at least MIN_WORDS words. Only `common` words and the classes of each language reach the driver: a table whose size depends on the number of
     languages alone. A null language is one of its own.
     """
-    shares = docs.select("lang", "text").mapInArrow(_shares, "lang string, " + ", ".join(f"`{c}` double" for c in CLASSES))
-    middle = {r["lang"]: np.array([r[c] for c in CLASSES]) for r in shares.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in CLASSES]).collect()}
+    shares = docs.select("lang", "text").mapInArrow(_shares, "lang string, " + ", ".join(f"`{c}` double" for c in BINS))
+    middle = {r["lang"]: np.array([r[c] for c in BINS]) for r in shares.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in BINS]).collect()}
     n = docs.select("lang", "text").mapInArrow(_counted, "lang string, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     n = n.withColumn("own", F.substring("key", 1, 1).cast("string") == " ")
     top = n.withColumn("r", F.row_number().over(W.partitionBy("lang", "own").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= max(common, 1))
@@ -100,8 +107,7 @@ def _judge(refs, limits):
                 failed = n < 50 or 100 * rep > 50 * n
                 far_c = far_w = None
                 if refs and len(b) >= MIN_CHARS:
-                    c = char_classes(b)
-                    c = c / c.sum()
+                    c = char_histogram(b)
                     far_c = min(jensen_shannon(c, r[0]) for r in refs)
                 if refs and n >= MIN_WORDS:
                     low = b.lower().split()

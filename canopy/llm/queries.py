@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_model, quality_rules, sharding
+from . import mixing, packing, pii, quality_model, quality_rules, sharding, topk, warc
 from .common import table
 
 
@@ -30,5 +30,17 @@ def op9_rule_ensemble(spark, sf_dir):
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_divergence_rules": op4_divergence_rules, "op9_rule_ensemble": op9_rule_ensemble, "op7_pii": op7_pii, "op10_hilbert_sharding": op10_hilbert_sharding}
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), length=2048)
+
+
+def op6_warc(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("complete")
+
+
+def op8_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {"op5_packing": op5_packing, "op6_warc": op6_warc, "op8_top_k": op8_top_k, "op2_mixing": op2_mixing, "op4_divergence_rules": op4_divergence_rules, "op9_rule_ensemble": op9_rule_ensemble, "op7_pii": op7_pii, "op10_hilbert_sharding": op10_hilbert_sharding}
 ORACLE_SQL: dict[str, str] = {}
