@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality_model, quality_rules, sharding, topk, warc
+from . import mixing, packing, pii, quality_model, quality_rules, sharding, topk, toxicity, warc
 from .common import table
 
 
@@ -42,5 +42,9 @@ def op8_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {"op5_packing": op5_packing, "op6_warc": op6_warc, "op8_top_k": op8_top_k, "op2_mixing": op2_mixing, "op4_divergence_rules": op4_divergence_rules, "op9_rule_ensemble": op9_rule_ensemble, "op7_pii": op7_pii, "op10_hilbert_sharding": op10_hilbert_sharding}
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_warc": op6_warc, "op8_top_k": op8_top_k, "op2_mixing": op2_mixing, "op4_divergence_rules": op4_divergence_rules, "op9_rule_ensemble": op9_rule_ensemble, "op7_pii": op7_pii, "op10_hilbert_sharding": op10_hilbert_sharding}
 ORACLE_SQL: dict[str, str] = {}
