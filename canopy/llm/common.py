@@ -99,3 +99,10 @@ def with_rank(df: DataFrame, sums: dict[str, str] | None = None, by: list[str] |
     out = df.join(F.broadcast(base) if small else base.hint("merge"), cond, "inner")
     out = out.withColumns({"rank": F.col("rank") + F.col("_n0"), **{k: F.col(k) + F.col(f"_0{k}") for k in sums}})
     return out.drop("_pid", "_n0", *[f"_by_{b}" for b in by], *[f"_0{k}" for k in sums])
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't in ids (one column, doc_id): by broadcast when a count proves ids small, else by a sort-merge join."""
+    ids = stage(ids.distinct(), "gone")
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left_anti")

@@ -132,7 +132,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Needs unique doc_id. n_chars, where there is such a column, follows the text.
     """
     picked = stage(mix(docs, **how).filter(F.size("draws") > 0).select("doc_id", F.col("draws").alias("_draws"), F.col("size").alias("_size")), "mix-draws")
-    out = docs.join(picked.hint("merge"), "doc_id").withColumn("_d", F.explode("_draws"))
+    out = attach(docs, picked, ["doc_id"], "inner").withColumn("_d", F.explode("_draws"))
     if "text" in docs.columns:
         cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_d.words").cast("int")), "")
         out = out.withColumn("text", F.when(F.col("_d.words") < F.col("_size"), cut).otherwise(F.col("text")))

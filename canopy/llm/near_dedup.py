@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stage
+from .common import BROADCAST_ROWS, stage, without
 from .textstats import mixed, windows, word_hashes
 
 #: Retained values, the least overlap of two sketches (as a share) that is looked for, and the similarity of a cloud's members with a hub.
@@ -212,5 +212,4 @@ def _finish(docs, sk, head, reps, lists, star, sets, width, similarity, cloud, e
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """docs without the rows that aren't kept; of rows that repeat a kept id, all stay."""
-    gone = near_duplicates(docs, **how).filter("not kept").select("doc_id").distinct()
-    return docs.join(stage(gone, "dedup-gone").hint("merge"), "doc_id", "left_anti")
+    return without(docs, near_duplicates(docs, **how).filter("not kept").select("doc_id"))

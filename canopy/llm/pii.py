@@ -91,11 +91,11 @@ def find_spans(text: Column, kind: str) -> Column:
     return F.when(likely, spans).otherwise(none)
 
 
-def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `pii`: every span of every kind, ordered by start, then kind. A null text counts as empty and has no span."""
+def pii_spans(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
+    """docs with the column `to`: every span of every kind, ordered by start, then kind. A null text counts as empty and has no span."""
     t = F.coalesce(F.col(text), F.lit(""))
-    per = F.transform(F.array(*[find_spans(t, k) for k in KINDS]), lambda a: a)
-    return docs.withColumn("pii", F.array_sort(F.transform(F.flatten(per), lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))))
+    per = F.flatten(F.array(*[find_spans(t, k) for k in KINDS]))
+    return docs.withColumn(to, F.array_sort(F.transform(per, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))))
 
 
 def _joined(spans: Column) -> Column:
@@ -122,6 +122,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], src.substr(acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["k"]))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], src.substr(acc["at"] + 1, F.length(src))))
-    out = pii_spans(docs, text).withColumn(text, F.when(F.size("pii") > 0, done).otherwise(src)).drop("pii")
+    done = F.aggregate("__pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], src.substr(acc["at"] + 1, F.length(src))))
+    out = pii_spans(docs, text, "__pii").withColumn(text, F.when(F.size("__pii") > 0, done).otherwise(src)).drop("__pii")
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns and text != "n_chars" else out

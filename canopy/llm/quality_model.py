@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, without
 from .textstats import CLASSES, SYMBOLS, char_classes, duplicate_lines, repeated_words, word_hashes
 
 STATS = (
@@ -138,3 +138,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     model = fit_rules(sample, "y")
     out = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """docs without those that the classifier rejects."""
+    return without(docs, quality_scores(docs, labels, label).filter("predicted = 0").select("doc_id"))

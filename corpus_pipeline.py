@@ -1,13 +1,46 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences: quality, near-duplicates, personal data, mixture, packing."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from canopy.llm import common, mixing, near_dedup, packing, pii, quality_model
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted on the table `labels`, doesn't reject."""
+    return quality_model.good_documents(docs, common.table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    common.reachable(spark)
+    return near_dedup.deduplicated(docs, width=5, similarity=80)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources brought to their target weights; a document may then occur up to twice, or not at all."""
+    return mixing.mixed_documents(docs, weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048, each window in the mixture's proportions."""
+    common.reachable(spark)
+    return packing.pack(docs, length=2048)
+
+
+STAGES = [("quality", quality), ("near_dedup", deduplicate), ("pii", redact), ("mixing", mix), ("packing", pack)]
+#: Trained models, tokens and exact sketches have no SQL form; the stages are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
