@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import reachable
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Derived input tables, in SQL that Spark and other engines read alike; {STR} is the string type, {elem} the element function.
@@ -31,6 +33,7 @@ ORACLES: dict[str, str] = {}
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
