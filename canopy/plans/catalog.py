@@ -20,7 +20,7 @@ FIXTURES = {
     "ontology": "select vec_id child, cast(floor(vec_id/2) as bigint) parent from {embeddings} where vec_id > 1",
     "text": "select doc_id, text, lang, source from {documents}",
     "tags": "select p_partkey item, lower(split_part(p_name,' ',1)) tag1, lower(split_part(p_name,' ',2)) tag2, cast(p_size as double)/50 soft from {part}",
-    "forms": "select p_partkey form_id, p_brand attr, concat('answer: {{\"is\": \"',lower(p_type),'\", \"detail\": \"',p_name,'\"}} end') raw from {part}",
+    "forms": "select p_partkey form_id, p_brand attr, concat('answer: ',chr(123),'\"is\": \"',lower(p_type),'\", \"detail\": \"',p_name,'\"',chr(125),' end') raw from {part}",
     "items": "select p_partkey id, p_name gold_name, lower(p_type) grp, p_brand genus, p_size quality from {part}",
     "qa": "select conv_id, turn, role, text from {conversations}",
     "vectors": "select vec_id, embedding, label, case when vec_id % 10 = 0 then 'eval' else 'cand' end side from {embeddings}",
