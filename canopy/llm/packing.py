@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from .common import attach, stage
 #: Id after each document.
 END = 1
 #: Encoded words that a Python worker keeps at most.
-HELD = 300_000
+HELD = 700_000
 
 
 class _Words(dict):
@@ -37,11 +38,11 @@ class _Words(dict):
         self.encode, self.lead = encode, lead
 
     def __missing__(self, word: str) -> bytes:
-        if not word or any(map(str.isspace, word)):
+        if not word or not word.isprintable():  # other white space isn't printable
             raise ValueError("not a word")
-        if len(self) > HELD:
-            self.clear()
-        self[word] = out = np.array(self.encode(self.lead + word), "<u4").tobytes()
+        out = array("I", self.encode(self.lead + word)).tobytes()
+        if len(self) < HELD:  # what comes early is the common words; the rest is encoded anew each time
+            self[word] = out
         return out
 
 
