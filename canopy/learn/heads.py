@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -44,3 +45,28 @@ def vector_head(vectors: DataFrame, label: str, held_out: Column, balanced: bool
 def node_head(vectors: DataFrame, held_out: Column) -> DataFrame:
     """Like vector_head over terminal nodes; a row with a class only trains the class's own node, not the sum of its nodes' mass."""
     return vector_head(vectors, "node", held_out)
+
+
+def identity_heads(vectors: DataFrame, targets: DataFrame, held_out: Column, reg: float = 1e-3) -> DataFrame:
+    """vec_id, node, y, p, held: a sigmoid per node on the rows where its class is present, positives weighted by the root of neg / pos, clipped to 1 .. 30. targets: vec_id, node, y.
+
+    One fit per node of a bounded list; rows come from the target table, so absent (masked) pairs never enter.
+    """
+    x = vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x")).withColumn("held", held_out)
+    df = targets.join(x, "vec_id")
+    n = targets.groupBy("node").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).filter("pos > 0 and neg > 0").orderBy("node").collect()
+    out = None
+    for r in n:
+        w = max(1.0, min(30.0, r["neg"] / r["pos"])) ** 0.5
+        own = df.filter(F.col("node") == r["node"]).withColumns({"label": F.col("y").cast("double"), "weight": F.when(F.col("y") == 1, w).otherwise(1.0)})
+        m = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=20, regParam=reg).fit(own.filter("not held"))
+        p = m.transform(own).select("vec_id", "node", "y", vector_to_array("probability")[1].alias("p"), "held")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def domain_head(vectors: DataFrame, k: int, none: int, held_out: Column) -> DataFrame:
+    """vec_id, gold, pred, held: at most k training rows of each class, by id, and all of the background class `none`, class-weighted. vectors: vec_id, label, embedding."""
+    r = F.row_number().over(W.partitionBy("label", "held").orderBy("vec_id"))
+    few = vectors.withColumn("held", held_out).withColumn("_r", r).filter(F.col("held") | (F.col("label") == none) | (F.col("_r") <= k)).drop("_r")
+    return vector_head(few.drop("held"), "label", held_out)

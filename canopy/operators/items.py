@@ -95,3 +95,25 @@ def proposal_batches(leaves: DataFrame, most: int = 140) -> DataFrame:
     r = r.withColumn("part", F.when((F.col("_n") > most) & (F.col("_r") > F.floor(F.col("_n") / 2)), 2).otherwise(1))
     g = r.groupBy("attr", "value", "part").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("leaf", "clips"))).alias("o"))
     return g.select("attr", "value", "part", "n", F.array_join(F.transform("o", lambda x: F.concat(x["leaf"], F.lit(" ("), x["clips"].cast("string"), F.lit(")"))), "\n").alias("lines"))
+
+
+def aspect_rules(aspects: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """id, attr, cls: free-text aspects to attribute classes by a rule table (attr, cls, pattern, mode); aspects: id, ord, aspect.
+
+    mode `all`: every class that an aspect matches; `first`: the attribute's first rule that matches; `most`: the class that most aspects match, ties to the earliest aspect.
+    The rules are a bounded table; each aspect meets it once.
+    """
+    spark = aspects.sparkSession
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "no int, attr string, cls string, pattern string, mode string")
+    a = aspects.withColumn("_a", F.lower(F.trim("aspect")))
+    hit = a.join(F.broadcast(table), F.expr("_a rlike pattern")).groupBy("id", "attr", "mode", "cls").agg(F.countDistinct("ord").alias("n"), F.min("ord").alias("at"), F.min("no").alias("no"))
+    order = F.when(F.col("mode") == "first", F.struct(F.lit(0).cast("long").alias("a"), F.col("no").cast("long").alias("b"))).otherwise(F.struct((-F.col("n")).alias("a"), F.col("at").cast("long").alias("b")))
+    r = F.row_number().over(W.partitionBy("id", "attr").orderBy(order, "no"))
+    return hit.withColumn("_r", r).filter((F.col("mode") == "all") | (F.col("_r") == 1)).select("id", "attr", "cls")
+
+
+def align_external(by_id: DataFrame, by_category: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """item, value, leaf of two labelled corpora: by class name to the leaf's node, by category to the class. by_id: item, name; by_category: item, category; nodes: name, value, leaf; classes: category, value."""
+    a = by_id.join(nodes.hint("merge"), "name").select("item", "value", "leaf")
+    b = by_category.join(classes.hint("merge"), "category").select("item", "value", F.lit("").alias("leaf"))
+    return a.unionByName(b).distinct()

@@ -163,3 +163,20 @@ def node_index(tags: DataFrame) -> DataFrame:
     n = tags.groupBy("tag1", "tag2").agg(F.countDistinct("item").alias("n"))
     best = n.groupBy("tag1").agg(F.min_by("tag2", F.struct(-F.col("n"), "tag2")).alias("node"))
     return n.select("tag1", F.col("tag2").alias("name")).join(best, "tag1").select("tag1", "name", "node")
+
+
+def clean_labels(labels: DataFrame, canon: DataFrame, admitted: DataFrame, links: DataFrame) -> DataFrame:
+    """row_id, attr, value, leaf: each label's most specific admitted node after its canonical form, and that node's admitted generics; a leaf that isn't admitted becomes ''.
+
+    canon: attr, value, leaf, to_leaf; admitted: attr, value, leaf; links: attr, value, leaf, generic.
+    """
+    from .graph import closure
+
+    l = apply_groups(labels, canon)
+    ok = admitted.filter("leaf != ''").select("attr", "value", "leaf", F.lit(True).alias("_ok")).distinct()
+    l = l.join(ok.hint("merge"), ["attr", "value", "leaf"], "left").withColumn("leaf", F.when(F.col("_ok"), F.col("leaf")).otherwise("")).select("row_id", "attr", "value", "leaf")
+    name = lambda leaf: F.to_json(F.struct("attr", "value", F.col(leaf).alias("leaf")))
+    up = closure(links.select(name("leaf").alias("child"), name("generic").alias("parent")))
+    far = l.withColumn("child", name("leaf")).join(up.hint("merge"), "child").select("row_id", F.from_json("ancestor", "attr string, value string, leaf string").alias("a")).select("row_id", "a.*")
+    far = far.join(ok.drop("_ok").hint("merge"), ["attr", "value", "leaf"], "left_semi").select("row_id", "attr", "value", "leaf")
+    return l.unionByName(far).distinct()

@@ -362,6 +362,43 @@ def question_gates(items):
     return items.select("id", q["time"].alias("time"), q["count"].alias("counted"))
 
 
+RULES = [("metal", "steel", r"\bsteel\b", "first"), ("metal", "brass", r"\bbrass\b", "first"), ("tone", "bright", "^(al|go)", "most"), ("tone", "dark", "(um|ue)$", "most"), ("form", "long", "^.{6,}$", "all")]
+
+
+@query("aspect_rules", "tags", sql="with a as (select item id, 1 o, tag1 a from tags union all select item, 2, tag2 from tags), h as (select id, 'metal' attr, case when a = 'steel' then 'steel' when a = 'brass' then 'brass' end cls, case when a = 'steel' then 0 else 1 end no, 0 n from a where a in ('steel', 'brass')), t as (select id, 'tone' attr, cls, count(*) n, min(o) o, min(no) no from (select id, o, 'bright' cls, 2 no from a where a like 'al%' or a like 'go%' union all select id, o, 'dark', 3 from a where a like '%um' or a like '%ue') group by 1,2,3) select distinct id, 'form' attr, 'long' cls from a where length(a) >= 6 union all select id, attr, arg_min(cls, no) from h group by 1,2 union all select id, attr, arg_min(cls, (-n, o, no)) from t group by 1,2")
+def aspect_rules(tags):
+    a = tags.select(F.col("item").alias("id"), F.lit(1).alias("ord"), F.col("tag1").alias("aspect")).unionByName(tags.select(F.col("item").alias("id"), F.lit(2).alias("ord"), F.col("tag2").alias("aspect")))
+    return Q.aspect_rules(a, RULES)
+
+
+@query("align_external_labels", "tags", sql="select distinct item, tag1 as value, tag2 as leaf from tags where item % 2 = 0 union select item, upper(tag1), '' from tags where item % 2 = 1")
+def align_external_labels(tags):
+    nodes = tags.select(F.concat_ws("/", "tag1", "tag2").alias("name"), F.col("tag1").alias("value"), F.col("tag2").alias("leaf")).distinct()
+    classes = tags.select(F.col("tag1").alias("category"), F.upper("tag1").alias("value")).distinct()
+    return Q.align_external(tags.filter("item % 2 = 0").select("item", F.concat_ws("/", "tag1", "tag2").alias("name")), tags.filter("item % 2 = 1").select("item", F.col("tag1").alias("category")), nodes, classes)
+
+
+@query("clean_labels", "label_rows", sql="with s as (select attr, value, leaf, count(distinct clip) n from label_rows group by 1,2,3), c as (select row_id, l.attr, l.value, case when n >= 2 then l.leaf else '' end as leaf from label_rows l join s on l.attr = s.attr and l.value = s.value and l.leaf = s.leaf) select distinct * from c union select c.row_id, c.attr, c.value, substr(c.leaf, 1, length(c.leaf) - 2) from c where regexp_matches(c.leaf, ' [a-z]$') and exists (select 1 from s where s.attr = c.attr and s.value = c.value and s.leaf = substr(c.leaf, 1, length(c.leaf) - 2) and n >= 2)")
+def clean_labels(label_rows):
+    from ..operators.tree import clean_labels as op
+
+    n = label_rows.groupBy("attr", "value", "leaf").agg(F.countDistinct("clip").alias("n"))
+    links = n.filter("leaf rlike ' [a-z]$'").select("attr", "value", "leaf", F.regexp_replace("leaf", " [a-z]$", "").alias("generic"))
+    canon = n.filter("1 = 0").select("attr", "value", "leaf", F.col("leaf").alias("to_leaf"))
+    return op(label_rows, canon, n.filter("n >= 2"), links)
+
+
+@query("identity_heads", "vectors")
+def identity_heads(vectors):
+    t = vectors.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("node"), "label").select("vec_id", "node", (F.col("label") == F.col("node")).cast("int").alias("y"))
+    return H.identity_heads(vectors, t, F.col("vec_id") % 5 == 0)
+
+
+@query("domain_head", "vectors")
+def domain_head(vectors):
+    return H.domain_head(vectors, 16, 9, F.col("vec_id") % 5 == 0)
+
+
 # learned columns and streams ---------------------------------------------------------------------
 
 
