@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,7 +76,7 @@ def _written(segment: int):
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
-    """Writes a record per page into WARC files under path: one file per task, records closed by two line ends.
+    """Writes a record per page into gzip-compressed WARC files under path: one file per task, records closed by two line ends.
 
     Of equal payloads of at least REVISIT_BYTES bytes the one with the least page_id is a response and the others revisit it; rows that share that id are responses all. Null html is an
     empty payload. Rows with a null page_id are revisits where an equal payload has an id.
@@ -85,7 +86,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     many = p.filter(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     p = attach(p, stage(many, "warc-equal"), ["digest"]).withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     lines = p.mapInArrow(_written(segment), "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -118,7 +119,8 @@ def _read(segments: bool):
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for h, block in parse_records(content.as_buffer().to_pybytes()):
+                raw = content.as_buffer().to_pybytes()
+                for h, block in parse_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     kind, number = h.get("warc-type"), int(h.get("warc-segment-number", 0))
                     if kind not in ("response", "revisit", "continuation") or bool(number) != segments:
                         continue
@@ -141,8 +143,9 @@ def _read(segments: bool):
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [_payload(b"".join(b))[0] for b in batch.column("blocks").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("record_id"), batch.column("digest"), batch.column("copies"), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], ["record_id", "digest", "copies", "payload_bytes", "payload"])
+        out = [_payload(b"".join(b))[0] if ok else None for b, ok in zip(batch.column("blocks").to_pylist(), batch.column("complete").to_pylist(), strict=True)]
+        names = ["record_id", "digest", "copies", "complete"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([None if x is None else len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], [*names, "payload_bytes", "payload"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -160,13 +163,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     by = parts.groupBy("origin").agg(F.array_sort(F.collect_set(part)).alias("parts"), F.max("total").alias("total"), F.max("digest").alias("digest"), F.count(F.when(F.col("number") == 1, 1)).alias("copies"))
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + F.length(x["block"]))
     ok = (F.element_at("parts", -1)["number"] == F.size("parts")) & (length == F.col("total")) & (F.col("copies") > 0)
-    by = by.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    good = by.filter("ok").select(F.col("origin").alias("record_id"), "digest", "copies", F.transform("parts", lambda x: x["block"]).alias("blocks"))
-    good = good.mapInArrow(_joined, "record_id string, digest string, copies long, payload_bytes long, payload binary")
-    none = lambda t: F.lit(None).cast(t)
-    good = good.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("record_id", F.lit("response").alias("record_type"), none("string").alias("refers_to"), "digest", "payload_bytes", "payload", F.lit(True).alias("complete"))
-    bad = by.filter("not ok").select(F.col("origin").alias("record_id"), F.lit("response").alias("record_type"), none("string").alias("refers_to"), "digest", none("long").alias("payload_bytes"), none("binary").alias("payload"), F.lit(False).alias("complete"))
-    return whole.unionByName(good).unionByName(bad)
+    by = by.withColumn("complete", F.coalesce(ok, F.lit(False))).withColumn("copies", F.greatest("copies", F.lit(1).cast("long")))
+    by = by.select(F.col("origin").alias("record_id"), "digest", "copies", "complete", F.transform("parts", lambda x: x["block"]).alias("blocks"))
+    by = by.mapInArrow(_joined, "record_id string, digest string, copies long, complete boolean, payload_bytes long, payload binary")
+    by = by.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return whole.unionByName(by.select("record_id", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "digest", "payload_bytes", "payload", "complete"))
 
 
 def archive_round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
