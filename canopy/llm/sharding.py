@@ -61,11 +61,10 @@ def shard_rows(sized: DataFrame, dims: list[Column], n_shards: int, bits: int =
     at = ordered(stage(at, "shard-sizes"), ["hilbert", *ties], "shard-order")
     per = at.groupBy("pid").agg(F.count("*").alias("n"))
     base = per.select("pid", F.coalesce(F.sum("n").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(W.partitionBy(F.lit(1))).alias("total"))
-    k = F.lit(n_shards).cast("long")
     out = attach(at, base, ["pid"], "inner").withColumn("rank", F.col("base") + F.col("idx"))
     out = out.withColumn("shard", F.expr(f"cast(rank * {int(n_shards)} div total as int)"))
     first = F.expr(f"(shard * total + {int(n_shards) - 1}) div {int(n_shards)}")  # the least rank of the shard
-    return out.withColumn("slot", F.col("rank") - first).drop("pid", "idx", "base", "total", "rank") if k is not None else out
+    return out.withColumn("slot", F.col("rank") - first).drop("pid", "idx", "base", "total", "rank")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, bits: int = 5) -> DataFrame:
