@@ -24,7 +24,7 @@ from .common import BROADCAST_ROWS, stage, without
 from .textstats import mixed, windows, word_hashes
 
 #: Retained values, the least overlap of two sketches (as a share) that is looked for, and the similarity of a cloud's members with a hub.
-K, OVERLAP, CLOUD = 32, 0.4, 0.6
+K, OVERLAP, CLOUD = 96, 0.62, 0.5
 #: Classes in a block of a cloud.
 BLOCK = 256
 
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, k: in
         both = F.size(F.array_intersect(top, F.array_intersect("k1", "k2")))
         return p.filter(both >= low * F.size(top)).select("a", "b")
 
-    star = stage(estimated(star, cloud - 0.25), "dedup-star")
+    star = stage(estimated(star, cloud - 0.2), "dedup-star")
     sets = _sets_of(star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))), docs, width)
     return _finish(docs, sk, head, reps, lists, star, sets, width, similarity, cloud, estimated)
 
@@ -197,7 +197,7 @@ def _finish(docs, sk, head, reps, lists, star, sets, width, similarity, cloud, e
     two = at.select("v", "band", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("cloud").alias("c2"))
     rest = one.join(two.hint("merge"), ["v", "band"]).filter((F.col("c1") != F.col("c2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))) & (100 * F.col("n1") >= similarity * F.col("n2")))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.hint("merge"), ["a", "b"], "left_anti")
-    rest = stage(estimated(rest, similarity / 100 - 0.3), "dedup-rest-pairs")
+    rest = stage(estimated(rest, similarity / 100 - 0.2), "dedup-rest-pairs")
     if rest.limit(1).count():
         more = _pairs_with_sets(rest, docs, width).mapInArrow(_overlaps, _PAIR).filter(linked).select("a", "b")
         links = links.unionByName(stage(more, "dedup-rest-links"))
