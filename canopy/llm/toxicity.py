@@ -11,7 +11,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,30 +29,35 @@ POWER = 3
 #: Bounds of the fit: labelled documents of each class, sentences for the machine, landmarks.
 FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES, LANDMARKS = 3000, 6000, 20_000, 96
 #: Distinct words that a Python worker remembers at most.
-HELD = 400_000
+HELD = 800_000
 _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-_ODD = re.compile(r"[\W\d_]+")
 
 
-@lru_cache(1 << 16)
+#: ASCII marks and digits, which words lose.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalpha())
+#: Code of a Latin-1 character, 1 .. LETTERS - 1; characters beyond count as a question mark.
+_CODES = np.array([c - 96 if 97 <= c <= 122 else 27 + c % 5 for c in range(256)], np.int64)
+#: By length of a word: the sum of squared weights of its triples.
+_SQUARES = np.array([sum(max(0, n - b) * DECAY ** (2 * (b - 2)) for _, b in _OFFSETS) for n in range(WIDTH + 1)])
+
+
 def _code(ch: str) -> int:
-    return ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) % 5
+    return int(_CODES[ord(ch) if ord(ch) < 256 else 63])
 
 
 def words_of(sentence: str) -> list[str]:
-    """Lower-case words without marks and digits inside; runs of three or more single letters are also joined into one."""
-    raw = sentence.lower().split()
-    out = [w for w in (x if x.isalpha() else _ODD.sub("", x) for x in raw) if len(w) > 2]
-    run: list[str] = []
-    for x in [*raw, "--"]:
-        w = x if x.isalpha() else _ODD.sub("", x)
-        if len(w) == 1:
-            run.append(w)
-        else:
-            if len(run) > 2:
-                out.append("".join(run))
-            run = []
+    """Lower-case words of three letters or more, without ASCII marks and digits inside; runs of three or more single letters are also joined into one."""
+    raw = sentence.lower().encode("utf-8", "replace").translate(None, _MARKS).decode("utf-8", "replace").split()
+    out = [w for w in raw if len(w) > 2]
+    ones = [i for i, w in enumerate(raw) if len(w) == 1]
+    if len(ones) > 2:
+        start = 0
+        for k in range(1, len(ones) + 1):
+            if k == len(ones) or ones[k] != ones[k - 1] + 1:
+                if k - start > 2:
+                    out.append("".join(raw[i] for i in ones[start:k]))
+                start = k
     return out
 
 
@@ -115,9 +119,21 @@ def kernel(words: list[str], prof: np.ndarray) -> np.ndarray:
     return out
 
 
-def _weight_floor(x: np.ndarray) -> np.ndarray:
-    """A lower bound of norms(), without sorting: as if no triple occurred twice."""
-    return np.maximum(np.sqrt(sum((k > 0).sum(1) * w * w for k, w in triples(x))), 1e-9)
+def _bounds(words: list[str], most: np.ndarray) -> np.ndarray:
+    """For each word of at most WIDTH letters an upper bound of its kernel with any landmark, from the landmarks' greatest weights; 1 for longer words.
+
+    All words lie in one array with SPAN - 1 zeros between them, which no triple can cross. The norm is at least what it would be if no triple occurred twice.
+    """
+    size = np.array([len(w) for w in words])
+    flat = np.frombuffer(("\0" * (SPAN - 1)).join(words).encode("latin-1", "replace") + b"\0" * SPAN, np.uint8)
+    x = np.where(flat > 0, _CODES[flat], 0).astype(np.int32)
+    n = len(x) - SPAN
+    total = np.zeros(n + 1, np.float32)
+    for a, b in _OFFSETS:
+        total[:n] += np.float32(DECAY ** (b - 2)) * most[(x[:n] * LETTERS + x[a : n + a]) * LETTERS + x[b : n + b]]
+    starts = np.concatenate([[0], np.cumsum(size[:-1] + SPAN - 1)])
+    sums = np.add.reduceat(total, np.minimum(starts, n))
+    return np.where(size > WIDTH, 1.0, sums / np.sqrt(np.maximum(_SQUARES[np.minimum(size, WIDTH)], 1e-9)))
 
 
 @dataclass
@@ -145,24 +161,15 @@ class Model:
         self.seen.update(words)
         for lo in range(0, len(words), 4000):
             part = words[lo : lo + 4000]
-            x, of = codes(part)
-            bound = np.zeros(len(x), np.float32)
-            for k, w in triples(x):
-                bound += np.float32(w) * self.most[k].sum(1)
-            likely = np.zeros(len(part), bool)
-            likely[of[bound / _weight_floor(x) >= ACTIVE]] = True
-            near = [w for w, y in zip(part, likely, strict=True) if y]
+            near = [w for w, y in zip(part, _bounds(part, self.most) >= ACTIVE, strict=True) if y]
             if near:
                 for w, v in zip(near, kernel(near, self.prof), strict=True):
                     if v[: self.toxic].max(initial=0) >= ACTIVE:
                         self.known[w] = v**POWER
 
-    def features(self, text: str) -> list[np.ndarray]:
-        """The best kernel values of each sentence that has an active word."""
-        words = set(words_of(text))
-        if new := [w for w in words if w not in self.seen]:
-            self.learn(new)
-        if not any(w in self.known for w in words):
+    def features(self, text: str, words: set[str]) -> list[np.ndarray]:
+        """The best kernel values of each sentence that has an active word; words: those of the text, learned before."""
+        if self.known.keys().isdisjoint(words):
             return []
         out = []
         for sentence in _SENTENCE.split(text):
@@ -170,11 +177,18 @@ class Model:
                 out.append(np.max(hit, 0))
         return out or [np.max([self.known[w] for w in words if w in self.known], 0)]  # a run across sentences
 
-    def score(self, text: str, raw: bool = False) -> float:
-        z = max([self.bias, *(float(v @ self.weights) + self.bias for v in self.features(text))])
-        if raw:
-            return z
-        return float(1 / (1 + np.exp(-np.clip((z - self.mean) * self.scale, -30, 30))))
+    def scores(self, texts: list[str], raw: bool = False, step: int = 512) -> list[float]:
+        """Each text's worst sentence, as a decision value or a probability."""
+        out = []
+        for lo in range(0, len(texts), step):
+            part = texts[lo : lo + step]
+            words = [set(words_of(t)) for t in part]
+            if new := set().union(*words) - self.seen:
+                self.learn(list(new))
+            for t, w in zip(part, words, strict=True):
+                z = max([self.bias, *(float(v @ self.weights) + self.bias for v in self.features(t, w))])
+                out.append(z if raw else float(1 / (1 + np.exp(-np.clip((z - self.mean) * self.scale, -30, 30)))))
+        return out
 
 
 def held_out(modulus: int = 5, rest: int = 0):
@@ -293,7 +307,7 @@ def _scored(model: Model, raw: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.ready()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([own.score(t or "", raw) for t in batch.column("text").to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(own.scores([t or "" for t in batch.column("text").to_pylist()], raw), pa.float64())], ["doc_id", "held_out", "score"])
 
     return run
 
