@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -258,7 +257,9 @@ def fit(sample: DataFrame) -> Model:
     near = [r["s"] for r in words if r["s"] in model.known]
     model.landmarks = toxic + _diverse(near[: LANDMARKS * 4], LANDMARKS // 4, 0.8) + [r["s"] for r in words[: LANDMARKS // 8] if r["s"] not in near]
     # the machine's sentences: those with an active word, from all of the sample
-    rows = s.mapInArrow(_featured(model), "h long, y int, x array<float>").withColumn("r", F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("h"), "h"))).filter(F.col("r") <= FIT_SENTENCES // 2).orderBy("y", "r").collect()
+    near = stage(s.mapInArrow(_featured(model), "h long, y int, x array<float>"), "toxic-vectors")
+    some = lambda y: near.filter(F.col("y") == y).orderBy(F.xxhash64("h"), "h").limit(FIT_SENTENCES // 2)
+    rows = some(0).unionByName(some(1)).collect()
     if not any(r["y"] for r in rows):
         return nothing
     x, y = np.array([r["x"] for r in rows], float), np.array([1.0 if r["y"] else -1.0 for r in rows])
