@@ -27,7 +27,7 @@ from .common import attach, stage
 #: Id after each document.
 END = 1
 #: Encoded words that a Python worker keeps at most.
-HELD = 700_000
+HELD = 200_000
 
 
 class _Words(dict):
