@@ -152,11 +152,16 @@ class Model:
         self.seen: set[str] = set()
         return self
 
-    def learn(self, words: list[str]) -> None:
-        """Remembers the kernel values of the active ones among new words; the rest can't resemble a toxic landmark."""
-        if len(self.seen) > HELD:
+    def learn(self, every: set[str]) -> None:
+        """Remembers the kernel values of the active ones among new words; the rest can't resemble a toxic landmark.
+
+        every: all words of the texts that come next, those seen before too, which are learned anew when memory was full.
+        """
+        words = list(every - self.seen)
+        if words and len(self.seen) > HELD:
             self.seen.clear()
             self.known.clear()
+            words = list(every)
         self.seen.update(words)
         for lo in range(0, len(words), 4000):
             part = words[lo : lo + 4000]
@@ -182,8 +187,7 @@ class Model:
         for lo in range(0, len(texts), step):
             part = texts[lo : lo + step]
             words = [set(words_of(t)) for t in part]
-            if new := set().union(*words) - self.seen:
-                self.learn(list(new))
+            self.learn(set().union(*words))
             for t, w in zip(part, words, strict=True):
                 z = max([self.bias, *(float(v @ self.weights) + self.bias for v in self.features(t, w))])
                 out.append(z if raw else float(1 / (1 + np.exp(-np.clip((z - self.mean) * self.scale, -30, 30)))))
@@ -253,7 +257,7 @@ def fit(sample: DataFrame) -> Model:
     model = Model(toxic, len(toxic), 0.0, 1.0, np.zeros(len(toxic)), 0.0).ready()
     # clean words that resemble a toxic landmark, and the most common ones, are landmarks too
     words = c0.filter("b >= 3").orderBy(F.desc("b"), "s").limit(20_000).collect()
-    model.learn([r["s"] for r in words])
+    model.learn({r["s"] for r in words})
     near = [r["s"] for r in words if r["s"] in model.known]
     model.landmarks = toxic + _diverse(near[: LANDMARKS * 4], LANDMARKS // 4, 0.8) + [r["s"] for r in words[: LANDMARKS // 8] if r["s"] not in near]
     # the machine's sentences: those with an active word, from all of the sample
@@ -297,7 +301,7 @@ def _featured(model: Model):
         own = model.ready()
         for batch in batches:
             split = [w.split() for w in batch.column("words").to_pylist()]
-            own.learn(list({w for ws in split for w in ws} - own.seen))
+            own.learn({w for ws in split for w in ws})
             rows = [(h, y, np.max(hit, 0).tolist()) for h, y, ws in zip(batch.column("h").to_pylist(), batch.column("y").to_pylist(), split, strict=True) if (hit := [own.known[w] for w in ws if w in own.known])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int64(), pa.int32(), pa.list_(pa.float32())), strict=True)], ["h", "y", "x"])
 

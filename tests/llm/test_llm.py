@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,19 @@ def test_subsequence_kernel():
     assert (toxicity._bounds(words, model.most) + 1e-5 >= toxicity.kernel(words, model.prof).max(1)).all()
 
 
+def test_toxicity_with_full_memory(monkeypatch):
+    """Words seen before are known after memory was full, as without a bound."""
+    make = lambda: toxicity.Model(["idiot", "trash"], 2, 0.0, 1.0, np.array([5.0, 5.0]), -1.0).ready()
+    r = random.Random(3)
+    texts = [f"you idiot {r.choice(WORDS)}x{i} " + r.choice(WORDS) for i in range(40)]
+    whole = make().scores(texts, raw=True, step=4)
+    sentences = pa.RecordBatch.from_pydict({"h": pa.array(range(40), pa.int64()), "y": pa.array([1] * 40, pa.int32()), "words": [" ".join(toxicity.words_of(t)) for t in texts]})
+    parts = [sentences.slice(i, 4) for i in range(0, 40, 4)]
+    monkeypatch.setattr(toxicity, "HELD", 6)
+    assert min(whole) > 0 and make().scores(texts, raw=True, step=4) == whole
+    assert sum(b.num_rows for b in toxicity._featured(make())(iter(parts))) == 40
+
+
 def test_rule_ensemble(spark, labelled):
     docs, labels = labelled
     s = quality_model.quality_scores(docs, labels)
