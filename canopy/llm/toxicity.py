@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import stage
 
 DECAY, SPAN, LETTERS, WIDTH = 0.6, 7, 32, 32
-#: A word whose kernel with every toxic landmark is surely below this has no features.
+#: A word whose kernel with every toxic landmark is surely below this, inserted letters left out, has no features.
 ACTIVE = 0.55
+#: A word that holds a toxic string in order, with up to so many other letters inside, counts as the word without these, at EXTRA for each.
+INSERTED, EXTRA = 3, 0.9
 #: Kernel values are raised to this power, which keeps them a kernel and tells near from far.
 POWER = 3
 #: Bounds of the fit: labelled documents of each class, sentences for the machine, landmarks.
@@ -35,14 +37,24 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 #: ASCII marks and digits, which words lose.
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalpha())
-#: Code of a Latin-1 character, 1 .. LETTERS - 1; characters beyond count as a question mark.
+#: Code of a Latin-1 character, 1 .. LETTERS - 1; characters beyond have their place in their block, so that neighbours in an alphabet differ.
 _CODES = np.array([c - 96 if 97 <= c <= 122 else 27 + c % 5 for c in range(256)], np.int64)
+
+
+def _coded(points: np.ndarray) -> np.ndarray:
+    return np.where(points < 256, _CODES[np.minimum(points, 255)], 1 + points % (LETTERS - 1))
+
+
 #: By length of a word: the sum of squared weights of its triples.
 _SQUARES = np.array([sum(max(0, n - b) * DECAY ** (2 * (b - 2)) for _, b in _OFFSETS) for n in range(WIDTH + 1)])
 
 
 def _code(ch: str) -> int:
-    return int(_CODES[ord(ch) if ord(ch) < 256 else 63])
+    return int(_CODES[ord(ch)]) if ord(ch) < 256 else 1 + ord(ch) % (LETTERS - 1)
+
+
+def _points(joined: str) -> np.ndarray:
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
 def words_of(sentence: str) -> list[str]:
@@ -124,8 +136,8 @@ def _bounds(words: list[str], most: np.ndarray) -> np.ndarray:
     All words lie in one array with SPAN - 1 zeros between them, which no triple can cross. The norm is at least what it would be if no triple occurred twice.
     """
     size = np.array([len(w) for w in words])
-    flat = np.frombuffer(("\0" * (SPAN - 1)).join(words).encode("latin-1", "replace") + b"\0" * SPAN, np.uint8)
-    x = np.where(flat > 0, _CODES[flat], 0).astype(np.int32)
+    flat = _points(("\0" * (SPAN - 1)).join(words) + "\0" * SPAN)
+    x = np.where(flat > 0, _coded(flat), 0).astype(np.int32)
     n = len(x) - SPAN
     total = np.zeros(n + 1, np.float32)
     for a, b in _OFFSETS:
@@ -135,6 +147,28 @@ def _bounds(words: list[str], most: np.ndarray) -> np.ndarray:
     return np.where(size > WIDTH, 1.0, sums / np.sqrt(np.maximum(_SQUARES[np.minimum(size, WIDTH)], 1e-9)))
 
 
+def _masks(words: list[str]) -> np.ndarray:
+    """For each word the set of its letters' codes, as bits."""
+    size = np.array([len(w) + 1 for w in words])
+    bits = np.int64(1) << _coded(_points("\0".join(words) + "\0"))
+    return np.bitwise_or.reduceat(bits, np.cumsum(size) - size)
+
+
+def _without_inserted(word: str, landmark: str) -> tuple[str, int]:
+    """The word with its shortest stretch that holds the landmark's letters in order replaced by the landmark, and how many letters that leaves out; -1: none."""
+    best, at = -1, -1
+    begin = [-1] * len(landmark)  # where the latest match of the landmark's first letters begins
+    for i, ch in enumerate(word):
+        for j in range(len(landmark) - 1, -1, -1):
+            if landmark[j] == ch:
+                begin[j] = begin[j - 1] if j else i
+        if begin[-1] >= 0 and ch == landmark[-1]:
+            extra = i + 1 - begin[-1] - len(landmark)
+            if best < 0 or extra < best:
+                best, at = extra, begin[-1]
+    return (word[:at] + landmark + word[at + len(landmark) + best :], best) if best >= 0 else (word, -1)
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -143,15 +177,34 @@ class Model:
     scale: float
     weights: np.ndarray  # of the kernel values: the machine's weights times the Nyström map
     bias: float
+    strings: tuple[str, ...] = ()  # toxic strings that are looked for with letters inserted; the toxic landmarks if there are none
 
     def ready(self) -> Model:
         self.prof = profile(self.landmarks) if self.landmarks else np.zeros((LETTERS**3, 0), np.float32)
         top = self.prof[:, : self.toxic]
         self.most = top.max(1) if self.toxic else np.zeros(LETTERS**3, np.float32)
+        self.whole = [w for w in self.strings or self.landmarks[: self.toxic] if 4 <= len(w) <= WIDTH]
+        self.letters = _masks(self.whole) if self.whole else np.zeros(0, np.int64)
         self.known: dict[str, np.ndarray | None] = {}
         self.seen: set[str] = set()
         return self
 
+    def inserted(self, words: list[str]) -> dict[str, np.ndarray]:
+        """For words that hold a toxic string with 1 .. INSERTED letters inside: the kernel values of the word without these, if it is active, less EXTRA for each."""
+        found: dict[str, list[tuple[str, int]]] = {}
+        masks = _masks(words)
+        for string, letters in zip(self.whole, self.letters, strict=True):
+            for i in np.flatnonzero(masks & letters == letters).tolist():
+                if len(words[i]) > len(string):
+                    short, n = _without_inserted(words[i], string)
+                    if 0 < n <= INSERTED:
+                        found.setdefault(words[i], []).append((short, n))
+        if not found:
+            return {}
+        short = list({s for hits in found.values() for s, _ in hits})
+        value = {s: v for s, v in zip(short, kernel(short, self.prof), strict=True) if v[: self.toxic].max(initial=0) >= ACTIVE}
+        return {w: np.max(v, 0) for w, hits in found.items() if (v := [value[s] * np.float32(EXTRA**n) for s, n in hits if s in value])}
+
     def learn(self, every: set[str]) -> None:
         """Remembers the kernel values of the active ones among new words; the rest can't resemble a toxic landmark.
 
@@ -165,10 +218,12 @@ class Model:
         self.seen.update(words)
         for lo in range(0, len(words), 4000):
             part = words[lo : lo + 4000]
-            near = [w for w, y in zip(part, _bounds(part, self.most) >= ACTIVE, strict=True) if y]
+            less = self.inserted(part)
+            near = [w for w, y in zip(part, _bounds(part, self.most) >= ACTIVE, strict=True) if y or w in less]
             if near:
                 for w, v in zip(near, kernel(near, self.prof), strict=True):
-                    if v[: self.toxic].max(initial=0) >= ACTIVE:
+                    if w in less or v[: self.toxic].max(initial=0) >= ACTIVE:
+                        v = np.maximum(v, less[w]) if w in less else v
                         self.known[w] = v**POWER
 
     def features(self, text: str, words: set[str]) -> list[np.ndarray]:
@@ -254,7 +309,7 @@ def fit(sample: DataFrame) -> Model:
     toxic = _diverse([r["s"] for r in found], LANDMARKS // 2, 0.6)
     if not toxic:
         return nothing
-    model = Model(toxic, len(toxic), 0.0, 1.0, np.zeros(len(toxic)), 0.0).ready()
+    model = Model(toxic, len(toxic), 0.0, 1.0, np.zeros(len(toxic)), 0.0, tuple(r["s"] for r in found)).ready()
     # clean words that resemble a toxic landmark, and the most common ones, are landmarks too
     words = c0.filter("b >= 3").orderBy(F.desc("b"), "s").limit(20_000).collect()
     model.learn({r["s"] for r in words})
@@ -282,7 +337,7 @@ def fit(sample: DataFrame) -> Model:
         new = v - step * (lam * v - 2 * ((slack * y) @ z) / len(y))
         v = new + t / (t + 3) * (new - w)
         w = new
-    model = Model(model.landmarks, model.toxic, 0.0, 1.0, nystrom @ w[:-1], float(w[-1]))
+    model = Model(model.landmarks, model.toxic, 0.0, 1.0, nystrom @ w[:-1], float(w[-1]), model.strings)
     # the documents' own threshold: between the sample's toxic and clean documents, where the fewest are wrong
     got = sample.select("doc_id", F.col("y").cast("boolean").alias("held_out"), "text").mapInArrow(_scored(model, raw=True), "doc_id long, held_out boolean, score double").select("held_out", "score").limit(2 * (FIT_TOXIC + FIT_CLEAN)).collect()
     at = np.array(sorted((r["score"], r["held_out"]) for r in got))

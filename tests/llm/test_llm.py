@@ -172,6 +172,44 @@ def test_toxicity_with_full_memory(monkeypatch):
     assert sum(b.num_rows for b in toxicity._featured(make())(iter(parts))) == 40
 
 
+def spread(w, n, r, letters="abcdefghijklmnopqrstuvwxyz"):
+    for _ in range(n):
+        k = r.randrange(1, len(w))
+        w = w[:k] + r.choice(letters) + w[k:]
+    return w
+
+
+def test_inserted_letters():
+    r = random.Random(4)
+    bad = ["trash", "idiot", "clown", "loser", "scum", "moron", "stupid", "scumbag", "идиот", "дурак"]
+    model = toxicity.Model(bad, len(bad), 0.0, 1.0, None, 0.0).ready()
+    words = {spread(w, n, r) for w in bad for n in (1, 2, 3) for _ in range(20)}
+    model.learn(words | {"lantern", "привет", "человек", "погода"})
+    assert set(model.known) >= words and {"lantern", "привет", "человек", "погода"}.isdisjoint(model.known)
+    assert toxicity._without_inserted("idxixots", "idiot") == ("idiots", 2) and toxicity._without_inserted("idea", "idiot")[1] == -1
+    assert (toxicity._bounds(sorted(words), model.most) + 1e-5 >= toxicity.kernel(sorted(words), model.prof).max(1)).all()
+
+
+def test_toxicity_inserted(spark):
+    """Held-out documents with insults that have two and three letters inserted, in two scripts."""
+    r = random.Random(9)
+    bad = ["idiot", "trash", "stupid", "дурак", "подлец"]
+    other = [a + b for a in "ка ло ми не ру та ви зу".split() for b in "бан дел фир гон хул жам".split()]
+    rows, labels = [], []
+    for i in range(600):
+        w = [r.choice(WORDS + other) for _ in range(40)]
+        if i % 3 == 0:
+            x = r.choice(bad)
+            held = zlib.crc32(str(i).encode()) % 5 == 0
+            w[r.randrange(40)] = spread(x, r.choice([2, 3]) if held else r.choice([0, 0, 1, 2, 3]), r, "abcdefghijklmnop" if x.isascii() else "абвгдежзийклмноп")
+        rows.append(row(i, ". ".join(" ".join(w[j : j + 8]) for j in range(0, 40, 8))))
+        labels.append((i, 1, int(i % 3 == 0)))
+    got = toxicity.toxicity_scores(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).filter("held_out").collect()
+    planted = [x.predicted for x in got if x.doc_id % 3 == 0]
+    assert len(planted) > 20 and sum(planted) >= 0.9 * len(planted)
+    assert sum(x.predicted for x in got if x.doc_id % 3) <= 0.05 * len(got)
+
+
 def test_rule_ensemble(spark, labelled):
     docs, labels = labelled
     s = quality_model.quality_scores(docs, labels)
