@@ -8,6 +8,8 @@ that alone fixes the place of every token.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -50,10 +52,13 @@ class Encoder:
     """The public byte-level BPE vocabulary, from its rank file; equal ids to those of its `tokenizers` form.
 
     The vocabulary's pattern never joins what a single space or line break between two other characters separates, so texts without
-    longer white space are encoded word by word, from a cache; all others whole. Special tokens' strings are ordinary text.
+    longer white space are encoded word by word, from a cache; all others whole. added: tokens found in texts as they stand, which split them;
+    without it their strings are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: dict[str, int] | None = None) -> None:
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -62,6 +67,11 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if any(t in text for t in self.added):
+            return b"".join(self.added[x] if x in self.added else self.piece(x) for x in self.split(text))
+        return self.piece(text)
+
+    def piece(self, text: str) -> bytes:
         if not text:
             return b""
         parts: list[bytes] = []
@@ -76,20 +86,29 @@ class Encoder:
         return b"".join(parts[1:])
 
 
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(2)
+def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    return Encoder(path, dict(added))
+
+
+def added_tokens() -> tuple[tuple[str, int], ...]:
+    """The vocabulary's added tokens, which `tokenizers` finds in texts whatever add_special_tokens says."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("added tokens that aren't matched as they stand")
+    return tuple((t["content"], t["id"]) for t in found)
 
 
 def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _encoded(path: str):
+def _encoded(path: str, added: tuple[tuple[str, int], ...]):
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, sent = encoder(path), TaskContext.get().partitionId(), {}
+        encode, pid, sent = encoder(path, added), TaskContext.get().partitionId(), {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
@@ -157,17 +176,18 @@ def _placed(plan: tuple, length: int):
     return run
 
 
-def pack(docs: DataFrame, length: int = 2048, window: int = 32, smallest: int = 512, weights: dict[str | None, float] | None = None, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = 2048, window: int = 32, smallest: int = 512, weights: dict[str | None, float] | None = None, ranks: str | None = None, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Pieces of documents in sequences of `length` tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A window is `window` sequences. weights: token proportions of the sources; by default those of their totals, which lets all queues end together. When a queue is
     empty the others go on in their proportions. `smallest` tokens is the piece below which a source waits for a later window. All sequences are full but the last one.
     Null texts hold the end mark only, as empty ones do; a null source is a queue of its own; ids may be null or repeat; an empty table gives no pieces.
+    added: (string, id) of tokens found in texts as they stand, see added_tokens(); by default such strings are ordinary text.
 
     Tokens are encoded once and written out; the layout needs one sum per task and source. The driver sees one row per source.
     """
     path = ranks or ranks_path()
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_encoded(path), "doc_id long, source string, pid int, at long, n long, ids binary")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_encoded(path, added), "doc_id long, source string, pid int, at long, n long, ids binary")
     ids = stage(ids, "pack-ids", "zstd")
     per = ids.groupBy("pid", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source")).agg(F.sum("n").alias("n"))
     per = stage(per, "pack-sums")

@@ -31,7 +31,7 @@ def op9_rule_ensemble(spark, sf_dir):
 
 
 def op5_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), length=2048)
+    return packing.pack(table(spark, sf_dir, "documents"), length=2048, added=packing.added_tokens())
 
 
 def op6_warc(spark, sf_dir):

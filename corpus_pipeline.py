@@ -31,7 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2048, each window in the mixture's proportions."""
     common.reachable(spark)
-    return packing.pack(docs, length=2048)
+    return packing.pack(docs, length=2048, added=packing.added_tokens())
 
 
 STAGES = [("quality", quality), ("near_dedup", deduplicate), ("pii", redact), ("mixing", mix), ("packing", pack)]

@@ -274,6 +274,25 @@ def test_packing(spark, docs, texts):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    """Ids as the tokenizer gives them in its default setting, in the query and in the pipeline's stage."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    import corpus_pipeline
+    from canopy.llm import queries
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b  c", "no <|endoftext| >", "x  <|endoftext|>  y"]
+    docs = spark.createDataFrame([row(i, x) for i, x in enumerate(texts)], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for x in texts]
+    want = [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+    for got in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
+        assert sorted((r.doc_id, r.doc_tokens, r.ids_crc32) for r in got.collect()) == want
+    assert 50256 in ids[0]
+
+
 def test_warc(spark, tmp_path):
     r = random.Random(4)
     big = "".join(r.choice("abc é<>\n") for _ in range(30_000))
