@@ -21,8 +21,10 @@ PROPOSE = {
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-", "ipv6": ":"}
 #: Score of a proposal, of a passed checksum, of a context word nearby, and the score from which an added span counts.
 PROPOSED, CONFIRMED, CONTEXT, ENOUGH, NEAR = 0.4, 0.4, 0.2, 0.6, 40
-#: Words that make an added kind likelier when they stand within NEAR characters before it.
-WORDS = {"iban": "iban|account|konto|cuenta|compte", "ssn": "ssn|social|security|sozial|seguridad", "ipv6": "ip|host|address|server"}
+#: Words (and their plurals) that make an added kind likelier when they stand within NEAR characters before or after it; a list after one counts throughout.
+WORDS = {"iban": "iban|account|konto|cuenta|compte", "ssn": "ssn|social|security|sozial|seguridad", "ipv6": "ip|host|address(?:es)?|server"}
+#: What stands between the members of a list.
+LISTED = r"^[\s,;/&|]*(?:and|or|und|oder|y|o|et|ou)?[\s,;/&|]*$"
 
 
 def luhn(digits: Column) -> Column:
@@ -62,6 +64,10 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _names(kind: str, window: Column) -> Column:
+    return F.lower(window).rlike(rf"(?<![a-z])(?:{WORDS[kind]})s?(?![a-z])")
+
+
 def find_spans(text: Column, kind: str) -> Column:
     """array<struct<start, end, k>> of one kind, in code points, end exclusive, leftmost and non-overlapping; k is the kind's number.
 
@@ -77,14 +83,25 @@ def find_spans(text: Column, kind: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(k).alias("k"))
         ok = _confirmed(kind, x["m"])
         if kind in WORDS:  # added kinds: a score decides
-            near = F.lower(F.right(x["g"], F.lit(NEAR))).rlike(rf"(?<![a-z])({WORDS[kind]})(?![a-z])")
+            before = F.right(F.concat(acc["tail"], F.right(x["g"], F.lit(NEAR))), F.lit(NEAR))
+            listed = acc["near"] & F.lower(x["g"]).rlike(LISTED)
+            near = listed | _names(kind, before) | _names(kind, x["a"])
+            tail = F.right(F.concat(before, x["m"]), F.lit(NEAR))
             score = PROPOSED + F.when(ok, CONFIRMED if kind in ("iban", "ipv6") else 0.0).otherwise(-1.0) + F.when(near, CONTEXT).otherwise(0.0)
             ok = score >= ENOUGH - 1e-9
-        return F.struct(end.alias("at"), F.when(ok, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        out = [end.alias("at"), F.when(ok, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")]
+        return F.struct(*out, tail.alias("tail"), near.alias("near")) if kind in WORDS else F.struct(*out)
 
     pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     pairs = F.slice(pairs, F.lit(1), F.size(found))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    start = [F.lit(0).alias("at"), none.alias("out")]
+    if kind in WORDS:
+        # the NEAR characters after a match: the next gaps and matches, of which three hold as many
+        head = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(NEAR))
+        after = lambda i: F.left(F.concat(*[p for j in range(1, 5) for p in (head(F.get(gaps, i + j)), head(F.get(found, i + j)))]), F.lit(NEAR))
+        pairs = F.transform(pairs, lambda p, i: F.struct(p["m"].alias("m"), p["g"].alias("g"), after(i).alias("a")))
+        start += [F.lit("").alias("tail"), F.lit(False).alias("near")]
+    spans = F.aggregate(pairs, F.struct(*start), step, lambda acc: acc["out"])
     likely = F.size(found) > 0
     if kind in NEEDS:
         return F.when(F.contains(text, F.lit(NEEDS[kind])), F.when(likely, spans).otherwise(none)).otherwise(none)

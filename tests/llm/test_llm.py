@@ -344,6 +344,17 @@ def test_pii(spark):
     assert pii.pii_report(empty(spark)).count() == 0
 
 
+def test_pii_lists(spark):
+    """A context word counts for all numbers of a list, after it or before it, in the plural too; far words don't."""
+    ssn = [f"219-09-{9000 + i}" for i in range(12)]
+    texts = ["SSN 219-09-9999, 219-09-9998", "SSNs: 000-09-9999, 219-09-9998 and 219-09-9997", "SSN " + ", ".join(ssn), "219-09-9999 is their social security number", "no 219-09-9999, 219-09-9998", "ssn" + " x" * 30 + " 219-09-9999", "é😀 SSN 219-09-9999 x 219-09-9998"]
+    df = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    spans = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("ssn")] for r in pii.pii_report(df).collect()}
+    got = {i: [texts[i][a:b] for a, b in s] for i, s in spans.items()}
+    assert got == {0: ["219-09-9999", "219-09-9998"], 1: ["219-09-9998", "219-09-9997"], 2: ssn, 3: ["219-09-9999"], 4: [], 5: [], 6: ["219-09-9999", "219-09-9998"]}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "SSN [SSN], [SSN]"
+
+
 def test_top_k(spark):
     r = random.Random(8)
     rows = [(i, [float(r.randint(-3, 3)) for _ in range(6)], "x") for i in range(400)] + [(1000 + i, [1.0] * 6, "x") for i in range(50)]
