@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import attach, stage
 from .textstats import CLASSES, base_stats, char_classes, word_hashes
 
 #: Common words of a language in its reference histogram; all other words are one more bin.
 COMMON = 40
 #: A document fails when its distance to every reference is above these; shorter ones than the guards aren't compared.
 CHAR_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS = 0.14, 0.45, 200, 50
+#: A language has a reference from so many documents and words on (of documents long enough to be compared); all others share one.
+REFERENCE_DOCS, REFERENCE_WORDS = 20, 2000
 #: Bins of the character histogram; letters and digits are one, so that names, numbers and addresses in prose don't count against it.
 BINS = ("letter", "upper", "space", "stop", "mark")
 #: Distinct words that a task counts before it hands its counts on.
@@ -29,7 +32,7 @@ def char_histogram(b: bytes) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts (lang, key, n) of words, and of all words under a key that no word can have."""
+    """Partial counts (lang, key, n) of words, and of all words and documents under keys that no word can have."""
     held: dict = {}
 
     def out() -> pa.RecordBatch:
@@ -46,6 +49,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = held.setdefault(lang, Counter())
             c.update(words)
             c[b" words"] += len(words)
+            c[b" docs"] += 1
         if sum(map(len, held.values())) > HELD:
             yield out()
     yield out()
@@ -60,28 +64,45 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in raw], pa.string()), *[pa.array(x[:, j]) for j in range(len(BINS))]], ["lang", *BINS])
 
 
-def references(docs: DataFrame, common: int = COMMON) -> list[tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """For each language of the corpus: its character-class histogram, its most common words, and their histogram.
+def references(docs: DataFrame, common: int = COMMON) -> list[tuple[tuple[str | None] | None, np.ndarray, list[bytes], np.ndarray]]:
+    """For each language of the corpus with REFERENCE_DOCS documents and REFERENCE_WORDS words: (language,), its character-class histogram, its most common words, and their histogram.
+
+    The languages with less are pooled, and have one such reference together, with None for the language, if the pool is large enough.
 
     The character histogram is the median share of each class over the language's documents, so that a minority of junk doesn't bend it; word counts are over all
     documents of at least MIN_WORDS words. Only `common` words and the classes of each language reach the driver: a table whose size depends on the number of
-    languages alone. A null language is one of its own.
+    languages with enough support alone. A null language is one of its own.
     """
-    shares = docs.select("lang", "text").mapInArrow(_shares, "lang string, " + ", ".join(f"`{c}` double" for c in BINS))
-    middle = {r["lang"]: np.array([r[c] for c in BINS]) for r in shares.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in BINS]).collect()}
     n = docs.select("lang", "text").mapInArrow(_counted, "lang string, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    n = n.withColumn("own", F.substring("key", 1, 1).cast("string") == " ")
-    top = n.withColumn("r", F.row_number().over(W.partitionBy("lang", "own").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= max(common, 1))
+    n = stage(n.withColumn("own", F.substring("key", 1, 1).cast("string") == " "), "rules-words")
+    number = lambda key: F.sum(F.when(F.col("key").cast("string") == key, F.col("n")))
+    size = n.filter("own").groupBy("lang").agg(number(" docs").alias("docs"), number(" words").alias("words"))
+    enough = stage(size.filter((F.col("docs") >= REFERENCE_DOCS) & (F.col("words") >= REFERENCE_WORDS)).select(F.col("lang").isNull().alias("_null"), F.coalesce("lang", F.lit("")).alias("_lang"), F.lit(False).alias("pool")), "rules-languages")
+
+    def pooled(df: DataFrame) -> DataFrame:
+        """df with the column pool, and a null lang where it is true."""
+        df = df.withColumns({"_null": F.col("lang").isNull(), "_lang": F.coalesce("lang", F.lit(""))})
+        df = attach(df, enough, ["_null", "_lang"]).withColumn("pool", F.coalesce("pool", F.lit(True)))
+        return df.withColumn("lang", F.when(~F.col("pool"), F.col("lang"))).drop("_null", "_lang")
+
+    shares = pooled(docs.select("lang", "text").mapInArrow(_shares, "lang string, " + ", ".join(f"`{c}` double" for c in BINS)))
+    of = lambda r: None if r["pool"] else (r["lang"],)
+    middle = {of(r): np.array([r[c] for c in BINS]) for r in shares.groupBy("pool", "lang").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in BINS]).collect()}
+    n = pooled(n).groupBy("pool", "lang", "key", "own").agg(F.sum("n").alias("n"))
+    top = n.withColumn("r", F.row_number().over(W.partitionBy("pool", "lang", "own").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= max(common, 2))
     by: dict = {}
     for r in top.collect():
-        by.setdefault(r["lang"], []).append((bytes(r["key"]), r["n"], r["own"]))
+        by.setdefault(of(r), []).append((bytes(r["key"]), r["n"], r["own"]))
     refs = []
     for lang in sorted(by, key=str):
-        total = sum(v for _, v, o in by[lang] if o)
+        own = {k: v for k, v, o in by[lang] if o}
+        total = own[b" words"]
+        if own[b" docs"] < REFERENCE_DOCS or total < REFERENCE_WORDS:
+            continue
         words = sorted(((-v, k) for k, v, o in by[lang] if not o))[:common]
         hist = np.array([-v for v, _ in words] + [total + sum(v for v, _ in words)], float)
         if lang in middle and middle[lang].sum() > 0:
-            refs.append((middle[lang] / middle[lang].sum(), [k for _, k in words], hist / hist.sum()))
+            refs.append((lang, middle[lang] / middle[lang].sum(), [k for _, k in words], hist / hist.sum()))
     return refs
 
 
@@ -93,14 +114,15 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def _judge(refs, limits):
-    index = [({w: i for i, w in enumerate(words)}, hist) for _, words, hist in refs]
+    every = [(chars, {w: i for i, w in enumerate(words)}, hist) for _, chars, words, hist in refs]
+    own = {lang: [one] for (lang, *_), one in zip(refs, every, strict=True) if lang is not None}
     char_limit, word_limit = limits
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                text, near = text or "", own.get((lang,), every)
                 b = text.encode()
                 words = b.split()
                 n, chars, symbols, dup, rep = base_stats(text, b, words, word_hashes(words))
@@ -108,11 +130,11 @@ def _judge(refs, limits):
                 far_c = far_w = None
                 if refs and len(b) >= MIN_CHARS:
                     c = char_histogram(b)
-                    far_c = min(jensen_shannon(c, r[0]) for r in refs)
+                    far_c = min(jensen_shannon(c, r[0]) for r in near)
                 if refs and n >= MIN_WORDS:
                     low = b.lower().split()
                     far_w = 1.0
-                    for at, hist in index:
+                    for _, at, hist in near:
                         k = np.bincount([at.get(w, len(at)) for w in low], minlength=len(at) + 1) / n
                         far_w = min(far_w, jensen_shannon(k, hist))
                 kept = not failed and not (far_c is not None and far_c > char_limit) and not (far_w is not None and far_w > word_limit)
@@ -128,12 +150,13 @@ OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 
 
 def quality_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, common: int = COMMON) -> DataFrame:
-    """One row per document: base counts, base_failed, kept, and the two distances to the nearest language reference.
+    """One row per document: base counts, base_failed, kept, and the two distances to the language reference.
 
-    A text goes when it fails the base rules, or when it is farther than a limit from every reference: in its character classes, or in its common words.
+    A text goes when it fails the base rules, or when it is farther than a limit from its own language's reference: in its character classes, or in its common words.
+    Texts whose language has too little support for a reference are held against the nearest of all. Without any reference the distances are null.
     Distances are null below the minimum lengths and then decide nothing. Null texts count as empty (and fail for want of words); null ids stay; repeated rows give
     repeated results; an empty table gives an empty one. Only doc_id, text and lang are read.
     """
     refs = references(docs, common)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge(refs, (char_limit, word_limit)), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(_judge(refs, (char_limit, word_limit)), schema)

@@ -245,6 +245,23 @@ def test_divergence_tells_junk(labelled):
     assert not any(x.kept for x in judged if x.quality == 0)
 
 
+def test_divergence_rare_tags(spark):
+    """Junk under rare language tags makes no reference, for itself or for junk under other tags; a null tag is a language."""
+    r = random.Random(6)
+    prose = lambda: ". ".join(" ".join(r.choice(WORDS[:25]) for _ in range(10)) for _ in range(8))
+    junk = lambda: " ".join("".join(r.choice("QXZ#%&@") for _ in range(6)) for _ in range(80))
+    rows = [row(i, prose(), "en") for i in range(60)] + [row(100 + i, prose(), None) for i in range(30)]
+    rows += [row(200 + i, junk(), "en") for i in range(5)] + [row(300 + i, junk(), f"x{i % 3}") for i in range(5)] + [row(400, prose(), "y")]
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i, k in kept.items() if k != (i < 200 or i == 400)] == []
+    # many junk texts of one tag have their own reference only
+    rows += [row(500 + i, junk(), "zz") for i in range(30)]
+    more = spark.createDataFrame(rows, SCHEMA)
+    assert [lang for lang, *_ in quality_rules.references(more)] == [("en",), ("zz",), (None,)]
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(more).collect()}
+    assert not any(kept[200 + i] for i in range(5)) and all(kept[i] for i in range(60))
+
+
 def test_packing(spark, docs, texts):
     tokenizers = pytest.importorskip("tokenizers")
     import numpy as np
