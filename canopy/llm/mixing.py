@@ -89,20 +89,22 @@ def split_quotas(sources: DataFrame, levels: int, seed: int) -> DataFrame:
     return cells.select("k", sums.alias("bounds"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, levels: int = 4, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, levels: int = 4, seed: int = 7, key: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, and draws, an array of (words, shard, place).
 
     Size: number of words. Each draw is one block copy: words of it are taken (all but in the last block of a source), it goes to output shard `shard`,
     and `place` orders the shard. Draws of a source are disjoint runs of its permuted blocks; the quotas are exact to the word, so a source's taken words are its
     target rounded. Null texts have size 0 and are never drawn, nor are other empty ones; a null source is a source of its own, last in order.
-    Documents with equal ids are separate blocks. An empty table gives an empty result. Other columns are ignored.
+    Documents with equal or null ids are separate blocks. An empty table gives an empty result. Other columns are ignored, but for `key`, which tells rows
+    apart and comes first in the result.
     """
     h = F.xxhash64(F.lit(seed), F.col("source"), F.col("doc_id"), F.length("text"))
-    base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+    keys = [key] if key else []
+    base = docs.select(*keys, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"), F.xxhash64("text").alias("_t"))
     base = base.withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))})
     base = stage(base, "mix-sizes")
     # a source's order, by a hash; empty blocks come last in it and so never within a run
-    base = ordered(base, ["_null", "_source", F.col("size") == 0, "h", "doc_id", "size"], "mix-order")
+    base = ordered(base, ["_null", "_source", F.col("size") == 0, "h", "doc_id", "size", "_t", *keys], "mix-order")
     base = with_rank(base, {"before": "size"}, ["_null", "_source"])
     sizes = base.groupBy("_null", "_source").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("blocks"))
     per = stage(source_targets(sizes, weights, share, most), "mix-sources")
@@ -119,20 +121,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     def draw(d: Column) -> Column:
         i = d["r"] * F.col("blocks") + F.col("rank")
         shard = F.size(F.filter("bounds", lambda b: b <= i)) - 1
-        return F.struct(d["words"].alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), d["r"], "doc_id", "h").alias("place"))
+        return F.struct(d["words"].alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "k", d["r"], "rank").alias("place"))
 
     out = out.withColumn("draws", F.transform(F.concat(whole, rest), draw))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return out.select(*keys, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, levels: int = 4, **how) -> DataFrame:
     """The mix itself: the columns of docs, a row for each draw, cut texts cut after the last word taken; docs without a draw are gone.
 
-    Needs unique doc_id. n_chars, where there is such a column, follows the text.
+    Ids may be null or repeat: rows are told apart by a key written once with them. n_chars, where there is such a column, follows the text.
+    The rows come by output shard, in the order of `place`: each shard is so many partitions in a row, `shuffle.partitions` over the number of shards, rounded up.
     """
-    picked = stage(mix(docs, **how).filter(F.size("draws") > 0).select("doc_id", F.col("draws").alias("_draws"), F.col("size").alias("_size")), "mix-draws")
-    out = attach(docs, picked, ["doc_id"], "inner").withColumn("_d", F.explode("_draws"))
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    picked = stage(mix(rows, levels=levels, key="_row", **how).filter(F.size("draws") > 0).select("_row", F.col("draws").alias("_draws"), F.col("size").alias("_size")), "mix-draws")
+    out = attach(rows, picked, ["_row"], "inner").withColumn("_d", F.explode("_draws")).drop("_draws")
+    each = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2**levels)
+    slot = F.least(F.lit(each - 1), F.floor((F.col("_d.place").cast("double") / 2.0**64 + 0.5) * each).cast("int"))
+    out = out.repartitionById(each * 2**levels, F.col("_d.shard") * each + slot).sortWithinPartitions("_d.place", "_row")
     if "text" in docs.columns:
         cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_d.words").cast("int")), "")
         out = out.withColumn("text", F.when(F.col("_d.words") < F.col("_size"), cut).otherwise(F.col("text")))

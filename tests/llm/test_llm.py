@@ -108,6 +108,22 @@ def test_mixing(spark, docs, texts):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixed_rows(spark):
+    """Null and repeated ids are drawn to the word, and the mix comes by shard, in the order of place."""
+    rows = [row(None, " ".join(WORDS[: 5 + i % 7]), "en", "ab"[i % 2]) for i in range(30)] + [row(1, " ".join(WORDS[:9]), "en", "a")] * 6 + [row(i, " ".join(WORDS[3:12]), "en", "b") for i in range(40, 80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    drawn = mixing.mix(df).collect()
+    out = mixing.mixed_documents(df).withColumn("part", F.spark_partition_id()).collect()
+    for source in "ab":
+        assert sum(len(r.text.split()) for r in out if r.source == source) == sum(r.taken for r in drawn if r.source == source) > 0
+    count = lambda rs: Counter(r.doc_id for r in rs)
+    assert count(out) == count([r for r in drawn for _ in r.draws]) and count(out)[None] > 0
+    # in the test session a partition is a shard
+    want = sorted((d.shard, d.place, r.doc_id, d.words) for r in drawn for d in r.draws for _ in [0] if d is not None and r.doc_id and r.doc_id >= 40)
+    got = [(r.part, r.doc_id, len(r.text.split())) for r in out if r.doc_id and r.doc_id >= 40]
+    assert got == [(s, i, n) for s, _, i, n in want]
+
+
 def test_hypergeometric(spark):
     x = spark.range(4000).select(mixing.hypergeometric(F.lit(1000).cast("long"), F.lit(300).cast("long"), F.lit(200).cast("long"), F.rand(3)).alias("x")).toPandas().x
     assert abs(x.mean() - 60) < 0.6 and abs(x.std() - 5.8) < 0.4
