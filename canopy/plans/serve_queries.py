@@ -129,8 +129,11 @@ def probe_metrics(logits):
 def dev_shot_split(letters):
     from pyspark.sql import Window as W
 
-    r = F.row_number().over(W.orderBy("id"))
-    return letters.select("id").distinct().withColumn("r", r).select("id", F.when(F.col("r") <= 100, "select").when(F.col("r") <= 103, "shots").otherwise("test").alias("part"))
+    ids = letters.select("id").distinct()
+    first = ids.orderBy(F.asc_nulls_last("id")).limit(103)  # the window never numbers more
+    first = first.select(F.col("id").alias("_id"), F.row_number().over(W.orderBy(F.asc_nulls_last("id"))).alias("r"))
+    part = F.when(F.col("r") <= 100, "select").when(F.col("r") <= 103, "shots").otherwise("test")
+    return ids.join(F.broadcast(first), F.col("id").eqNullSafe(F.col("_id")), "left").select("id", part.alias("part"))
 
 
 # serving -----------------------------------------------------------------------------------------

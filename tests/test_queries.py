@@ -40,6 +40,15 @@ def test_matches_sql(spark, name):
     assert rows == sorted((tuple(map(flat, r)) for r in want.fetchall()), key=key)
 
 
+def test_split_numbers_few_rows(spark):
+    """The window sees the first ids only, and the parts are those of the SQL, nulls last."""
+    df = spark.createDataFrame([(i,) for i in [None, *range(300, 0, -1), 5, 5]], "id long")
+    out = serve_queries.dev_shot_split(df)
+    assert "GlobalLimit 103" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {i: "select" if i <= 100 else "shots" if i <= 103 else "test" for i in range(1, 301)} | {None: "test"}
+    assert sorted(map(str, out.collect())) == sorted(map(str, (type(out.first())(id=i, part=p) for i, p in want.items())))
+
+
 def test_registry():
     assert len(catalog.QUERIES) > 170 and set(catalog.ORACLES) <= set(catalog.QUERIES)
 
