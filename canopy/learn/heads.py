@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +28,10 @@ def language_head(texts: DataFrame, held_out: Column, features: int = 40_000, mi
     chars = RegexTokenizer(inputCol="text", outputCol="c1", pattern="", gaps=True, minTokenLength=1)
     both = SQLTransformer(statement="SELECT *, concat(c1, c2) AS grams FROM __THIS__")
     stages = [chars, NGram(n=2, inputCol="c1", outputCol="c2"), both, CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features, minDF=min_docs)]
-    prep = Pipeline(stages=[*stages, IDF(inputCol="tf", outputCol="x")]).fit(df.filter("not held"))
-    z = prep.transform(df).select("id", "lang", "label", "held", "x")
+    counts = Pipeline(stages=stages).fit(df.filter("not held"))
+    logs = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())  # one short sparse vector a text; no built-in reaches into vectors
+    z = counts.transform(df).select("id", "lang", "label", "held", logs("tf").alias("tf"))
+    z = IDF(inputCol="tf", outputCol="x").fit(z.filter("not held")).transform(z).select("id", "lang", "label", "held", "x")
     model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=30, regParam=1e-4).fit(z.filter("not held"))
     p = model.transform(z).select("id", "lang", "label", "held", "prediction")
     acc = p.filter("held").agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
@@ -42,9 +46,49 @@ def vector_head(vectors: DataFrame, label: str, held_out: Column, balanced: bool
     return m.transform(df).select("vec_id", F.col("label").cast("int").alias("gold"), F.col("prediction").cast("int").alias("pred"), "held")
 
 
-def node_head(vectors: DataFrame, held_out: Column) -> DataFrame:
-    """Like vector_head over terminal nodes; a row with a class only trains the class's own node, not the sum of its nodes' mass."""
-    return vector_head(vectors, "node", held_out)
+def router_head(vectors: DataFrame, targets: DataFrame, held_out: Column, reg: float = 1e-3) -> DataFrame:
+    """vec_id, gold, pred, leaf, held: a distribution over an attribute's nodes, whose sum over the nodes of a class (the exponential of the log-sum-exp of their scores) is the class's.
+
+    targets: vec_id, value (null: not labelled, masked from the fit), leaf ('' trains the class's own node). Rows weigh half as they come and half so that nodes weigh the same.
+    pred is the class with the greatest sum, leaf its most probable node.
+    """
+    t = targets.select("vec_id", "value", F.concat_ws("/", "value", F.nullif("leaf", F.lit(""))).alias("node"))
+    nodes = [(r["node"], r["value"]) for r in t.filter("value is not null").select("node", "value").distinct().orderBy("node").collect()]  # a row per node of the attribute
+    at = F.array_position(F.array(*[F.lit(n) for n, _ in nodes]), F.col("node")) - 1
+    df = vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x")).withColumn("held", held_out).join(t.hint("merge"), "vec_id", "left")
+    known = df.filter("value is not null").withColumn("label", at.cast("double"))
+    train = class_weights(known.filter("not held"), "label").withColumn("weight", 0.5 + 0.5 * F.col("weight"))
+    m = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=30, regParam=reg, family="multinomial").fit(train)
+    p = m.transform(df).withColumn("p", vector_to_array("probability"))
+    values = sorted({v for _, v in nodes})
+    mass = F.array(*[F.struct(sum((F.get("p", F.lit(i)) for i, (_, w) in enumerate(nodes) if w == v), F.lit(0.0)).alias("s"), F.lit(v).alias("v")) for v in values])
+    best = F.array_max(mass)["v"]
+    leaf = F.array_max(F.filter(F.array(*[F.struct(F.get("p", F.lit(i)).alias("p"), F.lit(n).alias("n"), F.lit(v).alias("v")) for i, (n, v) in enumerate(nodes)]), lambda s: s["v"] == F.col("pred")))["n"]
+    return p.select("vec_id", F.col("value").alias("gold"), best.alias("pred"), "p", "held").withColumn("leaf", leaf).select("vec_id", "gold", "pred", "leaf", "held")
+
+
+def property_heads(vectors: DataFrame, fields: DataFrame, held_out: Column, least: int = 10) -> DataFrame:
+    """vec_id, field, gold, pred, held: a class-weighted head for each form field over its classes with at least `least` rows; fields with one such class have none. fields: vec_id, field, value."""
+    n = fields.groupBy("field", "value").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= least)
+    classes: dict = {}
+    for r in n.orderBy("field", "value").collect():  # a row per class of the form
+        classes.setdefault(r["field"], []).append(r["value"])
+    out = None
+    for field, names in classes.items():
+        if len(names) < 2:
+            continue
+        lit = F.array(*[F.lit(x) for x in names])
+        own = fields.filter((F.col("field") == field) & F.col("value").isin(names)).select("vec_id", (F.array_position(lit, F.col("value")) - 1).alias("y"))
+        p = vector_head(vectors.join(own.hint("merge"), "vec_id"), "y", held_out)
+        p = p.select("vec_id", F.lit(field).alias("field"), F.get(lit, F.col("gold")).alias("gold"), F.get(lit, F.col("pred")).alias("pred"), "held")
+        out = p if out is None else out.unionByName(p)
+    return out if out is not None else vectors.sparkSession.createDataFrame([], "vec_id long, field string, gold string, pred string, held boolean")
+
+
+def question_heads(vectors: DataFrame, targets: DataFrame, held_out: Column, least: int = 20) -> DataFrame:
+    """vec_id, attr, y, p, held: a balanced logistic regression for each attribute with at least `least` positives among the rows that aren't held out (hold out whole splits). targets: vec_id, attr, y."""
+    weigh = lambda pos, neg: ((pos + neg) / (2 * pos), (pos + neg) / (2 * neg))
+    return _sigmoids(vectors, targets.withColumnRenamed("attr", "node"), held_out, least, weigh, 1e-3).withColumnRenamed("node", "attr")
 
 
 def identity_heads(vectors: DataFrame, targets: DataFrame, held_out: Column, reg: float = 1e-3) -> DataFrame:
@@ -52,16 +96,22 @@ def identity_heads(vectors: DataFrame, targets: DataFrame, held_out: Column, reg
 
     One fit per node of a bounded list; rows come from the target table, so absent (masked) pairs never enter.
     """
+    return _sigmoids(vectors, targets, held_out, 1, lambda pos, neg: (max(1.0, min(30.0, neg / pos)) ** 0.5, 1.0), reg)
+
+
+def _sigmoids(vectors: DataFrame, targets: DataFrame, held_out: Column, least: int, weigh, reg: float) -> DataFrame:
     x = vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x")).withColumn("held", held_out)
-    df = targets.join(x, "vec_id")
-    n = targets.groupBy("node").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).filter("pos > 0 and neg > 0").orderBy("node").collect()
+    df = targets.join(x.hint("merge"), "vec_id")
+    n = df.filter("not held").groupBy("node").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).filter((F.col("pos") >= least) & (F.col("neg") > 0)).orderBy("node").collect()
     out = None
     for r in n:
-        w = max(1.0, min(30.0, r["neg"] / r["pos"])) ** 0.5
-        own = df.filter(F.col("node") == r["node"]).withColumns({"label": F.col("y").cast("double"), "weight": F.when(F.col("y") == 1, w).otherwise(1.0)})
+        yes, no = weigh(r["pos"], r["neg"])
+        own = df.filter(F.col("node") == r["node"]).withColumns({"label": F.col("y").cast("double"), "weight": F.when(F.col("y") == 1, float(yes)).otherwise(float(no))})
         m = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=20, regParam=reg).fit(own.filter("not held"))
         p = m.transform(own).select("vec_id", "node", "y", vector_to_array("probability")[1].alias("p"), "held")
         out = p if out is None else out.unionByName(p)
+    if out is None:
+        return df.select("vec_id", "node", "y", F.lit(0.0).alias("p"), "held").limit(0)
     return out
 
 

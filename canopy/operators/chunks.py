@@ -56,6 +56,18 @@ def window_starts(dur: Column, size: float = 3.0, hop: float = 1.5, most: int =
     return F.transform(F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(most - 1).cast("long"))), lambda i: i * F.lit(hop))
 
 
+def long_windows(dur: Column, size: float = 10.0, most: float = 60.0) -> Column:
+    """Starts of consecutive windows of at most `most` seconds; a tail counts when it is longer than half a window. There is one at least."""
+    d = F.least(F.greatest(dur, F.lit(1.0)), F.lit(most))
+    n = F.greatest(F.ceil((d - size / 2) / size - 1e-9), F.lit(1))
+    return F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: i * F.lit(size))
+
+
+def centre_crop(dur: Column, size: float) -> Column:
+    """Start of the window in a recording's middle; 0 where it is shorter."""
+    return F.greatest(F.lit(0.0), (dur - size) / 2)
+
+
 def event_window(first: Column, dur: Column, size: float, lead: float = 0.5) -> Column:
     """Start of a window from `lead` seconds before an event, shifted back so that it ends inside the recording."""
     return F.greatest(F.lit(0.0), F.least(F.greatest(first - lead, F.lit(0.0)), dur - size))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..workers import cut
+from .vectors import pairs_within
+
 
 def light_canon(names: DataFrame, key: Column, by: tuple[str, ...] = ("attr", "value")) -> DataFrame:
     """by, leaf, canon: names with equal keys take the best supported of them, ties by name. names: by, leaf, clips."""
@@ -17,70 +19,147 @@ def light_canon(names: DataFrame, key: Column, by: tuple[str, ...] = ("attr", "v
 
 
 def in_class_merge(names: DataFrame, content: Column, own: Column, by: tuple[str, ...] = ("attr", "value")) -> DataFrame:
-    """by, leaf, canon: leaves with equal content words, those of the class left out, share the best supported one."""
-    return light_canon(names, F.array_join(F.array_except(content, own), " "), by)
+    """by, leaf, canon: leaves with equal content words, those of the class left out, share the best supported one; leaves without any are on their own."""
+    rest = F.array_join(F.array_except(content, own), " ")
+    return light_canon(names, F.when(rest == "", F.concat(F.lit("\n"), "leaf")).otherwise(rest), by)
 
 
-def synonym_merge(names: DataFrame, by: tuple[str, ...] = ("grp",), near: float = 0.8, sure: float = 0.93) -> DataFrame:
-    """by, name, head: names by support join the first head with the same number of words at cosine >= sure, or whose words are the same set at >= near; else they are heads.
+#: Names that end in one of these are about something, not a kind of it. Fixed values.
+ABOUT = ["announcement", "discussion", "talk", "review", "lesson", "commentary", "report", "advertisement", "class", "broadcast", "interview", "tutorial", "lecture", "story", "debate"]
 
-    Greedy in order of support, so one pandas group per class; a class holds at most its distinct names. names: by, name, support, x (unit vector).
-    """
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["support", "name"], ascending=[False, True])
-        heads: list[int] = []
-        x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)
-        words = [n.split() for n in pdf["name"]]
-        head = []
-        for i in range(len(pdf)):
-            c = x[heads] @ x[i] if heads else np.zeros(0)
-            hit = [h for h, s in zip(heads, c, strict=True) if len(words[h]) == len(words[i]) and s >= (near if set(words[h]) == set(words[i]) else sure)]
-            head.append(hit[0] if hit else i)
-            if not hit:
-                heads.append(i)
-        return pdf[[*by, "name"]].assign(head=[pdf["name"].iloc[h] for h in head])
+def similar_names(names: DataFrame, by: tuple[str, ...], near: float, axes: list | None = None, sure: float = 0.93) -> DataFrame:
+    """by, a, b, cos, why: pairs of names of a class at cosine >= near, a before b in order of support (then name); why: null if they may be one, else the reason.
 
-    schema = ", ".join(f"{b} {dict(names.dtypes)[b]}" for b in by) + ", name string, head string"
-    return names.groupBy(*by).applyInPandas(greedy, schema)
+    Reasons: the guards of may_merge; `not synonyms` where their keys differ in the number of words or the cosine stays below `sure`. names: by, name, support, x (unit vector), one row per name.
+    """
+    n = names.withColumn("r", F.struct((-F.col("support")).alias("s"), "name"))
+    p = pairs_within(n.select(*by, F.col("name").alias("id"), "x"), by, near)
+    right = lambda s: n.select(*by, F.col("name").alias(s), F.col("r").alias(f"r{s}"))
+    p = p.join(right("a").hint("merge"), [*by, "a"]).join(right("b").hint("merge"), [*by, "b"])
+    first = F.col("ra") < F.col("rb")
+    p = p.select(*by, F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "cos", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
+    words = lambda c: F.size(F.split(X.norm_key(F.col(c)), " "))
+    guard = X.may_merge(F.col("a"), F.col("b"), X.AXES if axes is None else axes)
+    return p.withColumn("why", F.coalesce(guard, F.when((words("a") != words("b")) | (F.col("cos") < sure), "not synonyms")))
 
 
-def generic_links(names: DataFrame, by: tuple[str, ...] = ("attr", "value")) -> DataFrame:
-    """by, leaf, generic: the longest other leaf of the class whose words are a strict part of a leaf's, ties by name.
+def synonym_merge(names: DataFrame, by: tuple[str, ...] = ("grp",), near: float = 0.8, sure: float = 0.93) -> DataFrame:
+    """by, name, head: names in order of support (then name) join the first head before them with which they may be one (similar_names); else they are heads.
+
+    Pairs are found in blocks and only similar ones become rows; heads are settled in rounds: a name without a possible head before it is a head, one with a sure head isn't.
+    names: by, name, support, x (unit vector), one row per name.
+    """
+    e = cut(similar_names(names, by, near, sure=sure).filter("why is null").select(*by, "a", "b", "ra"))
+    state = cut(names.select(*by, "name", F.lit(None).cast("boolean").alias("head")))
+    while True:
+        before = e.join(state.select(*by, F.col("name").alias("a"), F.col("head").alias("ha")).hint("merge"), [*by, "a"]).groupBy(*by, F.col("b").alias("name")).agg(F.coalesce(F.bool_or("ha"), F.lit(False)).alias("_taken"), F.bool_or(F.col("ha").isNull()).alias("_open"))
+        new = state.join(before.hint("merge"), [*by, "name"], "left")
+        taken, free = F.coalesce("_taken", F.lit(False)), ~F.coalesce("_open", F.lit(False))
+        state = cut(new.select(*by, "name", F.when(F.col("head").isNotNull(), F.col("head")).when(taken, False).when(free, True).alias("head")))
+        if not state.filter("head is null").limit(1).count():
+            break
+    heads = state.filter("head").select(*by, F.col("name").alias("a"))
+    to = e.join(heads.hint("merge"), [*by, "a"], "left_semi").groupBy(*by, F.col("b").alias("name")).agg(F.min_by("a", "ra").alias("_h"))
+    out = state.join(to.hint("merge"), [*by, "name"], "left")
+    return out.select(*by, "name", F.when(F.col("head"), F.col("name")).otherwise(F.col("_h")).alias("head"))
+
+
+def near_misses(names: DataFrame, by: tuple[str, ...] = ("grp",), near: float = 0.8, below: float = 0.12, sure: float = 0.93) -> DataFrame:
+    """by, a, b, cos, why: pairs that weren't merged although they are similar, or lie less than `below` under the limit (`near miss`)."""
+    p = similar_names(names, by, near - below, sure=sure)
+    return p.select(*by, "a", "b", "cos", F.when(F.col("cos") < near, "near miss").otherwise(F.col("why")).alias("why")).filter("why is not null")
+
+
+def generic_links(names: DataFrame, by: tuple[str, ...] = ("attr", "value"), key: Column | None = None, cosines: DataFrame | None = None, least: float = 0.8) -> DataFrame:
+    """by, leaf, generic: another leaf of the class whose words (those of `key`, by default as written) are a strict part of a leaf's: the longest, ties by name; with cosines (by, leaf, generic, cos)
+    the closest at or above `least`. Names whose last word is of ABOUT have none.
 
     Leaves meet on shared words, not in all pairs: a generic is found through its rarest word. names: by, leaf.
     """
-    n = names.select(*by, "leaf", F.array_distinct(F.split("leaf", " ")).alias("w"))
+    n = names.select(*by, "leaf", F.array_distinct(F.split(F.col("leaf") if key is None else key, " ")).alias("w"))
     e = n.select(*by, "leaf", "w", F.explode("w").alias("t"))
     f = e.groupBy(*by, "t").agg(F.count("*").alias("f"))
-    key = e.join(f.hint("merge"), [*by, "t"]).groupBy(*by, "leaf", "w").agg(F.min_by("t", F.struct("f", "t")).alias("t"))
-    p = e.alias("a").join(key.select(*by, F.col("leaf").alias("generic"), F.col("w").alias("gw"), "t").hint("merge"), [*by, "t"])
+    rare = e.join(f.hint("merge"), [*by, "t"]).groupBy(*by, "leaf", "w").agg(F.min_by("t", F.struct("f", "t")).alias("t"))
+    about = F.element_at(F.split("leaf", " "), -1).isin(ABOUT)
+    p = e.filter(~about).join(rare.select(*by, F.col("leaf").alias("generic"), F.col("w").alias("gw"), "t").hint("merge"), [*by, "t"])
     p = p.filter((F.col("generic") != F.col("leaf")) & (F.size("gw") < F.size("w")) & (F.size(F.array_except("gw", "w")) == 0))
-    return p.groupBy(*by, "leaf").agg(F.min_by("generic", F.struct(-F.size("gw"), "generic")).alias("generic"))
+    order = F.struct(-F.size("gw"), "generic")
+    if cosines is not None:
+        p = p.join(cosines.hint("merge"), [*by, "leaf", "generic"]).filter(F.col("cos") >= least)
+        order = F.struct(-F.col("cos"), "generic")
+    return p.groupBy(*by, "leaf").agg(F.min_by("generic", order).alias("generic"))
 
 
-def rule_folds(names: DataFrame, filler: list[str], by: tuple[str, ...] = ("attr", "value")) -> DataFrame:
-    """by, leaf, into: a leaf that is a sibling with one filler word more folds into it (ties by name). names: by, leaf."""
-    w = names.select(*by, "leaf", F.split("leaf", " ").alias("w"))
-    cut = w.select(*by, "leaf", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.element_at("w", i).alias("x"), F.array_join(F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, F.size("w"))), " ").alias("into")))).alias("c"))
-    cut = cut.filter(F.col("c.x").isin(filler)).select(*by, "leaf", F.col("c.into").alias("into"))
-    return cut.join(names.select(*by, F.col("leaf").alias("into")).hint("merge"), [*by, "into"]).groupBy(*by, "leaf").agg(F.min("into").alias("into"))
-
-
-def proposal_guards(groups: DataFrame, names: DataFrame, why: Column) -> DataFrame:
-    """group_id, canon, leaf: proposed members that are known names, may be one with the group's name, and lie in their largest group first. groups: group_id, canon, leaf; names: leaf."""
-    g = groups.join(names.select("leaf").distinct().hint("merge"), "leaf", "left_semi").join(names.select(F.col("leaf").alias("canon")).distinct().hint("merge"), "canon", "left_semi").filter(why.isNull())
-    g = g.withColumn("_n", F.count("*").over(W.partitionBy("group_id")))
-    r = F.row_number().over(W.partitionBy("leaf").orderBy(F.desc("_n"), "group_id"))
-    return g.withColumn("_r", r).filter("_r = 1").select("group_id", "canon", "leaf")
-
+def rule_folds(names: DataFrame, filler: list[str], by: tuple[str, ...] = ("attr", "value"), identity: Column | None = None, links: DataFrame | None = None, key: Column | None = None) -> DataFrame:
+    """by, leaf, into: a leaf that is a sibling plus one word folds into it, by its first such word, where the guards of may_merge allow it; where `identity` holds (by default everywhere) only if the
+    word is a filler. Elsewhere a linked specific (links: by, leaf, generic) folds into its generic. Chains end at their last name. names: by, leaf; words are those of `key`, by default as written.
+    """
+    from .graph import resolve_chains
+
+    identity = F.lit(True) if identity is None else identity
+    k = F.array_distinct(F.split(F.col("leaf") if key is None else key, " "))
+    w = names.select(*by, "leaf", k.alias("w")).withColumn("bag", F.array_join(F.array_sort("w"), " "))
+    cut_ = F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.array_join(F.array_sort(F.array_remove("w", x)), " ").alias("bag")))
+    less = w.filter(F.size("w") > 1).select(*by, "leaf", F.inline(cut_)).filter(~identity | F.col("x").isin(filler))
+    p = less.join(w.select(*by, F.col("leaf").alias("into"), "bag").hint("merge"), [*by, "bag"]).filter((F.col("leaf") != F.col("into")) & X.may_merge(F.col("leaf"), F.col("into")).isNull())
+    f = p.groupBy(*by, "leaf").agg(F.min_by("into", F.struct("i", "into")).alias("into"))
+    if links is not None:
+        more = links.filter(~identity).groupBy(*by, "leaf").agg(F.min("generic").alias("into"))
+        f = f.unionByName(more.join(f.select(*by, "leaf").hint("merge"), [*by, "leaf"], "left_anti"))
+    f = cut(f)
+    name = lambda c: F.to_json(F.struct(*by, F.col(c).alias("leaf")))
+    end = resolve_chains(f.select(name("leaf").alias("name"), name("into").alias("to")))
+    shape = ", ".join(f"{b} {dict(names.dtypes)[b]}" for b in by) + ", leaf string"
+    return end.select(F.from_json("name", shape).alias("n"), F.from_json("target", shape).alias("t")).select("n.*", F.col("t.leaf").alias("into"))
+
+
+def proposal_guards(groups: DataFrame, names: DataFrame, why: Column, by: tuple[str, ...] = (), links: DataFrame | None = None) -> DataFrame:
+    """by, group_id, canon, leaf: proposed groups after the checks. groups: by, group_id, canon, leaf; names: by, leaf, clips; links: by, leaf (nodes of generic links); why: null if leaf and canon may be one.
+
+    Members are known names; the group's name is one of them. Members that may not be one with the name go, as do nodes of generic links but the name itself. Of two groups that hold a leaf the
+    one with more clips keeps it. Groups need two members, the name among them.
+    """
+    by = list(by)
+    known = names.select(*by, "leaf", "clips").distinct()
+    g = groups.select(*by, "group_id", "canon", "leaf").unionByName(groups.select(*by, "group_id", "canon", F.col("canon").alias("leaf"))).distinct()
+    g = g.join(known.hint("merge"), [*by, "leaf"]).join(known.select(*by, F.col("leaf").alias("canon")).hint("merge"), [*by, "canon"], "left_semi")
+    of = W.partitionBy(*by, "group_id")
+    two = lambda d: d.withColumn("_n", F.count("*").over(of)).filter("_n >= 2").drop("_n")
+    g = two(g.filter((F.col("leaf") == F.col("canon")) | why.isNull()))
+    if links is not None:
+        node = links.select(*by, "leaf", F.lit(True).alias("_l")).distinct()
+        g = two(g.join(node.hint("merge"), [*by, "leaf"], "left").filter((F.col("leaf") == F.col("canon")) | F.col("_l").isNull()).drop("_l"))
+    g = g.withColumn("_m", F.sum("clips").over(of))
+    g = g.withColumn("_r", F.row_number().over(W.partitionBy(*by, "leaf").orderBy(F.desc("_m"), "group_id"))).filter("_r = 1")
+    g = two(g.withColumn("_own", F.max((F.col("leaf") == F.col("canon")).cast("int")).over(of)).filter("_own = 1"))
+    return g.select(*by, "group_id", "canon", "leaf")
+
+
+def apply_table(groups: DataFrame, flags: DataFrame, folds: DataFrame, by: tuple[str, ...] = (), judged: Column | None = None) -> DataFrame:
+    """by, leaf, to_leaf: members of groups whose separation is positive, or which nothing can judge (`judged` false), to the group's name, and the folds (by, leaf, into) of other leaves.
+
+    groups: by, group_id, canon, leaf; flags: by, group_id, separation (null or no row: not scored).
+    """
+    by = list(by)
+    g = groups.filter("leaf != canon").join(flags.hint("merge"), [*by, "group_id"], "left")
+    ok = F.coalesce(F.col("separation") > 0, F.lit(False))
+    g = g.filter(ok | ~judged if judged is not None else ok).groupBy(*by, "leaf").agg(F.min("canon").alias("to_leaf"))
+    return g.unionByName(folds.join(g.select(*by, "leaf").hint("merge"), [*by, "leaf"], "left_anti").select(*by, "leaf", F.col("into").alias("to_leaf")))
 
-def apply_table(groups: DataFrame, flags: DataFrame) -> DataFrame:
-    """Groups whose flag (group_id, separation) isn't positive are left out; groups without one stay."""
-    return groups.join(flags.filter("separation <= 0").select("group_id").hint("merge"), "group_id", "left_anti")
 
+def placement_checks(placed: DataFrame, attrs: DataFrame, generic: DataFrame, known: DataFrame, routed: list[str]) -> DataFrame:
+    """id, attr, value, same_as, verdict of proposed placements (id, name, attr, value, new_value, same_as, yes).
 
-def placement_checks(placed: DataFrame, roots: DataFrame, generic: DataFrame) -> DataFrame:
-    """name, place, verdict: generic names are dropped, unknown classes unresolved, verdict `no` removed. placed: name, place, yes; roots: place; generic: name."""
-    p = placed.join(generic.select("name", F.lit(True).alias("_g")).distinct().hint("merge"), "name", "left").join(roots.select("place", F.lit(True).alias("_r")).distinct().hint("merge"), "place", "left")
-    return p.select("name", "place", F.when(F.col("_g").isNotNull(), "generic").when(~F.col("yes"), "removed").when(F.col("_r").isNull(), "unresolved").otherwise("placed").alias("verdict"))
+    verdict: `generic` (id in generic), a name of `routed` where that is the attribute, `unresolved` (attribute not in attrs, or no class; a new class wins over the listed one), `removed` (the check said no),
+    else `placed`. A merge is kept only if its target lies in the same place (known: name, attr, value), or both names share a content word; then the target's place wins.
+    """
+    p = placed.withColumn("value", F.coalesce(F.lower(F.trim("new_value")), "value"))
+    p = p.join(generic.select("id", F.lit(True).alias("_g")).distinct().hint("merge"), "id", "left").join(attrs.select("attr", F.lit(True).alias("_a")).distinct().hint("merge"), "attr", "left")
+    p = p.join(known.select(F.col("name").alias("same_as"), F.col("attr").alias("_ta"), F.col("value").alias("_tv")).hint("merge"), "same_as", "left")
+    agree = (F.col("_ta") == F.col("attr")) & (F.col("_tv") == F.col("value"))
+    share = F.arrays_overlap(X.content_words(F.col("name")), X.content_words(F.col("same_as")))
+    move = F.coalesce(share & ~agree & F.col("_ta").isNotNull(), F.lit(False))
+    keep = F.coalesce(agree, F.lit(False)) | F.coalesce(share, F.lit(False))
+    verdict = F.when(F.col("_g").isNotNull(), "generic").when(F.col("attr").isin(routed), F.col("attr")).when(F.col("_a").isNull() | F.col("value").isNull() | (F.col("value") == ""), "unresolved").when(~F.col("yes"), "removed").otherwise("placed")
+    return p.select("id", F.when(move, F.col("_ta")).otherwise(F.col("attr")).alias("attr"), F.when(move, F.col("_tv")).otherwise(F.col("value")).alias("value"), F.when(keep, F.col("same_as")).alias("same_as"), verdict.alias("verdict"))

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import cut
+
 
 def closure(edges: DataFrame, most: int = 100) -> DataFrame:
     """(child, ancestor, depth): all pairs reachable, with the least depth. edges: child, parent.
 
-    Paths double in length each round, so a chain of n edges takes log2(n) rounds; cycles end because a pair keeps its least depth. Rounds are written out where a
-    checkpoint folder is set, else only planned.
+    Paths double in length each round, so a chain of n edges takes log2(n) rounds; cycles end because a pair keeps its least depth. Rounds are written to the shared folder.
     """
-    spark = edges.sparkSession
-    cut = spark.sparkContext.getCheckpointDir() is not None
     e = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).filter("child is not null and parent is not null").distinct()
     known, n = e, -1
     for _ in range(most):
         far = known.alias("a").join(known.alias("b").hint("merge"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         known = known.unionByName(far.filter("child != ancestor")).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
-        known = known.checkpoint() if cut else known.persist()
+        known = cut(known)
         m = known.agg(F.count("*"), F.sum("depth")).first()
         if m == n:
             return known

@@ -51,10 +51,13 @@ def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def collapse_ancestors(events: DataFrame, ancestors: DataFrame, least: float = 0.5) -> DataFrame:
-    """Events without those whose label is an ancestor of a co-occurring event's label. ancestors: label, ancestor."""
-    b = events.select("clip", F.col("label").alias("_l"), F.col("t0").alias("_0"), F.col("t1").alias("_1")).join(ancestors.select(F.col("label").alias("_l"), F.col("ancestor").alias("_anc")), "_l")
-    same = (F.col("e.clip") == F.col("o.clip")) & (F.col("e.label") == F.col("o._anc"))
-    return events.alias("e").join(b.alias("o"), same & (iou(F.col("e.t0"), F.col("e.t1"), F.col("o._0"), F.col("o._1")) >= least), "left_anti")
+    """Events without those whose label is an ancestor of a co-occurring event's label (IoU >= least > 0). ancestors: label, ancestor. Events meet in seconds that both touch."""
+    cell = lambda a, b: F.explode(F.sequence(F.floor(a), F.floor(b)))
+    e = events.select("clip", "label", "t0", "t1").distinct().withColumn("_b", cell("t0", "t1"))
+    o = events.select("clip", F.col("label").alias("_l"), F.col("t0").alias("_0"), F.col("t1").alias("_1")).distinct()
+    o = o.join(ancestors.select(F.col("label").alias("_l"), F.col("ancestor").alias("label")).distinct().hint("merge"), "_l").withColumn("_b", cell("_0", "_1"))
+    gone = e.join(o.hint("merge"), ["clip", "label", "_b"]).filter(iou(F.col("t0"), F.col("t1"), F.col("_0"), F.col("_1")) >= least).select("clip", "label", "t0", "t1").distinct()
+    return events.join(gone.hint("merge"), ["clip", "label", "t0", "t1"], "left_anti").select(events.columns)
 
 
 def label_durations(spans: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
@@ -96,7 +99,7 @@ def event_cells(events: DataFrame) -> DataFrame:
 def event_cell_f1(got: DataFrame, want: DataFrame) -> DataFrame:
     """F1 on (second, label) cells of two event lists, per clip and overall (clip null)."""
     a, b = event_cells(got).withColumn("g", F.lit(1)), event_cells(want).withColumn("w", F.lit(1))
-    j = a.join(b, [*KEY, "second"], "full_outer").rollup("clip").agg(F.count(F.when(F.col("g").isNotNull() & F.col("w").isNotNull(), 1)).alias("hit"), F.count("g").alias("n_got"), F.count("w").alias("n_want"))
+    j = a.join(b.hint("merge"), [*KEY, "second"], "full_outer").rollup("clip").agg(F.count(F.when(F.col("g").isNotNull() & F.col("w").isNotNull(), 1)).alias("hit"), F.count("g").alias("n_got"), F.count("w").alias("n_want"))
     return j.withColumn("f1", 2.0 * F.col("hit") / (F.col("n_got") + F.col("n_want")))
 
 
@@ -105,7 +108,7 @@ def region_threshold(frames: DataFrame, windows: DataFrame, frame_s: float, thre
     f = frames.select("clip", "label", "p", (F.col("t") * frame_s).alias("_t")).withColumn("_b", F.floor("_t"))
     w = windows.select("row_id", "clip", "t0", "t1").withColumn("_b", F.explode(F.sequence(F.floor("t0"), F.floor("t1"))))
     s = f.join(w.hint("merge"), ["clip", "_b"]).filter((F.col("_t") >= F.col("t0")) & (F.col("_t") < F.col("t1"))).groupBy("row_id", "label").agg(F.max("p").alias("score"))
-    return s.join(thresholds, "label").filter(F.col("score") >= F.col("threshold")).drop("threshold")
+    return s.join(thresholds.hint("merge"), "label").filter(F.col("score") >= F.col("threshold")).drop("threshold")
 
 
 def strong_frames(spans: DataFrame, hop: float) -> DataFrame:
@@ -120,9 +123,13 @@ def events_to_nodes(events: DataFrame, names: DataFrame) -> DataFrame:
     return events.join(first, "label", "left").withColumn("node", F.coalesce("node", "label"))
 
 
+def _one(t: Column) -> Column:
+    return F.format_string("%.1f", F.bround(t, 1))
+
+
 def render_timeline(events: DataFrame) -> DataFrame:
-    """clip, line: `[a-bs] label` by onset, one decimal."""
-    part = F.concat(F.lit("["), F.format_string("%.1f", "t0"), F.lit("-"), F.format_string("%.1f", "t1"), F.lit("s] "), F.col("label"))
+    """clip, line: `[a-bs] label` by onset, one decimal, halves to even."""
+    part = F.concat(F.lit("["), _one(F.col("t0")), F.lit("-"), _one(F.col("t1")), F.lit("s] "), F.col("label"))
     o = events.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("t0", "t1", part.alias("s")))).alias("o"))
     return o.select("clip", F.array_join(F.transform("o", lambda x: x["s"]), "; ").alias("line"))
 
@@ -134,6 +141,25 @@ def derived_lines(spans: DataFrame) -> DataFrame:
     return d.join(n, "clip")
 
 
+def wanted_lines(spans: DataFrame, wants: DataFrame) -> DataFrame:
+    """clip, lines: what a question wants of a timeline: longest and shortest label by covered seconds (ties by name), labels in order of first onset, numbers of events. wants: clip, duration, order, count.
+
+    Lines that aren't wanted, and an order of fewer than two labels, are left out; clips without spans have none.
+    """
+    cover = label_durations(spans)
+    first = spans.groupBy(*KEY).agg(F.min(F.struct("t0", "t1")).alias("at"), F.count("*").alias("n"))
+    by = cover.join(first.hint("merge"), list(KEY)).groupBy("clip").agg(
+        F.min_by(F.struct("label", "covered_s"), F.struct(-F.col("covered_s"), "label")).alias("hi"), F.min_by(F.struct("label", "covered_s"), F.struct("covered_s", "label")).alias("lo"),
+        F.array_sort(F.collect_list(F.struct("at", "label", "n"))).alias("o"),
+    )
+    timed = lambda c: F.concat(F.col(f"{c}.label"), F.lit(" ("), _one(F.col(f"{c}.covered_s")), F.lit(" s)"))
+    long = F.concat(F.lit("Longest: "), timed("hi"), F.when(F.col("lo.label") != F.col("hi.label"), F.concat(F.lit("; shortest: "), timed("lo"))).otherwise(""), F.lit("."))
+    order = F.concat(F.lit("Order: "), F.array_join(F.transform("o", lambda x: x["label"]), ", then "), F.lit("."))
+    n = F.concat(F.lit("Occurrences: "), F.array_join(F.transform("o", lambda x: F.concat(x["label"], F.lit(" x"), x["n"].cast("string"))), ", "), F.lit(" ("), F.size("o").cast("string"), F.when(F.size("o") == 1, " distinct sound).").otherwise(" distinct sounds)."))
+    out = by.join(wants.hint("merge"), "clip")
+    return out.select("clip", F.concat_ws(" ", F.when(F.col("duration"), long), F.when(F.col("order") & (F.size("o") >= 2), order), F.when(F.col("count"), n)).alias("lines"))
+
+
 def group_occurrences(events: DataFrame, least: float = 0.5) -> DataFrame:
     """Greedy by peak: an event joins the first group with a member at IoU >= least. One fold over each clip's sorted events, which top_events() bounds."""
     e = F.struct((-F.col("peak")).alias("q"), "t0", "t1", "label")

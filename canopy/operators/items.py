@@ -33,6 +33,13 @@ def match_gold(answers: DataFrame, options: DataFrame) -> DataFrame:
     return g.select("id", F.when(~F.col("lines"), F.coalesce("exact", F.when(F.col("np") == 1, F.col("held")), fuzzy)).alias("gold"))
 
 
+def with_gold(options: DataFrame, answers: DataFrame, keep: bool = False) -> DataFrame:
+    """options (id, letter, text) with `gold`: the letter in front of the answer `(c) ..`, else the option that match_gold finds. Items without any are left out unless `keep`. answers: id, answer."""
+    lettered = F.lower(F.nullif(F.regexp_extract("answer", r"^\(([A-Za-z])\)", 1), F.lit("")))
+    g = match_gold(answers, options).join(answers.select("id", lettered.alias("_l")).hint("merge"), "id").select("id", F.coalesce("_l", "gold").alias("gold"))
+    return options.join((g if keep else g.filter("gold is not null")).hint("merge"), "id", "left" if keep else "inner")
+
+
 def shuffle_options(options: DataFrame, seed: int = 7) -> DataFrame:
     """id, letter, text, was: a fixed permutation of each item's texts; `was` is the letter a text had."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), "letter").cast("binary"))
@@ -41,18 +48,31 @@ def shuffle_options(options: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def validate_forms(forms: DataFrame, space: DataFrame) -> DataFrame:
-    """form_id, attr, value, leaf, off: the answer's class if the attribute lists it, its cleaned leaf, and the class if it is not listed. space: attr, value."""
-    d = X.json_object(F.col("raw"))
-    f = forms.withColumn("_d", d).withColumn("_is", F.lower(F.trim(F.element_at("_d", "is")))).withColumn("_de", F.element_at("_d", "detail"))
-    s = space.select("attr", F.lower("value").alias("_is"), F.lit(True).alias("_ok")).distinct()
-    j = f.join(s.hint("merge"), ["attr", "_is"], "left")
-    ok = F.col("_ok").isNotNull()
-    return j.select("form_id", "attr", F.when(ok, F.col("_is")).alias("value"), F.when(ok, X.clean_leaf(F.col("_de"), F.col("_is"))).otherwise("").alias("leaf"), F.when(~ok & ~F.col("_is").isin("unsure", "none"), F.col("_is")).alias("off"))
+    """form_id, attr, multi, status, values, leaves, off: each answered form against every attribute. forms: form_id, raw (text with one JSON object); space: attr, value, multi.
+
+    status: `missing` (no such field), `unsure`, `none` (no listed class), `ok`. values: listed classes of the answer, only the first for single-choice attributes; leaves: struct<value, leaf> of their
+    clean details; off: what isn't listed. Forms without an object are left out.
+    """
+    a = space.groupBy("attr").agg(F.bool_or("multi").alias("multi"), F.collect_set(F.lower("value")).alias("listed")).agg(F.collect_list(F.struct("attr", "multi", "listed")).alias("_as"))  # one row: the schema
+    f = forms.select("form_id", X.json_object(F.col("raw")).alias("_d")).filter("_d is not null").join(F.broadcast(a), F.lit(True)).select("form_id", "_d", F.explode("_as").alias("_a")).select("form_id", "_d", "_a.*")
+    f = f.withColumn("_x", F.element_at("_d", F.col("attr"))).withColumn("_p", X.answer_pairs(F.col("_x")))
+    named = F.filter(F.transform("_p", lambda p: p["value"]), lambda v: v != "")
+    listed = lambda v: F.array_contains("listed", v)
+    f = f.withColumns({"_n": named, "_ok": F.filter(named, listed)})
+    values = F.when(F.col("multi"), F.col("_ok")).otherwise(F.slice("_ok", 1, 1))
+    mine = F.filter("_p", lambda p: listed(p["value"]) & (F.col("multi") | (p["value"] == F.get("_ok", F.lit(0)))))
+    leaves = F.filter(F.transform(mine, lambda p: F.struct(p["value"].alias("value"), X.clean_leaf(p["detail"], p["value"]).alias("leaf"))), lambda p: p["leaf"] != "")
+    status = F.when(F.col("_x").isNull(), "missing").when(F.size("_ok") > 0, "ok").when(F.array_contains("_n", "unsure"), "unsure").otherwise("none")
+    return f.select("form_id", "attr", "multi", status.alias("status"), values.alias("values"), leaves.alias("leaves"), F.filter("_n", lambda v: ~listed(v) & ~v.isin("unsure", "none")).alias("off"))
 
 
 def form_labels(valid: DataFrame) -> DataFrame:
-    """form_id, attr, value, leaf: a record per valid answer."""
-    return valid.filter("value is not null").select("form_id", "attr", "value", "leaf")
+    """form_id, attr, value, leaf: a record for each class with a leaf, and one for a class that was named more often than it has leaves."""
+    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
+    with_leaf = F.transform("leaves", lambda p: p["value"])
+    bare = F.filter(F.array_distinct("values"), lambda v: count(F.col("values"), v) > count(with_leaf, v))
+    every = F.concat("leaves", F.transform(bare, lambda v: F.struct(v.alias("value"), F.lit("").alias("leaf"))))
+    return valid.filter("status = 'ok'").select("form_id", "attr", F.inline(every))
 
 
 def form_filter(forms: DataFrame, least: int, drop: str = "$^") -> DataFrame:
@@ -83,9 +103,27 @@ def vocabulary_match(texts: DataFrame, vocab: list[str]) -> DataFrame:
     return texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rx), F.lit(1)))).alias("name"))
 
 
-def render_form(schema: DataFrame) -> DataFrame:
-    """attr, line: the attribute's prompt line, with its classes by name; multi-valued ones say so."""
-    return schema.groupBy("attr").agg(F.bool_or("multi").alias("m"), F.array_sort(F.collect_set("value")).alias("v")).select("attr", F.concat(F.col("attr"), F.when(F.col("m"), " (all that apply): ").otherwise(" (one): "), F.array_join("v", ", ")).alias("line"))
+def attr_space(schema: DataFrame) -> DataFrame:
+    """attr, region, grid, scope, multi, values: one row per attribute; values by their order. schema: attr, value, ord, multi, grid, scope (rows of an attribute agree)."""
+    g = schema.groupBy("attr").agg(F.max("grid").alias("grid"), F.max("scope").alias("scope"), F.bool_or("multi").alias("multi"), F.array_sort(F.collect_set(F.struct("ord", "value"))).alias("o"))
+    return g.select("attr", F.split_part("attr", F.lit("."), F.lit(1)).alias("region"), "grid", "scope", "multi", F.transform("o", lambda x: x["value"]).alias("values"))
+
+
+#: The layouts of a prompt line. Fixed values.
+OPEN_MANY, CLOSED_MANY, DETAIL = " [a LIST of such objects, one per thing you hear]", " [list ALL that apply]", " -- detail = "
+
+
+def render_form(fields: DataFrame) -> DataFrame:
+    """region, lines: the prompt lines of a region's attributes, by ord. fields: region, ord, name, values, multi, open, hint, na_hint.
+
+    Open fields ask for an object with a detail, closed ones for a listed value; multi-valued ones say so, in their own words each.
+    """
+    some = lambda c, before, after: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+    name, listed, multi = F.concat(F.lit('- "'), "name", F.lit('"')), F.array_join("values", " | "), F.col("multi")
+    open_ = F.concat(name, F.when(multi, OPEN_MANY).otherwise(""), some(F.col("na_hint"), " (", ")"), F.lit(': {"is": one of '), listed, F.lit(', "detail": "..."}'), some(F.col("hint"), DETAIL, ""))
+    closed = F.concat(name, F.when(multi, CLOSED_MANY).otherwise(""), F.lit(": "), listed)
+    line = F.when(F.col("open"), open_).otherwise(closed)
+    return fields.groupBy("region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
 
 
 def proposal_batches(leaves: DataFrame, most: int = 140) -> DataFrame:

@@ -77,12 +77,24 @@ def vote_stats(labels: DataFrame, floor: float, key: tuple[str, ...] = ("clip",
     return win.agg(F.count_if(F.col("ex") == F.col("an")).alias("agree"), F.count_if(F.col("ex") != F.col("an")).alias("disagree"), F.count_if(won.isNull()).alias("below_floor"), F.sum(F.when(won.isNotNull(), F.size(F.filter("vs", lambda v: v != won))).otherwise(0)).alias("orphaned"))
 
 
-def propagate_clip_labels(clip_labels: DataFrame, chunk_labels: DataFrame, chunks: DataFrame, per_chunk: list[str]) -> DataFrame:
-    """row_id, attr, value, leaf, origin: chunks' own labels, and their clip's labels for attributes that aren't judged per chunk."""
-    own = chunk_labels.select("row_id", "attr", "value", "leaf", F.lit("own").alias("origin"))
-    far = clip_labels.filter(~F.col("attr").isin(per_chunk)) if per_chunk else clip_labels
-    down = chunks.select("row_id", "clip").join(far.select("clip", "attr", "value", "leaf").hint("merge"), "clip")
-    return own.unionByName(down.select("row_id", "attr", "value", "leaf", F.lit("clip").alias("origin"))).distinct()
+def propagate_clip_labels(labels: DataFrame, chunks: DataFrame, space: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row_id, attr, value, leaf, origin) and (reason, n) of the labels that aren't used.
+
+    A label on a chunk of its attribute's grid stays (own); one on a clip row goes to the clip's chunks of that grid, unless the attribute is judged per chunk (clip). Of several copies of a class on a
+    chunk its own counts first, then one with a leaf, then the first leaf by name. labels: row_id, clip, grid, attr, value, leaf; chunks: row_id, clip, grid; space: attr, grid, scope.
+    """
+    l = labels.join(F.broadcast(space.select("attr", F.col("grid").alias("_g"), "scope")), "attr", "left")  # the schema's attributes
+    have = chunks.select("clip", F.col("grid").alias("_g"), F.lit(True).alias("_has")).distinct()
+    l = l.join(have.hint("merge"), ["clip", "_g"], "left")
+    why = F.when(F.col("_g").isNull(), "attribute not in the schema").when(F.col("grid") == F.col("_g"), None).when(F.col("grid") != "clip", "label on another grid").when(F.col("scope") == "local", "clip label of a per-chunk attribute")
+    l = l.withColumn("reason", why.when(F.col("_has").isNull(), "clip label without chunks"))
+    used = l.filter("reason is null")
+    own = used.filter("grid = _g").select("row_id", "attr", "value", "leaf", F.lit("own").alias("origin"))
+    far = used.filter("grid != _g").select("clip", F.col("_g").alias("grid"), "attr", "value", "leaf").join(chunks.select("row_id", "clip", "grid").hint("merge"), ["clip", "grid"])
+    every = own.unionByName(far.select("row_id", "attr", "value", "leaf", F.lit("clip").alias("origin")))
+    best = F.min_by(F.struct("leaf", "origin"), F.struct(F.when(F.col("origin") == "own", 0).otherwise(1), F.when(F.col("leaf") != "", 0).otherwise(1), "leaf"))
+    kept = every.groupBy("row_id", "attr", "value").agg(best.alias("b")).select("row_id", "attr", "value", "b.leaf", "b.origin")
+    return kept, l.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def training_pairs(pairs: DataFrame, multi: DataFrame) -> DataFrame:

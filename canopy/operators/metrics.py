@@ -19,10 +19,16 @@ def predictions(scores: DataFrame, by: tuple[str, ...] = ("vec_id",), gold: str
     return scores.groupBy(*by, gold).agg(F.min_by("k", F.struct(-F.col("logit"), "k")).alias("pred"))
 
 
-def class_metrics(preds: DataFrame) -> DataFrame:
-    """One row: n, accuracy, balanced accuracy (mean recall over classes present), majority share. Two aggregations, the second over classes."""
-    c = preds.groupBy("gold").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == F.col("pred")).alias("hit"))
-    return c.agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg(F.col("hit") / F.col("n")).alias("balanced"), (F.max("n") / F.sum("n")).alias("majority"))
+def class_metrics(preds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per group of `by`: n, accuracy, balanced accuracy (mean recall over classes present), majority share. Two aggregations, the second over classes."""
+    c = preds.groupBy(*by, "gold").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == F.col("pred")).alias("hit"))
+    return c.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg(F.col("hit") / F.col("n")).alias("balanced"), (F.max("n") / F.sum("n")).alias("majority"))
+
+
+def split_metrics(preds: DataFrame) -> DataFrame:
+    """part (all, first, other), n, clips and class_metrics: over all rows, those of the first set, and the others. preds: gold, pred, clip, first."""
+    p = preds.withColumn("part", F.explode(F.array(F.lit("all"), F.when(F.col("first"), "first").otherwise("other"))))
+    return class_metrics(p, ("part",)).join(p.groupBy("part").agg(F.countDistinct("clip").alias("clips")).hint("merge"), "part")
 
 
 def skill_score(preds: DataFrame, classes: int) -> DataFrame:
@@ -124,12 +130,22 @@ def select_template(scores: DataFrame) -> DataFrame:
     return m.orderBy(F.desc("mean"), "template").limit(1)
 
 
-def items_summary(items: DataFrame, bench: str, group: str) -> DataFrame:
-    """bench, n_items, n_groups, largest."""
+def items_summary(items: DataFrame, bench: str, group: str, clip: str) -> DataFrame:
+    """bench, n_items, n_clips (distinct), groups: `group=n` by name."""
     c = items.groupBy(bench, group).agg(F.count("*").alias("n"))
-    return c.groupBy(bench).agg(F.sum("n").alias("n_items"), F.count("*").alias("n_groups"), F.max("n").alias("largest"))
-
-
-def probe_metrics(preds: DataFrame, none: int) -> DataFrame:
-    """gold, n, accuracy, abstained per class. preds: gold, pred."""
-    return preds.groupBy("gold").agg(F.count("*").alias("n"), F.avg((F.col("gold") == F.col("pred")).cast("double")).alias("accuracy"), F.avg((F.col("pred") == none).cast("double")).alias("abstained"))
+    g = c.groupBy(bench).agg(F.sum("n").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(group, "n"))), lambda x: F.concat(x[group].cast("string"), F.lit("="), x["n"].cast("string"))), ", ").alias("groups"))
+    return g.join(items.groupBy(bench).agg(F.countDistinct(clip).alias("n_clips")).hint("merge"), bench)
+
+
+def probe_metrics(scores: DataFrame, options: DataFrame, nearest: DataFrame, none: int) -> DataFrame:
+    """gold, n, accuracy, restricted, abstained, centroid per class: over all classes, over an item's options only, how often `none` wins, and by the closest centroid.
+
+    scores: vec_id, k, gold, logit; options: vec_id, k (an item without any counts as wrong); nearest: vec_id, nearest.
+    """
+    every = predictions(scores)
+    few = predictions(scores.join(options.hint("merge"), ["vec_id", "k"], "left_semi")).select("vec_id", F.col("pred").alias("chosen"))
+    j = every.join(few.hint("merge"), "vec_id", "left").join(nearest.select("vec_id", "nearest").hint("merge"), "vec_id", "left")
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return j.groupBy("gold").agg(
+        F.count("*").alias("n"), share(F.col("gold") == F.col("pred")).alias("accuracy"), share(F.col("gold") == F.col("chosen")).alias("restricted"), share(F.col("pred") == none).alias("abstained"), share(F.col("gold") == F.col("nearest")).alias("centroid")
+    )

@@ -15,15 +15,22 @@ def region_gate(scores: DataFrame, chunk_at: float = 0.5, clip_at: float = 0.5)
     return rows.unionByName(clips)
 
 
-def decide_single(scores: DataFrame, temperature: float, floor: float, by: tuple[str, ...] = ("clip",), row: str = "row_id") -> DataFrame:
-    """by, value, p: softmax per row at the temperature, the mean log-probability over rows, its exponential (not renormalised), the best class if it reaches the floor."""
+def decide_single(scores: DataFrame, temperature: float | Column, floor: float | Column, by: tuple[str, ...] = ("clip",), row: str = "row_id", leaves: DataFrame | None = None, leaf_at: float = 0.5) -> DataFrame:
+    """by, value, p: softmax per row at the temperature, the mean log-probability over rows, its exponential (not renormalised), the best class if it reaches the floor (its skill's).
+
+    With leaves (by, value, leaf, p) also `leaf`: the class's best leaf if it reaches leaf_at, else '' (the class itself).
+    """
     z = scores.withColumn("_z", F.col("logit") / temperature)
     w = W.partitionBy(*by, row)
     m = F.max("_z").over(w)
     z = z.withColumn("_m", m).withColumn("_lp", F.col("_z") - F.col("_m") - F.log(F.sum(F.exp(F.col("_z") - F.col("_m"))).over(w)))
     c = z.groupBy(*by, "value").agg(F.exp(F.avg("_lp")).alias("p"))
     best = c.groupBy(*by).agg(F.min_by(F.struct("value", "p"), F.struct(-F.col("p"), "value")).alias("b"))
-    return best.select(*by, "b.value", "b.p").filter(F.col("p") >= floor)
+    best = best.select(*by, "b.value", "b.p").filter(F.col("p") >= floor)
+    if leaves is None:
+        return best
+    top = leaves.groupBy(*by, "value").agg(F.min_by(F.struct("leaf", "p"), F.struct(-F.col("p"), "leaf")).alias("_l")).filter(F.col("_l.p") >= leaf_at)
+    return best.join(top.hint("merge"), [*by, "value"], "left").select(*by, "value", "p", F.coalesce("_l.leaf", F.lit("")).alias("leaf"))
 
 
 def decide_multi(scores: DataFrame, threshold: float, leaves: DataFrame) -> DataFrame:
@@ -66,13 +73,17 @@ def best_leaf(scores: DataFrame, threshold: float, by: tuple[str, ...] = ("vec_i
     return g.select(*by, F.when((F.col("b.k") > 0) & (F.col("b.p") >= threshold), F.col("b.k")).otherwise(0).alias("k"))
 
 
-def sound_identity(scores: DataFrame, windows: DataFrame, tau: float, classes: int = 2) -> DataFrame:
-    """clip, value, p: over a clip's open windows (all if none is open), the greatest joint probability by class, the top classes at or above tau. windows: clip, row_id, open."""
+def sound_identity(scores: DataFrame, windows: DataFrame, tau: float, classes: int = 2, leaves: int = 2) -> DataFrame:
+    """clip, value, leaf, p: over a clip's open windows (all if none is open), the greatest joint probability by node, the top classes at or above tau, each with its top leaves at or above tau, else
+    itself (leaf ''). scores: clip, row_id, value, leaf ('' for the class), p; windows: clip, row_id, open.
+    """
     any_ = F.max(F.col("open").cast("int")).over(W.partitionBy("clip"))
     use = windows.withColumn("_a", any_).filter(F.col("open") | (F.col("_a") == 0)).select("clip", "row_id")
-    m = scores.join(use.hint("merge"), ["clip", "row_id"], "left_semi").groupBy("clip", "value").agg(F.max("p").alias("p")).filter(F.col("p") >= tau)
-    r = F.row_number().over(W.partitionBy("clip").orderBy(F.desc("p"), "value"))
-    return m.withColumn("_r", r).filter(F.col("_r") <= classes).drop("_r")
+    m = scores.join(use.hint("merge"), ["clip", "row_id"], "left_semi").groupBy("clip", "value", "leaf").agg(F.max("p").alias("p")).filter(F.col("p") >= tau)
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("p"), "value", "leaf"))
+    top = m.filter("leaf = ''").withColumn("_r", rank("clip")).filter(F.col("_r") <= classes).drop("_r")
+    low = m.filter("leaf != ''").join(top.select("clip", "value").hint("merge"), ["clip", "value"], "left_semi").withColumn("_r", rank("clip", "value")).filter(F.col("_r") <= leaves).drop("_r")
+    return top.join(low.select("clip", "value").hint("merge"), ["clip", "value"], "left_anti").unionByName(low).select("clip", "value", "leaf", "p")
 
 
 def threshold_heads(scores: DataFrame, open_clips: DataFrame, at: float = 0.5) -> DataFrame:
@@ -96,6 +107,12 @@ def question_fallback(items: DataFrame, asked_at: float = 0.5) -> DataFrame:
     return items.groupBy("clip").agg(F.bool_or(F.col("score") >= asked_at).alias("asked"))
 
 
+def item_nodes(items: DataFrame, nodes: DataFrame, asked_at: float = 0.5) -> DataFrame:
+    """id and a clip's nodes for each of its items; nodes that the question fallback opened only for items whose own score reaches asked_at. items: id, clip, score; nodes: clip, fallback, .."""
+    j = items.groupBy("id", "clip").agg(F.max("score").alias("_s")).join(nodes.hint("merge"), "clip")
+    return j.filter(~F.col("fallback") | (F.col("_s") >= asked_at)).drop("_s", "fallback")
+
+
 def owner_resolution(predicted: DataFrame) -> DataFrame:
     """clip, attr, value of the router with the greatest order that predicts the attribute. predicted: clip, attr, value, ord."""
     return predicted.groupBy("clip", "attr").agg(F.max_by("value", F.struct("ord", "value")).alias("value"))
@@ -112,37 +129,151 @@ def trace_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(W.partitionBy("clip").orderBy((F.col("grid") != "clip").cast("int"), "grid", "t0")))
 
 
+#: The lines of a context, its sizes, and where a served vocals node stands. Fixed values.
+HEAD, NODES, MAX_NODES, MAX_TIMELINE = "Audio analysis of the recording:", "Audio graph nodes matched to this recording:", 2400, 600
+SPOKEN, VOCALS, NO_VOCALS = "speech present", r"music vocals: ([^;\n]*)", "no vocals"
+
+
 def label_text(attr: str = "attr", value: str = "value", leaf: str = "leaf"):
-    return F.when(F.col(leaf) != "", F.concat(value, F.lit(" ("), leaf, F.lit(")"))).otherwise(F.col(value))
+    """`class`, or `class (leaf)` where a leaf of another name is served."""
+    return F.when((F.col(leaf) != "") & (F.col(leaf) != F.col(value)), F.concat(value, F.lit(" ("), leaf, F.lit(")"))).otherwise(F.col(value))
 
 
-def nodes_line(served: DataFrame, last: tuple[str, ...] = (), most: int = 2400) -> DataFrame:
-    """clip, line: each node once in order of arrival, grouped by attribute in order of arrival, `last` attributes at the end, cut at `most` characters. served: clip, attr, value, leaf, seq."""
+def clause_head(attr: str = "attr"):
+    """`region attribute` of region.some_attribute."""
+    return F.translate(F.col(attr), "._", "  ")
+
+
+def nodes_line(served: DataFrame, last: tuple[str, ...] = (), most: int = MAX_NODES) -> DataFrame:
+    """clip, line: each node once in order of arrival, grouped by attribute in order of arrival, cut at `most` characters; the attributes of `last` follow uncut. served: clip, attr, value, leaf, seq."""
     n = served.withColumn("s", label_text()).groupBy("clip", "attr", "s").agg(F.min("seq").alias("seq"))
     a = n.groupBy("clip", "attr").agg(F.min("seq").alias("q"), F.array_sort(F.collect_list(F.struct("seq", "s"))).alias("o"))
-    a = a.select("clip", F.struct(F.col("attr").isin(list(last)).cast("int").alias("z"), "q", "attr", F.concat(F.col("attr"), F.lit(": "), F.array_join(F.transform("o", lambda x: x["s"]), ", ")).alias("s")).alias("x"))
-    return a.groupBy("clip").agg(F.array_sort(F.collect_list("x")).alias("o")).select("clip", F.substring(F.array_join(F.transform("o", lambda x: x["s"]), "; "), 1, most).alias("line"))
+    text = F.concat(clause_head(), F.lit(": "), F.array_join(F.transform("o", lambda x: x["s"]), ", "))
+    a = a.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("q", "attr", text.alias("s")))).alias("o"))
+    part = lambda late: F.array_join(F.transform(F.filter("o", lambda x: x["attr"].isin(list(last)) == late), lambda x: x["s"]), "; ")
+    a = a.select("clip", F.trim(F.substring(part(False), 1, most)).alias("m"), part(True).alias("d"))
+    return a.select("clip", F.when(F.col("d") == "", F.col("m")).when(F.col("m") == "", F.col("d")).otherwise(F.concat(F.regexp_replace("m", r"\.$", ""), F.lit("; "), "d")).alias("line"))
 
 
 def drop_clauses(lines: DataFrame, attrs: list[str]) -> DataFrame:
-    """Rendered lines without the clauses of some attributes."""
-    keep = F.filter(F.split("line", "; "), lambda c: ~F.split_part(c, F.lit(": "), F.lit(1)).isin(attrs))
-    return lines.withColumn("line", F.array_join(keep, "; "))
+    """Rendered lines without the clauses of some attributes; a full stop at the end stays if a clause does."""
+    heads = F.array(*[F.lit(a.replace(".", " ").replace("_", " ")) for a in attrs])
+    dot = F.when(F.col("line").rlike(r"\.\s*$"), ".").otherwise("")
+    clauses = F.split(F.regexp_replace(F.rtrim("line"), r"\.$", ""), "; ")
+    keep = F.filter(clauses, lambda c: ~F.array_contains(heads, F.split_part(F.trim(c), F.lit(":"), F.lit(1))))
+    return lines.withColumn("line", F.when(F.size(keep) == F.size(clauses), F.col("line")).when(F.size(keep) == 0, "").otherwise(F.concat(F.array_join(keep, "; "), dot)))
+
+
+def hears_voice(text):
+    """A context tells of speech, or of a served vocals node other than `no vocals`."""
+    values = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(VOCALS), F.lit(1)), lambda v: F.split(v, ",")))
+    named = F.transform(values, lambda v: F.regexp_replace(v, r"^[ .]+|[ .]+$", ""))
+    return F.contains(text, F.lit(SPOKEN)) | F.exists(named, lambda v: (v != "") & (v != NO_VOCALS))
+
 
+def render_context(nodes: DataFrame, timeline: DataFrame, transcript: DataFrame | None = None, most: int = MAX_TIMELINE, gate: bool = True) -> DataFrame:
+    """clip, context: a head, the nodes, the timeline cut at `most` characters, and the transcript if a voice is heard (or gate is off); '' for clips of which nothing is known.
 
-def render_context(nodes: DataFrame, timeline: DataFrame, transcript: DataFrame | None = None, most: int = 600) -> DataFrame:
-    """clip, context: nodes, timeline cut at `most` characters, transcript where there is one."""
-    c = nodes.select("clip", F.col("line").alias("n")).join(timeline.select("clip", F.substring("line", 1, most).alias("t")).hint("merge"), "clip", "full_outer")
+    nodes: clip, line; timeline: clip, line; transcript: clip, text.
+    """
+    c = nodes.select("clip", F.col("line").alias("n")).join(timeline.select("clip", F.col("line").alias("t")).hint("merge"), "clip", "full_outer")
     if transcript is not None:
-        c = c.join(transcript.select("clip", F.col("text").alias("x")).hint("merge"), "clip", "left")
-    parts = [F.concat(F.lit("Nodes: "), F.col("n")), F.concat(F.lit("Timeline: "), F.col("t")), *([F.concat(F.lit("Transcript: "), F.col("x"))] if transcript is not None else [])]
-    return c.select("clip", F.concat_ws("\n", *parts).alias("context"))
-
-
-def prompt_text(items: DataFrame, options: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """id, prompt: context, question, lettered options. items: id, question; options: id, letter, text; context: id, context."""
-    o = options.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("letter", "text"))).alias("o")).select("id", F.array_join(F.transform("o", lambda x: F.concat(F.lit("("), x["letter"], F.lit(") "), x["text"])), "\n").alias("o"))
-    p = items.join(o.hint("merge"), "id")
-    if context is not None:
-        p = p.join(context.hint("merge"), "id", "left")
-    return p.select("id", F.concat_ws("\n", *([F.col("context")] if context is not None else []), F.concat(F.lit("Question: "), F.col("question")), F.col("o"), F.lit("Answer:")).alias("prompt"))
+        c = c.join(transcript.select("clip", F.col("text").alias("x")).hint("merge"), "clip", "full_outer")
+    else:
+        c = c.withColumn("x", F.lit(None).cast("string"))
+    n = F.when(F.col("n") != "", F.concat(F.lit(NODES + " "), "n", F.when(F.endswith("n", F.lit(".")), "").otherwise(".")))
+    t = F.when(F.col("t") != "", F.concat(F.substring(F.trim("t"), 1, most), F.lit(".")))
+    head = F.concat_ws("\n", F.lit(HEAD), n, t)
+    c = c.select("clip", "x", F.when(n.isNotNull() | t.isNotNull() | F.col("x").isNotNull(), head).alias("h"))
+    full = F.concat("h", F.coalesce(F.concat(F.lit('\nTranscript: "'), "x", F.lit('"')), F.lit("")))
+    quiet = F.col("x").isNotNull() & ~hears_voice(full) if gate else F.lit(False)
+    return c.select("clip", F.when(F.col("h").isNull(), "").when(quiet, F.col("h")).otherwise(F.concat(full, F.lit("\n\n"))).alias("context"))
+
+
+def route_clips(
+    gate: DataFrame, attrs: DataFrame, scores: DataFrame, heads: DataFrame, properties: DataFrame, sounds: DataFrame, asked: DataFrame, *, gate_at: float = 0.5, language: str = "speech.language", language_at: float = 0.5,
+    property_at: float = 0.5, sound_attr: str = "sound.event", sound_at: float = 0.5, none_at: float = 0.995, top: int = 3, top_at: float = 0.2,
+) -> DataFrame:
+    """clip, row_id (null: the clip), attr, value, leaf, p, stage: the nodes that all routers serve, in the order of the stages.
+
+    1. gate: regions of chunks and clips (gate: clip, row_id, region, logit). 2. routers: attributes of open regions, decided for the clip or its chunks (attrs: attr, region, multi, scope `clip` or
+    `local`, late, many, domain, temperature, floor, threshold: a row per attribute; scores: clip, row_id, attr, value, logit). 3. language: a sure text head instead, where speech is open (heads: clip, text, value, p).
+    4. properties: the best class of each head, where music is open (properties: clip, head, value, p). 5. sounds: identity over the chunks that hear sound, or over all where an item asks
+    (sounds: clip, row_id, value, leaf, p; asked: clip, asked). 6. a chunk keeps what its own gate opened. 7. late: attributes judged per chunk, of `many` up to `top` classes. 8. domains: attributes with
+    a class `none`, which abstain by themselves whatever the gate says.
+    """
+    a = F.broadcast(attrs)  # the schema's attributes
+    opened = region_gate(gate, gate_at, gate_at)
+    node = lambda df, stage, leaf=F.lit(""): df.select("clip", "row_id", "attr", "value", leaf.alias("leaf"), "p", F.lit(stage).alias("stage"))
+    p = gate.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
+    mean = p.groupBy("clip", "region").agg(F.avg("p").alias("p"))
+    first = p.filter(F.col("p") >= gate_at).select("clip", "row_id", "region", "p").unionByName(mean.filter(F.col("p") >= gate_at).select("clip", F.lit(None).cast("long").alias("row_id"), "region", "p"))
+    first = node(first.withColumns({"attr": F.lit("gate"), "value": F.col("region")}), 1)
+    clip_on = opened.filter("row_id is null").select("clip", "region")
+    row_on = opened.filter("row_id is not null").select("row_id", "region").distinct()
+    shut = mean.filter(F.col("p") < gate_at).select("clip", "region")  # regions without a gate are open
+    s = scores.join(a, "attr")
+    # one class of each unit (the clip, or each of its chunks)
+    one = s.filter("not multi").withColumns({"unit": F.when(F.col("scope") == "local", F.col("row_id")), "_z": F.col("logit") / F.col("temperature")})
+    row = W.partitionBy("clip", "attr", "row_id")
+    one = one.withColumn("_m", F.max("_z").over(row)).withColumn("_lp", F.col("_z") - F.col("_m") - F.log(F.sum(F.exp(F.col("_z") - F.col("_m"))).over(row)))
+    c = one.groupBy("clip", "attr", "unit", "value").agg(F.exp(F.avg("_lp")).alias("p"))
+    order = F.struct(-F.col("p"), "value")
+    known = F.col("value") != "none"
+    best = c.groupBy("clip", "attr", "unit").agg(F.max(F.when(~known, F.col("p"))).alias("_none"), F.min_by(F.struct("value", "p"), order).alias("_b"), F.min_by(F.when(known, F.struct("value", "p")), F.when(known, order)).alias("_o"))
+    best = best.filter(~((F.col("_b.value") == "none") & (F.col("_none") >= none_at))).withColumn("_c", F.when(F.col("_b.value") == "none", F.col("_o")).otherwise(F.col("_b")))
+    best = best.select("clip", "attr", "unit", "_none", F.col("_c.p").alias("p1"), F.col("_c.value").alias("v1")).join(a, "attr").filter(F.col("p1") >= F.col("floor"))
+    few = best.filter("not many").select("clip", F.col("unit").alias("row_id"), "attr", F.col("v1").alias("value"), F.col("p1").alias("p"), "region", "late", "domain")
+    u = W.partitionBy("clip", "attr", "unit").orderBy(F.desc("p"), "value")
+    ranked = c.withColumn("_r", F.row_number().over(u)).filter((F.col("_r") <= top) & ((F.col("_r") == 1) | (F.col("p") >= top_at)))
+    wide = ranked.withColumn("_u", F.coalesce("unit", F.lit(-1))).join(best.filter("many").select("clip", "attr", F.coalesce("unit", F.lit(-1)).alias("_u"), "region", "late").hint("merge"), ["clip", "attr", "_u"])
+    wide = wide.select("clip", F.col("unit").alias("row_id"), "attr", "value", "p", "region", "late", F.lit(False).alias("domain"))
+    every = s.filter("multi").withColumn("p", 1 / (1 + F.exp(-F.col("logit")))).filter(F.col("p") >= F.greatest("threshold", "floor")).select("clip", "row_id", "attr", "value", "p", "region", "late", F.lit(False).alias("domain"))
+    decided = few.unionByName(wide).unionByName(every)
+    open_ = decided.filter("not domain").join(shut.hint("merge"), ["clip", "region"], "left_anti")
+    second = open_.filter("not late")
+    # 3. the text head's language
+    speech = heads.join(shut.filter("region = 'speech'").select("clip").hint("merge"), "clip", "left_anti").filter(F.length("text") >= 8)
+    second = second.join(speech.select("clip", F.lit(language).alias("attr")).hint("merge"), ["clip", "attr"], "left_anti")
+    third = speech.filter(F.col("p") >= language_at).select("clip", F.lit(None).cast("long").alias("row_id"), F.lit(language).alias("attr"), "value", "p")
+    # 4. and 5.
+    fourth = threshold_heads(properties, clip_on.filter("region = 'music'"), property_at).select("clip", F.lit(None).cast("long").alias("row_id"), F.col("head").alias("attr"), "value", "p")
+    hears = sounds.select("clip", "row_id").distinct().join(row_on.filter("region = 'sound'").select("row_id", F.lit(True).alias("open")).hint("merge"), "row_id", "left").select("clip", "row_id", F.coalesce("open", F.lit(False)).alias("open"))
+    may = hears.filter("open").select("clip").unionByName(asked.filter("asked").select("clip")).distinct()
+    fifth = sound_identity(sounds, hears.join(may.hint("merge"), "clip", "left_semi"), sound_at).select("clip", F.lit(None).cast("long").alias("row_id"), F.lit(sound_attr).alias("attr"), "value", "leaf", "p")
+    # 6. and 7.
+    inside = lambda df: df.join(row_on.hint("merge"), ["row_id", "region"], "left_semi")
+    chunks = inside(second.filter("row_id is not null"))
+    seventh = inside(open_.filter("late and row_id is not null")).unionByName(open_.filter("late and row_id is null"))
+    out = first.unionByName(node(second.filter("row_id is null"), 2)).unionByName(node(chunks, 2)).unionByName(node(third, 3)).unionByName(node(fourth, 4)).unionByName(node(fifth, 5, F.col("leaf")))
+    return out.unionByName(node(seventh, 7)).unionByName(node(decided.filter("domain"), 8))
+
+
+#: What a reader is told. Fixed values.
+ASK = "Answer with only the letter of the correct option."
+EXPLAIN = (
+    "You cannot hear the audio recording. Instead you are given information that was extracted from it automatically:\n- a traversal of an audio knowledge tree: lines of the form 'region attribute: value (leaf)', "
+    "naming what was detected in the recording, from general to specific (for example 'sound animal: dog (Bark)');\n- a speech transcript, if the recording contains speech;\n"
+    "- for some questions, a timed list of sound events.\nThese are the only evidence about the recording."
+)
+STRICT = "Deduce the answer only from the information provided above; do not assume anything that is not stated there."
+GIVEN, NOTHING = "Information extracted from the recording:\n", "No information was extracted from the recording.\n"
+TEMPLATES = ("ours", "plain", "strict", "fewshot")
+
+
+def prompt_text(items: DataFrame, template: str = "ours", shots: DataFrame | None = None) -> DataFrame:
+    """id, prompt: the text of an item in one of TEMPLATES. items: id, question, choices (`(a) ..  (b) ..`), context ('' or null: nothing known); shots: ord, question, choices, context, gold.
+
+    ours: context, question, choices. plain: an explanation, the context, the question. strict: that, and to keep to it. fewshot: strict, after worked examples with their letters (a few rows).
+    """
+    if template not in TEMPLATES:
+        raise ValueError(f"no template {template}")
+    context = F.coalesce("context", F.lit(""))
+    info = F.when(F.trim(context) != "", F.concat(F.lit(GIVEN), context)).otherwise(NOTHING)
+    asked = F.concat("question", F.lit("\n"), "choices", F.lit("\n\n"))
+    told = F.lit((STRICT + " " if template in ("strict", "fewshot") else "") + ASK)
+    text = F.concat(context, asked, F.lit(ASK)) if template == "ours" else F.concat(F.lit(EXPLAIN + "\n\n"), info, F.lit("\nQuestion: "), asked, told)
+    if template != "fewshot" or shots is None:
+        return items.select("id", text.alias("prompt"))
+    worked = shots.select("ord", F.concat(text, F.lit("\n("), "gold", F.lit(")\n\n")).alias("t")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]), "").alias("_w"))
+    return items.join(F.broadcast(worked), F.lit(True)).select("id", F.concat("_w", text).alias("prompt"))

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..workers import cut
+
+#: Words too general to tell a leaf from its class. Fixed values.
+GENERIC = ["clear", "clean", "normal", "standard", "regular", "general", "plain", "typical", "good", "simple", "basic", "audio", "voice", "sound", "speech", "music", "tone", "style", "quality", "weather", "recording", "background", "noise"]
+#: Ending of the last word of a name that says who acts. Fixed value.
+AGENT = r"(er|or|ist|ian|ant|ee|man|woman|person|host|guide|coach|judge|chef|pilot)$"
+
 
 def static_alias(labels: DataFrame, names: dict[str, str], only: Column | None = None) -> DataFrame:
     """Leaves renamed by a fixed map, on rows where `only` holds."""
@@ -14,32 +22,68 @@ def static_alias(labels: DataFrame, names: dict[str, str], only: Column | None =
     return labels.withColumn("leaf", new if only is None else F.when(only, new).otherwise(F.col("leaf")))
 
 
-def cofire_aliases(labels: DataFrame, tokens: Column, expert: str = "expert", annotator: str = "annotator", key: tuple[str, ...] = ("clip", "attr", "value")) -> DataFrame:
-    """attr, value, leaf, alias: an expert leaf and the annotator's leaf of the same key that share a word; the single best per key, then the majority (at least half), ties by name."""
-    t = labels.filter("leaf != ''").select(*key, "leaf", "tool", tokens.alias("w")).distinct()
+def stems(name: Column) -> Column:
+    """Distinct stems of a name's words."""
+    return F.array_distinct(F.transform(X.words(name), lambda w: X.stem(w)))
+
+
+def cofire_aliases(labels: DataFrame, ancestors: DataFrame | None = None, expert: str = "expert", annotator: str = "annotator", key: tuple[str, ...] = ("clip", "attr", "value")) -> DataFrame:
+    """attr, value, leaf, alias: an expert leaf and the annotator's leaf of the same key that share most stems; the single best per key, then the majority (at least half), ties by name.
+
+    The expert leaf's stems are those of its own and its ancestors' words (ancestors: child, ancestor), without those of its class.
+    """
+    t = labels.filter("leaf != ''").select(*key, "leaf", "tool").distinct()
     e, a = t.filter(F.col("tool") == expert), t.filter(F.col("tool") == annotator)
     e = e.join(a.select(*key, "leaf").hint("merge"), [*key, "leaf"], "left_anti")
-    p = e.select(*key, "leaf", "w").join(a.select(*key, F.col("leaf").alias("alias"), F.col("w").alias("w2")).hint("merge"), list(key))
+    own = stems(F.col("leaf"))
+    if ancestors is not None:
+        up = ancestors.groupBy(F.lower("child").alias("_c")).agg(F.array_distinct(F.flatten(F.collect_set(stems(F.col("ancestor"))))).alias("_up"))
+        e = e.join(up.hint("merge"), F.lower("leaf") == F.col("_c"), "left")
+        own = F.array_union(own, F.coalesce("_up", F.array().cast("array<string>")))
+    e = e.select(*key, "leaf", F.array_except(own, stems(F.col("value"))).alias("w"))
+    p = e.join(a.select(*key, F.col("leaf").alias("alias"), stems(F.col("leaf")).alias("w2")).hint("merge"), list(key))
     p = p.withColumn("s", F.size(F.array_intersect("w", "w2"))).filter("s > 0")
-    g = W.partitionBy(*key, "leaf")
-    p = p.withColumns({"m": F.max("s").over(g)}).filter("s = m").withColumn("ties", F.count("*").over(g)).filter("ties = 1")
-    v = p.groupBy("attr", "value", "leaf", "alias").agg(F.count("*").alias("n"))
+    best = p.groupBy(*key, "leaf").agg(F.max_by("alias", "s").alias("alias"), F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 2).alias("top"))
+    best = best.filter((F.size("top") == 1) | (F.get("top", F.lit(0)) > F.get("top", F.lit(1))))
+    v = best.groupBy("attr", "value", "leaf", "alias").agg(F.count("*").alias("n"))
     h = W.partitionBy("attr", "value", "leaf")
     v = v.withColumns({"all": F.sum("n").over(h), "r": F.row_number().over(h.orderBy(F.desc("n"), "alias"))})
     return v.filter("r = 1 and n >= 0.5 * all").select("attr", "value", "leaf", "alias")
 
 
-def plan_moves(labels: DataFrame, region: Column, identity: list[str]) -> DataFrame:
-    """attr, value, leaf, to_attr, to_value: leaves of a region that several attributes hold go to one home: the first of `identity` that holds it, else most clips, ties by name."""
-    x = labels.filter("leaf != ''").withColumn("region", region)
-    c = x.groupBy("region", "leaf", "attr").agg(F.countDistinct("clip").alias("n"))
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(i) for i in identity]), F.col("attr")), F.lit(0)) if identity else F.lit(0)
-    order = F.struct(F.when(rank > 0, rank).otherwise(1 << 30), -F.col("n"), "attr")
-    home = c.groupBy("region", "leaf").agg(F.min_by("attr", order).alias("to_attr"), F.count("*").alias("k")).filter("k > 1")
-    v = x.groupBy("region", "leaf", F.col("attr").alias("to_attr"), "value").agg(F.countDistinct("clip").alias("n"))
-    hv = v.groupBy("region", "leaf", "to_attr").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("to_value"))
-    home = home.join(hv.hint("merge"), ["region", "leaf", "to_attr"])
-    return x.select("region", "attr", "value", "leaf").distinct().join(home.hint("merge"), ["region", "leaf"]).filter("attr != to_attr").select("attr", "value", "leaf", "to_attr", "to_value")
+def homes(counts: DataFrame, identity: list[str], role: str | None = None) -> DataFrame:
+    """region, key, first, acts, most for keys that several attributes hold: the first of `identity` among them, whether `role` is, that with most clips. counts: region, key, attr, n."""
+    at = F.array_position(F.array(*[F.lit(i) for i in identity]), F.col("attr")) if identity else F.lit(0)
+    g = counts.groupBy("region", "key").agg(
+        F.min_by("attr", F.when(at > 0, at)).alias("first"), F.coalesce(F.bool_or(F.col("attr") == F.lit(role)), F.lit(False)).alias("acts"), F.min_by("attr", F.struct(-F.col("n"), "attr")).alias("most"), F.count("*").alias("k")
+    )
+    return g.filter("k > 1").drop("k")
+
+
+def home(leaf: Column, role: str | None = None) -> Column:
+    """The home attribute of a leaf in a row of homes: the first of the identity attributes, else `role` for a name whose last word says who acts, else the one with most clips."""
+    return F.coalesce("first", F.when(F.col("acts") & F.element_at(F.split(leaf, " "), -1).rlike(AGENT), F.lit(role)), "most")
+
+
+def plan_moves(labels: DataFrame, region: Column, identity: list[str], key: Column | None = None, vocab: DataFrame | None = None, role: str | None = None) -> DataFrame:
+    """attr, value, leaf, to_attr, to_value, to_leaf: leaves of a region that several attributes hold go to one home (see home), to the class with most clips there and the commonest form there,
+    ties by name. Leaves with equal `key` (by default the leaf) are one. A leaf that stays, but is a closed value of another attribute of its region (vocab: attr, value), becomes that value.
+    """
+    x = labels.filter("leaf != ''").withColumns({"region": region, "key": F.col("leaf") if key is None else key})
+    every = x.groupBy("region", "key", "attr", "value", "leaf").agg(F.count("*").alias("n"))
+    c = x.groupBy("region", "key", "attr").agg(F.countDistinct("clip").alias("n"))
+    v = x.groupBy("region", "key", F.col("attr").alias("to_attr"), "value").agg(F.countDistinct("clip").alias("n"))
+    hv = v.groupBy("region", "key", "to_attr").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("to_value"))
+    f = every.groupBy("region", "key", F.col("attr").alias("to_attr"), "leaf").agg(F.sum("n").alias("n"))
+    hf = f.groupBy("region", "key", "to_attr").agg(F.min_by("leaf", F.struct(-F.col("n"), "leaf")).alias("to_leaf"))
+    out = every.join(homes(c, identity, role).hint("merge"), ["region", "key"]).withColumn("to_attr", home(F.col("leaf"), role)).filter("attr != to_attr")
+    out = out.join(hv.hint("merge"), ["region", "key", "to_attr"]).join(hf.hint("merge"), ["region", "key", "to_attr"]).select("attr", "value", "leaf", "to_attr", "to_value", "to_leaf")
+    if vocab is None:
+        return out
+    closed = vocab.select("attr", F.col("value").alias("leaf")).distinct().withColumn("region", region).withColumnRenamed("attr", "_a")
+    named = every.join(closed.hint("merge"), ["region", "leaf"]).filter(F.col("attr") != F.col("_a")).groupBy("attr", "value", "leaf").agg(F.min("_a").alias("to_attr"))
+    named = named.join(out.select("attr", "value", "leaf").hint("merge"), ["attr", "value", "leaf"], "left_anti")
+    return out.unionByName(named.select("attr", "value", "leaf", "to_attr", F.col("leaf").alias("to_value"), F.lit("").alias("to_leaf")))
 
 
 def apply_moves(labels: DataFrame, plan: DataFrame, multi: DataFrame, key: str = "clip") -> DataFrame:
@@ -50,25 +94,33 @@ def apply_moves(labels: DataFrame, plan: DataFrame, multi: DataFrame, key: str =
     cur = l.filter("to_attr is null or leaf = ''").groupBy(key, F.col("attr").alias("to_attr")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     go = go.join(cur.hint("merge"), [key, "to_attr"], "left").join(F.broadcast(multi.filter("multi").select(F.col("attr").alias("to_attr"), F.lit(True).alias("many")).distinct()), "to_attr", "left")
     fits = F.col("many").isNotNull() | F.col("lo").isNull() | ((F.col("lo") == F.col("to_value")) & (F.col("hi") == F.col("to_value")))
-    landed = go.filter(fits).select(key, F.col("to_attr").alias("attr"), F.col("to_value").alias("value"), "leaf")
+    landed = go.filter(fits).select(key, F.col("to_attr").alias("attr"), F.col("to_value").alias("value"), F.col("to_leaf").alias("leaf"))
     left = go.select(key, "attr", "value", F.lit("").alias("leaf"))
     return stay.unionByName(landed).unionByName(left).distinct()
 
 
-def reparent(labels: DataFrame) -> DataFrame:
-    """Each leaf of an attribute under one class: that with most clips, ties by name."""
-    c = labels.filter("leaf != ''").groupBy("attr", "leaf", "value").agg(F.countDistinct("clip").alias("n"))
-    best = c.groupBy("attr", "leaf").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("_v"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    return labels.join(best.hint("merge"), ["attr", "leaf"], "left").withColumn("value", F.coalesce("_v", "value")).drop("_v")
+def reparent(labels: DataFrame, key: Column | None = None) -> DataFrame:
+    """Each leaf of an attribute (all with equal `key`, by default the leaf) under one class: that with most clips, ties by name."""
+    l = labels.withColumn("_k", F.col("leaf") if key is None else key)
+    c = l.filter("leaf != ''").groupBy("attr", "_k", "value").agg(F.countDistinct("clip").alias("n"))
+    best = c.groupBy("attr", "_k").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("_v"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    return l.join(best.hint("merge"), ["attr", "_k"], "left").withColumn("value", F.when(F.col("leaf") != "", F.coalesce("_v", "value")).otherwise(F.col("value"))).drop("_v", "_k")
 
 
 def node_support(labels: DataFrame) -> DataFrame:
-    """attr, value, leaf ('' for the class), clips, sources, tools, chunks: counts of distinct values, each row counted once under a class. No sets are kept."""
-    g = labels.select("attr", "value", F.when(F.col("leaf") != "", F.col("leaf")).alias("leaf"), "clip", "source", "tool", "row_id")
-    g = g.groupingSets([[F.col("attr"), F.col("value"), F.col("leaf")], [F.col("attr"), F.col("value")]], F.col("attr"), F.col("value"), F.col("leaf")).agg(
-        F.grouping("leaf").alias("g"), F.countDistinct("clip").alias("clips"), F.countDistinct("source").alias("sources"), F.countDistinct("tool").alias("tools"), F.countDistinct("row_id").alias("chunks")
-    )
-    return g.filter("g = 1 or leaf is not null").select("attr", "value", F.coalesce("leaf", F.lit("")).alias("leaf"), "clips", "sources", "tools", "chunks")
+    """attr, value, leaf ('' for the class), clips, sources, tools, chunks: counts of distinct values, each row counted once under a class. No sets are kept.
+
+    A row belongs to one clip, so chunks are summed over a node's clips; sources and tools are counted from distinct pairs, which partial aggregation makes few.
+    """
+    own = ["attr", "value"]
+    both = F.array(F.lit(""), F.when(F.col("leaf") != "", F.col("leaf")))
+    x = labels.select(*own, F.explode(F.array_compact(both)).alias("leaf"), "clip", "source", "tool", "row_id")
+    node = [*own, "leaf"]
+    d = x.groupBy(*node, "clip", "row_id").agg(F.lit(1))
+    rows = d.groupBy(*node, "clip").agg(F.count("*").alias("n")).groupBy(*node).agg(F.count("*").alias("clips"), F.sum("n").alias("chunks"))
+    few = x.select(*node, F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("source").cast("string").alias("v")), F.struct(F.lit(1).alias("k"), F.col("tool").alias("v")))).alias("e")).groupBy(*node, "e").agg(F.lit(1))
+    few = few.groupBy(*node).agg(F.count_if((F.col("e.k") == 0) & F.col("e.v").isNotNull()).alias("sources"), F.count_if((F.col("e.k") == 1) & F.col("e.v").isNotNull()).alias("tools"))
+    return rows.join(few.hint("merge"), node).select(*node, "clips", "sources", "tools", "chunks")
 
 
 def members(labels: DataFrame) -> DataFrame:
@@ -77,55 +129,145 @@ def members(labels: DataFrame) -> DataFrame:
     return labels.select(n.alias("node"), "row_id").unionByName(labels.select(F.concat_ws("/", "attr", "value").alias("node"), "row_id")).distinct()
 
 
-def admit_nodes(support: DataFrame, min_clips: int = 2, min_sources: int = 2, hub_clips: int = 25, hub_share: float = 0.4, expert_only: Column | None = None) -> DataFrame:
+def admit_nodes(
+    support: DataFrame, min_clips: int = 2, min_sources: int = 2, hub_clips: int = 25, hub_share: float = 0.4, expert_only: Column | None = None, *, region: Column | None = None, identity: list[str] | None = None,
+    role: str | None = None, vocab: DataFrame | None = None, shared: list[tuple[str, str]] | None = None, languages: tuple[str, str, list[str]] | None = None, examples: dict[str, list[str]] | None = None,
+    example_share: float = 0.04, backed: list[str] | None = None, hub_exempt: list[str] | None = None,
+) -> DataFrame:
     """Support with `refused`: null if admitted, else the first reason that applies. Classes are always admitted.
 
-    Reasons in order: covers most of its parent; says no more than its parent (its words are the class's); numeric; seen on one clip; seen in one source.
+    Reasons in order: belongs to its home attribute in its region (region, identity, role: see home); names the language, not an accent (languages: the accents' attribute, the languages', words
+    that say nothing there); prompt example copied as a filler (examples by attribute, also in the column `forms` if there is one, which hold `example_share` of the attribute's leaf clips; not
+    where an attribute of `backed` has the column `expert`); covers most of its parent; says no more than its parent (only general words and those of class and attribute, unless it is one
+    of the things that the class lists); numeric; belongs to an attribute that has it as a closed value (vocab: attr, value; but for pairs of `shared`); seen on one clip; seen in one source.
     """
+    nodes = support.columns
     parent = F.max(F.when(F.col("leaf") == "", F.col("clips"))).over(W.partitionBy("attr", "value"))
-    s = support.withColumn("parent_clips", parent)
-    hub = (F.col("parent_clips") >= hub_clips) & (F.col("clips") >= hub_share * F.col("parent_clips"))
-    words = F.size(F.array_except(F.split("leaf", " "), F.split("value", " "))) == 0
+    s = support.withColumn("_parent", parent)
+    leaf, no = F.col("leaf"), F.lit(False)
+    other = tongue = copied = closed = no
+    if region is not None:
+        s = s.withColumn("_region", region)
+        c = s.filter("leaf != ''").groupBy(F.col("_region").alias("region"), leaf.alias("key"), "attr").agg(F.sum("clips").alias("n"))
+        h = homes(c, identity or [], role).select(F.col("region").alias("_region"), F.col("key").alias("leaf"), home(F.col("key"), role).alias("_home"))
+        s = s.join(h.hint("merge"), ["_region", "leaf"], "left")
+        other = F.col("_home").isNotNull() & (F.col("_home") != F.col("attr"))
+    else:
+        s = s.withColumn("_home", F.lit(None).cast("string"))
+    if languages is not None:
+        accent, language, filler = languages
+        core = F.filter(X.words(leaf), lambda w: ~w.isin(filler))
+        s = s.withColumn("_core", F.get(core, F.lit(0))).withColumn("_words", F.size(core))
+        s = s.join(support.filter((F.col("attr") == language) & (leaf != "")).select(leaf.alias("_core"), F.lit(True).alias("_tongue")).distinct().hint("merge"), "_core", "left")
+        tongue = (F.col("attr") == accent) & ((F.col("_words") == 0) | ((F.col("_words") == 1) & F.col("_tongue").isNotNull()))
+    if examples:
+        mass = support.filter(leaf != "").groupBy("attr").agg(F.sum("clips").alias("_mass"))  # a row for each attribute of the schema
+        s = s.join(F.broadcast(mass), "attr", "left")
+        own = F.coalesce(F.element_at(F.create_map(*[x for a, ws in examples.items() for x in (F.lit(a), F.array(*[F.lit(w) for w in ws]))]), F.col("attr")), F.array().cast("array<string>"))
+        forms = F.array_union(F.array(leaf), F.coalesce("forms", F.array().cast("array<string>"))) if "forms" in nodes else F.array(leaf)
+        safe = F.col("attr").isin(backed or []) & (F.col("expert") if "expert" in nodes else no)
+        copied = F.arrays_overlap(forms, own) & (F.col("clips") >= example_share * F.greatest("_mass", F.lit(1))) & ~safe
+    if vocab is not None:
+        v = vocab.select(F.col("value").alias("leaf"), F.col("attr").alias("_a")).distinct().join(s.select("leaf", "attr").distinct().hint("merge"), "leaf")
+        pair = F.array_sort(F.array("attr", "_a"))
+        v = v.filter((F.col("_a") != F.col("attr")) & ~F.arrays_overlap(F.array(pair), F.array(*[F.array(*[F.lit(x) for x in sorted(p)]) for p in shared]))) if shared else v.filter(F.col("_a") != F.col("attr"))
+        s = s.join(v.groupBy("leaf", "attr").agg(F.min("_a").alias("_closed")).hint("merge"), ["leaf", "attr"], "left")
+        closed = F.col("_closed").isNotNull()
+    else:
+        s = s.withColumn("_closed", F.lit(None).cast("string"))
+    hub = (F.col("_parent") >= hub_clips) & (F.col("clips") >= hub_share * F.col("_parent")) & ~F.col("attr").isin(hub_exempt or [])
+    parts = F.filter(F.transform(F.split("value", ",| and | or "), F.trim), lambda m: m != "")
+    member = (F.size(parts) > 1) & F.array_contains(parts, leaf)
+    plain = F.array_union(F.array_union(F.array(*[F.lit(w) for w in GENERIC]), X.words(F.col("value"))), X.words(F.col("attr")))
+    tokens = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    same = ~member & ((leaf == F.col("value")) | (F.size(F.array_except(tokens(leaf), tokens(F.col("value")))) == 0))
+    general = ~member & (F.size(F.array_except(X.words(leaf), plain)) == 0)
     one_source = F.col("sources") < min_sources
     if expert_only is not None:
         one_source &= ~expert_only
-    why = F.when(F.col("leaf") == "", None).when(hub, "covers most of its parent").when(words, "says no more than its parent").when(F.col("leaf").rlike("[0-9]"), "numeric")
-    return s.withColumn("refused", why.when(F.col("clips") < min_clips, "seen on one clip").when(one_source, "seen in one source"))
+    why = F.when(leaf == "", None).when(other, F.concat(F.lit("belongs to "), "_home")).when(tongue, "names the language, not an accent").when(copied, "prompt example copied as a filler").when(hub, "covers most of its parent")
+    why = why.when(general, "says no more than its parent").when(leaf.rlike("[0-9]"), "numeric").when(same, "says no more than its parent").when(closed, F.concat(F.lit("belongs to "), "_closed"))
+    return s.withColumn("refused", why.when(F.col("clips") < min_clips, "seen on one clip").when(one_source, "seen in one source")).select(*nodes, "refused")
 
 
-def build_tree(labels: DataFrame, floor: float, multi: DataFrame, region: Column, identity: list[str]) -> dict[str, DataFrame]:
-    """The chain vote, move, re-parent, support, admit: nodes, refused and members."""
+def build_tree(
+    labels: DataFrame, floor: float, multi: DataFrame, region: Column, identity: list[str], *, names: dict[str, str] | None = None, ancestors: DataFrame | None = None, pruned: list[str] | None = None, vocab: DataFrame | None = None,
+    role: str | None = None, annotator: str = "annotator", expert: str = "expert", **admission,
+) -> dict[str, DataFrame]:
+    """The chain vote, alias, move, re-parent, merge, link, admit over labels (row_id, clip, source, attr, value, leaf, tool, score, seq).
+
+    nodes (attr, value, leaf, clips, sources, chunks, forms, parent: the nearest admitted generic), refused (with the reason), members (node, row_id), canon (attr, value, leaf, canon), links (attr, value,
+    leaf, generic), aliases, moves. Leaves are one where their norm_key is. Experts' leaves are renamed by `names`, then by what the annotator says of the same row (cofire_aliases). A node's rows
+    count for every generic above it. Intermediate tables are written to the shared folder.
+    """
+    from .entity import generic_links, light_canon
+    from .graph import closure
     from .labels import vote_multi, vote_single
 
-    key = ("row_id", "attr")
-    many = multi.filter("multi").select("attr").distinct()
-    one = vote_single(labels.join(F.broadcast(many), "attr", "left_anti"), floor, key).select(*key, "value", "leaf", "tools")
-    all_ = vote_multi(labels.join(F.broadcast(many), "attr", "left_semi"), floor, key)
-    voted = one.unionByName(all_)
-    moved = apply_moves(voted, plan_moves(voted.withColumnRenamed("row_id", "clip"), region, identity), multi, "row_id")
-    rows = labels.select("row_id", "clip", "source").distinct()
-    back = moved.join(rows.hint("merge"), "row_id").join(voted.select("row_id", "attr", F.explode("tools").alias("tool")).distinct().hint("merge"), ["row_id", "attr"], "left").withColumn("tool", F.coalesce("tool", F.lit("moved")))
-    placed = reparent(back)
-    nodes = admit_nodes(node_support(placed))
-    return {"nodes": nodes.filter("refused is null").drop("refused"), "refused": nodes.filter("refused is not null"), "members": members(placed)}
+    key, k = ("row_id", "attr"), X.norm_key(F.col("leaf"))
+    many = multi.filter("multi").select("attr").distinct()  # the schema's attributes
+    one = vote_single(labels.join(F.broadcast(many), "attr", "left_anti"), floor, key, expert, annotator).select(*key, "value", "leaf", "tools")
+    voted = one.unionByName(vote_multi(labels.join(F.broadcast(many), "attr", "left_semi"), floor, key, expert))
+    if pruned:
+        voted = voted.filter(~F.col("attr").isin(pruned))
+    if names:
+        voted = static_alias(voted, names, ~F.array_contains("tools", annotator))
+    aliases = cut(cofire_aliases(labels.join(F.broadcast(many), "attr", "left_semi").select("row_id", "attr", "value", "leaf", "tool"), ancestors, expert, annotator, ("row_id", "attr", "value")))
+    voted = voted.join(aliases.hint("merge"), ["attr", "value", "leaf"], "left").withColumn("leaf", F.coalesce("alias", "leaf")).drop("alias")
+    of = labels.groupBy("row_id").agg(F.min("clip").alias("clip"), F.min("source").alias("source"))
+    voted = cut(voted.groupBy(*key, "value", "leaf").agg(F.array_distinct(F.flatten(F.collect_set("tools"))).alias("tools")).join(of.hint("merge"), "row_id"))
+    moves = cut(plan_moves(voted, region, identity, k, vocab, role))
+    moved = apply_moves(voted, moves, multi, "row_id")
+    tools = voted.select("row_id", F.explode("tools").alias("tool")).groupBy("row_id").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
+    placed = cut(reparent(moved.join(of.hint("merge"), "row_id").join(tools.hint("merge"), "row_id"), k))
+    # merge forms of one name, link specifics to generics
+    leaves = placed.filter("leaf != ''").groupBy("attr", "value", "leaf").agg(F.countDistinct("clip").alias("clips"))
+    canon = cut(light_canon(leaves, k))
+    links = cut(generic_links(canon.select("attr", "value", F.col("canon").alias("leaf")).distinct(), key=k))
+    own = placed.join(canon.hint("merge"), ["attr", "value", "leaf"], "left").select("attr", "value", F.coalesce("canon", F.lit("")).alias("leaf"), "row_id", "clip", "source", "tools")
+    name = lambda leaf: F.to_json(F.struct("attr", "value", F.col(leaf).alias("leaf")))
+    up = closure(links.select(name("leaf").alias("child"), name("generic").alias("parent")))
+    up = up.select(F.from_json("child", "attr string, value string, leaf string").alias("c"), F.from_json("ancestor", "attr string, value string, leaf string").alias("a"), "depth").select("c.*", F.col("a.leaf").alias("up"), "depth")
+    far = own.join(up.hint("merge"), ["attr", "value", "leaf"]).select("attr", "value", F.col("up").alias("leaf"), "row_id", "clip", "source", "tools")
+    every = cut(own.unionByName(far).withColumn("tool", F.explode("tools")).drop("tools"))
+    support = node_support(every)
+    marks = every.groupBy("attr", "value", "leaf").agg(F.bool_or(F.col("tool") == annotator).alias("_an"), F.bool_or(F.col("tool") != annotator).alias("expert"))
+    forms = canon.groupBy("attr", "value", F.col("canon").alias("leaf")).agg(F.array_sort(F.collect_set("leaf")).alias("forms"))
+    support = support.join(marks.hint("merge"), ["attr", "value", "leaf"], "left").join(forms.hint("merge"), ["attr", "value", "leaf"], "left")
+    nodes = cut(admit_nodes(support, expert_only=~F.coalesce("_an", F.lit(False)), region=region, identity=identity, role=role, vocab=vocab, **admission))
+    good = nodes.filter("refused is null")
+    parent = up.join(good.select("attr", "value", F.col("leaf").alias("up")).hint("merge"), ["attr", "value", "up"], "left_semi").groupBy("attr", "value", "leaf").agg(F.min_by("up", F.struct("depth", "up")).alias("parent"))
+    shape = ["attr", "value", "leaf", "clips", "sources", "chunks", F.coalesce("forms", F.array().cast("array<string>")).alias("forms")]
+    return {
+        "nodes": good.join(parent.hint("merge"), ["attr", "value", "leaf"], "left").select(*shape, "parent"), "refused": nodes.filter("refused is not null").select(*shape, "refused"),
+        "members": members(every.join(good.hint("merge"), ["attr", "value", "leaf"], "left_semi")), "canon": canon, "links": links, "aliases": aliases, "moves": moves,
+    }
 
 
 def tree_agreement(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """attr, value, leaf, node_clips, table_clips where the tree and the label table differ."""
+    """attr, value, leaf, node_clips, table_clips where the tree and the label table differ; null where one of them lacks the node."""
     t = node_support(labels).select("attr", "value", "leaf", F.col("clips").alias("table_clips"))
-    j = nodes.select("attr", "value", "leaf", F.col("clips").alias("node_clips")).join(t.hint("merge"), ["attr", "value", "leaf"], "left")
+    j = nodes.select("attr", "value", "leaf", F.col("clips").alias("node_clips")).join(t.hint("merge"), ["attr", "value", "leaf"], "full_outer")
     return j.filter(~F.col("node_clips").eqNullSafe(F.col("table_clips")))
 
 
 def publish_manifest(labels: DataFrame, support: DataFrame) -> DataFrame:
-    """One row: clips, rows, attributes, classes, leaves, refused."""
+    """One row: clips, rows, attributes, classes, leaves, refused, by_source (`source=clips`) and by_reason (`reason=leaves`), both by name."""
+    line = lambda k, n: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(k).cast("string").alias("k"), F.col(n).alias("n")))), lambda x: F.concat(x["k"], F.lit("="), x["n"].cast("string"))), "; ")
     a = labels.agg(F.countDistinct("clip").alias("clips"), F.countDistinct("row_id").alias("n_rows"), F.countDistinct("attr").alias("attributes"))
     b = support.agg(F.count_if(F.col("leaf") == "").alias("classes"), F.count_if((F.col("leaf") != "") & F.col("refused").isNull()).alias("leaves"), F.count_if(F.col("refused").isNotNull()).alias("refused"))
-    return a.join(F.broadcast(b), F.lit(True))
-
-
-def tree_summary(nodes: DataFrame, region: Column) -> DataFrame:
-    """region, attr, classes, leaves with totals (nulls)."""
+    c = labels.groupBy("source").agg(F.countDistinct("clip").alias("n")).agg(line("source", "n").alias("by_source"))  # a row per source
+    d = support.filter("refused is not null").groupBy("refused").agg(F.count("*").alias("n")).agg(line("refused", "n").alias("by_reason"))  # a row per reason
+    out = a
+    for one in (b, c, d):
+        out = out.join(F.broadcast(one), F.lit(True))
+    return out
+
+
+def tree_summary(nodes: DataFrame, region: Column, owner: str | None = None) -> DataFrame:
+    """region, attr, classes, leaves with totals (nulls). With `owner`, a column that orders the trees that nodes come from, an attribute counts in the last tree that has it only."""
+    if owner is not None:
+        nodes = nodes.join(nodes.groupBy("attr").agg(F.max(owner).alias(owner)).hint("merge"), ["attr", owner], "left_semi")
     return nodes.withColumn("region", region).rollup("region", "attr").agg(F.count_if(F.col("leaf") == "").alias("classes"), F.count_if(F.col("leaf") != "").alias("leaves"))
 
 
@@ -158,11 +300,16 @@ def events_to_labels(events: DataFrame, classes: dict[str, str], skip: list[str]
     return e.groupBy("clip", F.coalesce("c", F.lit("other")).alias("value"), F.when(F.col("c").isNull(), F.col("label")).otherwise("").alias("leaf")).agg(F.max("peak").alias("score"))
 
 
-def node_index(tags: DataFrame) -> DataFrame:
-    """name, node: each surface name and the node it stands for, its class's most supported name (ties by name)."""
-    n = tags.groupBy("tag1", "tag2").agg(F.countDistinct("item").alias("n"))
-    best = n.groupBy("tag1").agg(F.min_by("tag2", F.struct(-F.col("n"), "tag2")).alias("node"))
-    return n.select("tag1", F.col("tag2").alias("name")).join(best, "tag1").select("tag1", "name", "node")
+def node_index(leaves: DataFrame) -> DataFrame:
+    """source, name, value, node: the tree nodes that a label of an external vocabulary stands for: the leaf it is the same as, if that is a node of the class, else itself.
+
+    leaves: value, name, source, same_as (null, or a name of the class). A leaf that is the same as another of its class is no node of its own.
+    """
+    known = leaves.select("value", F.col("name").alias("same_as"), F.lit(True).alias("_k")).distinct()
+    l = leaves.join(known.hint("merge"), ["value", "same_as"], "left").withColumn("_own", F.col("_k").isNull())
+    canon = l.filter("_own").select("value", F.col("name").alias("same_as"), F.lit(True).alias("_c")).distinct()
+    l = l.join(canon.hint("merge"), ["value", "same_as"], "left")
+    return l.select("source", "name", "value", F.when(F.col("_c"), F.col("same_as")).otherwise(F.col("name")).alias("node")).distinct()
 
 
 def clean_labels(labels: DataFrame, canon: DataFrame, admitted: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors in a block of the reference side; reference vectors up to which its blocks are broadcast.
-BLOCK, BROADCAST = 4096, 100_000
+#: Vectors in a block; bytes of reference blocks that are broadcast at once (one block at least).
+BLOCK, BROADCAST_BYTES = 4096, 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,7 +23,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-12)))
+    """a over its norm, which is computed once; null if a has a null part."""
+    unit = lambda n: F.transform(a, lambda x: x.cast("double") / F.greatest(n, F.lit(1e-12)))
+    return F.when(~F.exists(a, lambda x: x.isNull()), F.get(F.transform(F.array(norm(a)), unit), F.lit(0)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -37,62 +39,126 @@ def centroids(vectors: DataFrame, group: str = "label", x: str = "embedding") ->
     return c.select(group, l2_normalise(F.col("c")).alias("centroid"))
 
 
-def nearest_centroid(vectors: DataFrame, cents: DataFrame, group: str = "label") -> DataFrame:
-    """vec_id, nearest, cos: the closest of a bounded table of centroids (one per class), which is broadcast."""
-    c = cents.agg(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c"))).alias("cs"))
+def nearest_centroid(vectors: DataFrame, cents: DataFrame, group: str = "label", options: DataFrame | None = None) -> DataFrame:
+    """vec_id, nearest, cos, margin (over the second): the closest of a bounded table of centroids (one per class), which is broadcast; with options (vec_id, group) among an item's options only."""
+    c = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c")))).alias("cs"))
     v = vectors.select("vec_id", l2_normalise(F.col("embedding")).alias("x")).join(F.broadcast(c), F.lit(True))
-    best = F.array_min(F.transform("cs", lambda s: F.struct((-dot(F.col("x"), s["c"])).alias("d"), s["g"].alias("g"))))
-    return v.withColumn("b", best).select("vec_id", F.col("b.g").alias("nearest"), (-F.col("b.d")).alias("cos"))
+    if options is not None:
+        o = options.groupBy("vec_id").agg(F.collect_set(group).alias("_o"))
+        v = v.join(o.hint("merge"), "vec_id").withColumn("cs", F.filter("cs", lambda s: F.array_contains("_o", s["g"])))
+    best = F.array_sort(F.transform("cs", lambda s: F.struct((-dot(F.col("x"), s["c"])).alias("d"), s["g"].alias("g"))))
+    v = v.select("vec_id", F.slice(best, 1, 2).alias("b")).filter(F.size("b") > 0)
+    first, second = F.col("b")[0], F.get("b", F.lit(1))
+    return v.select("vec_id", first["g"].alias("nearest"), (-first["d"]).alias("cos"), (second["d"] - first["d"]).alias("margin"))
 
 
-def group_separation(vectors: DataFrame, cents: DataFrame, group: str = "label") -> DataFrame:
-    """group, inside, outside, separation: the mean cosine of members to their own centroid, and to the others'."""
-    c = cents.agg(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c"))).alias("cs"))
-    v = vectors.select(group, l2_normalise(F.col("embedding")).alias("x")).join(F.broadcast(c), F.lit(True))
-    s = v.select(group, F.explode(F.transform("cs", lambda s: F.struct((s["g"] == F.col(group)).alias("own"), dot(F.col("x"), s["c"]).alias("cos")))).alias("s"))
-    g = s.groupBy(group).agg(F.avg(F.when(F.col("s.own"), F.col("s.cos"))).alias("inside"), F.avg(F.when(~F.col("s.own"), F.col("s.cos"))).alias("outside"))
-    return g.withColumn("separation", F.col("inside") - F.col("outside"))
+def group_separation(cents: DataFrame, by: tuple[str, ...] = ("cls",)) -> DataFrame:
+    """by, grp, inside, outside, separation: the mean cosine between a group's leaves, less that to the class's other leaves. cents: by, grp (null: no group), leaf, centroid (unit vector).
+
+    Sums of vectors give both means, so no pairs are made. Groups of one leaf have no inside, classes without other leaves no outside.
+    """
+    e = cents.select(*by, "grp", F.posexplode("centroid").alias("d", "v"))
+    own = e.groupBy(*by, "grp", "d").agg(F.sum("v").alias("s"), F.count("*").alias("m"))
+    all_ = e.groupBy(*by, "d").agg(F.sum("v").alias("t"), F.count("*").alias("n"))
+    j = own.filter("grp is not null").join(all_.hint("merge"), [*by, "d"])
+    g = j.groupBy(*by, "grp").agg(F.max("m").alias("m"), F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * (F.col("t") - F.col("s"))).alias("so"))
+    inside = F.when(F.col("m") > 1, (F.col("ss") - F.col("m")) / (F.col("m") * (F.col("m") - 1)))
+    outside = F.when(F.col("n") > F.col("m"), F.col("so") / (F.col("m") * (F.col("n") - F.col("m"))))
+    return g.select(*by, "grp", inside.alias("inside"), outside.alias("outside"), (inside - outside).alias("separation"))
+
+
+def _matrix(rows: list) -> np.ndarray:
+    """Vectors as rows; one that ends early has zeros there."""
+    x = np.zeros((len(rows), max(map(len, rows), default=0)), "<f8")
+    for i, v in enumerate(rows):
+        x[i, : len(v)] = v
+    return x
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, BLOCK):
             b = batch.slice(lo, BLOCK)
-            x = np.array(b.column("x").to_pylist(), "<f8")
+            x = _matrix(b.column("x").to_pylist())
             ids = np.array(b.column("vec_id").to_pylist(), "<i8")
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()])], ["ids", "m"])
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
             ids, ref = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["r_ids"], "<i8")
             x, y = np.frombuffer(r["m"], "<f8").reshape(len(ids), -1), np.frombuffer(r["r_m"], "<f8").reshape(len(ref), -1)
+            d = min(x.shape[1], y.shape[1])
             by = np.argsort(ref, kind="stable")
-            s = x @ y[by].T
+            s = x[:, :d] @ y[by, :d].T
             at = s.argmax(1)
-            rows += zip(ids.tolist(), ref[by][at].tolist(), s[np.arange(len(ids)), at].tolist(), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["vec_id", "ref_id", "cos"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ref[by][at]), pa.array(s[np.arange(len(ids)), at])], ["vec_id", "ref_id", "cos"])
 
 
-def pairwise_top1(vectors: DataFrame, refs: DataFrame) -> DataFrame:
-    """vec_id, ref_id, cos: the closest reference vector of each row, exactly, ties to the smaller id.
+def pairwise_top1(vectors: DataFrame, refs: DataFrame, group_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """vec_id, ref_id, cos: the closest reference vector of each row, exactly, ties to the smaller id. Vectors that are null or have a null part, and rows with a null id, take no part.
 
-    Both sides are packed into blocks; each pair of blocks is one matrix product, of which one row per vector is left. The reference blocks are broadcast up to BROADCAST vectors, else
-    joined by a shuffle on the block's number.
+    Both sides are packed into blocks; each pair of blocks is one matrix product, of which one row per vector is left. Reference blocks are broadcast in groups of bounded bytes, a pass over the
+    rows for each group.
     """
-    prep = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), l2_normalise(F.col("embedding")).alias("x")).filter("x is not null")
-    n = refs.count()
+    prep = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), l2_normalise(F.col("embedding")).alias("x")).filter("vec_id is not null and x is not null")
+    n, dim = prep(refs).agg(F.count("*"), F.max(F.size("x"))).first()
     blocks = max(1, -(-n // BLOCK))
-    r = prep(refs).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "b").drop("b").mapInArrow(_packed, "ids binary, m binary")
-    r = r.select(F.col("ids").alias("r_ids"), F.col("m").alias("r_m"), F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int").alias("b"))
-    v = prep(vectors).mapInArrow(_packed, "ids binary, m binary").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = v.join(F.broadcast(r) if n <= BROADCAST else r.hint("merge"), "b").select("ids", "m", "r_ids", "r_m")
-    best = both.mapInArrow(_best, "vec_id long, ref_id long, cos double")
+    each = max(1, group_bytes // (BLOCK * 8 * max(1, dim or 1)))  # blocks in a group
+    r = prep(refs).withColumn("b", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int"))
+    v = prep(vectors).mapInArrow(_packed, "ids binary, m binary")
+
+    def found(lo: int) -> DataFrame:
+        hi = min(lo + each, blocks)
+        part = r.filter(F.col("b").between(lo, hi - 1)).repartition(hi - lo, "b").drop("b").mapInArrow(_packed, "ids binary, m binary")
+        part = part.select(F.col("ids").alias("r_ids"), F.col("m").alias("r_m"), F.pmod(F.xxhash64("ids"), F.lit(hi - lo)).cast("int").alias("b"))
+        both = v.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(hi - lo - 1)))).join(F.broadcast(part), "b").select("ids", "m", "r_ids", "r_m")
+        return both.mapInArrow(_best, "vec_id long, ref_id long, cos double")
+
+    best = found(0)
+    for lo in range(each, blocks, each):
+        best = best.unionByName(found(lo))
     return best.groupBy("vec_id").agg(F.min_by(F.struct("ref_id", "cos"), F.struct(-F.col("cos"), "ref_id")).alias("b")).select("vec_id", "b.ref_id", "b.cos")
 
 
+def _similar(near: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                q, x = r["q"], r["o"]
+                m, o = _matrix([v["x"] for v in q]), _matrix([v["x"] for v in x])
+                d = min(m.shape[1], o.shape[1])
+                s = m[:, :d] @ o[:, :d].T
+                a, b = np.nonzero(s >= near)
+                rows = [(k, q[i]["id"], x[j]["id"], float(s[i, j])) for k, i, j in zip([r["k"]] * len(a), a.tolist(), b.tolist(), strict=True) if q[i]["id"] < x[j]["id"]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], ["k", "a", "b", "cos"])
+
+    return run
+
+
+def pairs_within(vectors: DataFrame, by: tuple[str, ...], near: float, block: int = 512) -> DataFrame:
+    """by, a, b, cos: pairs of a group's vectors at cosine >= near, a < b. vectors: by, id (string), x (unit vector).
+
+    A group is cut into blocks of about `block`; pairs of blocks are made as numbers first and each fetches its rows by the block's own key, so no key holds a whole group. Only similar pairs leave a block.
+    """
+    from ..workers import cut
+
+    kinds = dict(vectors.dtypes)
+    v = vectors.filter("x is not null and id is not null").withColumn("k", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    n = v.groupBy("k").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    v = v.join(n.hint("merge"), "k").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    packed = cut(v.groupBy("k", "b").agg(F.collect_list(F.struct("id", "x")).alias("q")))
+    one, two = packed.select("k", "b"), packed.select("k", F.col("b").alias("c"))
+    pairs = cut(one.join(two.hint("merge"), "k"))
+    both = pairs.join(packed.hint("merge"), ["k", "b"]).join(packed.select("k", F.col("b").alias("c"), F.col("q").alias("o")).hint("merge"), ["k", "c"]).select("k", "q", "o")
+    out = both.mapInArrow(_similar(near), "k string, a string, b string, cos double")
+    shape = ", ".join(f"{c} {kinds[c]}" for c in by)
+    return out.withColumn("k", F.from_json("k", shape)).select(*[F.col(f"k.{c}").alias(c) for c in by], "a", "b", "cos")
+
+
 def containment_filter(cands: DataFrame, evals: DataFrame, tau: float) -> DataFrame:
     """Candidates whose best cosine to an evaluation vector stays below tau."""
     near = pairwise_top1(cands, evals).filter(F.col("cos") >= tau).select("vec_id")
@@ -116,15 +182,23 @@ def capped_selection(items: DataFrame, group: str, k: int, order: list[Column])
     return items.withColumn("rank", r).filter(F.col("rank") <= k)
 
 
+def disjoint_sides(items: DataFrame, key: str) -> DataFrame:
+    """items (with `side`), after a check that no `key` lies on several sides."""
+    both = items.groupBy(key).agg(F.countDistinct("side").alias("n")).filter("n > 1").limit(1).count()
+    if both:
+        raise ValueError(f"{key} on several sides")
+    return items
+
+
 def hash_order(seed: int, *keys: str) -> Column:
     """A fixed pseudo-random order of rows: the MD5 of seed and keys."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
-def distractors(items: DataFrame, n: int = 3, seed: int = 7, buckets: int = 64) -> DataFrame:
+def distractors(items: DataFrame, n: int = 3, seed: int = 7) -> DataFrame:
     """id, other: n other names for each item, of the same genus first, then of the same group, in hashed order.
 
-    Each item meets the least `buckets` names of its genus and of its group by hash (a bounded list by construction of the order), not the whole group.
+    Each item meets the n + 1 least names of its genus and of its group by hash, not the whole group; so the items of a group share their distractors, but for their own names.
     """
     name = lambda by: items.select(by, "gold_name").distinct().withColumn("h", hash_order(seed, "gold_name"))
 

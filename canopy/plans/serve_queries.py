@@ -13,6 +13,10 @@ from .catalog import query
 P = "pr as (select *, exp(logit - m) / sum(exp(logit - m)) over (partition by vec_id) p from (select *, max(logit) over (partition by vec_id) m from logits)), pd as (select vec_id, gold, arg_min(k, (-logit, k)) pred from logits group by 1,2)"
 
 
+NV = "nv as (select vec_id, label, side, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) x from vectors)"
+CEN = f"{NV}, dm as (select label, unnest(range(1, 65)) d, x from nv), mv as (select label, d, avg(x[d]) v from dm group by 1,2), cl as (select label, list(v order by d) c from mv group by 1), cn as (select label, list_transform(c, lambda z: z / sqrt(list_inner_product(c, c))) c from cl)"
+
+
 def _r(df, *cols, n=6):
     return df.withColumns({c: F.round(c, n) for c in cols})
 
@@ -21,9 +25,10 @@ def _p(logits):
     return M.softmax(logits, ("vec_id",))
 
 
-@query("class_metrics", "logits", sql=f"with {P}, c as (select gold, count(*) n, sum(case when gold = pred then 1 else 0 end) hit from pd group by 1) select sum(n)::bigint n, round(sum(hit)::double / sum(n), 6) accuracy, round(avg(hit::double / n), 6) balanced, round(max(n)::double / sum(n), 6) majority from c")
+@query("class_metrics", "logits", sql=f"with {P}, x as (select *, 'all' part from pd union all select *, case when vec_id % 3 = 0 then 'first' else 'other' end from pd), c as (select part, gold, count(*) n, sum(case when gold = pred then 1 else 0 end) hit from x group by 1,2), k as (select part, count(distinct vec_id % 50) clips from x group by 1) select part, sum(n)::bigint n, any_value(clips) clips, round(sum(hit)::double / sum(n), 6) accuracy, round(avg(hit::double / n), 6) balanced, round(max(n)::double / sum(n), 6) majority from c join k using (part) group by 1")
 def class_metrics(logits):
-    return _r(M.class_metrics(M.predictions(logits)), "accuracy", "balanced", "majority")
+    p = M.predictions(logits).withColumns({"clip": F.col("vec_id") % 50, "first": F.col("vec_id") % 3 == 0})
+    return _r(M.split_metrics(p), "accuracy", "balanced", "majority")
 
 
 @query("skill_score", "logits", sql=f"with {P}, c as (select gold, count(*) n, sum(case when gold = pred then 1 else 0 end) hit from pd group by 1) select round(avg(hit::double / n), 6) balanced, round((avg(hit::double / n) - 0.1) / 0.9, 6) skill from c")
@@ -115,14 +120,19 @@ def select_template(letters):
     return _r(M.select_template(letters.select(F.col("k").alias("template"), F.col("grp").alias("benchmark"), F.col("ours").alias("score"))), "mean")
 
 
-@query("items_summary", "items", sql="with c as (select genus, grp, count(*) n from items group by 1,2) select genus, sum(n)::bigint n_items, count(*) n_groups, max(n) largest from c group by 1")
+@query("items_summary", "items", sql="with c as (select genus, grp, count(*) n from items group by 1,2), k as (select genus, count(distinct gold_name) n_clips from items group by 1) select genus, sum(n)::bigint n_items, any_value(n_clips) n_clips, string_agg(grp || '=' || cast(n as varchar), ', ' order by grp) groups from c join k using (genus) group by 1")
 def items_summary(items):
-    return M.items_summary(items, "genus", "grp")
+    return M.items_summary(items, "genus", "grp", "gold_name")
+
 
+PROBE = "od as (select vec_id, gold, arg_min(k, (-logit, k)) pred from logits where k = gold or k % 3 = vec_id % 3 group by 1,2)"
 
-@query("probe_metrics", "logits", sql=f"with {P} select gold, count(*) n, round(avg(case when gold = pred then 1.0 else 0.0 end), 6) accuracy, round(avg(case when pred = 9 then 1.0 else 0.0 end), 6) abstained from pd group by 1")
-def probe_metrics(logits):
-    return _r(M.probe_metrics(M.predictions(logits), 9), "accuracy", "abstained")
+
+@query("probe_metrics", "logits", "vectors", sql=f"with {P}, {PROBE}, {CEN}, ne as (select vec_id, arg_min(cn.label, (-list_inner_product(x, c), cn.label)) nearest from nv, cn group by 1) select pd.gold, count(*) n, round(avg(case when pd.gold = pd.pred then 1.0 else 0.0 end), 6) accuracy, round(avg(case when pd.gold = od.pred then 1.0 else 0.0 end), 6) restricted, round(avg(case when pd.pred = 9 then 1.0 else 0.0 end), 6) abstained, round(avg(case when pd.gold = nearest then 1.0 else 0.0 end), 6) centroid from pd left join od on od.vec_id = pd.vec_id left join ne on ne.vec_id = pd.vec_id group by 1")
+def probe_metrics(logits, vectors):
+    options = logits.filter("k = gold or k % 3 = vec_id % 3").select("vec_id", "k")
+    near = V.nearest_centroid(vectors, V.centroids(vectors))
+    return _r(M.probe_metrics(logits, options, near, 9), "accuracy", "restricted", "abstained", "centroid")
 
 
 @query("dev_shot_split", "letters", sql="select id, case when r <= 100 then 'select' when r <= 103 then 'shots' else 'test' end part from (select id, row_number() over (order by id) r from (select distinct id from letters))")
@@ -144,9 +154,11 @@ def region_gate(logits):
     return S.region_gate(logits.select((F.col("vec_id") % 50).alias("clip"), F.col("vec_id").alias("row_id"), F.col("k").alias("region"), "logit"))
 
 
-@query("decide_single", "logits", sql="with z as (select vec_id % 50 clip, vec_id, k as value, logit / 0.5 z from logits), l as (select *, z - ln(sum(exp(z)) over (partition by clip, vec_id)) lp from z), c as (select clip, value, exp(avg(lp)) p from l group by 1,2), b as (select clip, arg_min(value, (-p, value)) as value, max(p) p from c group by 1) select clip, value, round(p, 6) p from b where p >= 0.11")
+@query("decide_single", "logits", sql="with z as (select vec_id % 50 clip, vec_id, k as value, logit / 0.5 z from logits), l as (select *, z - ln(sum(exp(z)) over (partition by clip, vec_id)) lp from z), c as (select clip, value, exp(avg(lp)) p from l group by 1,2), b as (select clip, arg_min(value, (-p, value)) as value, max(p) p from c group by 1), f as (select vec_id % 50 clip, k as value, 'n' || cast(gold as varchar) as leaf, avg(exp(logit) / (1 + exp(logit))) p from logits group by 1,2,3), t as (select clip, value, arg_min(leaf, (-p, leaf)) as leaf, max(p) p from f group by 1,2) select b.clip, b.value, round(b.p, 6) p, case when t.p >= 0.52 then t.leaf else '' end as leaf from b left join t on t.clip = b.clip and t.value = b.value where b.p >= 0.11")
 def decide_single(logits):
-    return _r(S.decide_single(logits.select((F.col("vec_id") % 50).alias("clip"), F.col("vec_id").alias("row_id"), F.col("k").alias("value"), "logit"), 0.5, 0.11), "p")
+    s = logits.select((F.col("vec_id") % 50).alias("clip"), F.col("vec_id").alias("row_id"), F.col("k").alias("value"), "logit", "gold")
+    leaves = s.groupBy("clip", "value", F.concat(F.lit("n"), F.col("gold").cast("string")).alias("leaf")).agg(F.avg(F.exp("logit") / (1 + F.exp("logit"))).alias("p"))
+    return _r(S.decide_single(s.drop("gold"), 0.5, 0.11, leaves=leaves, leaf_at=0.52), "p")
 
 
 LEAF = "lf as (select vec_id, k % 5 as value, k, exp(logit) / sum(exp(logit)) over (partition by vec_id, k % 5) p from logits), tl as (select vec_id, value, k, p, row_number() over (partition by vec_id, value order by p desc, k) r from lf)"
@@ -190,11 +202,12 @@ def best_leaf(logits):
     return S.best_leaf(_p(logits), 0.12, ("vec_id",))
 
 
-@query("sound_identity", "logits", sql=f"with {P}, w as (select distinct vec_id % 40 clip, vec_id row_id, vec_id % 7 = 0 open from logits), u as (select clip, row_id from (select *, max(case when open then 1 else 0 end) over (partition by clip) a from w) where open or a = 0), m as (select u.clip, k as value, max(p) p from pr join u on pr.vec_id = u.row_id group by 1,2 having max(p) >= 0.11), r as (select *, row_number() over (partition by clip order by p desc, value) r from m) select clip, value, round(p, 6) p from r where r <= 2")
+@query("sound_identity", "logits", sql=f"with {P}, w as (select distinct vec_id % 40 clip, vec_id row_id, vec_id % 7 = 0 open from logits), u as (select clip, row_id from (select *, max(case when open then 1 else 0 end) over (partition by clip) a from w) where open or a = 0), m as (select u.clip, k % 5 as value, case when k >= 5 then 'l' || cast(k as varchar) else '' end as leaf, max(p) p from pr join u on pr.vec_id = u.row_id group by 1,2,3 having max(p) >= 0.115), c as (select * from (select *, row_number() over (partition by clip order by p desc, value) r from m where leaf = '') where r <= 2), f as (select m.* from m join c on c.clip = m.clip and c.value = m.value where m.leaf <> '') select clip, value, leaf, round(p, 6) p from f union all select clip, value, leaf, round(p, 6) from c where not exists (select 1 from f where f.clip = c.clip and f.value = c.value)")
 def sound_identity(logits):
-    s = _p(logits).select((F.col("vec_id") % 40).alias("clip"), F.col("vec_id").alias("row_id"), F.col("k").alias("value"), "p")
+    leaf = F.when(F.col("k") >= 5, F.concat(F.lit("l"), F.col("k").cast("string"))).otherwise("")
+    s = _p(logits).select((F.col("vec_id") % 40).alias("clip"), F.col("vec_id").alias("row_id"), (F.col("k") % 5).alias("value"), leaf.alias("leaf"), "p")
     w = logits.select((F.col("vec_id") % 40).alias("clip"), F.col("vec_id").alias("row_id"), (F.col("vec_id") % 7 == 0).alias("open")).distinct()
-    return _r(S.sound_identity(s, w, 0.11), "p")
+    return _r(S.sound_identity(s, w, 0.115), "p")
 
 
 @query("threshold_heads", "logits", sql=f"with {P}, b as (select vec_id clip, k % 2 head, arg_min(k, (-p, k)) as value, max(p) p from pr where vec_id % 3 = 0 group by 1,2) select clip, head, value, round(p, 6) p from b where p >= 0.13")
@@ -215,9 +228,11 @@ def transcript_override(label_rows, qa):
     return S.transcript_override(label_rows.select("clip", "attr", "value").distinct(), h, "Brand#11")
 
 
-@query("question_fallback", "letters", sql="select grp clip, bool_or(ours >= 0.3) asked from letters group by 1")
+@query("question_fallback", "letters", sql="with a as (select grp clip, bool_or(ours >= 0.3) asked from letters group by 1), i as (select id, grp clip, max(ours) s from letters group by 1,2), n as (select distinct grp clip, k node, k % 2 = 1 fb from letters) select i.id, node, asked from i join n on n.clip = i.clip join a on a.clip = i.clip where not fb or s >= 0.3")
 def question_fallback(letters):
-    return S.question_fallback(letters.select(F.col("grp").alias("clip"), F.col("ours").alias("score")), 0.3)
+    items = letters.select("id", F.col("grp").alias("clip"), F.col("ours").alias("score"))
+    nodes = letters.select(F.col("grp").alias("clip"), F.col("k").alias("node"), (F.col("k") % 2 == 1).alias("fallback")).distinct()
+    return S.item_nodes(items, nodes, 0.3).join(S.question_fallback(items, 0.3).hint("merge"), "clip").select("id", "node", "asked")
 
 
 @query("owner_resolution", "label_rows", sql="select clip, attr, arg_max(value, (seq, value)) as value from label_rows group by 1,2")
@@ -231,59 +246,119 @@ def joint_probability(logits):
     return _r(S.joint_probability(s), "joint", n=8)
 
 
-@query("trace_order", "spans", sql="select span_id, row_number() over (partition by clip order by case when label <> 'click' then 1 else 0 end, label, t0, span_id) seq from spans where span_id % 3 = 0")
+@query("trace_order", "spans", sql="select span_id, row_number() over (partition by clip order by case when label <> 'click' then 1 else 0 end, label, t0, span_id) seq from spans")
 def trace_order(spans):
-    s = spans.filter("span_id % 3 = 0").select("span_id", "clip", F.when(F.col("label") == "click", "clip").otherwise(F.col("label")).alias("grid"), (F.col("t0") + F.col("span_id") / 1e9).alias("t0"))
+    s = spans.select("span_id", "clip", F.when(F.col("label") == "click", "clip").otherwise(F.col("label")).alias("grid"), (F.col("t0") + F.col("span_id") / 1e9).alias("t0"))
     return S.trace_order(s).select("span_id", "seq")
 
 
-@query("label_text", "label_rows", sql="select row_id, case when leaf <> '' then value || ' (' || leaf || ')' else value end s from label_rows")
+@query("label_text", "label_rows", sql="select row_id, replace(lower(attr), '#', ' ') h, case when x <> '' and x <> value then value || ' (' || x || ')' else value end s from (select *, case seq % 3 when 0 then '' when 1 then value else leaf end x from label_rows)")
 def label_text(label_rows):
-    return label_rows.select("row_id", S.label_text().alias("s"))
+    x = label_rows.withColumns({"leaf": F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, F.col("value")).otherwise(F.col("leaf")), "attr": F.replace(F.lower("attr"), F.lit("#"), F.when(F.col("seq") % 2 == 0, ".").otherwise("_"))})
+    return x.select("row_id", S.clause_head().alias("h"), S.label_text().alias("s"))
 
 
-LINES = "n as (select clip, attr, value || ' (' || leaf || ')' s, min(seq) seq from label_rows where clip % 10 = 0 group by 1,2,3), a as (select clip, attr, min(seq) q, attr || ': ' || string_agg(s, ', ' order by seq, s) s from n group by 1,2), ln as (select clip, substr(string_agg(s, '; ' order by case when attr = 'Brand#11' then 1 else 0 end, q, attr), 1, 2400) as line from a group by 1)"
+NODES = "sv as (select clip, 'speech.' || replace(lower(attr), '#', '_') attr, value, leaf, seq from label_rows), n as (select clip, attr, value || ' (' || leaf || ')' s, min(seq) seq from sv group by 1,2,3), a as (select clip, attr, min(seq) q, replace(replace(attr, '.', ' '), '_', ' ') || ': ' || string_agg(s, ', ' order by seq, s) s from n group by 1,2)"
+JOINED = "mn as (select clip, trim(substr(coalesce(string_agg(s, '; ' order by q, attr) filter (where attr <> 'speech.brand_11'), ''), 1, 150)) m, coalesce(string_agg(s, '; ' order by q, attr) filter (where attr = 'speech.brand_11'), '') d from a group by 1), ln as (select clip, case when d = '' then m when m = '' then d else m || '; ' || d end as line from mn)"
+TEN = "speech.brand_11"
 
 
-def _line(label_rows):
-    return S.nodes_line(label_rows.filter("clip % 10 = 0"), ("Brand#11",))
+def _served(label_rows):
+    return label_rows.withColumn("attr", F.concat(F.lit("speech."), F.replace(F.lower("attr"), F.lit("#"), F.lit("_"))))
 
 
-@query("nodes_line", "label_rows", sql=f"with {LINES} select * from ln")
+@query("nodes_line", "label_rows", sql=f"with {NODES}, {JOINED} select * from ln")
 def nodes_line(label_rows):
-    return _line(label_rows)
+    return S.nodes_line(_served(label_rows), (TEN,), 150)
 
 
-@query("drop_clauses", "label_rows", sql=f"with {LINES} select clip, coalesce(string_agg(s, '; ' order by case when attr = 'Brand#11' then 1 else 0 end, q, attr) filter (where attr <> 'Brand#12'), '') as line from a group by 1")
+@query("drop_clauses", "label_rows", sql=f"with {NODES} select clip, case when count(*) filter (where attr <> 'speech.brand_12') = 0 then '' else string_agg(s, '; ' order by q, attr) filter (where attr <> 'speech.brand_12') || case when clip % 2 = 0 then '.' else '' end end as line from a group by 1")
 def drop_clauses(label_rows):
-    return S.drop_clauses(_line(label_rows), ["Brand#12"])
+    line = S.nodes_line(_served(label_rows)).withColumn("line", F.concat("line", F.when(F.col("clip") % 2 == 0, ".").otherwise("")))
+    return S.drop_clauses(line, ["speech.brand_12"])
 
 
-@query("render_context", "label_rows", "qa", sql=f"with {LINES}, x as (select conv_id clip, max(text) tx from qa group by 1) select ln.clip, 'Nodes: ' || line || chr(10) || 'Timeline: ' || substr(line, 1, 20) || coalesce(chr(10) || 'Transcript: ' || tx, '') context from ln left join x on ln.clip = x.clip")
+@query("render_context", "label_rows", "qa", sql=f"with {NODES}, {JOINED}, ng as (select clip, line || case clip % 4 when 0 then '; music vocals: no vocals, male' when 1 then '; music vocals: no vocals' when 2 then '; speech present' else '.' end as line from ln), tl as (select clip, substr(line, 1, 20) t from ln where clip % 3 > 0), x as (select conv_id clip, max(text) tx from qa group by 1), c as (select coalesce(ng.clip, x.clip) clip, line, t, tx from ng left join tl on tl.clip = ng.clip full join x on x.clip = ng.clip), h as (select clip, tx, 'Audio analysis of the recording:' || coalesce(chr(10) || 'Audio graph nodes matched to this recording: ' || line || case when line like '%.' then '' else '.' end, '') || coalesce(chr(10) || trim(t) || '.', '') h from c), f as (select clip, tx, h, h || coalesce(chr(10) || 'Transcript: \"' || tx || '\"', '') f from h) select clip, case when tx is not null and not (f like '%speech present%' or f like '%music vocals: no vocals, male%') then h else f || chr(10) || chr(10) end context from f")
 def render_context(label_rows, qa):
-    n = _line(label_rows)
-    return S.render_context(n, n, qa.groupBy(F.col("conv_id").alias("clip")).agg(F.max("text").alias("text")), 20)
+    n = S.nodes_line(_served(label_rows), (TEN,), 150)
+    more = F.get(F.array(F.lit("; music vocals: no vocals, male"), F.lit("; music vocals: no vocals"), F.lit("; speech present"), F.lit(".")), (F.col("clip") % 4).cast("int"))
+    return S.render_context(n.withColumn("line", F.concat("line", more)), n.filter("clip % 3 > 0"), qa.groupBy(F.col("conv_id").alias("clip")).agg(F.max("text").alias("text")), 20)
 
 
-@query("prompt_text", "items", sql="select id, 'Question: ' || gold_name || chr(10) || '(a) ' || genus || chr(10) || '(b) ' || grp || chr(10) || 'Answer:' prompt from items")
-def prompt_text(items):
-    o = items.select("id", F.lit("a").alias("letter"), F.col("genus").alias("text")).unionByName(items.select("id", F.lit("b").alias("letter"), F.col("grp").alias("text")))
-    return S.prompt_text(items.select("id", F.col("gold_name").alias("question")), o)
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+ASKED = "q as (select id, gold_name || '?' question, '(a) ' || genus || '  (b) ' || grp choices, case when id % 3 = 0 then '' when id % 3 = 1 then null else 'Heard: ' || grp || '.' end context, case when id % 2 = 0 then 'a' else 'b' end gold from items)"
+BODY = f"{_text(S.EXPLAIN)} || chr(10) || chr(10) || case when coalesce(context, '') <> '' then {_text(S.GIVEN)} || context else {_text(S.NOTHING)} end || chr(10) || 'Question: ' || question || chr(10) || choices || chr(10) || chr(10)"
 
 
-@query("route_clips", "logits")
+@query("prompt_text", "items", sql=f"with {ASKED}, s as (select string_agg({BODY} || {_text(S.STRICT + ' ' + S.ASK)} || chr(10) || '(' || gold || ')' || chr(10) || chr(10), '' order by id) w from q where id < 3) select id, 'ours' as template, coalesce(context, '') || question || chr(10) || choices || chr(10) || chr(10) || {_text(S.ASK)} prompt from q union all select id, 'plain', {BODY} || {_text(S.ASK)} from q union all select id, 'strict', {BODY} || {_text(S.STRICT + ' ' + S.ASK)} from q union all select id, 'fewshot', w || {BODY} || {_text(S.STRICT + ' ' + S.ASK)} from q, s")
+def prompt_text(items):
+    from ..functions.text import choices_text
+
+    q = items.select(
+        "id", F.concat("gold_name", F.lit("?")).alias("question"), choices_text(F.array(F.lit("a"), F.lit("b")), F.array("genus", "grp")).alias("choices"),
+        F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 2, F.concat(F.lit("Heard: "), "grp", F.lit("."))).alias("context"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("gold"),
+    )
+    shots = q.filter("id < 3").withColumn("ord", F.col("id"))
+    out = [S.prompt_text(q, t, shots).select("id", F.lit(t).alias("template"), "prompt") for t in S.TEMPLATES]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+ATTRS = [("speech.tone", "speech", False, "clip", False, False, False, 0.5, 0.33, 0.0), ("sound.thing", "sound", True, "local", False, False, False, 1.0, 0.0, 0.55), ("music.mood", "music", False, "local", True, True, False, 1.0, 0.3, 0.0), ("birds.kind", "birds", False, "clip", False, False, True, 1.0, 0.0, 0.0), ("speech.language", "speech", False, "clip", False, False, False, 1.0, 0.0, 0.0)]
+KINDS = "attr string, region string, multi boolean, scope string, late boolean, many boolean, domain boolean, temperature double, floor double, threshold double"
+ATTR_OF = "case when k < 3 then 'speech.tone' when k < 5 then 'sound.thing' when k < 7 then 'music.mood' when k < 9 or vec_id % 2 = 0 then 'birds.kind' end"
+ROUTE = f"""
+l as (select vec_id % 50 clip, vec_id row_id, k, logit, 1 / (1 + exp(-logit)) p, {ATTR_OF} attr, case when k = 9 then 'none' else 'v' || cast(k as varchar) end v from logits),
+g as (select clip, row_id, case k when 1 then 'speech' when 4 then 'sound' else 'music' end region, p from l where k in (1, 4, 6)),
+gm as (select clip, region, avg(p) p from g group by 1,2),
+s as (select clip, row_id, attr, v, logit / case when attr = 'speech.tone' then 0.5 else 1.0 end z, p from l where attr is not null union all select clip, row_id, 'speech.language', 'v' || cast(k as varchar), logit, p from l where k in (0, 2)),
+lp as (select *, z - ln(sum(exp(z)) over (partition by clip, attr, row_id)) lp, case when attr = 'music.mood' then row_id end unit from s where attr <> 'sound.thing'),
+c as (select clip, attr, unit, v, exp(avg(lp)) p from lp group by 1,2,3,4),
+b as (select clip, attr, unit, max(p) filter (where v = 'none') pn, arg_min(v, (-p, v)) v, max(p) p, arg_min(v, (-p, v)) filter (where v <> 'none') ov, max(p) filter (where v <> 'none') op from c group by 1,2,3),
+d as (select clip, attr, unit, pn, case when v = 'none' then ov else v end v, case when v = 'none' then op else p end p from b where not (v = 'none' and coalesce(pn, 0) >= 0.4)),
+e as (select * from d where p >= case attr when 'speech.tone' then 0.33 when 'music.mood' then 0.3 else 0 end),
+rk as (select *, row_number() over (partition by clip, attr, unit order by p desc, v) r from c where attr = 'music.mood'),
+hd as (select clip, repeat('x', clip % 12) tx, 'lang' v, avg(p) p from l where k = 0 group by 1),
+sp as (select hd.* from hd where length(tx) >= 8 and not exists (select 1 from gm where gm.clip = hd.clip and region = 'speech' and gm.p < 0.5)),
+w as (select distinct l.clip, l.row_id, coalesce(g.p >= 0.5, false) open from l left join g on g.row_id = l.row_id and g.region = 'sound'),
+hr as (select w.* from w where exists (select 1 from w z where z.clip = w.clip and z.open) or w.clip % 4 = 0),
+us as (select clip, row_id from (select *, bool_or(open) over (partition by clip) any_ from hr) where open or not any_),
+sn as (select l.clip, l.row_id, 's' || cast(k % 2 as varchar) v, case when k >= 2 then 'l' || cast(k as varchar) else '' end lf, p from l where k < 6),
+sm as (select sn.clip, v, lf, max(p) p from sn join us on us.row_id = sn.row_id group by 1,2,3 having max(p) >= 0.55),
+st as (select * from (select *, row_number() over (partition by clip order by p desc, v) r from sm where lf = '') where r <= 2),
+sl as (select * from (select sm.*, row_number() over (partition by sm.clip, sm.v order by sm.p desc, sm.lf) r from sm join st on st.clip = sm.clip and st.v = sm.v where sm.lf <> '') where r <= 2),
+pr as (select clip, 'music.h' || cast(k % 2 as varchar) h, arg_min('v' || cast(k as varchar), (-p, k)) v, max(p) p from (select clip, k, avg(p) p from l group by 1,2) where clip in (select clip from gm where region = 'music' and p >= 0.5) group by 1,2 having max(p) >= 0.5),
+o as (
+  select clip, row_id, 'gate' attr, region v, '' lf, p, 1 stage from g where p >= 0.5 union all select clip, null, 'gate', region, '', p, 1 from gm where p >= 0.5
+  union all select clip, null, attr, v, '', p, 2 from e where attr in ('speech.tone', 'speech.language') and clip not in (select clip from gm where region = 'speech' and p < 0.5) and not (attr = 'speech.language' and clip in (select clip from sp))
+  union all select s.clip, s.row_id, attr, v, '', s.p, 2 from s join g on g.row_id = s.row_id and g.region = 'sound' and g.p >= 0.5 where attr = 'sound.thing' and s.p >= 0.55 and s.clip not in (select clip from gm where region = 'sound' and p < 0.5)
+  union all select clip, null, 'speech.language', v, '', p, 3 from sp where p >= 0.5
+  union all select clip, null, h, v, '', p, 4 from pr
+  union all select clip, null, 'sound.event', v, lf, p, 5 from sl union all select clip, null, 'sound.event', v, '', p, 5 from st where not exists (select 1 from sl where sl.clip = st.clip and sl.v = st.v)
+  union all select rk.clip, rk.unit, rk.attr, rk.v, '', rk.p, 7 from rk join e on e.clip = rk.clip and e.attr = rk.attr and e.unit = rk.unit join g on g.row_id = rk.unit and g.region = 'music' and g.p >= 0.5 where r <= 3 and (r = 1 or rk.p >= 0.45) and rk.clip not in (select clip from gm where region = 'music' and p < 0.5)
+  union all select clip, null, attr, v, '', p, 8 from e where attr = 'birds.kind')
+select clip, row_id, attr, v as value, lf as leaf, round(p, 6) p, stage from o"""
+
+
+@query("route_clips", "logits", sql=f"with {ROUTE.strip()}")
 def route_clips(logits):
-    s = logits.select((F.col("vec_id") % 50).alias("clip"), F.col("vec_id").alias("row_id"), "k", "logit")
-    gate = S.region_gate(s.select("clip", "row_id", (F.col("k") % 2).alias("region"), "logit"))
-    single = S.decide_single(s.withColumn("value", F.col("k")), 1.0, 0.05).select("clip", F.lit("a0").alias("attr"), F.col("value").cast("string").alias("value"), F.lit("").alias("leaf"), F.lit(1).alias("seq"))
-    multi = _p(logits).filter("p >= 0.13").select((F.col("vec_id") % 50).alias("clip"), F.lit("a1").alias("attr"), F.col("k").cast("string").alias("value"), F.lit("").alias("leaf"), F.lit(2).alias("seq"))
-    open_ = gate.filter("row_id is null").select("clip").distinct()
-    return S.nodes_line(single.unionByName(multi).join(open_.hint("merge"), "clip", "left_semi"))
+    spark = logits.sparkSession
+    name = F.concat(F.lit("v"), F.col("k").cast("string"))
+    l = logits.select((F.col("vec_id") % 50).alias("clip"), F.col("vec_id").alias("row_id"), "k", "logit", (1 / (1 + F.exp(-F.col("logit")))).alias("p"), F.expr(ATTR_OF).alias("attr"), F.when(F.col("k") == 9, "none").otherwise(name).alias("value"))
+    gate = l.filter("k in (1, 4, 6)").select("clip", "row_id", F.when(F.col("k") == 1, "speech").when(F.col("k") == 4, "sound").otherwise("music").alias("region"), "logit")
+    scores = l.filter("attr is not null").select("clip", "row_id", "attr", "value", "logit").unionByName(l.filter("k in (0, 2)").select("clip", "row_id", F.lit("speech.language").alias("attr"), name.alias("value"), "logit"))
+    heads = l.filter("k = 0").groupBy("clip").agg(F.avg("p").alias("p")).select("clip", F.expr("repeat('x', cast(clip % 12 as int))").alias("text"), F.lit("lang").alias("value"), "p")
+    props = l.groupBy("clip", "k").agg(F.avg("p").alias("p")).select("clip", F.concat(F.lit("music.h"), (F.col("k") % 2).cast("string")).alias("head"), name.alias("value"), "p")
+    sounds = l.filter("k < 6").select("clip", "row_id", F.concat(F.lit("s"), (F.col("k") % 2).cast("string")).alias("value"), F.when(F.col("k") >= 2, F.concat(F.lit("l"), F.col("k").cast("string"))).otherwise("").alias("leaf"), "p")
+    asked = l.select("clip", (F.col("clip") % 4 == 0).alias("asked")).distinct()
+    out = S.route_clips(gate, spark.createDataFrame(ATTRS, KINDS), scores, heads, props, sounds, asked, none_at=0.4, sound_at=0.55, top_at=0.45)
+    return _r(out, "p")
 
 
 # vectors -----------------------------------------------------------------------------------------
 
-NV = "nv as (select vec_id, label, side, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) x from vectors)"
 TOP = f"{NV}, pw as (select c.vec_id, e.vec_id ref_id, list_inner_product(c.x, e.x) s from nv c, nv e where c.side = 'cand' and e.side = 'eval'), t1 as (select vec_id, arg_min(ref_id, (-round(s, 9), ref_id)) ref_id, max(s) cos from pw group by 1)"
 
 
@@ -317,27 +392,38 @@ def few_shot_k(vectors):
     return V.few_shot(*_sides(vectors), 3, 0.3).select("vec_id", "label", "rank")
 
 
-CEN = f"{NV}, dm as (select label, unnest(range(1, 65)) d, x from nv), mv as (select label, d, avg(x[d]) v from dm group by 1,2), cl as (select label, list(v order by d) c from mv group by 1), cn as (select label, list_transform(c, lambda z: z / sqrt(list_inner_product(c, c))) c from cl)"
-
-
 @query("vector_centroids", "vectors", sql=f"with {CEN} select label, round(c[1], 6) first_, round(list_sum(c), 6) total from cn")
 def vector_centroids(vectors):
     return V.centroids(vectors).select("label", F.round(F.element_at("centroid", 1), 6).alias("first_"), F.round(F.aggregate("centroid", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
-@query("nearest_centroid", "vectors", sql=f"with {CEN} select vec_id, arg_max(cn.label, list_inner_product(x, c)) nearest, round(max(list_inner_product(x, c)), 6) cos from nv, cn group by 1")
+@query("nearest_centroid", "vectors", sql=f"with {CEN}, s as (select vec_id, cn.label, list_inner_product(x, c) cos from nv, cn), r as (select *, row_number() over (partition by vec_id order by cos desc, label) r from s), o as (select * from s where label % 3 = vec_id % 3), q as (select *, row_number() over (partition by vec_id order by cos desc, label) r from o) select a.vec_id, a.label nearest, round(a.cos, 6) cos, round(a.cos - b.cos, 6) margin, c.label among from r a join r b on a.vec_id = b.vec_id and a.r = 1 and b.r = 2 join q c on c.vec_id = a.vec_id and c.r = 1")
 def nearest_centroid(vectors):
-    return _r(V.nearest_centroid(vectors, V.centroids(vectors)), "cos")
+    cents = V.centroids(vectors)
+    options = vectors.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("label")).filter("label % 3 = vec_id % 3")
+    among = V.nearest_centroid(vectors, cents, options=options).select("vec_id", F.col("nearest").alias("among"))
+    return _r(V.nearest_centroid(vectors, cents), "cos", "margin").join(among.hint("merge"), "vec_id")
 
 
-@query("group_separation", "vectors", sql=f"with {CEN}, s as (select nv.label, nv.label = cn.label own, list_inner_product(x, c) cos from nv, cn) select label, round(avg(case when own then cos end), 6) inside, round(avg(case when not own then cos end), 6) outside, round(avg(case when own then cos end) - avg(case when not own then cos end), 6) separation from s group by 1")
+@query("group_separation", "vectors", sql="with nv as (select label % 2 cls, label * 10 + vec_id % 4 leaf, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) x from vectors), dm as (select cls, leaf, unnest(range(1, 65)) d, x from nv), mv as (select cls, leaf, d, avg(x[d]) v from dm group by 1,2,3), cl as (select cls, leaf, list(v order by d) c from mv group by 1,2), cn as (select cls, leaf, case when leaf // 10 < 8 then leaf // 10 end grp, list_transform(c, lambda z: z / sqrt(list_inner_product(c, c))) c from cl), s as (select a.cls, a.grp, coalesce(a.grp = b.grp, false) own, list_inner_product(a.c, b.c) cos from cn a join cn b on a.cls = b.cls and a.leaf <> b.leaf where a.grp is not null) select cls, grp, round(avg(case when own then cos end), 6) inside, round(avg(case when not own then cos end), 6) outside, round(avg(case when own then cos end) - avg(case when not own then cos end), 6) separation from s group by 1,2")
 def group_separation(vectors):
-    return _r(V.group_separation(vectors, V.centroids(vectors)), "inside", "outside", "separation")
+    leaf = vectors.withColumn("leaf", F.col("label") * 10 + (F.col("vec_id") % 4).cast("int"))
+    c = V.centroids(leaf, "leaf").withColumns({"cls": F.floor(F.col("leaf") / 10).cast("int") % 2, "grp": F.when(F.floor(F.col("leaf") / 10) < 8, F.floor(F.col("leaf") / 10).cast("int"))})
+    return _r(V.group_separation(c), "inside", "outside", "separation")
+
 
+SIDE = "case when cast(concat('0x', substr(md5(grp), 1, 8)) as bigint) % 2 = 0 then 'eval' else 'pool' end"
 
-@query("capped_eval_selection", "items", sql="select id, genus, rnk as rank from (select *, row_number() over (partition by genus order by quality nulls last, id) as rnk from items) where rnk <= 20")
+
+@query("capped_eval_selection", "items", sql=f"with s as (select *, {SIDE} side from items), r as (select id, genus, side, row_number() over (partition by genus, side order by quality nulls last, id) as rnk from s) select id, genus, side, rnk as rank from r where side = 'pool' or rnk <= 3")
 def capped_eval(items):
-    return V.capped_selection(items, "genus", 20, [F.col("quality").asc_nulls_last(), F.col("id")]).select("id", "genus", "rank")
+    from ..operators.chunks import hash_bucket
+
+    s = items.withColumn("side", F.when(hash_bucket(F.col("grp"), 2) == 0, "eval").otherwise("pool"))
+    order = [F.col("quality").asc_nulls_last(), F.col("id")]
+    eval_ = V.capped_selection(s.filter("side = 'eval'"), "genus", 3, order)
+    pool = V.capped_selection(s.filter("side = 'pool'"), "genus", 2**31 - 1, order)
+    return V.disjoint_sides(eval_.unionByName(pool), "grp").select("id", "genus", "side", "rank")
 
 
 @query("capped_sample", "qa", sql="select conv_id, turn, role from (select *, row_number() over (partition by role order by md5(concat('7:', cast(conv_id as varchar), ':', cast(turn as varchar)))) r from qa) where r <= 20")
@@ -350,10 +436,13 @@ def distractor_items(items):
     return V.distractors(items)
 
 
-@query("domain_training_items", "vectors", sql=f"with {TOP}, r as (select v.vec_id, v.label, row_number() over (partition by v.label order by md5(concat('7:', cast(v.vec_id as varchar)))) as rnk from vectors v join t1 on v.vec_id = t1.vec_id where cos < 0.35) select vec_id, label, rnk as rank from r where rnk <= 5")
+@query("domain_training_items", "vectors", sql=f"with {TOP}, r as (select v.vec_id, v.label, row_number() over (partition by v.label order by md5(concat('7:', cast(v.vec_id as varchar)))) as rnk from vectors v join t1 on v.vec_id = t1.vec_id where cos < 0.35), it as (select * from r where rnk <= 5), nm as (select distinct label, label % 3 fam, 'class ' || cast(label as varchar) n, md5(concat('7:', 'class ' || cast(label as varchar))) h from it), g as (select fam, n, h, row_number() over (partition by fam order by h, n) r from nm), p as (select n, h, row_number() over (order by h, n) r from nm), t as (select vec_id, other, min(tier) tier, min(h) h from (select vec_id, it.label, g.n other, 0 tier, h from it join g on g.fam = it.label % 3 where r <= 4 union all select vec_id, it.label, p.n, 1, h from it, p where r <= 4) where other <> 'class ' || cast(label as varchar) group by 1,2), d as (select *, row_number() over (partition by vec_id order by tier, h, other) k from t), o as (select vec_id, string_agg(other, ', ' order by k) others from d where k <= 3 group by 1) select it.vec_id, label, rnk as rank, others from it join o using (vec_id)")
 def domain_training_items(vectors):
     c, e = _sides(vectors)
-    return V.capped_selection(V.containment_filter(c, e, 0.35), "label", 5, [V.hash_order(7, "vec_id")]).select("vec_id", "label", "rank")
+    t = V.capped_selection(V.containment_filter(c, e, 0.35), "label", 5, [V.hash_order(7, "vec_id")]).select("vec_id", "label", "rank")
+    names = t.select(F.col("vec_id").alias("id"), F.concat(F.lit("class "), F.col("label").cast("string")).alias("gold_name"), (F.col("label") % 3).alias("genus"), F.lit(0).alias("grp"))
+    d = V.distractors(names).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]), ", ").alias("others"))
+    return t.join(d.withColumnRenamed("id", "vec_id").hint("merge"), "vec_id")
 
 
 @query("none_class_rows", "vectors", sql="select vec_id, 'none' as cls, case when r % 10 = 0 then 'test' else 'train' end part from (select vec_id, row_number() over (order by md5(concat('7:', cast(vec_id as varchar)))) r from vectors where label = 9) where r <= 20 union all select vec_id, cast(label as varchar), 'train' from vectors where label < 9")

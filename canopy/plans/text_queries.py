@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,15 +10,17 @@ from ..functions import text as X
 from ..learn import heads as H
 from ..operators import entity as E
 from ..operators import items as Q
+from ..operators import tree as G
 from ..sources import readers as R
 from ..streaming import jobs as J
-from .catalog import query
+from ..workers import shared_folder
+from .catalog import STEMS, query, sql_list
+from .label_queries import SEG
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder where driver and executors can both read: the session's shared one where it is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder where driver and executors can both read."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 # sources -----------------------------------------------------------------------------------------
@@ -118,11 +119,16 @@ def write_table(items):
     return items.sparkSession.read.parquet(at).groupBy("genus").agg(F.count("*").alias("n"))
 
 
-@query("load_items_filtered", "items", sql="select id, genus from items where genus <> 'Brand#11'")
+@query("load_items_filtered", "items", sql="with o as (select id, 'a' k, gold_name t from items union all select id, 'b', grp from items), r as (select *, row_number() over (partition by id order by md5(concat('7:', cast(id as varchar), ':', k))) r from o) select id, genus, chr(cast(96 + r as int)) gold from r join items using (id) where k = 'b' and genus <> 'Brand#11' and id % 5 > 0 and id % 7 > 0")
 def load_items_filtered(items):
     at = _folder(items.sparkSession, "items")
-    items.select("id", "genus", F.col("genus").alias("category"), F.array("gold_name", "grp").alias("choices")).write.parquet(at)
-    return R.read_items(items.sparkSession, at, ["Brand#11"]).select("id", "genus")
+    files = F.when(F.col("id") % 5 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x")))
+    choices = F.when(F.col("id") % 7 == 0, F.array("gold_name")).otherwise(F.array("gold_name", "grp"))
+    items.select("id", "genus", F.col("genus").alias("category"), files.alias("audio_path"), choices.alias("choices"), F.col("grp").alias("answer")).write.parquet(at)
+    kept = R.read_items(items.sparkSession, at, ["Brand#11"])
+    options = Q.with_gold(Q.letter_choices(kept), kept.select("id", "answer"))
+    gold = Q.shuffle_options(options).join(options.select("id", F.col("letter").alias("was"), "gold").hint("merge"), ["id", "was"]).filter("was = gold")
+    return kept.select("id", "genus").join(gold.select("id", F.col("letter").alias("gold")).hint("merge"), "id")
 
 
 @query("load_items_multihop", "items", sql="select id, 'h1' hop, gold_name || '?' question, genus || '|' || grp options from items union all select id, 'h2', grp || '?', grp || '|' || genus from items")
@@ -143,20 +149,31 @@ def _options(items):
 OPT = "o as (select id, 'a' letter, genus text from items union all select id, 'b', gold_name from items union all select id, 'c', grp from items)"
 
 
-@query("load_items_letters", "items", sql=f"with {OPT} select * from o")
+GOLD = "case id % 4 when 0 then '(B) whatever' when 1 then upper(gold_name) when 2 then grp else 'none of these' end"
+
+
+@query("load_items_letters", "items", sql=f"with {OPT}, x as (select id, {GOLD} a from items), g as (select o.id, case when a like '(%' then 'b' else min(letter) filter (where lower(text) = lower(a)) end gold from o join x on x.id = o.id group by o.id, a) select o.id, letter, text, gold from o join g on g.id = o.id")
 def load_items_letters(items):
-    return _options(items)
+    return Q.with_gold(_options(items), items.select("id", F.expr(GOLD).alias("answer")), keep=True)
 
 
-@query("load_items_list", "items", sql=f"with {OPT} select * from o where letter < 'c'")
+@query("load_items_list", "items", sql=f"with {OPT}, x as (select id, {GOLD} a from items), g as (select o.id, case when a like '(%' then 'b' else min(letter) filter (where lower(text) = lower(a)) end gold from o join x on x.id = o.id where letter < 'c' group by o.id, a) select o.id, letter, text, gold from o join g on g.id = o.id where letter < 'c' and gold is not null")
 def load_items_list(items):
-    return Q.letter_choices(items.select("id", F.array("genus", "gold_name").alias("choices")))
+    o = Q.letter_choices(items.select("id", F.array("genus", "gold_name").alias("choices")))
+    return Q.with_gold(o, items.select("id", F.expr(GOLD).alias("answer")))
+
 
+ANSWER = "case id % 6 when 0 then upper(gold_name) when 1 then 'zz ' || grp when 2 then 'nothing of it' when 3 then split_part(gold_name, ' ', 1) || ' ' || split_part(gold_name, ' ', 2) || ' else' when 4 then grp || ' ' || gold_name else gold_name || chr(10) || grp end"
+MATCH = f"""
+w as (select o.id, letter, lower(trim(text)) v, lower(trim(a)) a, contains(a, chr(10)) two from o join (select id, {ANSWER} a from items) x on x.id = o.id),
+f as (select *, v = a same, contains(v, a) or contains(a, v) part, len(list_intersect(list_distinct(regexp_extract_all(a, '[a-z0-9]+')), list_distinct(regexp_extract_all(v, '[a-z0-9]+')))) / greatest(1, len(list_distinct(regexp_extract_all(a, '[a-z0-9]+')))) share from w),
+r as (select *, row_number() over (partition by id order by share desc, letter desc) r, lead(share) over (partition by id order by share desc, letter desc) nxt from f)
+select id, case when not bool_or(two) then coalesce(min(letter) filter (where same), case when count(*) filter (where part) = 1 then min(letter) filter (where part) end, min(letter) filter (where r = 1 and share >= 0.5 and (nxt is null or share - nxt >= 0.2))) end gold from r group by 1"""
 
-@query("match_gold_fuzzy", "items", sql="select id, case when id % 3 = 0 then 'b' when id % 3 = 1 then 'c' end gold from items")
+
+@query("match_gold_fuzzy", "items", sql=f"with {OPT}, {MATCH.strip()}")
 def match_gold(items):
-    a = items.select("id", F.when(F.col("id") % 3 == 0, F.upper("gold_name")).when(F.col("id") % 3 == 1, F.concat(F.lit("zz "), "grp")).otherwise("nothing of it").alias("answer"))
-    return Q.match_gold(a, _options(items))
+    return Q.match_gold(items.select("id", F.expr(ANSWER).alias("answer")), _options(items))
 
 
 @query("shuffle_options", "items", sql=f"with {OPT}, r as (select *, row_number() over (partition by id order by md5(concat('7:', cast(id as varchar), ':', letter))) r from o) select id, chr(cast(96 + r as int)) letter, text, letter was from r")
@@ -178,21 +195,39 @@ def parse_json_answer(forms):
     return j.select("form_id", F.lower(F.element_at("j", "is")).alias("v"), F.element_at("j", "detail").alias("d"))
 
 
-def _space(schema):
-    return schema.filter("length(value) % 3 > 0").select("attr", "value").distinct()
+# answered forms with two fields: kind (one of the classes) and tone (any of four), in all shapes an answer can have
+TONES = ["small", "red", "blue", "hot"]
+ANSWERED = """concat('so: ', chr(123), concat_ws(', ',
+  case form_id % 6 when 0 then concat('"kind": ', chr(123), '"is": "', upper(v), '", "detail": "', d, '"', chr(125)) when 1 then concat('"kind": "', v, ', zzz"') when 2 then '"kind": "unsure"' when 4 then concat('"kind": ["zzz", ', chr(123), '"is": "', v, '", "detail": "Nice 2"', chr(125), ']') when 5 then concat('"kind": ', chr(123), '"is": "none"', chr(125)) end,
+  case form_id % 5 when 0 then concat('"tone": ["small", ', chr(123), '"is": "red", "detail": "dark one"', chr(125), ']') when 1 then '"tone": "red, blue, purple"' when 2 then concat('"tone": [', chr(123), '"is": "small", "detail": "a bit"', chr(125), ', ', chr(123), '"is": "small", "detail": ""', chr(125), ']') when 4 then concat('"tone": ', chr(123), '"is": "unsure", "detail": "x"', chr(125)) end), case when form_id % 11 = 0 then '' else chr(125) end, ' ok')"""
+CLEANED = "regexp_replace(regexp_replace(regexp_replace(replace(string_split_regex(lower(coalesce(t, '')), ' and | with |[,;/]')[1], '_', ' '), '[^a-z'' -]', ' ', 'g'), '\\s+', ' ', 'g'), '^[ ''-]+|[ ''-]+$', '', 'g')"
+VALID = f"""{FORM}, r as (select form_id, regexp_extract({ANSWERED}, '(?s)\\{{.*\\}}', 0) j from f), k as (select form_id, try_cast(j as json) j from r where try_cast(j as json) is not null and j <> ''),
+sp(attr, value) as (select 'kind', v from (select distinct v from f) union all select 'tone', unnest({sql_list(TONES)})),
+fl as (select unnest(['kind', 'tone']) attr), x as (select form_id, attr, json_extract(j, '$.' || attr) a from k, fl),
+el as (select form_id, attr, unnest(case json_type(a) when 'ARRAY' then json_extract(a, '$[*]') else [a] end) e, unnest(range(1, 20)) i from x where a is not null),
+pa as (select form_id, attr, i * 100 i, lower(trim(coalesce(json_extract_string(e, '$.is'), ''))) v, coalesce(json_extract_string(e, '$.detail'), '') t from el where json_type(e) = 'OBJECT' union all select form_id, attr, i * 100 + j, lower(trim(v)), '' from (select form_id, attr, i, unnest(string_split(json_extract_string(e, '$'), ',')) v, unnest(range(1, 20)) j from el where json_type(e) = 'VARCHAR') where trim(v) <> ''),
+pb as (select pa.*, sp.value is not null ok, {CLEANED} c from pa left join sp on sp.attr = pa.attr and sp.value = pa.v where v <> ''),
+pc as (select *, case when c = '' or c in ('unsure', 'none', 'n a') or c = v or regexp_matches(t, '[0-9]') or len(string_split(c, ' ')) > 4 then '' else c end leaf, min(case when ok then i end) over (partition by form_id, attr) mi from pb),
+pd as (select *, max(case when i = mi then v end) over (partition by form_id, attr) v1 from pc),
+vv as (select form_id, attr, list(v order by i) filter (where ok and (attr = 'tone' or i = mi)) vs, list(v || ':' || leaf order by i) filter (where ok and leaf <> '' and (attr = 'tone' or v = v1)) ls, list(v order by i) filter (where not ok and v not in ('unsure', 'none')) off, bool_or(ok) ok, bool_or(v = 'unsure') un from pd group by 1,2)"""
 
 
-VALID = f"{FORM}, s as (select distinct attr, value from schema where length(value) % 3 > 0), w as (select form_id, f.attr, s.value as value, case when s.value is null then '' when len(string_split(lower(d), ' ')) > 4 or lower(d) = s.value or regexp_matches(d, '[0-9]') then '' else lower(d) end as leaf, case when s.value is null then v end off from f left join s on f.attr = s.attr and f.v = s.value)"
+def _forms(forms):
+    x = forms.select("form_id", X.json_object(F.col("raw")).alias("j")).select("form_id", F.lower(F.element_at("j", "is")).alias("v"), F.element_at("j", "detail").alias("d"))
+    kinds = x.select(F.lit("kind").alias("attr"), F.col("v").alias("value"), F.lit(False).alias("multi")).distinct()
+    tones = forms.sparkSession.createDataFrame([("tone", t, True) for t in TONES], "attr string, value string, multi boolean")
+    return Q.validate_forms(x.select("form_id", F.expr(ANSWERED).alias("raw")), kinds.unionByName(tones))
 
 
-@query("validate_form", "forms", "schema", sql=f"with {VALID} select * from w")
-def validate_form(forms, schema):
-    return Q.validate_forms(forms, _space(schema))
+@query("validate_form", "forms", sql=f"with {VALID} select x.form_id, x.attr, case when a is null then 'missing' when ok then 'ok' when un then 'unsure' else 'none' end status, coalesce(array_to_string(vs, ','), '') \"values\", coalesce(array_to_string(ls, ','), '') leaves, coalesce(array_to_string(off, ','), '') off from x left join vv on vv.form_id = x.form_id and vv.attr = x.attr")
+def validate_form(forms):
+    v = _forms(forms)
+    return v.select("form_id", "attr", "status", F.array_join("values", ",").alias("values"), F.array_join(F.transform("leaves", lambda p: F.concat(p["value"], F.lit(":"), p["leaf"])), ",").alias("leaves"), F.array_join("off", ",").alias("off"))
 
 
-@query("form_to_labels", "forms", "schema", sql=f"with {VALID} select form_id, attr, value, leaf from w where value is not null")
-def form_to_labels(forms, schema):
-    return Q.form_labels(Q.validate_forms(forms, _space(schema)))
+@query("form_to_labels", "forms", sql=f"with {VALID}, l as (select form_id, attr, split_part(p, ':', 1) as value, split_part(p, ':', 2) as leaf from (select form_id, attr, unnest(ls) p from vv)), n as (select form_id, attr, v as value, count(*) n from (select form_id, attr, unnest(vs) v from vv) group by 1,2,3), m as (select form_id, attr, value, count(*) m from l group by 1,2,3) select * from l union all select n.form_id, n.attr, n.value, '' from n left join m on m.form_id = n.form_id and m.attr = n.attr and m.value = n.value where n > coalesce(m, 0)")
+def form_to_labels(forms):
+    return Q.form_labels(_forms(forms))
 
 
 @query("music_form_filter", "forms", sql="with l as (select form_id % 50 as k, arg_max(attr, form_id) cls, arg_max(raw, form_id) tx from forms group by 1), n as (select *, count(*) over (partition by cls) n from l where tx not like '%BRASS%') select k as \"key\", cls from n where n >= 2")
@@ -201,10 +236,12 @@ def music_form_filter(forms):
     return Q.form_filter(f, 2, "BRASS").select("key", "cls")
 
 
-@query("parse_verdicts", "items", sql="select id, 1 n, quality % 2 = 0 yes from items union all select id, 2, true from items")
+VERDICT = "case id % 4 when 0 then '1: Yes' || chr(10) || '2) no, not it' || chr(10) || 'maybe 3: yes' when 1 then ' 12. NO' || chr(10) || '7 yes' when 2 then '1: yesterday' || chr(10) || '  2 : no' else gold_name end"
+
+
+@query("parse_verdicts", "items", sql=f"with l as (select id, unnest(string_split({VERDICT}, chr(10))) l from items) select id, cast(regexp_extract(l, '^\\s*(\\d+)', 1) as int) n, lower(regexp_extract(l, '[:.)]\\s*([A-Za-z]+)', 1)) = 'yes' yes from l where regexp_matches(l, '^\\s*\\d+\\s*[:.)]\\s*([Yy][Ee][Ss]|[Nn][Oo])([^A-Za-z0-9_]|$)')")
 def parse_verdicts(items):
-    t = F.concat(F.lit("1: "), F.when(F.col("quality") % 2 == 0, "Yes").otherwise("no"), F.lit("\n2) yes, clearly\nmaybe"))
-    return Q.parse_verdicts(items.select("id", t.alias("text")))
+    return Q.parse_verdicts(items.select("id", F.expr(VERDICT).alias("text")))
 
 
 @query("answer_question_text", "qa", sql="with g as (select conv_id, arg_min(text, turn) filter (where role = 'user') question, trim(arg_max(text, turn) filter (where role <> 'user')) a from qa group by 1) select conv_id, question, list_extract(string_split(regexp_replace(a, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), -1) answer from g")
@@ -217,14 +254,18 @@ def vocabulary_match(text):
     return Q.vocabulary_match(text.select(F.col("doc_id").alias("id"), "text"), ["the", "der", "idiot", "trash"])
 
 
-@query("render_form", "schema", sql="select attr, attr || case when bool_or(multi) then ' (all that apply): ' else ' (one): ' end || string_agg(distinct value, ', ' order by value) as line from schema group by 1")
+@query("render_form", "schema", sql="with s as (select attr, list(value order by value) vs, bool_or(multi) multi, cast(substr(attr, 7) as int) i from (select distinct * from schema) group by 1), l as (select i % 3 region, i, '- \"' || attr || '\"' || case when i % 2 = 0 then case when multi then ' [a LIST of such objects, one per thing you hear]' else '' end || case when i % 5 = 0 then ' (if any)' else '' end || ': ' || chr(123) || '\"is\": one of ' || array_to_string(vs, ' | ') || ', \"detail\": \"...\"' || chr(125) || case when i % 4 = 0 then ' -- detail = kind' else '' end else case when multi then ' [list ALL that apply]' else '' end || ': ' || array_to_string(vs, ' | ') end l from s) select region, string_agg(l, chr(10) order by i) as \"lines\" from l group by 1")
 def render_form(schema):
-    return Q.render_form(schema)
+    i = F.substring("attr", 7, 9).cast("int")
+    f = schema.groupBy("attr").agg(F.array_sort(F.collect_set("value")).alias("values"), F.bool_or("multi").alias("multi"))
+    return Q.render_form(f.select((i % 3).alias("region"), i.alias("ord"), F.col("attr").alias("name"), "values", "multi", (i % 2 == 0).alias("open"), F.when(i % 4 == 0, "kind").alias("hint"), F.when(i % 5 == 0, "if any").alias("na_hint")))
 
 
-@query("attr_space", "schema", sql="select attr, count(distinct value) n_values, bool_or(multi) multi from schema group by 1")
+@query("attr_space", "schema", sql="select 'r' || cast(cast(substr(attr, 7) as int) % 2 as varchar) || '.' || attr attr, 'r' || cast(cast(substr(attr, 7) as int) % 2 as varchar) region, case when cast(substr(attr, 7) as int) % 3 = 0 then 'g10' else 'g3' end grid, case when cast(substr(attr, 7) as int) % 5 = 0 then 'local' else 'clip' end scope, bool_or(multi) multi, string_agg(distinct value, ',' order by value) \"values\" from schema group by schema.attr")
 def attr_space(schema):
-    return schema.groupBy("attr").agg(F.countDistinct("value").alias("n_values"), F.bool_or("multi").alias("multi"))
+    i = F.substring("attr", 7, 9).cast("int")
+    s = schema.select(F.concat(F.lit("r"), (i % 2).cast("string"), F.lit("."), "attr").alias("attr"), "value", F.col("value").alias("ord"), "multi", F.when(i % 3 == 0, "g10").otherwise("g3").alias("grid"), F.when(i % 5 == 0, "local").otherwise("clip").alias("scope"))
+    return Q.attr_space(s).withColumn("values", F.array_join("values", ","))
 
 
 @query("proposal_batches", "label_rows", sql="with l as (select attr, value, leaf, count(distinct clip) clips from label_rows group by 1,2,3), r as (select *, row_number() over (partition by attr, value order by leaf) r, count(*) over (partition by attr, value) n from l) select attr, value, case when n > 10 and r > floor(n / 2) then 2 else 1 end part, count(*) n, string_agg(leaf || ' (' || cast(clips as varchar) || ')', chr(10) order by leaf) as \"lines\" from r group by 1,2,3")
@@ -235,47 +276,87 @@ def proposal_batches(label_rows):
 # names -------------------------------------------------------------------------------------------
 
 
-@query("clean_leaf", "items", sql="select id, case when id % 2 = 0 or len(string_split(gold_name, ' ')) > 4 or lower(gold_name) = grp then '' else lower(gold_name) end as leaf from items")
+LEAVES = "case id % 8 when 0 then gold_name || ' 7' when 1 then gold_name || ' and more' when 2 then 'Two_' || split_part(gold_name, ' ', 1) || '; x' when 3 then ' - ' || grp || chr(39) when 4 then 'Unsure' when 5 then null when 6 then split_part(gold_name, ' ', 1) || ' é/x' else 'N/A' end"
+CLEAN = f"""
+r as (select id, grp, {LEAVES} l from items),
+x as (select *, regexp_replace(regexp_replace(regexp_replace(replace(string_split_regex(lower(coalesce(l, '')), ' and | with |[,;/]')[1], '_', ' '), '[^a-z'' -]', ' ', 'g'), '\\s+', ' ', 'g'), '^[ ''-]+|[ ''-]+$', '', 'g') x from r)
+select id, case when l is null or x = '' or x in ('unsure', 'none', 'n a') or x = grp or regexp_matches(l, '[0-9]') or len(string_split(x, ' ')) > 4 then '' else x end as leaf from x"""
+
+
+@query("clean_leaf", "items", sql=f"with {CLEAN.strip()}")
 def clean_leaf(items):
-    name = F.concat("gold_name", F.when(F.col("id") % 2 == 0, " 7").otherwise(" and more"))
-    return items.select("id", X.clean_leaf(name, F.col("grp")).alias("leaf"))
+    return items.select("id", X.clean_leaf(F.expr(LEAVES), F.col("grp")).alias("leaf"))
+
 
+@query("stem_word", "qa", sql=f"with recursive w0 as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) w from qa), {STEMS} select w, s as stem from stems")
+def stem_word(qa):
+    return qa.select(F.explode(X.words(F.col("text"))).alias("w")).distinct().select("w", X.stem(F.col("w")).alias("stem"))
 
-@query("stem_word", "tags")
-def stem_word(tags):
-    return tags.select("tag2").distinct().select("tag2", X.stem(F.col("tag2")).alias("stem"))
 
+ADDED = ["music", "voices", "barking dogs", "of the announcements", "planes", "ruffled"]
+NAMED = f"nm as (select id, gold_name || ' ' || {sql_list(ADDED)}[id % {len(ADDED)} + 1] as name from items)"
 
-@query("norm_key", "items")
+
+@query("norm_key", "items", sql=f"with recursive {NAMED}, k0 as (select id, name, list_filter(regexp_extract_all(lower(name), '[a-z]+'), lambda x: not list_contains({sql_list(X.FILLER)}, x)) ws from nm), k1 as (select id, name, case when len(ws) > 1 and list_contains({sql_list(X.TAIL)}, ws[len(ws)]) then ws[1:len(ws) - 1] else ws end ws from k0), w0 as (select distinct unnest(ws) w from k1), {STEMS}, u as (select id, unnest(ws) w from k1) select k1.id, coalesce(string_agg(s, ' ' order by s), any_value(name)) norm from k1 left join u on u.id = k1.id left join stems on stems.w = u.w group by 1")
 def norm_key(items):
-    return items.select("id", X.norm_key(F.col("gold_name")).alias("norm"))
+    name = F.concat("gold_name", F.lit(" "), F.get(F.array(*[F.lit(x) for x in ADDED]), (F.col("id") % len(ADDED)).cast("int")))
+    return items.select("id", X.norm_key(name).alias("norm"))
+
 
+FORMS = ["The {} dogs barking.", "some  {} cities,", "{} chatting", "a {} buses!", "{} sings in the wings", "An ox is {}"]
+FORMED = f"nm as (select id, replace({sql_list(FORMS)}[id % {len(FORMS)} + 1], chr(123) || chr(125), gold_name) as name from items)"
+TOKENS = f"tk as (select id, unnest(list_filter(string_split(regexp_replace(regexp_replace(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), '^[.,;:!?]+|[.,;:!?]+$', '', 'g'), '^(a|an|the|some|any)\\s+', ''), ' '), lambda t: t <> '')) t, unnest(range(1, 40)) i from nm), tg as (select id, i, case when regexp_matches(t, '[a-z][a-z][a-z]ing$') and length(t) > 5 then left(t, length(t) - 3) else t end g, t from tk where t is not null), td as (select id, i, case when g <> t and right(g, 1) = substr(g, length(g) - 1, 1) and contains('{X.DOUBLED}', right(g, 1)) then left(g, length(g) - 1) else g end g from tg)"
 
-@query("guard_normalise", "items", sql="select id, lower(gold_name) s from items where not regexp_matches(lower(gold_name), '(ing|s)( |$)')")
+
+@query("guard_normalise", "items", sql=f"with {FORMED}, {TOKENS} select id, string_agg(case when length(g) > 3 then regexp_replace(g, '([a-z])(ies|es|s)$', '\\1') else g end, ' ' order by i) s from td group by 1")
 def guard_normalise(items):
-    return items.filter("not lower(gold_name) rlike '(ing|s)( |$)'").select("id", X.guard_normalise(F.concat(F.lit("The "), "gold_name", F.lit("."))).alias("s"))
+    form = F.get(F.array(*[F.lit(x) for x in FORMS]), (F.col("id") % len(FORMS)).cast("int"))
+    return items.select("id", X.guard_normalise(F.replace(form, F.lit("{}"), F.col("gold_name"))).alias("s"))
+
+
+# pairs of names that differ in a number, a denial or a side of an axis, or in nothing of these
+PAIRS = [("fast {}", "slow {}"), ("{}", "no {}"), ("two {} in 3.5", "2 {} in 3.5"), ("soft {}", "quiet {}"), ("{}", "dark {}"), ("low-pitched high-volume {}", "low {}"), ("3/4 {}", "4/4 {}"), ("male {} ending", "{} woman"), ("{} at 2 and 3", "{} at 3 and 2"), ("absent-minded {}", "{} mind"), ("near {}", "far {} never")]
+SIDES = "(values " + ", ".join(f"('{w}', '{s}')" for w, s in X.axis_sides().items()) + ") ax(w, p)"
+NUMBERS = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in X.NUMBER_WORDS.items()) + "}"
+PAIRED = "pr as (select id, " + ", ".join(f"replace({sql_list(x[i] for x in PAIRS)}[id % {len(PAIRS)} + 1], chr(123) || chr(125), lower(gold_name)) as {n}" for i, n in enumerate("ab")) + " from items)"
+FEATURES = f"nm as (select id, 0 k, a as name from pr union all select id, 1, b from pr), tk as (select id, k, name, list_filter(string_split_regex(replace(name, '-', ' '), '\\s+'), lambda t: t <> '') ts from nm), nu as (select id, k, regexp_extract_all(list_aggregate(list_transform(ts, lambda t: coalesce(map_extract({NUMBERS}, t)[1], t)), 'string_agg', ' '), '[0-9]+(?:\\.[0-9]+)?') numbers, regexp_matches(name, '(?:^|[\\s-])({'|'.join(X.NEGATIONS)})(?:$|[\\s-])') negated from tk), po as (select distinct id, k, p from (select id, k, unnest(ts) t from tk) join {SIDES} on ax.w = t)"
+
+
+def _pair(items):
+    side = lambda i: F.replace(F.get(F.array(*[F.lit(x[i]) for x in PAIRS]), (F.col("id") % len(PAIRS)).cast("int")), F.lit("{}"), F.lower("gold_name"))
+    return side(0), side(1)
 
 
-@query("merge_features", "items", sql="select id, regexp_matches(grp, '(^|[^a-z])no($|[^a-z])') negated, cast(id as varchar) numbers from items")
+@query("merge_features", "items", sql=f"with {PAIRED}, {FEATURES} select nu.id, array_to_string(numbers, ',') numbers, negated, coalesce(string_agg(p, ',' order by p), '') poles from nu left join po on po.id = nu.id and po.k = nu.k where nu.k = 0 group by all")
 def merge_features(items):
-    n = F.concat("grp", F.lit(" "), F.col("id").cast("string"))
-    return items.select("id", X.negated(n).alias("negated"), F.array_join(X.numbers(n), ",").alias("numbers"))
+    f = X.merge_features(_pair(items)[0])
+    return items.select("id", F.array_join(f["numbers"], ",").alias("numbers"), f["negated"].alias("negated"), F.array_join(f["poles"], ",").alias("poles"))
 
 
-@query("may_merge", "items", sql="select id, case when id % 3 = 0 then 'numeric' when id % 3 = 1 then 'negation' when contains(gold_name, 'small') then 'polarity' end why from items")
+@query("may_merge", "items", sql=f"with {PAIRED}, {FEATURES}, sd as (select id, k, split_part(p, ':', 1) x, string_agg(p, ',' order by p) s from po group by 1,2,3), cf as (select distinct a.id from sd a join sd b on a.id = b.id and a.x = b.x and a.k = 0 and b.k = 1 where a.s <> b.s) select a.id, case when a.numbers <> b.numbers then 'numeric' when a.negated <> b.negated then 'negation' when cf.id is not null then 'polarity' end why from nu a join nu b on a.id = b.id and a.k = 0 and b.k = 1 left join cf on cf.id = a.id")
 def may_merge(items):
-    b = F.when(F.col("id") % 3 == 0, F.concat("gold_name", F.lit(" 2"))).when(F.col("id") % 3 == 1, F.concat(F.lit("no "), "gold_name")).otherwise(F.regexp_replace("gold_name", "small", "large"))
-    return items.select("id", X.may_merge(F.col("gold_name"), b, [(["small"], ["large"])]).alias("why"))
+    return items.select("id", X.may_merge(*_pair(items)).alias("why"))
 
 
-@query("source_tokens", "items")
+SOURCED = "case id % 6 when 0 then split_part(gold_name, ' ', 1) || ' barking' when 1 then gold_name || ' noises' when 2 then grp || ' / ' || split_part(gold_name, ' ', 2) || 's' when 3 then 'clear loud sounds' when 4 then 'heavy ' || split_part(gold_name, ' ', 1) || '-bees' else split_part(gold_name, ' ', 1) end"
+TOKEN = f"tk as (select id, unnest(list_filter(string_split_regex(lower({SOURCED}), '[\\s,/-]+'), lambda t: t <> '' and t not like '%ing' and not list_contains({sql_list([*G.GENERIC, *X.SOUND_WORDS])}, t))) w from items), w0 as (select distinct w from tk)"
+
+
+@query("source_tokens", "items", sql=f"with recursive {TOKEN}, {STEMS}, tt as (select id, case when length(s) >= 4 and s like '%s' and s not like '%ss' then left(s, length(s) - 1) else s end t from tk join stems using (w)), g as (select id, list(distinct t) ts from tt group by 1) select a.id, coalesce(array_to_string(list_sort(a.ts), ','), '') tokens, coalesce(len(list_intersect(a.ts, b.ts)) > 0, false) shared from (select items.id, g.ts from items left join g using (id)) a left join g b on b.id = (a.id // 6) * 6 + 5")
 def source_tokens(items):
-    return items.select("id", X.shares_source(F.col("gold_name"), F.col("grp")).alias("shared"))
+    x = items.select("id", X.source_tokens(F.expr(SOURCED), G.GENERIC).alias("ts"))
+    other = x.select(F.col("id").alias("_o"), F.col("ts").alias("us"))
+    j = x.join(other.hint("merge"), F.expr("(id div 6) * 6 + 5 = _o"), "left")
+    return j.select("id", F.array_join(F.array_sort("ts"), ",").alias("tokens"), F.coalesce(F.arrays_overlap("ts", "us"), F.lit(False)).alias("shared"))
+
 
+SECOND = "case when w like '%ing' and length(w) >= 6 then left(w, length(w) - 3) when w like '%ed' and length(w) >= 5 then left(w, length(w) - 2) when w like '%es' and length(w) >= 5 then left(w, length(w) - 2) when w like '%s' and length(w) >= 4 then left(w, length(w) - 1) else w end"
 
-@query("content_words", "items", sql="select id, (select string_agg(w, ',' order by w) from (select distinct substr(x, 1, 4) w from (select unnest(regexp_extract_all(lower(gold_name), '[a-z]+')) x) where length(x) >= 3)) ws from items")
-def content_words(items):
-    return items.select("id", F.array_join(X.content_words(F.col("gold_name")), ",").alias("ws"))
+
+@query("content_words", "qa", sql=f"with w as (select distinct conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) w from qa), k as (select * from w where not list_contains({sql_list(X.STOP)}, w)), a as (select conv_id, turn, string_agg(distinct substr(w, 1, 4), ',' order by substr(w, 1, 4)) ws from k where length(w) > 3 group by 1,2), s1 as (select conv_id, turn, {SECOND} w from k where length(w) > 2), s2 as (select conv_id, turn, case when length(w) > 3 and right(w, 1) = substr(w, length(w) - 1, 1) then left(w, length(w) - 1) else w end w from s1), s3 as (select conv_id, turn, case when length(w) > 3 and w like '%e' then left(w, length(w) - 1) else w end w from s2), s4 as (select distinct conv_id, turn, case when w like '%i' then left(w, length(w) - 1) || 'y' else w end w from s3), b as (select conv_id, turn, string_agg(w, ',' order by w) ws2 from s4 group by 1,2) select qa.conv_id, qa.turn, coalesce(ws, '') ws, coalesce(ws2, '') ws2 from qa left join a on a.conv_id = qa.conv_id and a.turn = qa.turn left join b on b.conv_id = qa.conv_id and b.turn = qa.turn")
+def content_words(qa):
+    t = F.col("text")
+    return qa.select("conv_id", "turn", F.array_join(X.content_words(t), ",").alias("ws"), F.array_join(X.class_words(t), ",").alias("ws2"))
 
 
 @query("light_canon", "items", sql="with n as (select genus, lower(gold_name) leaf, count(*) clips from items group by 1,2) select genus, leaf, first_value(leaf) over (partition by genus, substr(leaf, 1, 4) order by clips desc, leaf) canon from n")
@@ -284,66 +365,118 @@ def light_canon(items):
     return E.light_canon(n, F.substring("leaf", 1, 4), ("genus",))
 
 
-@query("in_class_merge", "items")
+# leaves of a class: pairs that are one but for an ending or a word of the class
+IN_CLASS = "select grp, lower(case id % 4 when 0 then gold_name when 1 then gold_name || 's' when 2 then grp || ' ' || split_part(gold_name, ' ', 1) else split_part(gold_name, ' ', 1) || 'ing' end) leaf from items"
+
+
+@query("in_class_merge", "items", sql=f"with n as (select grp, leaf, count(*) clips from ({IN_CLASS}) group by 1,2), w as (select distinct grp, leaf, unnest(regexp_extract_all(leaf, '[a-z]+')) w from n), c as (select distinct grp, unnest(regexp_extract_all(lower(grp), '[a-z]+')) w from n), x as (select grp, leaf, w from w union all select grp, null, w from c), k as (select * from x where length(w) > 2 and not list_contains({sql_list(X.STOP)}, w)), s1 as (select grp, leaf, {SECOND} w from k), s2 as (select grp, leaf, case when length(w) > 3 and right(w, 1) = substr(w, length(w) - 1, 1) then left(w, length(w) - 1) else w end w from s1), s3 as (select grp, leaf, case when length(w) > 3 and w like '%e' then left(w, length(w) - 1) else w end w from s2), s4 as (select distinct grp, leaf, case when w like '%i' then left(w, length(w) - 1) || 'y' else w end w from s3), r as (select a.grp, a.leaf, string_agg(a.w, ' ' order by a.w) k from s4 a where a.leaf is not null and not exists (select 1 from s4 b where b.leaf is null and b.grp = a.grp and b.w = a.w) group by 1,2) select n.grp, n.leaf, case when k is null then n.leaf else first_value(n.leaf) over (partition by n.grp, k order by clips desc, n.leaf) end canon from n left join r on r.grp = n.grp and r.leaf = n.leaf")
 def in_class_merge(items):
-    n = items.groupBy("grp", F.lower("gold_name").alias("leaf")).agg(F.count("*").alias("clips"))
-    return E.in_class_merge(n, X.content_words(F.col("leaf")), X.content_words(F.col("grp")), ("grp",))
+    n = items.select(F.expr("grp"), F.expr("lower(case id % 4 when 0 then gold_name when 1 then gold_name || 's' when 2 then grp || ' ' || split_part(gold_name, ' ', 1) else split_part(gold_name, ' ', 1) || 'ing' end)").alias("leaf"))
+    return E.in_class_merge(n.groupBy("grp", "leaf").agg(F.count("*").alias("clips")), X.class_words(F.col("leaf")), X.class_words(F.col("grp")), ("grp",))
+
+
+# leaves of one to four words; the shorter ones generalise the longer
+NESTED = "select distinct genus, leaf from (select genus, lower(gold_name) leaf from items union all select genus, split_part(lower(gold_name), ' ', 2) from items where id % 3 = 0 union all select genus, lower(gold_name) || ' ' || grp from items where id % 2 = 0 union all select genus, grp || ' ' || split_part(lower(gold_name), ' ', 1) || ' review' from items where id % 5 = 0 union all select genus, grp from items where id % 7 = 0)"
 
 
-@query("generic_links", "items", sql="with n as (select distinct genus, grp leaf, string_split(grp, ' ') w from items union select distinct genus, split_part(grp, ' ', 1), [split_part(grp, ' ', 1)] from items), p as (select a.genus, a.leaf, b.leaf generic, len(b.w) k from n a join n b on a.genus = b.genus and len(b.w) < len(a.w) and len(list_filter(b.w, lambda t: not list_contains(a.w, t))) = 0) select genus, leaf, arg_min(generic, (-k, generic)) generic from p group by 1,2")
+@query("generic_links", "items", sql=f"with n as (select genus, leaf, string_split(leaf, ' ') w from ({NESTED})), p as (select a.genus, a.leaf, b.leaf generic, len(b.w) k, a.w from n a join n b on a.genus = b.genus and len(b.w) < len(a.w) and len(list_filter(b.w, lambda t: not list_contains(a.w, t))) = 0) select genus, leaf, arg_min(generic, (-k, generic)) generic from p where not list_contains({sql_list(E.ABOUT)}, w[-1]) group by 1,2")
 def generic_links(items):
-    n = items.select("genus", F.col("grp").alias("leaf")).unionByName(items.select("genus", F.split_part("grp", F.lit(" "), F.lit(1)).alias("leaf"))).distinct()
-    return E.generic_links(n, ("genus",))
+    return E.generic_links(items.sparkSession.sql(f"select * from ({NESTED.replace('from items', 'from {items}')})", items=items), ("genus",))
 
 
 @query("synonym_merge", "vectors")
 def synonym_merge(vectors):
     from ..operators.vectors import l2_normalise
 
-    n = vectors.select((F.col("label") % 3).alias("grp"), F.concat(F.lit("name "), F.col("vec_id").cast("string")).alias("name"), (F.col("vec_id") % 17).alias("support"), l2_normalise(F.col("embedding")).alias("x"))
+    n = vectors.select((F.col("label") % 3).alias("grp"), F.concat(F.lit("name "), F.translate(F.col("vec_id").cast("string"), "0123456789", "abcdefghij")).alias("name"), (F.col("vec_id") % 17).alias("support"), l2_normalise(F.col("embedding")).alias("x"))
     return E.synonym_merge(n, ("grp",), 0.3, 0.3)
 
 
-@query("rule_folds", "items", sql="with n as (select distinct genus, grp leaf from items union select distinct genus, replace(grp, ' plated', '') from items) select a.genus, a.leaf, replace(a.leaf, ' plated', '') as into_ from n a join n b on a.genus = b.genus and contains(a.leaf, ' plated') and b.leaf = replace(a.leaf, ' plated', '')")
+# folds: one word more than a sibling; on the identity class only a filler; linked specifics elsewhere
+FOLD_LINKS = "select distinct genus, lower(gold_name) leaf, grp generic from items where id % 3 = 0 and genus <> 'Brand#11'"
+
+
+@query("rule_folds", "items", sql=f"with n as (select genus, leaf, list_sort(string_split(leaf, ' ')) w from ({NESTED} union select distinct genus, lower(gold_name) || ' style' from items where id % 2 = 0)), d as (select genus, leaf, w, unnest(w) x from n where len(w) > 1), r as (select d.genus, d.leaf, d.x, b.leaf base from d join n b on b.genus = d.genus and b.leaf <> d.leaf and b.w = list_filter(d.w, lambda t: t <> d.x) where d.genus <> 'Brand#11' or list_contains({sql_list(X.FOLD_FILLER)}, d.x)), f as (select genus, leaf, arg_min(base, (list_position(string_split(leaf, ' '), x), base)) t, 0 k from r group by 1,2), l as (select genus, leaf, generic t, 1 k from ({FOLD_LINKS}) q where not exists (select 1 from f where f.genus = q.genus and f.leaf = q.leaf)), a as (select * from f union all select * from l), c(genus, leaf, t, i) as (select genus, leaf, t, 0 from a union all select c.genus, c.leaf, a.t, i + 1 from c join a on a.genus = c.genus and a.leaf = c.t where i < 10) select genus, leaf, arg_max(t, i) into_ from c group by 1,2".replace("with n as", "with recursive n as"))
 def rule_folds(items):
-    n = items.select("genus", F.col("grp").alias("leaf")).unionByName(items.select("genus", F.replace("grp", F.lit(" plated"), F.lit("")).alias("leaf"))).distinct()
-    return E.rule_folds(n, ["plated"], ("genus",)).withColumnRenamed("into", "into_")
+    spark = items.sparkSession
+    put = lambda q: spark.sql(f"select * from ({q.replace('from items', 'from {items}')})", items=items)
+    names = put(f"{NESTED} union select distinct genus, lower(gold_name) || ' style' from items where id % 2 = 0")
+    return E.rule_folds(names, X.FOLD_FILLER, ("genus",), F.col("genus") == "Brand#11", put(FOLD_LINKS)).withColumnRenamed("into", "into_")
 
 
-@query("proposal_guards", "items", sql="with g as (select quality group_id, min(grp) over (partition by quality) canon, grp leaf from (select distinct quality, grp from items)), n as (select *, count(*) over (partition by group_id) n from g), r as (select *, row_number() over (partition by leaf order by n desc, group_id) r from n) select group_id, canon, leaf from r where r = 1")
+# proposals of groups: name and members, some unknown, some that may not be one with the name, some that are generic-link nodes, some in two groups
+GROUPS = "select quality % 20 grp_no, genus, case when id % 11 = 0 then 'no ' || grp when id % 13 = 0 then 'unheard of' else grp end member, grp nm, id from items"
+PROPOSED = f"pg as (select genus, grp_no, member, min(nm) over (partition by genus, grp_no) nm from ({GROUPS}) g), kn as (select genus, grp leaf, count(*) clips from items group by 1,2 union all select genus, 'no ' || grp, 1 from items where id % 11 = 0 group by 1,2), lk as (select distinct genus, grp leaf from items where id % 17 = 0)"
+
+
+@query("proposal_guards", "items", sql=f"with {PROPOSED}, m as (select distinct pg.genus, grp_no, member, nm, kn.clips from pg join kn on kn.genus = pg.genus and kn.leaf = pg.member where exists (select 1 from kn z where z.genus = pg.genus and z.leaf = pg.nm)), n as (select * from m union select m.genus, grp_no, nm, nm, kn.clips from m join kn on kn.genus = m.genus and kn.leaf = nm), g as (select * from n where (member like 'no %') = (nm like 'no %')), h as (select g.*, count(*) over (partition by genus, grp_no) k from g), u as (select * from h where k >= 2), v as (select u.* from u where member = nm or not exists (select 1 from lk where lk.genus = u.genus and lk.leaf = u.member)), s as (select *, sum(clips) over (partition by genus, grp_no) mass, count(*) over (partition by genus, grp_no) k2 from v), r as (select *, row_number() over (partition by genus, member order by mass desc, grp_no) r from s where k2 >= 2), w as (select * from r where r = 1), x as (select *, count(*) over (partition by genus, grp_no) k3, max(case when member = nm then 1 else 0 end) over (partition by genus, grp_no) own from w) select genus, grp_no, nm canon, member leaf from x where k3 >= 2 and own = 1")
 def proposal_guards(items):
+    spark = items.sparkSession
+    put = lambda q: spark.sql(q.replace("from items", "from {items}"), items=items)
     from pyspark.sql import Window as W
 
-    g = items.select(F.col("quality").alias("group_id"), F.col("grp").alias("leaf")).distinct().withColumn("canon", F.min("leaf").over(W.partitionBy("group_id")))
-    return E.proposal_guards(g, items.select(F.col("grp").alias("leaf")), X.may_merge(F.col("leaf"), F.col("canon")))
+    g = put(GROUPS).select("genus", F.col("grp_no").alias("group_id"), F.min("nm").over(W.partitionBy("genus", "grp_no")).alias("canon"), F.col("member").alias("leaf")).distinct()
+    names = put("select genus, grp leaf, count(*) clips from items group by 1, 2 union all select genus, 'no ' || grp, 1 from items where id % 11 = 0 group by 1, 2")
+    links = put("select distinct genus, grp leaf from items where id % 17 = 0")
+    return E.proposal_guards(g, names, X.may_merge(F.col("leaf"), F.col("canon")), ("genus",), links).withColumnRenamed("group_id", "grp_no")
 
 
-@query("apply_table", "items", sql="select id, quality group_id from items where quality % 5 <> 0")
+@query("apply_table", "items", sql=f"with {PROPOSED}, g as (select distinct genus, grp_no, member, nm from pg where member <> nm), s as (select *, case grp_no % 4 when 0 then -0.1 when 1 then null else 0.2 end sep, genus <> 'Brand#11' judged from g) select genus, member leaf, min(nm) to_leaf from s where not judged or sep > 0 group by 1,2")
 def apply_table(items):
-    g = items.select("id", F.col("quality").alias("group_id"))
-    return E.apply_table(g, g.select("group_id", F.when(F.col("group_id") % 5 == 0, -0.1).otherwise(0.2).alias("separation")).distinct())
+    from pyspark.sql import Window as W
+
+    g = items.sparkSession.sql(GROUPS.replace("from items", "from {items}"), items=items)
+    g = g.select("genus", F.col("grp_no").alias("group_id"), F.min("nm").over(W.partitionBy("genus", "grp_no")).alias("canon"), F.col("member").alias("leaf")).distinct()
+    flags = g.select("genus", "group_id").distinct().withColumn("separation", F.when(F.col("group_id") % 4 == 0, -0.1).when(F.col("group_id") % 4 > 1, 0.2))
+    none = g.filter("1 = 0").select("genus", "leaf", F.col("canon").alias("into"))
+    return E.apply_table(g, flags, none, ("genus",), F.col("genus") != "Brand#11")
+
 
+PLACES = "select id, gold_name as name, case id % 7 when 0 then 'drop' when 1 then 'elsewhere' else genus end attr, case when id % 5 = 0 then null else grp end val, case when id % 6 = 0 then upper(gold_name) end new_value, case id % 4 when 0 then split_part(gold_name, ' ', 2) || ' x' when 1 then 'zz ' || grp when 2 then 'nowhere' end same_as, quality % 2 > 0 yes from items"
 
-@query("placement_checks", "items", sql="select id as name, genus place, case when id % 7 = 0 then 'generic' when quality % 2 = 0 then 'removed' when genus = 'Brand#11' then 'unresolved' else 'placed' end verdict from items")
+
+@query("placement_checks", "items", sql=f"with p as ({PLACES}), t as (select distinct 'zz ' || grp as name, genus attr, grp val from items where id % 2 = 0), t1 as (select name, min(attr) attr, min(val) val from t group by 1), q as (select p.id, p.attr, p.same_as, p.yes, coalesce(lower(new_value), p.val) v, t1.attr ta, t1.val tv, exists (select 1 from (select unnest(regexp_extract_all(lower(p.name), '[a-z]+')) a) x join (select unnest(regexp_extract_all(lower(p.same_as), '[a-z]+')) b) y on substr(a, 1, 4) = substr(b, 1, 4) where length(a) > 3 and length(b) > 3 and not list_contains({sql_list(X.STOP)}, a) and not list_contains({sql_list(X.STOP)}, b)) ov from p left join t1 on t1.name = same_as) select id, case when id % 9 = 0 then 'generic' when attr = 'drop' then 'drop' when attr not like 'Brand#%' or v is null then 'unresolved' when not yes then 'removed' else 'placed' end verdict, case when id % 9 > 0 and attr like 'Brand#%' and v is not null and same_as is not null and yes and ov and ta is not null and not (ta = attr and tv = v) then ta || '/' || tv when id % 9 > 0 and attr like 'Brand#%' and v is not null and yes then attr || '/' || v end place, case when id % 9 > 0 and attr like 'Brand#%' and v is not null and yes and same_as is not null and ((ta = attr and tv = v) or ov) then same_as end merged from q")
 def placement_checks(items):
-    p = items.select(F.col("id").alias("name"), F.col("genus").alias("place"), (F.col("quality") % 2 > 0).alias("yes"))
-    return E.placement_checks(p, p.filter("place <> 'Brand#11'").select("place"), p.filter("name % 7 = 0").select("name"))
+    spark = items.sparkSession
+    p = spark.sql(PLACES.replace("from items", "from {items}"), items=items).withColumnRenamed("val", "value")
+    known = items.filter("id % 2 = 0").groupBy(F.concat(F.lit("zz "), "grp").alias("name")).agg(F.min("genus").alias("attr"), F.min("grp").alias("value"))
+    v = E.placement_checks(p, p.filter("attr like 'Brand#%'").select("attr").distinct(), p.filter("id % 9 = 0").select("id"), known, ["drop"])
+    return v.select("id", "verdict", F.when(F.col("verdict") == "placed", F.concat_ws("/", "attr", "value")).alias("place"), F.when(F.col("verdict") == "placed", F.col("same_as")).alias("merged"))
+
+
+FINAL = "case id % 5 when 0 then 'analysis (c) final the answer: (B).' when 1 then '(d) final none' when 2 then 'a or b' when 3 then 'final (a) final: k, not ' || gold_name else 'final answer ' || grp || ' (x) C' end"
 
 
-@query("parse_final_letter", "items", sql="select id, case when id % 2 = 0 then 'b' else 'a' end letter from items")
+@query("parse_final_letter", "items", sql=f"with t as (select id, regexp_extract_all(string_split({FINAL}, 'final')[-1], '\\(([a-kA-K])\\)|\\b([a-kA-K])\\b') f from items) select id, coalesce(lower(regexp_replace(f[-1], '[()]', '', 'g')), 'a') letter from t")
 def parse_final_letter(items):
-    return items.select("id", X.final_letter(F.when(F.col("id") % 2 == 0, "analysis (c) final the answer: (B).").otherwise("(d) final none")).alias("letter"))
+    return items.select("id", X.final_letter(F.expr(FINAL)).alias("letter"))
+
+
+# answers that meet one rule after the other; options a: genus, b: name, c: class, d: a fixed text
+FREE = "case id % 11 when 0 then 'It is (C), not (a).' when 1 then ' b) ' || grp when 2 then gold_name || '!' when 3 then 'so it is: c. ' || genus when 4 then 'surely ' || grp || ' I think' when 5 then 'maybe a or b' when 6 then 'not a ' || split_part(grp, ' ', 1) || ' one' when 7 then '<think>(a)</think><Conclusion> (B) <br></Conclusion> (d)' when 8 then 'e.' when 9 then 'zz9' else 'other' end"
+NORMED = "lower(trim(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g')))"
+LETTER = f"""
+o as (select id, 'a' k, {NORMED.format("genus")} t from items union all select id, 'b', {NORMED.format("gold_name")} from items union all select id, 'c', {NORMED.format("grp")} from items union all select id, 'd', 'an other thing' from items),
+r as (select id, case when regexp_matches({FREE}, '(?i)<conclu[^>]*>') then regexp_extract({FREE}, '(?is)<Conclu[^>]*>(.*?)(?:</Conclu|$)', 1) else {FREE} end x from items),
+c as (select id, regexp_replace(trim(x), '<[^>]+>', ' ', 'g') c from r),
+n as (select id, c, {NORMED.format("c")} n from c),
+m as (select n.id, c, n, min(k) filter (where t <> '' and n = t) same, min(k) filter (where t <> '' and length(n) >= 3 and (contains(n, t) or contains(t, n))) part, arg_min(k, (-len(list_intersect(list_distinct(string_split(n, ' ')), string_split(t, ' '))), k)) mk, max(len(list_intersect(list_distinct(string_split(n, ' ')), list_filter(string_split(t, ' '), lambda w: w <> '')))) mn from n join o on o.id = n.id group by 1,2,3)
+select id, coalesce(nullif(lower(regexp_extract(c, '\\(([a-dA-D])\\)', 1)), ''), nullif(lower(regexp_extract(c, '^\\s*([a-dA-D])(?:[.):]|\\s*$)', 1)), ''), same, nullif(lower(regexp_extract(c, '(?:^|[^a-zA-Z])([a-dA-D])[.):]', 1)), ''), part, lower(regexp_extract_all(c, '(?:^|[^a-zA-Z])([a-dA-D])(?:[^a-zA-Z]|$)', 1)[-1]), case when mn > 0 then mk end) letter from m"""
 
 
-@query("extract_letter", "qa")
-def extract_letter(qa):
-    return qa.select("conv_id", "turn", X.extract_letter(F.col("text")).alias("letter"))
+@query("extract_letter", "items", sql=f"with {LETTER.strip()}")
+def extract_letter(items):
+    options = F.create_map(F.lit("a"), X.choice_norm(F.col("genus")), F.lit("b"), X.choice_norm(F.col("gold_name")), F.lit("c"), X.choice_norm(F.col("grp")), F.lit("d"), F.lit("an other thing"))
+    return items.select("id", X.extract_letter(F.expr(FREE), options).alias("letter"))
 
 
-@query("transcript_segments", "items", sql="select id, 0.5::double as start, gold_name text from items union all select id, 2.25, grp from items")
+MARKED = "case id % 4 when 0 then '<|0.50|> ' || gold_name || '<|2.25|>' || grp || ' <|4.00|>' when 1 then '<|en|> ' || gold_name when 2 then '<|28.40|>a <|nospeech|> b<|31.06|>  ' else '  ' end"
+
+
+@query("transcript_segments", "items", sql="select id, id % 3 \"window\", start, text, concat('[', cast((cast(id % 3 * 30 + start as double)::int - case when id % 3 * 30 + start < cast(id % 3 * 30 + start as double)::int then 1 else 0 end) // 60 as varchar), ':', printf('%04.1f', (id % 3 * 30 + start) % 60), '] ', text) line from (select id, 0.5::double start, gold_name text from items where id % 4 = 0 union all select id, 2.25, grp from items where id % 4 = 0 union all select id, 0.0, gold_name from items where id % 4 = 1 union all select id, 28.4, 'a   b' from items where id % 4 = 2)")
 def transcript_segments(items):
-    t = F.concat(F.lit("<|0.50|> "), "gold_name", F.lit("<|2.25|>"), "grp", F.lit(" <|4.00|>"))
-    return items.select("id", F.inline(X.transcript_segments(t)))
+    x = items.select("id", (F.col("id") % 3).alias("window"), F.inline(X.transcript_segments(F.expr(MARKED))))
+    return x.withColumn("line", X.timed_line(F.col("window") * 30 + F.col("start"), F.col("text")))
 
 
 @query("strip_timestamps", "items", sql="select id, lower(gold_name) || ' ' || grp s from items")
@@ -356,10 +489,20 @@ def tempo_word(items):
     return items.select("id", X.tempo_word(F.col("quality") * 5, F.when(F.col("id") % 4 == 0, 0.1).otherwise(0.9)).alias("w"))
 
 
-@query("question_gates", "items", sql="select id, id % 2 = 0 \"time\", id % 2 = 1 as counted from items")
-def question_gates(items):
-    q = X.question_gates(F.when(F.col("id") % 2 == 0, "What is heard at 3.5 seconds?").otherwise("How many bells ring?"))
-    return items.select("id", q["time"].alias("time"), q["count"].alias("counted"))
+ASKED = ["", "What is heard from 2.9 to 4.3?", "between 1:10 and 1:02", "Which sound ends it, 3-9 sec in?", "In the first 5 seconds?", "Which comes last at the end?", "How many bells ring?", "What chord follows the note?", "Which is the longest event?", "Is it absent before the horn?", "Who said it?", "from 0 to 9000", "in what order do they occur?", "What plays at the very end?", "how long is it"]
+GATES = f"""
+q as (select conv_id, turn, text || ' ' || {sql_list(ASKED)}[(conv_id + turn) % {len(ASKED)} + 1] q from qa),
+e as (select *, case when regexp_matches(q, '{X.TIME_SPAN}') then [regexp_extract(q, '{X.TIME_SPAN}', 1), regexp_extract(q, '{X.TIME_SPAN}', 2)] when regexp_matches(q, '{X.TIME_BARE}') then [regexp_extract(q, '{X.TIME_BARE}', 1), regexp_extract(q, '{X.TIME_BARE}', 2)] end e from q),
+s as (select *, list_transform(e, lambda t: case when contains(t, ':') then try_cast(split_part(t, ':', 1) as double) * 60 + try_cast(split_part(t, ':', 2) as double) else try_cast(t as double) end) s from e),
+t as (select *, coalesce(s[2] > s[1] and s[2] - s[1] <= {X.LONGEST_SPAN}, false) or regexp_matches(q, '{X.TIME_EDGE}') or regexp_matches(q, '{X.POSITION}') as tm, regexp_matches(q, '{X.COUNTING}') cn from s),
+v as (select *, tm or cn or regexp_matches(q, '{X.TEMPORAL}') or regexp_matches(q, '{X.EVENTS.replace("'", "''")}') ev from t)
+select conv_id, turn, tm "time", ev as event, ev and not regexp_matches(q, '{X.NOT_EVENTS}') timeline, regexp_matches(q, '{X.DURATIONS}') duration, regexp_matches(q, '{X.ORDERING}') "order", cn "count" from v"""
+
+
+@query("question_gates", "qa", sql=f"with {GATES.strip()}")
+def question_gates(qa):
+    asked = F.get(F.array(*[F.lit(x) for x in ASKED]), ((F.col("conv_id") + F.col("turn")) % len(ASKED)).cast("int"))
+    return qa.select("conv_id", "turn", F.inline(F.array(X.question_gates(F.concat("text", F.lit(" "), asked)))))
 
 
 RULES = [("metal", "steel", r"\bsteel\b", "first"), ("metal", "brass", r"\bbrass\b", "first"), ("tone", "bright", "^(al|go)", "most"), ("tone", "dark", "(um|ue)$", "most"), ("form", "long", "^.{6,}$", "all")]
@@ -410,17 +553,23 @@ def language_head(text):
 
 @query("question_head", "vectors")
 def question_head(vectors):
-    return H.vector_head(vectors.withColumn("y", (F.col("label") < 3).cast("int")), "y", F.col("vec_id") % 5 == 0)
+    """Two questions on each vector, the second too rare to be learnt; whole splits are held out."""
+    t = vectors.select("vec_id", F.inline(F.array(*[F.struct(F.lit(a).alias("attr"), y.cast("int").alias("y")) for a, y in (("low", F.col("label") < 3), ("odd", F.col("label") % 2 == 1), ("rare", F.col("vec_id") < 5))])))
+    return H.question_heads(vectors, t, F.col("vec_id") % 5 == 0)
 
 
 @query("property_heads", "vectors")
 def property_heads(vectors):
-    return H.vector_head(vectors, "label", F.col("vec_id") % 5 == 0)
+    f = vectors.select("vec_id", F.inline(F.array(F.struct(F.lit("label").alias("field"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("value")), F.struct(F.lit("half").alias("field"), F.when(F.col("label") < 5, "low").otherwise("high").alias("value")))))
+    return H.property_heads(vectors, f, F.col("vec_id") % 5 == 0)
 
 
 @query("router_heads", "vectors")
 def router_heads(vectors):
-    return H.node_head(vectors.withColumn("node", F.col("label")), F.col("vec_id") % 10 == 0)
+    """Classes of two leaves; some rows name the class only, some nothing."""
+    leaf = F.when(F.col("vec_id") % 7 == 1, F.lit("")).otherwise(F.concat(F.lit("leaf "), (F.col("label") % 2).cast("string")))
+    t = vectors.select("vec_id", F.when(F.col("vec_id") % 11 == 2, F.lit(None)).otherwise(F.concat(F.lit("class "), F.floor(F.col("label") / 2).cast("string"))).alias("value"), leaf.alias("leaf"))
+    return H.router_head(vectors, t, F.col("vec_id") % 10 == 0)
 
 
 @query("batch_embed", "text", sql="select doc_id row_id from text where doc_id % 2 = 1")
@@ -455,13 +604,30 @@ def stream_label_ingest(label_rows):
     return J.visible(spark.read.schema(R.RECORD).parquet(f"{sink}/*")).select("row_id", "attr", "value", "leaf", "tool")
 
 
-@query("stream_segment_events", "events")
-def stream_segment_events(events):
-    """Closed sessions of the stream; those the last watermark hasn't passed stay open."""
+@query("stream_segment_events", "frames", sql=f"with {SEG} select clip, label, round(t0, 4) t0, round(t1, 4) t1, round(peak, 6) peak from events_")
+def stream_segment_events(frames):
+    """All events of the stream: a last row with a later time stamp closes those that are open."""
+    spark, at = frames.sparkSession, _folder(frames.sparkSession, "frames")
+    f = frames.select(F.col("clip").cast("long").alias("clip"), "label", F.col("t").cast("int").alias("t"), F.timestamp_millis(F.col("t") * 100 + 10**12).alias("ts"), F.col("p").cast("double").alias("p"))
+    f.write.parquet(at)
+    last = f.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(F.lit(-1).cast("long").alias("clip"), F.lit("").alias("label"), F.lit(0).alias("t"), "ts", F.lit(None).cast("double").alias("p"))
+    last.write.mode("append").parquet(at)
+    s = J.segment_stream(spark.readStream.schema(f.schema).parquet(at), 0.3, 0.15)
+    sink = _folder(spark, "segments")
+    s.writeStream.format("parquet").option("checkpointLocation", _folder(spark, "segments-state")).trigger(availableNow=True).start(sink).awaitTermination()
+    out = spark.read.schema(s.schema).parquet(sink)
+    return out.select("clip", "label", F.round("t0", 4).alias("t0"), F.round("t1", 4).alias("t1"), F.round("peak", 6).alias("peak"))
+
+
+@query("stream_event_sessions", "events", sql="with f as (select user_id clip, event_type label, ts, least(value / 100, 1.0) p from events where least(value / 100, 1.0) >= 0.3), g as (select *, case when ts - lag(ts) over w < interval 10 minute then 0 else 1 end b from f window w as (partition by clip, label order by ts)), s as (select *, sum(b) over (partition by clip, label order by ts rows unbounded preceding) i from g) select clip, label, count(*) n, round(max(p), 6) peak from s group by clip, label, i")
+def stream_event_sessions(events):
+    """Sessions of loud frames, all of them: a last row closes those that are open."""
     spark, at = events.sparkSession, _folder(events.sparkSession, "frames")
     f = events.select(F.col("user_id").alias("clip"), F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("ts"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"))
+    last = f.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(F.lit(-1).cast(dict(f.dtypes)["clip"]).alias("clip"), F.lit("").alias("label"), "ts", F.lit(1.0).alias("p"))
     f.write.parquet(at)
+    last.write.mode("append").parquet(at)
     s = J.event_sessions(spark.readStream.schema(f.schema).parquet(at), 0.3, "10 minutes", "1 hour")
     sink = _folder(spark, "sessions")
     s.writeStream.format("parquet").option("checkpointLocation", _folder(spark, "sessions-state")).trigger(availableNow=True).start(sink).awaitTermination()
-    return spark.read.schema(s.schema).parquet(sink)
+    return spark.read.schema(s.schema).parquet(sink).select("clip", "label", "n", F.round("peak", 6).alias("peak"))

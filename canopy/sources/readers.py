@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +11,13 @@ RECORD = "row_id string, attr string, value string, leaf string, score double, t
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; half-written ones are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines; half-written ones are skipped. A path that doesn't exist gives no rows."""
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_label_shards(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -59,7 +65,7 @@ def read_ontology(spark: SparkSession, path: str, multi_line: bool = True) -> tu
 def read_aspects(spark: SparkSession, path: str) -> DataFrame:
     """id, aspect: CSV whose second field is a list of quoted strings."""
     a = spark.read.schema("id string, aspects string").option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    return a.select("id", F.explode(F.regexp_extract_all("aspects", F.lit("'([^']*)'"), F.lit(1))).alias("aspect"))
+    return a.select("id", F.explode(F.regexp_extract_all("aspects", F.lit(r"(?:'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\")"), F.lit(0))).alias("a")).select("id", F.regexp_replace(F.expr("substring(a, 2, length(a) - 2)"), r"\\(.)", "$1").alias("aspect"))
 
 
 def read_tab_log(spark: SparkSession, path: str) -> DataFrame:
@@ -82,8 +88,8 @@ def place_language(rows: DataFrame, aliases: dict[str, str], groups: dict[str, s
 
 
 def read_items(spark: SparkSession, path: str, drop: list[str], least: int = 2, most: int = 26) -> DataFrame:
-    """Parquet items without some categories, with a bounded number of options."""
-    return spark.read.parquet(path).filter(~F.col("category").isin(drop) & F.size("choices").between(least, most))
+    """Parquet items without some categories, with one recording and a bounded number of options."""
+    return spark.read.parquet(path).filter(~F.col("category").isin(drop) & (F.size("audio_path") == 1) & F.size("choices").between(least, most))
 
 
 def multihop_items(meta: DataFrame) -> DataFrame:

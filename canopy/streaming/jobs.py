@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +36,53 @@ def event_sessions(frames: DataFrame, tau: float, gap: str, late: str) -> DataFr
     s = frames.filter(F.col("p") >= tau).withWatermark("ts", late) if frames.isStreaming else frames.filter(F.col("p") >= tau)
     g = s.groupBy(F.session_window("ts", gap).alias("w"), "clip", "label").agg(F.max("p").alias("peak"), F.count("*").alias("n"))
     return g.select("clip", "label", F.col("w.start").alias("t0"), F.col("w.end").alias("t1"), "peak", "n")
+
+
+_OPEN = "ts array<long>, t array<int>, p array<double>, on boolean, a int, b int, peak double"
+
+
+def segment_stream(frames: DataFrame, tau_on: float, tau_off: float, frame_s: float = 0.1, gap: float = 0.3, least: float = 0.2, late: str = "1 hour", idle_ms: int = 60_000) -> DataFrame:
+    """clip, label, t0, t1, peak: segment_events over a stream of frames in any order. frames: clip, label, t (number of the frame), ts, p.
+
+    Frames wait in the state until the watermark has passed them, then go through the hysteresis in order; an event leaves once no later run can join it. A series without frames for `idle_ms` beyond the
+    watermark is closed, its open event included, so a row of any series with a later ts and a null p flushes all others.
+    """
+
+    def step(t: int, p: float, on: bool, a: int, b: int, peak: float) -> tuple[bool, int, int, float, tuple | None]:
+        """The state after a frame; a < 0: no event is held. And the event that is complete by it."""
+        now, done = p >= tau_on or (on and p >= tau_off), None
+        if now and a >= 0 and not on and (t - b) * frame_s >= gap:
+            done, a = (a, b, peak), -1
+        if now:
+            a, b, peak = (t, t + 1, p) if a < 0 else (a, t + 1, max(peak, p))
+        elif a >= 0 and (t + 1 - b) * frame_s >= gap:
+            done, a = (a, b, peak), -1
+        return now, a, b, peak, done
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ts, ft, fp, on, a, b, peak = state.get if state.exists else ([], [], [], False, -1, -1, 0.0)
+        held = list(zip(ts, ft, fp, strict=True))
+        newest = max(ts, default=0)
+        if not state.hasTimedOut:
+            for pdf in batches:
+                newest = max(newest, int(pdf["ts"].max().value // 1_000_000))
+                seen = pdf[pdf["p"].notna()]
+                held += zip((x.value // 1_000_000 for x in seen["ts"]), seen["t"].tolist(), seen["p"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs()
+        ready = sorted((x for x in held if state.hasTimedOut or x[0] < mark), key=lambda x: x[1])
+        held = [] if state.hasTimedOut else [x for x in held if x[0] >= mark]
+        events = []
+        for _, t, p in ready:
+            on, a, b, peak, done = step(t, p, on, a, b, peak)
+            events += [done] if done else []
+        if state.hasTimedOut:
+            events += [(a, b, peak)] if a >= 0 else []
+            state.remove()
+        else:
+            state.update(([int(x[0]) for x in held], [int(x[1]) for x in held], [float(x[2]) for x in held], bool(on), int(a), int(b), float(peak)))
+            state.setTimeoutTimestamp(max(newest, mark) + idle_ms)
+        rows = [(*key, x * frame_s, y * frame_s, z) for x, y, z in events if (y - x) * frame_s >= least]
+        yield pd.DataFrame(rows, columns=["clip", "label", "t0", "t1", "peak"])
+
+    f = frames.select("clip", "label", F.col("t").cast("int").alias("t"), "ts", "p").withWatermark("ts", late)
+    return f.groupBy("clip", "label").applyInPandasWithState(run, "clip long, label string, t0 double, t1 double, peak double", _OPEN, "append", "EventTimeTimeout")
