@@ -2,62 +2,55 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workers import reachable, shared_folder
+
 #: ASCII white space, as a Java regular expression class and its complement.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sides of a join with at most so many (narrow) rows may be broadcast; the number is counted first.
 BROADCAST_ROWS = 200_000
 
 
-def reachable(spark: SparkSession) -> None:
-    """Lets Python workers started from now on import this package from where the driver has it (on a cluster, ship it as usual).
-
-    Where Arrow batches still have Spark's default of 10,000 rows they get 2,000, since rows here are whole texts.
-    """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [env.get("PYTHONPATH")])])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
 
 
-def stage(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, gives real sizes."""
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs hand at most `rows` rows at once to Python, since rows are whole texts here; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    try:
+        if not 0 < int(own) <= rows:
+            spark.conf.set(key, str(rows))
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+def stage(df: DataFrame, name: str, codec: str = "lz4", rows: int = 2_000) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, gives real sizes. rows: rows at once in Python."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with arrow_batches(spark, rows):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,8 @@
 3. In each list every class is compared with the list's hub, its least id: as many pairs as list entries, however long the list is. The sketch of the union estimates the similarity and
    drops most pairs; the full sets give the exact one.
 4. Hubs and what resembles them at least at `cloud` form clouds; by the triangle inequality of the Jaccard distance a link between two classes of which one is linked to the hub lies inside its cloud.
-   Clouds that the links found so far leave in parts are compared in blocks, the members outside the largest part against all. Lists' members outside one cloud are paired by size band.
+   Clouds that the links found so far leave in parts are compared in blocks, the members outside the largest part against all. Lists' members in different clouds are compared by size band:
+   pairs of rows in short lists, in blocks of sketches in others, which only survivors leave.
 5. Connected components over all verified links.
 """
 
@@ -25,8 +26,8 @@ from .textstats import mixed, windows, word_hashes
 
 #: Retained values, the least overlap of two sketches (as a share) that is looked for, and the similarity of a cloud's members with a hub.
 K, OVERLAP, CLOUD = 96, 0.62, 0.5
-#: Classes in a block of a cloud.
-BLOCK = 256
+#: Members in a block at most on average, and bytes of their full sets; values in one matrix; members of a list that are paired as rows.
+BLOCK, BLOCK_BYTES, COLUMNS, SHORT = 256, 1 << 20, 1 << 14, 16
 
 
 def fingerprints(text: str | None, width: int) -> np.ndarray:
@@ -103,33 +104,109 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 _PAIR = "a long, b long, both long, union long"
 
 
-def _block_overlaps(similarity: int):
-    """Links between two blocks of one cloud, by a product of incidence matrices; pairs in one part are known already."""
+def _common(qv: np.ndarray, ql: np.ndarray, xv: np.ndarray, xl: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets q[i] and x[j], by products of incidence matrices; the sets stand one after another in qv and xv, their sizes in ql and xl."""
+    shared = np.intersect1d(qv, xv)
+    grid = np.zeros((len(ql), len(xl)), np.int64)
+    if not len(shared):
+        return grid
+    sides = []
+    for v, n in ((qv, ql), (xv, xl)):
+        at = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
+        hit = shared[at] == v
+        sides.append((np.repeat(np.arange(len(n)), n)[hit], at[hit], len(n)))
+    for lo in range(0, len(shared), COLUMNS):
+        cols = []
+        for member, at, n in sides:
+            m = np.zeros((n, min(COLUMNS, len(shared) - lo)), np.float32)
+            here = (at >= lo) & (at < lo + COLUMNS)
+            m[member[here], at[here] - lo] = 1
+            cols.append(m)
+        grid += np.rint(cols[0] @ cols[1].T).astype(np.int64)
+    return grid
+
+
+def _forest(i: np.ndarray, j: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges i[e] - j[e] between `left` members and others, those that a spanning forest needs."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    keep = []
+    for e, (a, b) in enumerate(zip(i.tolist(), (j + left).tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            up[a] = b
+            keep.append(e)
+    return i[keep], j[keep]
+
+
+def _blocks(similarity: int, k: int | None, low: float):
+    """Pairs (a, b, sure) between two blocks of members (id, n, comp, s) with different comp.
+
+    k None: s are full sets, and only links come out, as a spanning forest. Else s are sketches of k values: where both are whole sets it is the same, other pairs come out unsure
+    where the values common to both reach the share `low` of the union's sketch, that is of all values up to the one where the first of the two sketches ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                q, x = r["q"], r["x"]
-                qs, xs = ([np.frombuffer(m["s"], np.int64) for m in side] for side in (q, x))
-                shared = np.intersect1d(np.unique(np.concatenate(qs)), np.unique(np.concatenate(xs)))
-                grid = []
-                for sets in (qs, xs):
-                    m = np.zeros((len(sets), len(shared)), np.float32)
-                    for i, s in enumerate(sets):
-                        at = np.searchsorted(shared, s)
-                        at[at == len(shared)] = 0
-                        m[i, at[shared[at] == s] if len(shared) else []] = 1
-                    grid.append(m)
-                both = np.rint(grid[0] @ grid[1].T).astype(np.int64)
-                union = np.array([len(s) for s in qs])[:, None] + np.array([len(s) for s in xs])[None, :] - both
-                apart = np.array([m["comp"] for m in q])[:, None] != np.array([m["comp"] for m in x])[None, :]
-                i, j = np.nonzero(apart & (100 * both >= similarity * union))
-                rows = [(q[a]["id"], x[b]["id"], int(both[a, b]), int(union[a, b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [[]] * 4)], ["a", "b", "both", "union"])
+            for q, x in zip(batch.column("q"), batch.column("x"), strict=True):
+                (qi, qn, qc, qv, ql), (xi, xn, xc, xv, xl) = (_members(side.values) for side in (q, x))
+                both = _common(qv, ql, xv, xl)
+                apart = (qc[:, None] != xc[None, :]) & ((qn[:, None] < xn[None, :]) | ((qn[:, None] == xn[None, :]) & (qi[:, None] < xi[None, :])) | (k is None))
+                linked = 100 * both >= similarity * (qn[:, None] + xn[None, :] - both)
+                whole = np.ones_like(linked) if k is None else (qn <= k)[:, None] & (xn <= k)[None, :]
+                i, j = _forest(*np.nonzero(apart & whole & linked), len(qi))
+                sure = np.ones(len(i), bool)
+                if k is not None:
+                    union = _union(qv, ql, qn > k, xv, xl, xn > k) - both
+                    maybe = (both >= low * union) & (100 * np.minimum(qn[:, None], xn[None, :]) >= similarity * np.maximum(qn[:, None], xn[None, :]))
+                    mi, mj = np.nonzero(apart & ~whole & maybe)
+                    i, j, sure = np.concatenate([i, mi]), np.concatenate([j, mj]), np.concatenate([sure, np.zeros(len(mi), bool)])
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(qi[i], xi[j])), pa.array(np.maximum(qi[i], xi[j])), pa.array(sure)], ["a", "b", "sure"])
 
     return run
 
 
+def _union(qv: np.ndarray, ql: np.ndarray, qcut: np.ndarray, xv: np.ndarray, xl: np.ndarray, xcut: np.ndarray) -> np.ndarray:
+    """For sketches q[i] and x[j]: how many values of both lie up to the end of the one that ends first; a sketch that isn't cut has no end."""
+    sides = [(np.split(v, np.cumsum(n)[:-1]), np.where(cut, v[np.cumsum(n) - 1], np.iinfo(np.int64).max)) for v, n, cut in ((qv, ql, qcut), (xv, xl, xcut))]
+    (q, qe), (x, xe) = sides
+    return np.stack([np.searchsorted(s, np.minimum(e, xe), "right") for s, e in zip(q, qe, strict=True)]) + np.stack([np.searchsorted(s, np.minimum(e, qe), "right") for s, e in zip(x, xe, strict=True)], 1)
+
+
+def _members(side: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """Columns id, n and comp of a block, its sets one after another, and their sizes in s."""
+    i, n, comp = (side.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "comp"))
+    s = side.field("s")
+    if pa.types.is_binary(s.type):
+        return i, n, comp, np.frombuffer(b"".join(s.to_pylist()), np.int64), n
+    return i, n, comp, s.flatten().to_numpy(zero_copy_only=False), s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _compared(q: DataFrame, x: DataFrame, on: list[str], steps: tuple[int, ...], run) -> DataFrame:
+    """(a, b, sure) from run over pairs of a block of q and one of x with equal `on`, whose last column may be more by one of `steps` in x. Rows: on, block, m (a member).
+
+    The pairs of blocks are made as numbers first, then each fetches its members by the block's own key, so that no key holds a whole group.
+    """
+    key = [*on, "block"]
+    pack = lambda side: stage(side.groupBy(*key).agg(F.collect_list("m").alias("ms")), "dedup-blocks", "uncompressed")
+    same, q = q is x, pack(q)
+    x = q if same else pack(x)
+    q, x = (side.select(*[F.col(c).alias(f"{name}_{c}") for c in key], F.col("ms").alias(name)) for side, name in ((q, "q"), (x, "x")))
+    last = on[-1]
+    one = q.drop("q").withColumns({c: F.col(f"q_{c}") for c in on[:-1]} | {last: F.explode(F.array(*[F.col(f"q_{last}") + s for s in steps]))})
+    two = x.drop("x").withColumns({c: F.col(f"x_{c}") for c in on})
+    pairs = stage(one.join(two.hint("merge"), on).drop(*on), "dedup-block-pairs")
+    pairs = pairs.join(q.hint("merge"), [f"q_{c}" for c in key]).select("q", *[f"x_{c}" for c in key]).join(x.hint("merge"), [f"x_{c}" for c in key]).select("q", "x")
+    return stage(pairs.mapInArrow(run, "a long, b long, sure boolean"), "dedup-compared", rows=64)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, k: int = K, cloud: float = CLOUD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -149,7 +226,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, k: in
     freq = stage(post.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1"), "dedup-values")
     rare = post.join(freq.hint("merge"), "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
     size = F.size("sketch")
-    least = F.greatest(F.lit(1), F.floor(size * OVERLAP)).cast("int")
+    # sets whose partners are all whole in their sketches share at least `similarity` of themselves; others fall below OVERLAP with a negligible chance
+    exact = F.col("n") * 100 <= k * similarity
+    least = F.greatest(F.lit(1), F.when(exact, F.ceil(size * similarity / 100)).otherwise(F.floor(size * OVERLAP))).cast("int")
     width_of = F.greatest(F.lit(0), size - least + 1 - (size - F.size("vs")))  # values of one class alone come first and take their share
     lists = rare.join(reps.select("id", "n", "sketch").hint("merge"), "id").select("id", "n", F.explode(F.slice("vs", F.lit(1), width_of)).alias("x")).select("id", "n", F.col("x.v").alias("v"))
     lists = stage(lists, "dedup-lists")
@@ -168,10 +247,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, k: in
 
     star = stage(estimated(star, cloud - 0.2), "dedup-star")
     sets = _sets_of(star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))), docs, width)
-    return _finish(docs, sk, head, reps, lists, star, sets, width, similarity, cloud, estimated)
+    return _finish(docs, sk, head, reps, lists, star, sets, width, similarity, k, cloud, estimated)
 
 
-def _finish(docs, sk, head, reps, lists, star, sets, width, similarity, cloud, estimated) -> DataFrame:
+def _finish(docs, sk, head, reps, lists, star, sets, width, similarity, k, cloud, estimated) -> DataFrame:
     linked = F.expr(f"100 * both >= {int(similarity)} * `union`")
     exact = stage(_pairs_with_sets(star, docs, width, sets).mapInArrow(_overlaps, _PAIR).filter(f"both >= {cloud} * `union`"), "dedup-exact")
     links = exact.filter(linked).select("a", "b")
@@ -182,22 +261,33 @@ def _finish(docs, sk, head, reps, lists, star, sets, width, similarity, cloud, e
     sizes = own.groupBy("cloud", "comp").agg(F.count("*").alias("m"))
     main = stage(sizes.groupBy("cloud").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1").select("cloud", F.col("t.comp").alias("main"), "all"), "dedup-split")
     if main.limit(1).count():
-        of = own.join(main.hint("merge"), "cloud").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("all") / BLOCK)))
-        of = of.join(sets.hint("merge"), "id").withColumn("m", F.struct("id", "comp", "s"))
-        x = of.groupBy("cloud", "block").agg(F.collect_list("m").alias("x"))
-        q = of.filter("comp != main").groupBy("cloud", "block").agg(F.collect_list("m").alias("q"))
-        x, q = stage(x, "dedup-blocks", "uncompressed"), stage(q.drop("block"), "dedup-blocks", "uncompressed")
-        more = stage(q.join(x.hint("merge"), "cloud").select("q", "x").mapInArrow(_block_overlaps(similarity), _PAIR), "dedup-inside").select("a", "b")
-        links = links.unionByName(more)
+        of = own.join(main.hint("merge"), "cloud").join(sets.hint("merge"), "id")
+        of = stage(of.select("cloud", "main", "all", F.struct("id", (F.length("s") / 8).cast("long").alias("n"), "comp", "s").alias("m")), "dedup-split-members", "uncompressed")
+        bulk = of.groupBy("cloud").agg(F.sum(F.length("m.s")).alias("bytes"))
+        of = of.join(stage(bulk, "dedup-bulk").hint("merge"), "cloud")
+        of = of.withColumn("block", F.pmod(F.xxhash64("m.id"), F.ceil(F.greatest(F.col("all") / BLOCK, F.col("bytes") / BLOCK_BYTES))))
+        links = links.unionByName(_compared(of.filter("m.comp != main"), of, ["cloud"], (0,), _blocks(similarity, None, 0.0)).select("a", "b"))
     # 4b. members of one list in different clouds, by size band
     at = lists.join(own.hint("merge"), "id", "left").select("v", "id", "n", F.coalesce("cloud", "id").alias("cloud"))
     apart = at.groupBy("v").agg(F.min("cloud").alias("c0"), F.max("cloud").alias("c1")).filter("c0 != c1").select("v")
-    at = stage(at.join(stage(apart, "dedup-apart").hint("merge"), "v", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / similarity))).cast("int")), "dedup-rest")
-    one = at.select("v", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("cloud").alias("c1"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    two = at.select("v", "band", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("cloud").alias("c2"))
+    at = at.join(stage(apart, "dedup-apart").hint("merge"), "v", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / similarity))).cast("int"))
+    at = stage(at, "dedup-rest")
+    # a member meets its own band and the next, so a list is short where no two neighbouring bands hold over SHORT
+    long = at.groupBy("v", "band").agg(F.count("*").alias("m")).filter(F.col("m") > SHORT // 2)
+    lists_of = stage(long.groupBy("v").agg(F.max("m").alias("most")), "dedup-long")
+    at = at.join(lists_of.hint("merge"), "v", "left")
+    few = at.filter("most is null")
+    one = few.select("v", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("cloud").alias("c1"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    two = few.select("v", "band", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("cloud").alias("c2"))
     rest = one.join(two.hint("merge"), ["v", "band"]).filter((F.col("c1") != F.col("c2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))) & (100 * F.col("n1") >= similarity * F.col("n2")))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.hint("merge"), ["a", "b"], "left_anti")
-    rest = stage(estimated(rest, similarity / 100 - 0.2), "dedup-rest-pairs")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    many = at.filter("most is not null").join(reps.select("id", "sketch").hint("merge"), "id")
+    many = many.select("v", "band", F.pmod(F.xxhash64("v", "id"), F.ceil(F.col("most") / BLOCK)).alias("block"), F.struct("id", "n", F.col("cloud").alias("comp"), F.col("sketch").alias("s")).alias("m"))
+    low = similarity / 100 - 0.2
+    found = _compared(many, many, ["v", "band"], (0, 1), _blocks(similarity, k, low))
+    links = links.unionByName(found.filter("sure").select("a", "b"))
+    rest = rest.unionByName(found.filter("not sure").select("a", "b")).distinct().join(star.hint("merge"), ["a", "b"], "left_anti")
+    rest = stage(estimated(rest, low), "dedup-rest-pairs")
     if rest.limit(1).count():
         more = _pairs_with_sets(rest, docs, width).mapInArrow(_overlaps, _PAIR).filter(linked).select("a", "b")
         links = links.unionByName(stage(more, "dedup-rest-links"))
