@@ -93,8 +93,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """One row per document: doc_id, source, size, source_size, target, taken, and draws, an array of (words, shard, place).
 
     Size: number of words. Each draw is one block copy: words of it are taken (all but in the last block of a source), it goes to output shard `shard`,
-    and `place` orders the shard. Draws of a source are disjoint runs of its permuted blocks; the quotas are exact to the word, so a source's taken words are its
-    target rounded. Null texts have size 0 and are never drawn, nor are other empty ones; a null source is a source of its own, last in order.
+    and `place` orders the shard. A leaf of the tree draws as many blocks of each source as its quota says: its run of the source's permuted blocks, disjoint from all others. `taken` is the
+    sum over the leaves. The root's quotas are exact to the word, so a source's taken words are its target rounded. Null texts have size 0 and are never drawn, nor are other empty ones; a null source is a source of its own, last in order.
     Documents with equal or null ids are separate blocks. An empty table gives an empty result. Other columns are ignored, but for `key`, which tells rows
     apart and comes first in the result.
     """
@@ -112,18 +112,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     per = per.withColumn("rounds", rounds).withColumn("rest", F.col("words") - F.col("rounds") * F.col("source_size"))
     placed = attach(base, per.drop("source"), ["_null", "_source"], "inner")
     placed = placed.withColumn("more", F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("before"))))
-    quota = placed.groupBy("k").agg((F.count(F.when(F.col("more") > 0, 1)) + F.max(F.col("rounds") * F.col("blocks"))).alias("quota"))
-    bounds = stage(split_quotas(stage(quota, "mix-quotas"), levels, seed), "mix-bounds")
-    out = attach(placed, bounds, ["k"], "inner")
-    whole = F.transform(F.when((F.col("rounds") > 0) & (F.col("size") > 0), F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).otherwise(F.array().cast("array<bigint>")), lambda r: F.struct(r.alias("r"), F.col("size").alias("words")))
-    rest = F.when(F.col("more") > 0, F.array(F.struct(F.col("rounds").alias("r"), F.col("more").alias("words")))).otherwise(F.array().cast("array<struct<r:bigint,words:bigint>>"))
-
-    def draw(d: Column) -> Column:
-        i = d["r"] * F.col("blocks") + F.col("rank")
-        shard = F.size(F.filter("bounds", lambda b: b <= i)) - 1
-        return F.struct(d["words"].alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "k", d["r"], "rank").alias("place"))
-
-    out = out.withColumn("draws", F.transform(F.concat(whole, rest), draw))
+    last = F.expr("max_by(more, rank) filter (where more > 0)")  # what the last block gives, where a run ends within it
+    quota = stage(placed.groupBy("k").agg((F.count(F.when(F.col("more") > 0, 1)) + F.max(F.col("rounds") * F.col("blocks"))).alias("quota"), last.alias("last")), "mix-quotas")
+    leaves = stage(split_quotas(quota, levels, seed).join(quota.hint("merge"), "k"), "mix-leaves")
+    out = attach(placed, leaves, ["k"], "inner")
+    # each leaf draws its run lo .. hi - 1 of the source's permuted blocks, which go round: block `rank` is drawn at rank, rank + blocks, ..
+    runs = F.transform(F.sequence(F.lit(0), F.lit(2**levels - 1)), lambda s: F.struct(s.alias("shard"), F.get("bounds", s).alias("lo"), F.get("bounds", s + 1).alias("hi")))
+    runs = F.transform(runs, lambda x: F.struct(x["shard"].alias("shard"), (x["lo"] + F.pmod(F.col("rank") - x["lo"], F.greatest("blocks", F.lit(1)))).alias("first"), x["hi"].alias("hi")))
+    runs = F.filter(runs, lambda x: (F.col("size") > 0) & (x["first"] < x["hi"]))
+
+    def draw(shard: Column, i: Column) -> Column:
+        words = F.when((i == F.col("quota") - 1) & F.col("last").isNotNull(), F.col("last")).otherwise(F.col("size"))
+        return F.struct(words.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "k", i).alias("place"))
+
+    out = out.withColumn("draws", F.flatten(F.transform(runs, lambda x: F.transform(F.sequence(x["first"], x["hi"] - 1, F.col("blocks")), lambda i: draw(x["shard"], i)))))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return out.select(*keys, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
 
