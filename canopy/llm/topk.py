@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Vectors in a block; queries up to which the query blocks are broadcast.
-BLOCK, BROADCAST_QUERIES = 4096, 40_000
+#: Vectors in a block; bytes of query blocks that are broadcast at once (one block at least).
+BLOCK, BROADCAST_BYTES = 4096, 64 << 20
 
 
 def _blocks(scale: float):
@@ -87,27 +87,39 @@ def _searched(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, group_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query row with all rows of other ids.
 
     vectors: vec_id, embedding. Components become floor(scale * x); a vector that ends early has zeros there. Ties go to the smaller id. Vectors (or ids) that are
     null, empty, or hold null or non-finite parts take no part. A repeated id is one query more, with the same answers once. Fewer than k candidates give fewer rows.
 
-    Each pair of a query block and a candidate block is one unit of work; its k best per query are all that is shuffled.
+    Each pair of a query block and a candidate block is one unit of work; its k best per query are all that is shuffled. Query blocks are broadcast in groups of bounded bytes, a pass over
+    the candidates for each group; blocks are numbered without their vectors.
     """
     spark = vectors.sparkSession
     schema = "ids binary, x binary, dim int"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     chosen = v.filter(is_query).dropDuplicates(["vec_id"])
     n = chosen.count()
-    q = stage(chosen.repartition(max(1, -(-n // BLOCK)), "vec_id").mapInArrow(_blocks(scale), schema), "topk-queries")
-    q = stage(q.withColumn("b", F.row_number().over(W.orderBy(F.xxhash64("ids"))) - 1), "topk-query-blocks")
-    blocks = q.count()
-    if not blocks:
+    q = chosen.repartition(max(1, -(-n // BLOCK)), "vec_id").mapInArrow(_blocks(scale), schema).withColumn("uid", F.monotonically_increasing_id())
+    q = stage(q, "topk-queries")
+    order = W.orderBy("uid")
+    sizes = q.select("uid", (F.length("ids") + F.length("x")).cast("long").alias("bytes"))
+    sizes = sizes.withColumn("part", F.floor((F.sum("bytes").over(order) - F.col("bytes")) / group_bytes).cast("int"))
+    numbers = stage(sizes.select("uid", "part", (F.row_number().over(W.partitionBy("part").orderBy("uid")) - 1).alias("b")), "topk-numbers")
+    parts = [(r["part"], r["n"]) for r in numbers.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    c = v.mapInArrow(_blocks(scale), schema).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = q.select("b", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("dim").alias("q_dim"))
-    both = c.join(F.broadcast(q) if n <= BROADCAST_QUERIES else q.hint("merge"), "b").select("q_ids", "q_x", "q_dim", "ids", "x", "dim")
-    best = both.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    q = q.join(numbers.hint("merge"), "uid").select("part", "b", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("dim").alias("q_dim"))
+    c = v.mapInArrow(_blocks(scale), schema)
+
+    def searched(part: int, blocks: int) -> DataFrame:
+        each = c.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        both = each.join(F.broadcast(q.filter(F.col("part") == part).drop("part")), "b").select("q_ids", "q_x", "q_dim", "ids", "x", "dim")
+        return both.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+
+    best = searched(*parts[0])
+    for p in parts[1:]:
+        best = best.unionByName(searched(*p))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
