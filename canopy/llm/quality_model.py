@@ -128,13 +128,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     """One row per document: doc_id, held_out, score, predicted.
 
     The fit sees at most fit_rows labelled rows that aren't held out (those with the least hash of their id), and only statistics of the text. Rows of `labels` with a null
-    id or label are ignored; of several labels for an id the least counts. Null and empty texts have a score too. Null ids are never held out. An empty table
+    id or label are ignored; of several labels for an id the least counts, and of several texts the one with the least statistics. Null and empty texts have a score too. Null ids are never held out. An empty table
     gives an empty result.
     """
     stats = stage(text_stats(docs), "quality-stats")
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = stage(stats.join(F.broadcast(known), "doc_id").limit(2 * fit_rows).coalesce(4), "quality-sample")  # a bound for repeated ids
+    # one row an id, in an order that doesn't depend on how the table is stored
+    sample = stats.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(*STATS)).alias("s")).select("doc_id", "y", "s.*")
+    sample = stage(sample.repartition(4, "doc_id").sortWithinPartitions("doc_id"), "quality-sample")
     model = fit_rules(sample, "y")
     out = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

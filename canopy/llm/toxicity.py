@@ -339,7 +339,7 @@ def fit(sample: DataFrame) -> Model:
         w = new
     model = Model(model.landmarks, model.toxic, 0.0, 1.0, nystrom @ w[:-1], float(w[-1]), model.strings)
     # the documents' own threshold: between the sample's toxic and clean documents, where the fewest are wrong
-    got = sample.select("doc_id", F.col("y").cast("boolean").alias("held_out"), "text").mapInArrow(_scored(model, raw=True), "doc_id long, held_out boolean, score double").select("held_out", "score").limit(2 * (FIT_TOXIC + FIT_CLEAN)).collect()
+    got = sample.select("doc_id", F.col("y").cast("boolean").alias("held_out"), "text").mapInArrow(_scored(model, raw=True), "doc_id long, held_out boolean, score double").select("held_out", "score").collect()  # a row per document of the bounded sample
     at = np.array(sorted((r["score"], r["held_out"]) for r in got))
     wrong = np.concatenate([[0], np.cumsum(at[:, 1])]) + (at[:, 1] == 0).sum() - np.concatenate([[0], np.cumsum(at[:, 1] == 0)])
     edges = np.concatenate([[at[0, 0] - 1], (at[1:, 0] + at[:-1, 0]) / 2, [at[-1, 0] + 1]])
@@ -376,11 +376,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
     """One row per document: doc_id, held_out, score, predicted.
 
     Learns from labelled rows that aren't held out: at most FIT_TOXIC toxic and FIT_CLEAN clean documents, those with the least hash of their id. Null and empty texts have a low score; of several labels for an
-    id the greatest counts; null labels and ids are ignored. Without toxic examples all scores are low. Texts are scored whole.
+    id the greatest counts, of several texts the least; null labels and ids are ignored. Without toxic examples all scores are low. Texts are scored whole.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     pick = lambda y, n: known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = stage(pick(1, FIT_TOXIC).unionByName(pick(0, FIT_CLEAN)), "toxic-chosen")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = fit(stage(text.join(F.broadcast(chosen), "doc_id"), "toxic-sample"))
+    model = fit(stage(text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")), "toxic-sample"))
     return text.withColumn("held_out", held_out()).mapInArrow(_scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
