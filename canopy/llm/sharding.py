@@ -42,12 +42,21 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return once(x, lambda a: F.aggregate(places, F.lit(0).cast("long"), lambda c, s: c * 2 + F.when(F.get(a, s["i"]).bitwiseAND(s["q"]) != 0, 1).otherwise(0)))
 
 
-def text_dims(bits: int) -> list[Column]:
-    """Language, source and the logarithm of the size, each quantised to 0 .. 2**bits - 1; nulls go to cell 0."""
+def value_cells(docs: DataFrame, column: str, bits: int) -> DataFrame:
+    """(value, cell): the 2**bits - 2 most frequent values of a column in cells from 1 on, by frequency, then value. Nulls belong to cell 0, all other values to the last one."""
+    n = docs.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    n = n.orderBy(F.desc("_n"), "_v").limit((1 << bits) - 2)
+    return n.select("_v", F.row_number().over(W.orderBy(F.desc("_n"), "_v")).alias("_c"))  # so many rows at most
+
+
+def text_dims(docs: DataFrame, sized: DataFrame, bits: int) -> tuple[DataFrame, list[Column]]:
+    """sized with the cells of language, source and the logarithm of the size, each 0 .. 2**bits - 1, and their columns."""
     top = (1 << bits) - 1
-    named = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("binary")), F.lit(top)) + 1, F.lit(0))
+    for c in ("lang", "source"):
+        cells = value_cells(docs, c, bits).select(F.col("_v").alias(c), F.col("_c").alias(f"_{c}"))
+        sized = sized.join(F.broadcast(cells), c, "left").withColumn(f"_{c}", F.when(F.col(c).isNull(), 0).otherwise(F.coalesce(f"_{c}", F.lit(top))))
     grown = F.least(F.lit(top), F.floor(F.log2(F.col("size").cast("double")) * (top / 24)))
-    return [named("lang"), named("source"), grown]
+    return sized, [F.col("_lang"), F.col("_source"), grown]
 
 
 def shard_rows(sized: DataFrame, dims: list[Column], n_shards: int, bits: int = 5, ties: tuple[str, ...] = ("doc_id", "text_crc32", "size")) -> DataFrame:
@@ -67,23 +76,26 @@ def shard_rows(sized: DataFrame, dims: list[Column], n_shards: int, bits: int =
     return out.withColumn("slot", F.col("rank") - first).drop("pid", "idx", "base", "total", "rank")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, bits: int = 5) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, bits: int = 5, key: str | None = None) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, lang, source, hilbert, shard, slot for every document, under the law `rows`.
 
-    A null text has size 1 and the checksum 0. Null lang, source or doc_id are allowed, and repeated rows each get a place of their own.
+    A null text has size 1 and the checksum 0. Null lang, source or doc_id are allowed, and repeated rows each get a place of their own. key: a column that tells rows apart, which comes too.
     """
+    keys = [key] if key else []
     sized = docs.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        *keys, "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source",
     )
-    return shard_rows(sized, text_dims(bits), n_shards, bits)
+    sized, dims = text_dims(docs, sized, bits)
+    return shard_rows(sized, dims, n_shards, bits, ("doc_id", "text_crc32", "size", *keys)).drop("_lang", "_source")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes the documents into one folder per shard, in curve order, so that Parquet's min/max prune on every dimension.
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, bits: int = 5, files: int = 4) -> None:
+    """Writes the documents into one folder per shard (`shard=n`), each in curve order in about `files` files, so that Parquet's min/max prune on every dimension.
 
-    `placed` is shard_documents(docs); doc_id must be unique here.
+    All columns of docs but one named shard are kept. Rows are told apart by a key written once with them, so ids may be null or repeat.
     """
-    n = placed.select("shard").distinct().count()
-    full = docs.join(placed.select("doc_id", "shard", "slot", "hilbert").hint("merge"), "doc_id")
-    full.repartitionByRange(max(n, 1) * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = stage(docs.drop("shard").withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
+    placed = shard_documents(rows, n_shards, bits, "_row").select("_row", "shard", F.col("slot").alias("_slot"))
+    full = rows.join(stage(placed, "shard-places").hint("merge"), "_row")
+    full.repartitionByRange(n_shards * files, "shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_row", "_slot").write.partitionBy("shard").parquet(path)
