@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, near_dedup, packing, pii, quality_model, quality_rules, sharding, topk, toxicity, warc
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op7_pii(spark, sf_dir):
@@ -19,7 +20,7 @@ def op10_hilbert_sharding(spark, sf_dir):
 
 def op2_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
 def op4_divergence_rules(spark, sf_dir):
@@ -51,4 +52,3 @@ def op1_near_dedup(spark, sf_dir):
 
 
 QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_warc": op6_warc, "op8_top_k": op8_top_k, "op2_mixing": op2_mixing, "op4_divergence_rules": op4_divergence_rules, "op9_rule_ensemble": op9_rule_ensemble, "op7_pii": op7_pii, "op10_hilbert_sharding": op10_hilbert_sharding}
-ORACLE_SQL: dict[str, str] = {}

@@ -100,8 +100,24 @@ def test_mixing(spark, docs, texts):
     total = sum(size.values())
     assert sum(p[1] for p in per.values()) == pytest.approx(1.5 * total)
     assert all(p[0] == p[3] and abs(p[2] - p[1]) <= 1 and p[1] <= 2 * p[0] + 1e-6 for p in per.values())
+    # targets, recomputed by water-filling
+    names = sorted(per, key=lambda x: (x is None, x or ""))
+    want, free, left = {}, {x: (3, 1, 2)[i % 3] for i, x in enumerate(names)}, 1.5 * total
+    while free:
+        level = left / sum(free.values())
+        over = [x for x in free if free[x] * level >= 2 * per[x][0]] or list(free)
+        for x in over:
+            want[x] = min(2 * per[x][0], free.pop(x) * level)
+            left -= want[x]
+    assert all(p[1] == pytest.approx(want[x]) for x, p in per.items())
+    # every leaf holds what the tree gave it
     shards = Counter(d.shard for r in rows for d in r.draws)
     assert max(shards.values()) - min(shards.values()) <= 5  # halves differ by one at each of four levels
+    blocks = Counter(r.source for r in rows for d in r.draws)
+    quotas = spark.createDataFrame([(k, blocks[x]) for k, x in enumerate(names)], "k int, quota long")
+    leaves = {names[r.k]: [y - x for x, y in zip(r.bounds, r.bounds[1:], strict=False)] for r in mixing.split_quotas(quotas, 4, 7).collect()}
+    got = Counter((r.source, d.shard) for r in rows for d in r.draws)
+    assert all(got[x, s] == n for x, ns in leaves.items() for s, n in enumerate(ns)) and len(shards) == 16
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and sum(len((r.text or "").split()) for r in out.collect()) == sum(r.taken for r in rows)
@@ -284,11 +300,10 @@ def test_packing(spark, docs, texts):
     import public_tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     odd = {100: "a  b\n\nc \t d", 101: "don't  'll x <|endoftext|>  ", 102: "x" * 5000, 103: " lead and trail \n", 104: "日本語 テキスト 🙂🙂 é"}
     every = texts | odd
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in every.items()}
-    rows = packing.pack(docs.unionByName(spark.createDataFrame([row(i, x, "en", "odd") for i, x in odd.items()], SCHEMA)), length=256, window=4, smallest=32).collect()
+    rows = packing.pack(docs.unionByName(spark.createDataFrame([row(i, x, "en", "odd") for i, x in odd.items()], SCHEMA)), length=256, window=4, smallest=32, added=packing.added_tokens()).collect()
     seqs = {}
     for i, own in ids.items():
         at = 0
@@ -304,6 +319,14 @@ def test_packing(spark, docs, texts):
     assert max(full) == 256 and sum(n < 256 for n in full) <= 1
     weighted = packing.pack(docs, length=256, window=4, smallest=32, weights={"a": 1, "b": 3})
     assert weighted.agg(F.sum("length")).first()[0] == sum(len(ids[i]) for i in texts)
+    # while both queues last, each window holds one token of a for three of b, but for the piece that a deficit carries on
+    named = {x.doc_id: x.source for x in docs.collect()}
+    share = {}
+    for x in weighted.collect():
+        share.setdefault((x.sequence_id * 256 + x.offset) // 1024, Counter())[named[x.doc_id]] += x.length
+    ends = {x: max(w for w, c in share.items() if c[x]) for x in "ab"}
+    early = [c for w, c in share.items() if w < min(ends.values()) - 1]
+    assert early and all(abs(c["a"] - 256) <= 64 and abs(c["b"] - 768) <= 64 for c in early)
     assert packing.pack(empty(spark)).count() == 0
 
 
@@ -347,6 +370,16 @@ def test_warc(spark, tmp_path):
     spark.createDataFrame([("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1:a:1>\r\nWARC-Segment-Number: 1\r\nContent-Length: 3\r\n\r\nabc",)], "value string").write.option("lineSep", "\r\n\r\n").text(path)
     assert [x.complete for x in warc.read_archives(spark, path).collect()] == [False]
     assert warc.archive_round_trip(df.filter("1 = 0")).count() == 0
+    # broken records don't hide the others
+    rec = lambda n, body, length=None, kind="response": f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{n}:a:1>\r\n{'' if length == '' else f'Content-Length: {len(body) if length is None else length}'}\r\n\r\n{body}"
+    http = "HTTP/1.1 200 OK\r\n\r\n"
+    lines = [rec(1, http + "one"), rec(2, http + "two", ""), rec(3, http + "three", "x7"), rec(4, http + "WARC/1.1\r\n\r\nWARC/"), rec(5, http + "five", 9999), rec(6, http + "six"), rec(7, "HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n9\r\nab"), rec(8, "x", None, "request"), "WARC/1.1\r\nWARC-Ty"]
+    want = {"1": (True, b"one"), "2": (False, None), "3": (False, None), "4": (True, b"WARC/1.1\r\n\r\nWARC/"), "5": (False, None), "6": (True, b"six"), "7": (False, None), None: (False, None)}
+    for name, zipped in (("plain", "none"), ("zipped", "gzip")):
+        path = str(tmp_path / name)
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").option("compression", zipped).text(path)
+        got = warc.read_archives(spark, path).collect()
+        assert {x.record_id and x.record_id.split(":")[2]: (x.complete, x.payload and bytes(x.payload)) for x in got} == want and len(got) == 8
     assert warc.unchunked(warc.chunked(big.encode(), 17)) == big.encode()
 
 
@@ -402,10 +435,56 @@ def test_top_k(spark):
         s = sorted(((-sum(a * b for a, b in zip(v[q], x, strict=False)), i) for i, x in v.items() if i != q))[:10]
         want |= {(q, n + 1): (i, -z) for n, (z, i) in enumerate(s)}
     assert got == want
+    parts = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(df.withColumn("b", F.lit(1)), F.col("vec_id") % 100 == 0, group_bytes=1).collect()}
+    assert parts == want
     assert topk.top_k(df.filter("1 = 0"), F.col("vec_id") % 100 == 0).count() == 0
     assert topk.top_k(df.filter("vec_id in (100, 101, 102)"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op6_warc", "op8_top_k"])
+def test_oracles(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from canopy.llm import queries
+
+    at = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        db.execute(f"create view {t} as select * from '{at}/{t}.parquet'")
+    want = db.execute(queries.ORACLE_SQL[name]).fetchall()
+    cols = [d[0] for d in db.description]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, at).select(*cols).collect()) and want
+
+
+def test_blocks():
+    """Blocks of sketches give a forest of the links between whole sets, and all other pairs that may be links."""
+    r = np.random.default_rng(3)
+    base = [np.unique(r.integers(0, 1 << 40, n)) for n in (30, 60, 90, 400, 420)]
+    sets = []
+    for i in range(120):
+        own = base[i % 5]
+        swap = r.random(len(own)) < r.choice([0.0, 0.03, 0.2])
+        sets.append(np.unique(np.where(swap, r.integers(0, 1 << 40, len(own)), own)))
+    k = 96
+    members = [{"id": i, "n": len(s), "comp": i // 2, "s": s[:k].tolist()} for i, s in enumerate(sets)]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("s", pa.list_(pa.int64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([members], kind)] * 2, ["q", "x"])
+    got = [tuple(x.values()) for b in near_dedup._blocks(80, k, 0.6)([batch]) for x in b.to_pylist()]
+    sim = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    links = {(a, b) for a in range(120) for b in range(a + 1, 120) if a // 2 != b // 2 and sim(a, b) >= 0.8}
+    whole = {(a, b) for a, b in links if max(len(sets[a]), len(sets[b])) <= k}
+    sure, maybe = {(a, b) for a, b, s in got if s}, {(a, b) for a, b, s in got if not s}
+    assert sure <= whole and links - whole <= maybe and whole and links - whole
+
+    def parts(edges):
+        up = list(range(120))
+        for _ in range(120):
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert parts(sure) == parts(whole) and len(sure) < len(whole)
+
+
 def test_sharding(spark, docs, texts):
     rows = sharding.shard_documents(docs).collect()
     assert all(r["size"] == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows)
@@ -416,6 +495,34 @@ def test_sharding(spark, docs, texts):
     n = [len(by.get(s, [])) for s in range(16)]
     assert max(n) - min(n) <= 1
     assert sharding.shard_documents(empty(spark)).count() == 0
+    # the cells are ranks by frequency, and places follow the curve, then the ties
+    def rank(c):
+        n = Counter(r[c] for r in rows if r[c] is not None)
+        return {None: 0} | {v: i + 1 for i, v in enumerate(sorted(n, key=lambda v: (-n[v], v)))}
+
+    lang, source = rank("lang"), rank("source")
+    cell = [(lang[r.lang], source[r.source], min(31, int(np.floor(np.log2(r["size"]) * 31 / 24)))) for r in rows]
+    curve = spark.createDataFrame([(i, *c) for i, c in enumerate(cell)], "i int, a int, b int, c int").select("i", sharding.hilbert_index([F.col("a"), F.col("b"), F.col("c")], 5).alias("h")).collect()
+    at = {x.i: x.h for x in curve}
+    order = sorted(range(len(rows)), key=lambda i: (at[i], rows[i].doc_id, rows[i].text_crc32, rows[i]["size"]))
+    assert [(rows[i].shard, rows[i].slot) for i in order] == sorted((r.shard, r.slot) for r in rows) and all(rows[i].hilbert == at[i] for i in order)
+
+
+def test_shard_files(spark, tmp_path):
+    """Null and repeated ids are written once each, and most files can be left out by a filter on a dimension."""
+    r = random.Random(3)
+    rows = [row(None if i % 50 == 0 else i // 2, " ".join(WORDS[: r.randint(1, 40)]) * r.choice([1, 1, 9]), r.choice(["en", "de", "fr", "es"]), r.choice("abcdefgh")) for i in range(1600)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.lit("x")).withColumn("slot", F.lit(1))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(df, path, n_shards=8)
+    back = spark.read.parquet(path)
+    cols = [c for c in df.columns if c != "shard"]
+    assert sorted(map(str, back.select(*cols).collect())) == sorted(map(str, df.select(*cols).collect()))
+    n = [x["count"] for x in back.groupBy("shard").count().collect()]
+    assert len(n) == 8 and max(n) - min(n) <= 1
+    files = back.groupBy(F.input_file_name().alias("f")).agg(*[g(c).alias(f"{c}_{k}") for c in ("lang", "source") for k, g in (("lo", F.min), ("hi", F.max))]).collect()
+    skipped = lambda c, vs: np.mean([not f[f"{c}_lo"] <= v <= f[f"{c}_hi"] for v in vs for f in files])
+    assert skipped("lang", ["en", "de", "fr", "es"]) > 0.2 and skipped("source", "abcdefgh") > 0.3
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 2)])
