@@ -197,7 +197,7 @@ def build_tree(
     """The chain vote, alias, move, re-parent, merge, link, admit over labels (row_id, clip, source, attr, value, leaf, tool, score, seq).
 
     nodes (attr, value, leaf, clips, sources, chunks, forms, parent: the nearest admitted generic), refused (with the reason), members (node, row_id), canon (attr, value, leaf, canon), links (attr, value,
-    leaf, generic), aliases, moves. Leaves are one where their norm_key is. Experts' leaves are renamed by `names`, then by what the annotator says of the same row (cofire_aliases). A node's rows
+    leaf, generic), labels (row_id, attr, value, leaf: see clean_labels), aliases, moves. Leaves are one where their norm_key is. Experts' leaves are renamed by `names`, then by what the annotator says of the same row (cofire_aliases). A node's rows
     count for every generic above it. Intermediate tables are written to the shared folder.
     """
     from .entity import generic_links, light_canon
@@ -240,6 +240,7 @@ def build_tree(
     shape = ["attr", "value", "leaf", "clips", "sources", "chunks", F.coalesce("forms", F.array().cast("array<string>")).alias("forms")]
     return {
         "nodes": good.join(parent.hint("merge"), ["attr", "value", "leaf"], "left").select(*shape, "parent"), "refused": nodes.filter("refused is not null").select(*shape, "refused"),
+        "labels": clean_labels(placed.select("row_id", "attr", "value", "leaf"), canon.withColumnRenamed("canon", "to_leaf"), good, links),
         "members": members(every.join(good.hint("merge"), ["attr", "value", "leaf"], "left_semi")), "canon": canon, "links": links, "aliases": aliases, "moves": moves,
     }
 
@@ -293,11 +294,20 @@ def place_by_rules(names: DataFrame, closure: DataFrame, rules: DataFrame) -> Da
     return names.select("name").join(hit.hint("merge"), "name", "left").withColumn("kind", F.coalesce("kind", F.lit("unplaced")))
 
 
-def events_to_labels(events: DataFrame, classes: dict[str, str], skip: list[str]) -> DataFrame:
-    """clip, value, leaf, score: detected events as labels by a class map, else under `other` with their own name as leaf; some families are skipped."""
-    m = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])
-    e = events.filter(~F.col("label").isin(skip)).withColumn("c", F.element_at(m, F.col("label")))
-    return e.groupBy("clip", F.coalesce("c", F.lit("other")).alias("value"), F.when(F.col("c").isNull(), F.col("label")).otherwise("").alias("leaf")).agg(F.max("peak").alias("score"))
+def events_to_labels(events: DataFrame, rows: DataFrame, named: DataFrame, kinds: DataFrame, skip: list[str], attr: str = "sound.event") -> DataFrame:
+    """row_id, attr, value, leaf, score, t0, t1: detected events as labels of their clip's row and of the chunks they overlap.
+
+    A label of `named` (label, attr, value) gives that attribute's class; all labels but the families of `skip` give `attr` the kind of the label (kinds: label, kind; else `other`), with its name as leaf.
+    events: clip, label, t0, t1, peak; rows: row_id, clip, grid, t0, t1.
+    """
+    from .chunks import project_spans
+
+    e = events.select("clip", "t0", "t1", F.struct("label", "t0", "t1", "peak").alias("span_id"))
+    on_clip = e.select("span_id", "clip").join(rows.filter("grid = 'clip'").select("clip", "row_id").hint("merge"), "clip").select("span_id", "row_id")
+    hit = project_spans(e, rows).unionByName(on_clip).select("row_id", "span_id.*")
+    first = hit.join(named.hint("merge"), "label").select("row_id", "attr", "value", F.lit("").alias("leaf"), F.col("peak").alias("score"), "t0", "t1")
+    rest = hit.filter(~F.col("label").isin(skip)).join(kinds.hint("merge"), "label", "left")
+    return first.unionByName(rest.select("row_id", F.lit(attr).alias("attr"), F.coalesce("kind", F.lit("other")).alias("value"), F.lower("label").alias("leaf"), F.col("peak").alias("score"), "t0", "t1"))
 
 
 def node_index(leaves: DataFrame) -> DataFrame:

@@ -458,6 +458,11 @@ def build_tree_refused(tree_rows):
     return _tree(tree_rows)["refused"].select("attr", "value", "leaf", "clips", "refused")
 
 
+@query("build_tree_labels", "tree_rows", sql=f"with recursive {TREE}, ok as (select attr, value, leaf from ad where refused is null and leaf <> '') select distinct row_id, own.attr, own.value, coalesce(ok.leaf, '') as leaf from own left join ok on ok.attr = own.attr and ok.value = own.value and ok.leaf = own.leaf union select row_id, own.attr, own.value, up.up from own join ok on ok.attr = own.attr and ok.value = own.value and ok.leaf = own.leaf join up on up.attr = own.attr and up.value = own.value and up.leaf = own.leaf join ok g on g.attr = up.attr and g.value = up.value and g.leaf = up.up")
+def build_tree_labels(tree_rows):
+    return _tree(tree_rows)["labels"]
+
+
 @query("canonical_leaf_lookup", "label_rows", sql="with n as (select attr, value, leaf, substr(leaf, 1, 5) cf from label_rows group by 1,2,3 having count(*) > 1) select l.row_id, l.attr, coalesce(cf, '') as leaf from label_rows l left join n on l.attr = n.attr and l.value = n.value and l.leaf = n.leaf")
 def canonical_leaf(label_rows):
     forms = label_rows.groupBy("attr", "value", F.col("leaf").alias("form")).agg(F.count("*").alias("n")).filter("n > 1").withColumn("canonical", F.substring("form", 1, 5))
@@ -483,6 +488,13 @@ def node_index(tags):
     return T.node_index(tags.sparkSession.sql(INDEXED.replace("varchar", "string").replace("from tags", "from {tags}"), tags=tags))
 
 
-@query("events_to_labels", "frames", sql=f"with {SEG} select clip, case label when 'click' then 'press' else 'other' end as value, case label when 'click' then '' else label end as leaf, round(max(peak), 6) score from events_ where label <> 'view' group by 1,2,3")
+@query("events_to_labels", "frames", sql=f"with {SEG}, w as (select distinct clip, k, concat(cast(clip as varchar), ':', cast(k as varchar)) row_id, k * 0.5 a, k * 0.5 + 0.5 b from events_, range(-1, 6) r(k)), h as (select row_id, label, t0, t1, peak from events_ e join w on w.clip = e.clip where k = -1 or least(e.t1, b) - greatest(e.t0, a) >= greatest(least(0.5, (e.t1 - e.t0) / 2), 1e-6)) select row_id, 'speech.kind' attr, 'pressed' as value, '' as leaf, round(peak, 6) score, round(t0, 4) t0 from h where label = 'click' union all select row_id, 'sound.event', case label when 'purchase' then 'till' else 'other' end, label, round(peak, 6), round(t0, 4) from h where label <> 'view'")
 def events_to_labels(frames):
-    return T.events_to_labels(_events(frames), {"click": "press"}, ["view"]).withColumn("score", F.round("score", 6))
+    e, spark = _events(frames), frames.sparkSession
+    rows = e.select("clip").distinct().select("clip", F.explode(F.sequence(F.lit(-1), F.lit(5))).alias("k"))
+    rows = rows.select("clip", F.concat_ws(":", F.col("clip").cast("string"), F.col("k").cast("string")).alias("row_id"), F.when(F.col("k") < 0, "clip").otherwise("g").alias("grid"), (F.col("k") * 0.5).alias("t0"), (F.col("k") * 0.5 + 0.5).alias("t1"))
+    named = spark.createDataFrame([("click", "speech.kind", "pressed")], "label string, attr string, value string")
+    kinds = spark.createDataFrame([("purchase", "till")], "label string, kind string")
+    out = T.events_to_labels(e, rows, named, kinds, ["view"])
+    return out.select("row_id", "attr", "value", "leaf", F.round("score", 6).alias("score"), F.round("t0", 4).alias("t0"))
+

@@ -572,14 +572,18 @@ def router_heads(vectors):
     return H.router_head(vectors, t, F.col("vec_id") % 10 == 0)
 
 
-@query("batch_embed", "text", sql="select doc_id row_id from text where doc_id % 2 = 1")
+@query("batch_embed", "text", sql="select doc_id row_id, true unit, true short from text where doc_id % 2 = 1")
 def batch_embed(text):
-    rows = text.select(F.col("doc_id").alias("row_id"), "text")
+    """The stand-in for a model tells how many texts its batch had, and how many sources they came from."""
+    rows = text.select(F.col("doc_id").alias("row_id"), F.concat_ws("|", F.coalesce("source", F.lit("?")), "text").alias("text"), "source")
 
-    def lengths(batch):
-        return [[float(len(t or "")), float((t or "").count(" ")), 1.0] for t in batch]
+    def sizes(batch):
+        if len(sources := {t.split("|")[0] for t in batch}) > 1:
+            raise ValueError(f"a batch mixes {sources}")
+        return [[float(len(sources)), float(len(batch))] for _ in batch]
 
-    return R.upsert_features(rows, rows.filter("row_id % 2 = 0").select("row_id"), lengths).filter("abs(aggregate(x, 0D, (a, v) -> a + v * v) - 1) < 1e-4").select("row_id")
+    x = R.upsert_features(rows, rows.filter("row_id % 2 = 0").select("row_id"), sizes, apart=("source",), most=16)
+    return x.select("row_id", (F.abs(x["x"][0] * x["x"][0] + x["x"][1] * x["x"][1] - 1) < 1e-4).alias("unit"), (x["x"][1] <= 16 * x["x"][0] * 1.0001).alias("short"))
 
 
 @query("feature_store_upsert", "text", sql="select doc_id row_id from text")

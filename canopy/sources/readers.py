@@ -103,18 +103,35 @@ def write_table(df: DataFrame, path: str, sort: list[str] | None = None) -> None
     (df.sortWithinPartitions(*sort) if sort else df).write.mode("overwrite").parquet(path)
 
 
-def upsert_features(rows: DataFrame, stored: DataFrame | None, embed, dim_col: str = "x") -> DataFrame:
-    """row_id, x: vectors that are missing from the store, from embed(batch of texts) in Arrow batches; unit length. Append the result to the store. rows: row_id, text."""
+def upsert_features(rows: DataFrame, stored: DataFrame | None, embed, dim_col: str = "x", apart: tuple[str, ...] = (), most: int = 256) -> DataFrame:
+    """row_id, x: vectors that are missing from the store, from embed(texts) in batches of at most `most`; unit length. Append the result to the store. rows: row_id, text, and the columns of `apart`.
+
+    A batch never mixes rows that differ in a column of `apart` (clips, grids): rows are dealt and sorted by these, and batches end where one changes.
+    """
     need = rows if stored is None else rows.join(stored.select("row_id").hint("merge"), "row_id", "left_anti")
+    need = need.select("row_id", "text", F.struct(*[F.col(c).cast("string") for c in apart] or [F.lit("").alias("k")]).cast("string").alias("_k"))
+    if apart:
+        need = need.repartition("_k").sortWithinPartitions("_k")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            x = np.asarray(embed(b.column("text").to_pylist()), float)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else x
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(list(x), pa.list_(pa.float32()))], ["row_id", dim_col])
-
-    return need.select("row_id", "text").mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, {dim_col} array<float>")
+        def out(ids, texts):
+            x = np.asarray(embed(texts), float)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(list(x), pa.list_(pa.float32()))], ["row_id", dim_col])
 
+        held, last, kind = [], None, None
+        for b in batches:
+            kind = b.column("row_id").type
+            for i, t, k in zip(*(b.column(c).to_pylist() for c in ("row_id", "text", "_k")), strict=True):
+                if held and (k != last or len(held) == most):
+                    yield out(*map(list, zip(*held, strict=True)))
+                    held = []
+                held.append((i, t))
+                last = k
+        if held:
+            yield out(*map(list, zip(*held, strict=True)))
+
+    return need.mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, {dim_col} array<float>")
