@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stage, without
+from .common import BROADCAST_ROWS, attach, stage, without
 from .textstats import mixed, windows, word_hashes
 
 #: Retained values, the least overlap of two sketches (as a share) that is looked for, and the similarity of a cloud's members with a hub.
@@ -261,10 +261,10 @@ def _finish(docs, sk, head, reps, lists, star, sets, width, similarity, k, cloud
     sizes = own.groupBy("cloud", "comp").agg(F.count("*").alias("m"))
     main = stage(sizes.groupBy("cloud").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1").select("cloud", F.col("t.comp").alias("main"), "all"), "dedup-split")
     if main.limit(1).count():
-        of = own.join(main.hint("merge"), "cloud").join(sets.hint("merge"), "id")
+        of = attach(own, main, ["cloud"], "inner").join(sets.hint("merge"), "id")
         of = stage(of.select("cloud", "main", "all", F.struct("id", (F.length("s") / 8).cast("long").alias("n"), "comp", "s").alias("m")), "dedup-split-members", "uncompressed")
         bulk = of.groupBy("cloud").agg(F.sum(F.length("m.s")).alias("bytes"))
-        of = of.join(stage(bulk, "dedup-bulk").hint("merge"), "cloud")
+        of = attach(of, stage(bulk, "dedup-bulk"), ["cloud"], "inner")
         of = of.withColumn("block", F.pmod(F.xxhash64("m.id"), F.ceil(F.greatest(F.col("all") / BLOCK, F.col("bytes") / BLOCK_BYTES))))
         links = links.unionByName(_compared(of.filter("m.comp != main"), of, ["cloud"], (0,), _blocks(similarity, None, 0.0)).select("a", "b"))
     # 4b. members of one list in different clouds, by size band
