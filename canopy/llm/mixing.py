@@ -136,15 +136,13 @@ def mixed_documents(docs: DataFrame, levels: int = 4, **how) -> DataFrame:
     Ids may be null or repeat: rows are told apart by a key written once with them. n_chars, where there is such a column, follows the text.
     The rows come by output shard, in the order of `place`: each shard is so many partitions in a row, `shuffle.partitions` over the number of shards, rounded up.
     """
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    picked = stage(mix(rows, levels=levels, key="_row", **how).filter(F.size("draws") > 0).select("_row", F.col("draws").alias("_draws"), F.col("size").alias("_size")), "mix-draws")
-    out = attach(rows, picked, ["_row"], "inner").withColumn("_d", F.explode("_draws")).drop("_draws")
+    rows = stage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    drawn = mix(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), levels=levels, key="row", **how).filter(F.size("draws") > 0)
+    out = attach(rows, stage(drawn.select("row", "draws", "size"), "mix-draws"), ["row"], "inner").select("doc", "row", "size", F.explode("draws").alias("d"))
     each = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2**levels)
-    slot = F.least(F.lit(each - 1), F.floor((F.col("_d.place").cast("double") / 2.0**64 + 0.5) * each).cast("int"))
-    out = out.repartitionById(each * 2**levels, F.col("_d.shard") * each + slot).sortWithinPartitions("_d.place", "_row")
-    if "text" in docs.columns:
-        cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_d.words").cast("int")), "")
-        out = out.withColumn("text", F.when(F.col("_d.words") < F.col("_size"), cut).otherwise(F.col("text")))
-        if "n_chars" in docs.columns:
-            out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    slot = F.least(F.lit(each - 1), F.floor((F.col("d.place").cast("double") / 2.0**64 + 0.5) * each).cast("int"))
+    out = out.repartitionById(each * 2**levels, F.col("d.shard") * each + slot).sortWithinPartitions("d.place", "row")
+    cut = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("d.words").cast("int")), "")
+    out = out.withColumn("text", F.when(F.col("d.words") < F.col("size"), cut).otherwise(F.col("doc.text")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

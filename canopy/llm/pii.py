@@ -132,13 +132,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     All other columns stay. Null texts stay null. n_chars, where the table has it, follows the new text.
     """
-    src = F.col(text)
+    src, found = F.col(text), "__pii"
+    while found in docs.columns:
+        found += "_"
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], src.substr(acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["k"]))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("__pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], src.substr(acc["at"] + 1, F.length(src))))
-    out = pii_spans(docs, text, "__pii").withColumn(text, F.when(F.size("__pii") > 0, done).otherwise(src)).drop("__pii")
+    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], src.substr(acc["at"] + 1, F.length(src))))
+    out = pii_spans(docs, text, found).withColumn(text, F.when(F.size(found) > 0, done).otherwise(src)).drop(found)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns and text != "n_chars" else out

@@ -95,7 +95,9 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, bits: int = 5,
 
     All columns of docs but one named shard are kept. Rows are told apart by a key written once with them, so ids may be null or repeat.
     """
-    rows = stage(docs.drop("shard").withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
-    placed = shard_documents(rows, n_shards, bits, "_row").select("_row", "shard", F.col("slot").alias("_slot"))
-    full = rows.join(stage(placed, "shard-places").hint("merge"), "_row")
-    full.repartitionByRange(n_shards * files, "shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_row", "_slot").write.partitionBy("shard").parquet(path)
+    own = [c for c in docs.columns if c != "shard"]
+    rows = stage(docs.select(F.struct(*own).alias("doc"), F.monotonically_increasing_id().alias("row")), "shard-rows")
+    placed = shard_documents(rows.select("row", "doc.doc_id", "doc.text", "doc.lang", "doc.source"), n_shards, bits, "row").select("row", "shard", F.col("slot").alias("place"))
+    full = rows.join(stage(placed, "shard-places").hint("merge"), "row")
+    full = full.repartitionByRange(n_shards * files, "shard", "place").sortWithinPartitions("shard", "place")
+    full.select(*[F.col(f"doc.`{c}`").alias(c) for c in own], "shard").write.partitionBy("shard").parquet(path)

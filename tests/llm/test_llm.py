@@ -548,3 +548,30 @@ def test_pipeline(spark, labelled, tmp_path):
             assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         keep = {"quality": d.count()}.get(name, keep)
     assert 0 < keep < 303 and sorted(map(str, got)) == sorted(map(str, d.collect()))
+
+
+def test_pipeline_edges(spark, labelled, tmp_path):
+    """Every stage: an empty table, null and repeated ids and rows, empty texts, and columns whose names the operators use themselves."""
+    import corpus_pipeline
+
+    _, labels = labelled
+    labels.select("doc_id", "quality", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    say = " ".join(WORDS) + ". "
+    rows = [row(i, f"{say * 2}{WORDS[i]} {i}" if i < 12 else [None, "", " ", "one"][i % 4], "en", [None, "a", "b"][i % 3]) for i in range(20)]
+    rows += [row(None, say * 3), row(None, None), row(3, say + "again"), row(3, say + "again"), row(4, rows[4][1])]
+    own = "a int, b int, v int, f int, m int, q int, x int, s int, comp int, cloud int, block int, digest string, sketch string, shard int, slot int, draws int, taken int, target int, _row int, _d int, _draws int, _size int, y int, score int, kept int, ids int, at int"
+    names = [c.split()[0] for c in own.split(", ")]
+    full = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(1).cast(c.split()[1]).alias(c.split()[0]) for c in own.split(", ") if c.split()[0] not in SCHEMA.replace(",", "").split()])
+    assert "_row" in full.columns and "cloud" in names
+    for docs in (full, full.filter("1 = 0")):
+        d = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.stage(stage(spark, d, str(tmp_path)), "edges")
+            if name == "packing":
+                assert out.count() >= d.count() and (out.count() > 0) == (d.count() > 0)
+            else:
+                assert out.columns == docs.columns, name
+                assert out.count() <= 2 * d.count() and (name in ("quality", "near_dedup", "mixing") or out.count() == d.count())
+            if name == "near_dedup" and d.count():
+                assert out.filter("doc_id is null").count() == d.filter("doc_id is null").count()
+            d = out
