@@ -55,7 +55,8 @@ def vote_single(labels: DataFrame, floor: float, key: tuple[str, ...] = ("clip",
         F.min_by(F.when(F.col("tool") == annotator, F.col("value")), F.when(F.col("tool") == annotator, F.struct("seq", "value"))).alias("an"),
     )
     win = win.filter("ex is not null or an is not null").select(*key, F.coalesce("ex", "an").alias("value"), F.when(F.col("ex").isNotNull() & F.col("an").isNotNull(), F.col("ex") == F.col("an")).alias("agree"))
-    own = labels.join(win.hint("merge"), [*key, "value"])
+    # the class is a filter, not a key, so that both sides keep the partitioning of the first aggregation
+    own = labels.join(win.withColumnRenamed("value", "_v").hint("merge"), list(key)).filter(F.col("value") == F.col("_v"))
     return own.groupBy(*key, "value", "leaf").agg(F.array_sort(F.collect_set("tool")).alias("tools"), F.max("agree").alias("agree"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workers import cut
+
 
 def softmax(scores: DataFrame, by: tuple[str, ...], score: str = "logit", to: str = "p") -> DataFrame:
     """Adds the softmax within each group, shifted by the group's maximum."""
@@ -72,12 +74,27 @@ def f1_threshold(scores: DataFrame, grid: list[float]) -> DataFrame:
     return t.withColumn("best", F.row_number().over(W.orderBy(F.desc("f1"), "threshold")) == 1)
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with running sums (new name -> column) of each group of `by` in the given order, which should leave few ties; a group may span many tasks.
+
+    Rows are range-partitioned on both, summed inside each range, and shifted by the totals of the ranges before: one row for each range and group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    x = cut(df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("_at", at)).withColumn("_pid", F.shiftright("_at", 33))
+    inner = W.partitionBy("_pid", *by).orderBy("_at")
+    before = W.partitionBy(*by).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    total = x.groupBy("_pid", *by).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    base = total.select("_pid", *by, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    x = x.withColumns({k: F.sum(c).over(inner) for k, c in sums.items()}).join(base.hint("merge"), ["_pid", *by])
+    return x.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_pid", "_at", *[f"_{k}" for k in sums])
+
+
 def average_precision(scores: DataFrame, least: int = 5) -> DataFrame:
     """k, ap for classes with at least `least` positives; rows of equal score enter together. scores: k, p, y."""
     s = scores.groupBy("k", "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    w = W.partitionBy("k").orderBy(F.desc("p"))
-    s = s.withColumns({"cn": F.sum("n").over(w), "cp": F.sum("pos").over(w), "all": F.sum("pos").over(W.partitionBy("k"))})
-    return s.filter(F.col("all") >= least).groupBy("k").agg(F.sum(F.col("pos") / F.col("all") * F.col("cp") / F.col("cn")).alias("ap"))
+    s = running(s, ["k"], [F.desc("p")], {"cn": "n", "cp": "pos"})
+    return s.groupBy("k").agg(F.sum("pos").alias("all"), F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("t")).filter(F.col("all") >= least).select("k", (F.col("t") / F.col("all")).alias("ap"))
 
 
 def serving_encoder(metrics: DataFrame) -> DataFrame:

@@ -70,7 +70,9 @@ def plan_moves(labels: DataFrame, region: Column, identity: list[str], key: Colu
     ties by name. Leaves with equal `key` (by default the leaf) are one. A leaf that stays, but is a closed value of another attribute of its region (vocab: attr, value), becomes that value.
     """
     x = labels.filter("leaf != ''").withColumns({"region": region, "key": F.col("leaf") if key is None else key})
-    every = x.groupBy("region", "key", "attr", "value", "leaf").agg(F.count("*").alias("n"))
+    # one table of distinct clips gives all counts
+    x = cut(x.groupBy("region", "key", "attr", "value", "leaf", "clip").agg(F.count("*").alias("n")))
+    every = x.groupBy("region", "key", "attr", "value", "leaf").agg(F.sum("n").alias("n"))
     c = x.groupBy("region", "key", "attr").agg(F.countDistinct("clip").alias("n"))
     v = x.groupBy("region", "key", F.col("attr").alias("to_attr"), "value").agg(F.countDistinct("clip").alias("n"))
     hv = v.groupBy("region", "key", "to_attr").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("to_value"))
