@@ -82,12 +82,25 @@ def form_filter(forms: DataFrame, least: int, drop: str = "$^") -> DataFrame:
 
 
 def parse_verdicts(answers: DataFrame) -> DataFrame:
-    """id, n, yes from lines `n: yes` or `n. no` of an answer. answers: id, text."""
-    rx = r"(?im)^\s*(\d+)\s*[:.)]\s*(yes|no)\b"
+    """id, n, yes from lines `n: yes` or `n. no` of an answer, with a list mark before and stars around. answers: id, text."""
+    rx = r"(?im)^\D{0,3}(\d+)\s*[:.)-]\s*\**\s*(yes|no)\b"
     z = F.arrays_zip(F.regexp_extract_all("text", F.lit(rx), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(rx), F.lit(2)).alias("v"))
     return answers.select("id", F.inline(z)).select("id", F.col("n").cast("int").alias("n"), (F.lower("v") == "yes").alias("yes"))
 
 
+def parse_placements(answers: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, name, attr, value, new_value, same_as, parsed for each name asked about: the object of the answer's outermost JSON list with that name (case apart); parsed is false where there is none.
+
+    answers: id, text; asked: id, name.
+    """
+    fields = ["attr", "value", "new_value", "same_as"]
+    items = F.from_json(F.nullif(F.regexp_extract("text", r"(?s)\[.*\]", 0), F.lit("")), "array<string>")
+    o = answers.select("id", F.explode(F.transform(items, lambda x: F.from_json(x, "map<string,string>"))).alias("m")).filter("m is not null")
+    o = o.withColumn("_k", F.lower(F.trim(F.element_at("m", "name")))).filter("_k is not null").groupBy("id", "_k").agg(F.min_by("m", F.to_json("m")).alias("m"))
+    j = asked.withColumn("_k", F.lower(F.trim("name"))).join(o.hint("merge"), ["id", "_k"], "left")
+    return j.select("id", "name", *[F.element_at("m", c).alias(c) for c in fields], F.col("m").isNotNull().alias("parsed"))
+
+
 def conversation_pairs(turns: DataFrame) -> DataFrame:
     """conv_id, question, answer: the first user turn and the last sentence of the last other turn."""
     g = turns.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("question"), F.max_by("text", F.when(F.col("role") != "user", F.col("turn"))).alias("_a"))

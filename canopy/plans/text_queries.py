@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -13,16 +11,11 @@ from ..operators import items as Q
 from ..operators import tree as G
 from ..sources import readers as R
 from ..streaming import jobs as J
-from ..workers import shared_folder
+from ..workers import scratch_folder as _folder
 from .catalog import STEMS, query, sql_list
 from .label_queries import SEG
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder where driver and executors can both read."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 # sources -----------------------------------------------------------------------------------------
 
 REC = "select cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) row_id"
@@ -236,12 +229,16 @@ def music_form_filter(forms):
     return Q.form_filter(f, 2, "BRASS").select("key", "cls")
 
 
-VERDICT = "case id % 4 when 0 then '1: Yes' || chr(10) || '2) no, not it' || chr(10) || 'maybe 3: yes' when 1 then ' 12. NO' || chr(10) || '7 yes' when 2 then '1: yesterday' || chr(10) || '  2 : no' else gold_name end"
+VERDICT = "case id % 5 when 0 then '1: Yes' || chr(10) || '2) no, not it' || chr(10) || 'maybe so 3: yes' when 1 then ' 12. NO' || chr(10) || '7 yes' when 2 then '1: yesterday' || chr(10) || '  2 : no' when 3 then '- 4 - **Yes**' || chr(10) || chr(10) || '#5.no' else gold_name end"
+LISTED = "case id % 4 when 0 then concat('here: [', chr(123), '\"name\": \"', upper(gold_name), '\", \"attr\": \"', genus, '\"', chr(125), ', ', chr(123), '\"name\": \"other\"', chr(125), '] done') when 1 then '[broken' when 2 then concat('[', chr(123), '\"name\": \" ', grp, ' \", \"attr\": \"x\"', chr(125), ', 7]') else null end"
 
 
-@query("parse_verdicts", "items", sql=f"with l as (select id, unnest(string_split({VERDICT}, chr(10))) l from items) select id, cast(regexp_extract(l, '^\\s*(\\d+)', 1) as int) n, lower(regexp_extract(l, '[:.)]\\s*([A-Za-z]+)', 1)) = 'yes' yes from l where regexp_matches(l, '^\\s*\\d+\\s*[:.)]\\s*([Yy][Ee][Ss]|[Nn][Oo])([^A-Za-z0-9_]|$)')")
+@query("parse_verdicts", "items", sql=f"with l as (select id, unnest(string_split({VERDICT}, chr(10))) l from items), v as (select id, cast(regexp_extract(l, '^\\D{{0,3}}(\\d+)', 1) as int) n, lower(regexp_extract(l, '(?i)(yes|no)', 1)) = 'yes' yes from l where regexp_matches(l, '(?i)^\\D{{0,3}}\\d+\\s*[:.)-]\\s*\\**\\s*(yes|no)\\b')) select id, n, yes, null placed from v union all select id, null, null, case id % 4 when 0 then genus || '|' else '|unparsed' end from items union all select id, null, null, case id % 4 when 2 then 'x|' else '|unparsed' end from items")
 def parse_verdicts(items):
-    return Q.parse_verdicts(items.select("id", F.expr(VERDICT).alias("text")))
+    v = Q.parse_verdicts(items.select("id", F.expr(VERDICT).alias("text"))).withColumn("placed", F.lit(None).cast("string"))
+    asked = items.select("id", F.col("gold_name").alias("name")).unionByName(items.select("id", F.col("grp").alias("name")))
+    p = Q.parse_placements(items.select("id", F.expr(LISTED).alias("text")), asked)
+    return v.unionByName(p.select("id", F.concat(F.coalesce("attr", F.lit("")), F.lit("|"), F.when(F.col("parsed"), "").otherwise("unparsed")).alias("placed")), allowMissingColumns=True)
 
 
 @query("answer_question_text", "qa", sql="with g as (select conv_id, arg_min(text, turn) filter (where role = 'user') question, trim(arg_max(text, turn) filter (where role <> 'user')) a from qa group by 1) select conv_id, question, list_extract(string_split(regexp_replace(a, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), -1) answer from g")
