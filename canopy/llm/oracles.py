@@ -15,8 +15,8 @@ sizes as (select doc_id, count(*) n from shingles group by 1),
 sets as (select doc_id, md5(string_agg(s, chr(10) order by s)) h from shingles group by 1),
 class as (select h, min(doc_id) rep from sets group by 1),
 rare as (select s.doc_id a, s.s from shingles s join class c on c.rep = s.doc_id),
-both as (select x.a, y.a b, count(*) k from rare x join rare y on x.s = y.s and x.a < y.a group by 1, 2),
-links as (select a, b from both join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * k >= 80 * (p.n + q.n - k)),
+pairs as (select x.a, y.a b, count(*) k from rare x join rare y on x.s = y.s and x.a < y.a group by 1, 2),
+links as (select a, b from pairs join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * k >= 80 * (p.n + q.n - k)),
 edges as (select a, b from links union select b, a from links),
 reach(a, b) as (select rep, rep from class union select r.a, e.b from reach r join edges e on e.a = r.b),
 label as (select a, min(b) comp from reach group by 1)
