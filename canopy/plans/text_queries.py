@@ -142,33 +142,35 @@ def _options(items):
 OPT = "o as (select id, 'a' letter, genus text from items union all select id, 'b', gold_name from items union all select id, 'c', grp from items)"
 
 
+ANSWER = "case id % 6 when 0 then upper(gold_name) when 1 then 'zz ' || grp when 2 then 'nothing of it' when 3 then split_part(gold_name, ' ', 1) || ' ' || split_part(gold_name, ' ', 2) || ' else' when 4 then grp || ' ' || gold_name else gold_name || chr(10) || grp end"
+def _match(answer: str, options: str = "o") -> str:
+    """Tables that lead to m(id, gold), the option that an answer names."""
+    return f"""
+w as (select o.id, letter, lower(trim(text)) v, lower(trim(a)) a, contains(a, chr(10)) two from {options} o join (select id, {answer} a from items) x on x.id = o.id),
+f as (select *, v = a same, contains(v, a) or contains(a, v) part, len(list_intersect(list_distinct(regexp_extract_all(a, '[a-z0-9]+')), list_distinct(regexp_extract_all(v, '[a-z0-9]+')))) / greatest(1, len(list_distinct(regexp_extract_all(a, '[a-z0-9]+')))) share from w),
+r as (select *, row_number() over (partition by id order by share desc, letter desc) r, lead(share) over (partition by id order by share desc, letter desc) nxt from f),
+m as (select id, case when not bool_or(two) then coalesce(min(letter) filter (where same), case when count(*) filter (where part) = 1 then min(letter) filter (where part) end, min(letter) filter (where r = 1 and share >= 0.5 and (nxt is null or share - nxt >= 0.2))) end gold from r group by 1)"""
+
+
+@query("match_gold_fuzzy", "items", sql=f"with {OPT}, {_match(ANSWER)} select * from m")
+def match_gold(items):
+    return Q.match_gold(items.select("id", F.expr(ANSWER).alias("answer")), _options(items))
+
+
 GOLD = "case id % 4 when 0 then '(B) whatever' when 1 then upper(gold_name) when 2 then grp else 'none of these' end"
 
 
-@query("load_items_letters", "items", sql=f"with {OPT}, x as (select id, {GOLD} a from items), g as (select o.id, case when a like '(%' then 'b' else min(letter) filter (where lower(text) = lower(a)) end gold from o join x on x.id = o.id group by o.id, a) select o.id, letter, text, gold from o join g on g.id = o.id")
+@query("load_items_letters", "items", sql=f"with {OPT}, {_match(GOLD)} select o.id, letter, text, case when o.id % 4 = 0 then 'b' else gold end gold from o join m on m.id = o.id")
 def load_items_letters(items):
     return Q.with_gold(_options(items), items.select("id", F.expr(GOLD).alias("answer")), keep=True)
 
 
-@query("load_items_list", "items", sql=f"with {OPT}, x as (select id, {GOLD} a from items), g as (select o.id, case when a like '(%' then 'b' else min(letter) filter (where lower(text) = lower(a)) end gold from o join x on x.id = o.id where letter < 'c' group by o.id, a) select o.id, letter, text, gold from o join g on g.id = o.id where letter < 'c' and gold is not null")
+@query("load_items_list", "items", sql=f"with {OPT}, ab as (select * from o where letter < 'c'), {_match(GOLD, 'ab')} select o.id, letter, text, case when o.id % 4 = 0 then 'b' else gold end gold from ab o join m on m.id = o.id where o.id % 4 = 0 or gold is not null")
 def load_items_list(items):
     o = Q.letter_choices(items.select("id", F.array("genus", "gold_name").alias("choices")))
     return Q.with_gold(o, items.select("id", F.expr(GOLD).alias("answer")))
 
 
-ANSWER = "case id % 6 when 0 then upper(gold_name) when 1 then 'zz ' || grp when 2 then 'nothing of it' when 3 then split_part(gold_name, ' ', 1) || ' ' || split_part(gold_name, ' ', 2) || ' else' when 4 then grp || ' ' || gold_name else gold_name || chr(10) || grp end"
-MATCH = f"""
-w as (select o.id, letter, lower(trim(text)) v, lower(trim(a)) a, contains(a, chr(10)) two from o join (select id, {ANSWER} a from items) x on x.id = o.id),
-f as (select *, v = a same, contains(v, a) or contains(a, v) part, len(list_intersect(list_distinct(regexp_extract_all(a, '[a-z0-9]+')), list_distinct(regexp_extract_all(v, '[a-z0-9]+')))) / greatest(1, len(list_distinct(regexp_extract_all(a, '[a-z0-9]+')))) share from w),
-r as (select *, row_number() over (partition by id order by share desc, letter desc) r, lead(share) over (partition by id order by share desc, letter desc) nxt from f)
-select id, case when not bool_or(two) then coalesce(min(letter) filter (where same), case when count(*) filter (where part) = 1 then min(letter) filter (where part) end, min(letter) filter (where r = 1 and share >= 0.5 and (nxt is null or share - nxt >= 0.2))) end gold from r group by 1"""
-
-
-@query("match_gold_fuzzy", "items", sql=f"with {OPT}, {MATCH.strip()}")
-def match_gold(items):
-    return Q.match_gold(items.select("id", F.expr(ANSWER).alias("answer")), _options(items))
-
-
 @query("shuffle_options", "items", sql=f"with {OPT}, r as (select *, row_number() over (partition by id order by md5(concat('7:', cast(id as varchar), ':', letter))) r from o) select id, chr(cast(96 + r as int)) letter, text, letter was from r")
 def shuffle_options(items):
     return Q.shuffle_options(_options(items))
@@ -376,7 +378,7 @@ def in_class_merge(items):
 NESTED = "select distinct genus, leaf from (select genus, lower(gold_name) leaf from items union all select genus, split_part(lower(gold_name), ' ', 2) from items where id % 3 = 0 union all select genus, lower(gold_name) || ' ' || grp from items where id % 2 = 0 union all select genus, grp || ' ' || split_part(lower(gold_name), ' ', 1) || ' review' from items where id % 5 = 0 union all select genus, grp from items where id % 7 = 0)"
 
 
-@query("generic_links", "items", sql=f"with n as (select genus, leaf, string_split(leaf, ' ') w from ({NESTED})), p as (select a.genus, a.leaf, b.leaf generic, len(b.w) k, a.w from n a join n b on a.genus = b.genus and len(b.w) < len(a.w) and len(list_filter(b.w, lambda t: not list_contains(a.w, t))) = 0) select genus, leaf, arg_min(generic, (-k, generic)) generic from p where not list_contains({sql_list(E.ABOUT)}, w[-1]) group by 1,2")
+@query("generic_links", "items", sql=f"with n as (select genus, leaf, list_distinct(string_split(leaf, ' ')) w from ({NESTED})), p as (select a.genus, a.leaf, b.leaf generic, len(b.w) k, a.w from n a join n b on a.genus = b.genus and len(b.w) < len(a.w) and len(list_filter(b.w, lambda t: not list_contains(a.w, t))) = 0) select genus, leaf, arg_min(generic, (-k, generic)) generic from p where not list_contains({sql_list(E.ABOUT)}, string_split(leaf, ' ')[-1]) group by 1,2")
 def generic_links(items):
     return E.generic_links(items.sparkSession.sql(f"select * from ({NESTED.replace('from items', 'from {items}')})", items=items), ("genus",))
 
@@ -393,7 +395,7 @@ def synonym_merge(vectors):
 FOLD_LINKS = "select distinct genus, lower(gold_name) leaf, grp generic from items where id % 3 = 0 and genus <> 'Brand#11'"
 
 
-@query("rule_folds", "items", sql=f"with n as (select genus, leaf, list_sort(string_split(leaf, ' ')) w from ({NESTED} union select distinct genus, lower(gold_name) || ' style' from items where id % 2 = 0)), d as (select genus, leaf, w, unnest(w) x from n where len(w) > 1), r as (select d.genus, d.leaf, d.x, b.leaf base from d join n b on b.genus = d.genus and b.leaf <> d.leaf and b.w = list_filter(d.w, lambda t: t <> d.x) where d.genus <> 'Brand#11' or list_contains({sql_list(X.FOLD_FILLER)}, d.x)), f as (select genus, leaf, arg_min(base, (list_position(string_split(leaf, ' '), x), base)) t, 0 k from r group by 1,2), l as (select genus, leaf, generic t, 1 k from ({FOLD_LINKS}) q where not exists (select 1 from f where f.genus = q.genus and f.leaf = q.leaf)), a as (select * from f union all select * from l), c(genus, leaf, t, i) as (select genus, leaf, t, 0 from a union all select c.genus, c.leaf, a.t, i + 1 from c join a on a.genus = c.genus and a.leaf = c.t where i < 10) select genus, leaf, arg_max(t, i) into_ from c group by 1,2".replace("with n as", "with recursive n as"))
+@query("rule_folds", "items", sql=f"with n as (select genus, leaf, list_sort(list_distinct(string_split(leaf, ' '))) w from ({NESTED} union select distinct genus, lower(gold_name) || ' style' from items where id % 2 = 0)), d as (select genus, leaf, w, unnest(w) x from n where len(w) > 1), r as (select d.genus, d.leaf, d.x, b.leaf base from d join n b on b.genus = d.genus and b.leaf <> d.leaf and b.w = list_filter(d.w, lambda t: t <> d.x) where d.genus <> 'Brand#11' or list_contains({sql_list(X.FOLD_FILLER)}, d.x)), f as (select genus, leaf, arg_min(base, (list_position(string_split(leaf, ' '), x), base)) t, 0 k from r group by 1,2), l as (select genus, leaf, generic t, 1 k from ({FOLD_LINKS}) q where not exists (select 1 from f where f.genus = q.genus and f.leaf = q.leaf)), a as (select * from f union all select * from l), c(genus, leaf, t, i) as (select genus, leaf, t, 0 from a union all select c.genus, c.leaf, a.t, i + 1 from c join a on a.genus = c.genus and a.leaf = c.t where i < 10) select genus, leaf, arg_max(t, i) into_ from c group by 1,2".replace("with n as", "with recursive n as"))
 def rule_folds(items):
     spark = items.sparkSession
     put = lambda q: spark.sql(f"select * from ({q.replace('from items', 'from {items}')})", items=items)
