@@ -134,13 +134,6 @@ def render_timeline(events: DataFrame) -> DataFrame:
     return o.select("clip", F.array_join(F.transform("o", lambda x: x["s"]), "; ").alias("line"))
 
 
-def derived_lines(spans: DataFrame) -> DataFrame:
-    """clip, longest, shortest label by covered seconds (ties: by name), and the number of events and labels."""
-    d = label_durations(spans).groupBy("clip").agg(F.min_by("label", F.struct(-F.col("covered_s"), "label")).alias("longest"), F.min_by("label", F.struct("covered_s", "label")).alias("shortest"))
-    n = spans.groupBy("clip").agg(F.count("*").alias("n_events"), F.countDistinct("label").alias("n_labels"))
-    return d.join(n, "clip")
-
-
 def wanted_lines(spans: DataFrame, wants: DataFrame) -> DataFrame:
     """clip, lines: what a question wants of a timeline: longest and shortest label by covered seconds (ties by name), labels in order of first onset, numbers of events. wants: clip, duration, order, count.
 

@@ -338,15 +338,14 @@ def may_merge(items):
 
 
 SOURCED = "case id % 6 when 0 then split_part(gold_name, ' ', 1) || ' barking' when 1 then gold_name || ' noises' when 2 then grp || ' / ' || split_part(gold_name, ' ', 2) || 's' when 3 then 'clear loud sounds' when 4 then 'heavy ' || split_part(gold_name, ' ', 1) || '-bees' else split_part(gold_name, ' ', 1) end"
-TOKEN = f"tk as (select id, unnest(list_filter(string_split_regex(lower({SOURCED}), '[\\s,/-]+'), lambda t: t <> '' and t not like '%ing' and not list_contains({sql_list([*G.GENERIC, *X.SOUND_WORDS])}, t))) w from items), w0 as (select distinct w from tk)"
+TOKEN = f"sr as (select id, {SOURCED} s0 from items), tk as (select id, unnest(list_filter(string_split_regex(lower(s0), '[\\s,/-]+'), lambda t: t <> '' and t not like '%ing' and not list_contains({sql_list([*G.GENERIC, *X.SOUND_WORDS])}, t))) w from sr), k0 as (select id, s0, list_filter(regexp_extract_all(lower(s0), '[a-z]+'), lambda x: not list_contains({sql_list(X.FILLER)}, x)) ws from sr), k1 as (select id, s0, case when len(ws) > 1 and list_contains({sql_list(X.TAIL)}, ws[len(ws)]) then ws[1:len(ws) - 1] else ws end ws from k0), w0 as (select w from tk union select unnest(ws) from k1)"
 
 
-@query("source_tokens", "items", sql=f"with recursive {TOKEN}, {STEMS}, tt as (select id, case when length(s) >= 4 and s like '%s' and s not like '%ss' then left(s, length(s) - 1) else s end t from tk join stems using (w)), g as (select id, list(distinct t) ts from tt group by 1) select a.id, coalesce(array_to_string(list_sort(a.ts), ','), '') tokens, coalesce(len(list_intersect(a.ts, b.ts)) > 0, false) shared from (select items.id, g.ts from items left join g using (id)) a left join g b on b.id = (a.id // 6) * 6 + 5")
+@query("source_tokens", "items", sql=f"with recursive {TOKEN}, {STEMS}, tt as (select id, case when length(s) >= 4 and s like '%s' and s not like '%ss' then left(s, length(s) - 1) else s end t from tk join stems using (w)), g as (select id, list(distinct t) ts from tt group by 1), nk as (select k1.id, coalesce(string_agg(s, ' ' order by s), any_value(s0)) k from k1 left join (select id, unnest(ws) w from k1) u on u.id = k1.id left join stems on stems.w = u.w group by 1), z as (select nk.id, k, coalesce(ts, []) ts from nk left join g on g.id = nk.id) select a.id, array_to_string(list_sort(a.ts), ',') tokens, coalesce(len(list_intersect(a.ts, b.ts)) > 0 or contains(a.k, b.k) or contains(b.k, a.k), false) shared from z a left join z b on b.id = (a.id // 6) * 6 + 5")
 def source_tokens(items):
-    x = items.select("id", X.source_tokens(F.expr(SOURCED), G.GENERIC).alias("ts"))
-    other = x.select(F.col("id").alias("_o"), F.col("ts").alias("us"))
-    j = x.join(other.hint("merge"), F.expr("(id div 6) * 6 + 5 = _o"), "left")
-    return j.select("id", F.array_join(F.array_sort("ts"), ",").alias("tokens"), F.coalesce(F.arrays_overlap("ts", "us"), F.lit(False)).alias("shared"))
+    x = items.select("id", F.expr(SOURCED).alias("s"))
+    j = x.join(x.select(F.col("id").alias("_o"), F.col("s").alias("t")).hint("merge"), F.expr("(id div 6) * 6 + 5 = _o"), "left")
+    return j.select("id", F.array_join(F.array_sort(X.source_tokens(F.col("s"), G.GENERIC)), ",").alias("tokens"), F.coalesce(X.shares_source(F.col("s"), F.col("t"), G.GENERIC), F.lit(False)).alias("shared"))
 
 
 SECOND = "case when w like '%ing' and length(w) >= 6 then left(w, length(w) - 3) when w like '%ed' and length(w) >= 5 then left(w, length(w) - 2) when w like '%es' and length(w) >= 5 then left(w, length(w) - 2) when w like '%s' and length(w) >= 4 then left(w, length(w) - 1) else w end"
