@@ -41,4 +41,38 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
-ORACLE_SQL = {"op1_near_dedup": NEAR_DEDUP, "op6_warc": WARC, "op8_top_k": TOP_K}
+
+def clusters_sql(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, salt: str = "2") -> str:
+    """The rounds written out: plain distances instead of transforms."""
+    assign = "a{r} as materialized (select vec_id, min_by(k, (d, k)) k, min(d) d from (select v.vec_id, c.k, v.s - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e) d from v join c{r} c on true) group by 1)"
+    move = f"m{{r}} as (select k, i, floor(sum(v.e[i]) / count(*)) x from a{{r}} join v using (vec_id), range(1, {dim + 1}) t(i) group by 1, 2), c{{n}} as materialized (select c.k, coalesce(m.e, c.e) e from c{{r}} c left join (select k, list(x order by i) e from m{{r}} group by 1) m using (k))"
+    loop = ", ".join(f"{assign.format(r=r)}, {move.format(r=r, n=r + 1)}" for r in range(rounds))
+    return f"""
+with v0 as (select vec_id, list_transform(embedding, lambda x: floor({scale} * cast(x as double))) e from embeddings
+  where len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (select *, list_inner_product(e, e) s from v0),
+c0 as materialized (select e, row_number() over (order by sha256('{salt}:' || vec_id)) - 1 k from v qualify k < {k}),
+{loop}, {assign.format(r=rounds)},
+h as (select k, sha256(array_to_string(list_transform(e, lambda x: cast(cast(x as bigint) as varchar)), ',')) sha from c{rounds})
+select vec_id, cast(k as int) as cluster, cast(d as bigint) distance, cast(sum(d) over (partition by k) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha centroid_sha256
+from a{rounds} join h using (k)"""
+
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """The rounds written out: plain distances instead of transforms. Vectors of one length that is a multiple of the parts."""
+    assign = "a{r} as materialized (select vec_id, p, min_by(k, (d, k)) k, min(d) d from (select v.vec_id, p, c.k, v.s - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e) d from v join c{r} c using (p)) group by 1, 2)"
+    move = "m{r} as (select p, k, i, floor(sum(v.e[i]) / count(*)) x from a{r} join v using (vec_id, p), range(1, 1 + (select max(len(e)) from v)) t(i) group by 1, 2, 3), c{n} as materialized (select c.p, c.k, coalesce(m.e, c.e) e from c{r} c left join (select p, k, list(x order by i) e from m{r} group by 1, 2) m using (p, k))"
+    loop = ", ".join(f"{assign.format(r=r)}, {move.format(r=r, n=r + 1)}" for r in range(rounds))
+    return f"""
+with v0 as (select vec_id, label, list_transform(embedding, lambda x: floor({scale} * cast(x as double))) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v1 as (select vec_id, label, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] e from v0, range({parts}) t(p)),
+v as materialized (select *, list_inner_product(e, e) s from v1),
+c0 as materialized (select p, e, row_number() over (partition by p order by vec_id) - 1 k from v qualify k < {entries}),
+{loop}, {assign.format(r=rounds)},
+h as (select sha256(string_agg(array_to_string(list_transform(e, lambda x: cast(cast(x as bigint) as varchar)), ','), ',' order by p, k)) sha from c{rounds}),
+r as (select vec_id, string_agg(printf('%02x', k), '' order by p) code, sum(d) error from a{rounds} group by 1)
+select vec_id, code, cast(error as bigint) error, cast(sum(error) over (partition by label) as bigint) label_error, sha codebooks_sha256 from r join v0 using (vec_id), h"""
+
+
+ORACLE_SQL = {"op1_near_dedup": NEAR_DEDUP, "op6_warc": WARC, "op8_top_k": TOP_K, "op11_centroid_clustering": clusters_sql(), "op13_vector_codes": codes_sql()}
