@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import centroids, codes, mixing, near_dedup, packing, pii, quality_model, quality_rules, sharding, topk, toxicity, warc
+from . import centroids, codes, language, mixing, near_dedup, packing, pii, quality_model, quality_rules, sharding, topk, toxicity, warc
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -55,8 +55,12 @@ def op11_centroid_clustering(spark, sf_dir):
     return centroids.clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, salt="2")
 
 
+def op12_language_id(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark, sf_dir):
     return codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_warc": op6_warc, "op8_top_k": op8_top_k, "op2_mixing": op2_mixing, "op4_divergence_rules": op4_divergence_rules, "op9_rule_ensemble": op9_rule_ensemble, "op7_pii": op7_pii, "op10_hilbert_sharding": op10_hilbert_sharding, "op11_centroid_clustering": op11_centroid_clustering, "op13_vector_codes": op13_vector_codes}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_warc": op6_warc, "op8_top_k": op8_top_k, "op2_mixing": op2_mixing, "op4_divergence_rules": op4_divergence_rules, "op9_rule_ensemble": op9_rule_ensemble, "op7_pii": op7_pii, "op10_hilbert_sharding": op10_hilbert_sharding, "op11_centroid_clustering": op11_centroid_clustering, "op12_language_id": op12_language_id, "op13_vector_codes": op13_vector_codes}
