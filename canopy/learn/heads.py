@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .models import NodeHeads, NodeHeadsModel, identity_pairs, joint_scores, training_table
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds `weight`, so that classes weigh the same."""
@@ -85,34 +87,37 @@ def property_heads(vectors: DataFrame, fields: DataFrame, held_out: Column, leas
     return out if out is not None else vectors.sparkSession.createDataFrame([], "vec_id long, field string, gold string, pred string, held boolean")
 
 
-def question_heads(vectors: DataFrame, targets: DataFrame, held_out: Column, least: int = 20) -> DataFrame:
-    """vec_id, attr, y, p, held: a balanced logistic regression for each attribute with at least `least` positives among the rows that aren't held out (hold out whole splits). targets: vec_id, attr, y."""
-    weigh = lambda pos, neg: ((pos + neg) / (2 * pos), (pos + neg) / (2 * neg))
-    return _sigmoids(vectors, targets.withColumnRenamed("attr", "node"), held_out, least, weigh, 1e-3).withColumnRenamed("node", "attr")
+def question_heads(vectors: DataFrame, targets: DataFrame, held_out: Column, least: int = 20, reg: float = 1e-3) -> DataFrame:
+    """vec_id, attr, y, p, held: a balanced sigmoid for each attribute with at least `least` positives among the rows that aren't held out (hold out whole splits), all fitted at once. targets: vec_id, attr, y (0 or 1)."""
+    x = vectors.select("vec_id", "embedding").withColumn("held", held_out)
+    t = targets.join(x.filter("not held").select("vec_id").hint("merge"), "vec_id", "left_semi").select("vec_id", "attr", "y")
+    n = t.groupBy("attr").agg(F.sum("y").alias("_pos"), F.sum(1 - F.col("y")).alias("_neg")).filter((F.col("_pos") >= least) & (F.col("_neg") > 0))
+    # positives weigh neg / pos of a negative, so that both sides weigh the same
+    t = t.join(F.broadcast(n), "attr").select("vec_id", "attr", F.lit("").alias("value"), F.lit("").alias("leaf"), "y", (F.col("_neg") / F.col("_pos")).alias("weight"))
+    model = fitted(x, t, reg)
+    if model is None:
+        return targets.join(x.hint("merge"), "vec_id").select("vec_id", "attr", "y", F.lit(0.0).alias("p"), "held").limit(0)
+    p = model.node_scores(x, "vec_id", "held").select("vec_id", "held", "attr", (1 / (1 + F.exp(-F.col("logit")))).alias("p"))
+    return targets.select("vec_id", "attr", "y").join(p.hint("merge"), ["vec_id", "attr"]).select("vec_id", "attr", "y", "p", "held")
 
 
-def identity_heads(vectors: DataFrame, targets: DataFrame, held_out: Column, reg: float = 1e-3) -> DataFrame:
-    """vec_id, node, y, p, held: a sigmoid per node on the rows where its class is present, positives weighted by the root of neg / pos, clipped to 1 .. 30. targets: vec_id, node, y.
+def fitted(rows: DataFrame, targets: DataFrame, reg: float, family: str = "sigmoid", **how) -> NodeHeadsModel | None:
+    """Heads on the targets of rows (vec_id, embedding), or None where there is none."""
+    table, nodes = training_table(rows, targets)
+    return NodeHeads(nodes, family=family, regParam=reg, **how).fit(table) if nodes else None
 
-    One fit per node of a bounded list; rows come from the target table, so absent (masked) pairs never enter.
-    """
-    return _sigmoids(vectors, targets, held_out, 1, lambda pos, neg: (max(1.0, min(30.0, neg / pos)) ** 0.5, 1.0), reg)
 
+def identity_heads(vectors: DataFrame, targets: DataFrame, held_out: Column, reg: float = 1e-3) -> tuple[NodeHeadsModel | None, DataFrame]:
+    """(model, scores) of identity heads from fractional targets (vec_id, attr, value, leaf, y), as soft_targets gives them: scores are vec_id, attr, value, leaf, p, held for all rows and nodes.
 
-def _sigmoids(vectors: DataFrame, targets: DataFrame, held_out: Column, least: int, weigh, reg: float) -> DataFrame:
-    x = vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x")).withColumn("held", held_out)
-    df = targets.join(x.hint("merge"), "vec_id")
-    n = df.filter("not held").groupBy("node").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).filter((F.col("pos") >= least) & (F.col("neg") > 0)).orderBy("node").collect()
-    out = None
-    for r in n:
-        yes, no = weigh(r["pos"], r["neg"])
-        own = df.filter(F.col("node") == r["node"]).withColumns({"label": F.col("y").cast("double"), "weight": F.when(F.col("y") == 1, float(yes)).otherwise(float(no))})
-        m = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=20, regParam=reg).fit(own.filter("not held"))
-        p = m.transform(own).select("vec_id", "node", "y", vector_to_array("probability")[1].alias("p"), "held")
-        out = p if out is None else out.unionByName(p)
-    if out is None:
-        return df.select("vec_id", "node", "y", F.lit(0.0).alias("p"), "held").limit(0)
-    return out
+    Which pairs enter the fit, and with which weight, is identity_pairs'. A class's p is that of its attribute times its own, a leaf's is its class's times its own.
+    """
+    x = vectors.select("vec_id", "embedding").withColumn("held", held_out)
+    seen = targets.join(x.filter("not held").select("vec_id").hint("merge"), "vec_id", "left_semi")
+    model = fitted(x, identity_pairs(seen), reg)
+    if model is None:
+        return None, targets.select("vec_id", "attr", "value", "leaf", F.lit(0.0).alias("p"), F.lit(False).alias("held")).limit(0)
+    return model, joint_scores(model.node_scores(x, "vec_id", "held"), "vec_id", "held")
 
 
 def domain_head(vectors: DataFrame, k: int, none: int, held_out: Column) -> DataFrame:

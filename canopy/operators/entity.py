@@ -56,7 +56,7 @@ def synonym_merge(names: DataFrame, by: tuple[str, ...] = ("grp",), near: float
         before = e.join(state.select(*by, F.col("name").alias("a"), F.col("head").alias("ha")).hint("merge"), [*by, "a"]).groupBy(*by, F.col("b").alias("name")).agg(F.coalesce(F.bool_or("ha"), F.lit(False)).alias("_taken"), F.bool_or(F.col("ha").isNull()).alias("_open"))
         new = state.join(before.hint("merge"), [*by, "name"], "left")
         taken, free = F.coalesce("_taken", F.lit(False)), ~F.coalesce("_open", F.lit(False))
-        state = cut(new.select(*by, "name", F.when(F.col("head").isNotNull(), F.col("head")).when(taken, False).when(free, True).alias("head")))
+        state = cut(new.select(*by, "name", F.when(F.col("head").isNotNull(), F.col("head")).when(taken, False).when(free, True).alias("head")), state)
         if not state.filter("head is null").limit(1).count():
             break
     heads = state.filter("head").select(*by, F.col("name").alias("a"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import cut
+from .metrics import running
 
 
 def closure(edges: DataFrame, most: int = 100) -> DataFrame:
@@ -14,11 +15,12 @@ def closure(edges: DataFrame, most: int = 100) -> DataFrame:
     Paths double in length each round, so a chain of n edges takes log2(n) rounds; cycles end because a pair keeps its least depth. Rounds are written to the shared folder.
     """
     e = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).filter("child is not null and parent is not null").distinct()
-    known, n = e, -1
+    known, known_before, n = e, None, -1
     for _ in range(most):
         far = known.alias("a").join(known.alias("b").hint("merge"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         known = known.unionByName(far.filter("child != ancestor")).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
-        known = cut(known)
+        known = cut(known, known_before) if known_before is not None else cut(known)
+        known_before = known
         m = known.agg(F.count("*"), F.sum("depth")).first()
         if m == n:
             return known
@@ -63,8 +65,6 @@ def deepest_root(links: DataFrame, roots: DataFrame, override: dict | None = Non
 
 
 def class_support(labels: DataFrame, links: DataFrame, least: int = 20) -> DataFrame:
-    """(node, clips, idx): classes and ancestors with at least `least` distinct clips, numbered by name. labels: node, clip."""
-    from pyspark.sql import Window as W
-
-    r = generic_rollup(labels, links).filter(F.col("clips") >= least)
-    return r.withColumn("idx", F.row_number().over(W.orderBy("node")) - 1)
+    """(node, clips, idx): classes and ancestors with at least `least` distinct clips, numbered by name. labels: node, clip. Numbers are counted inside ranges of names, then shifted by the ranges before."""
+    r = generic_rollup(labels, links).filter(F.col("clips") >= least).withColumn("one", F.lit(1))
+    return running(r, [], [F.col("node")], {"idx": "one"}).select("node", "clips", (F.col("idx") - 1).alias("idx"))

@@ -529,12 +529,6 @@ def clean_labels(label_rows):
     return op(label_rows, canon, n.filter("n >= 2"), links)
 
 
-@query("identity_heads", "vectors")
-def identity_heads(vectors):
-    t = vectors.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("node"), "label").select("vec_id", "node", (F.col("label") == F.col("node")).cast("int").alias("y"))
-    return H.identity_heads(vectors, t, F.col("vec_id") % 5 == 0)
-
-
 @query("domain_head", "vectors")
 def domain_head(vectors):
     return H.domain_head(vectors, 16, 9, F.col("vec_id") % 5 == 0)

@@ -37,8 +37,24 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that a loop's plan doesn't grow and lost executors cost one round."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read back: a plan doesn't grow, columns are still pruned, sizes are known, and lost executors cost one step. The folder goes when the driver ends, or when `discard` is called.
+
+    spent: tables made by cut that nothing reads any more once df is written; they are removed.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, "cut")
+    df.write.parquet(path)
+    discard(*spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of tables made by cut; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_cut_at", None)
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 
-from canopy.plans import catalog, label_queries, serve_queries, text_queries  # noqa: F401
+from canopy.plans import catalog, label_queries, model_queries, serve_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
