@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..workers import attach
 
 
 def letter_choices(items: DataFrame, choices: str = "choices") -> DataFrame:
@@ -101,19 +102,68 @@ def parse_placements(answers: DataFrame, asked: DataFrame) -> DataFrame:
     return j.select("id", "name", *[F.element_at("m", c).alias(c) for c in fields], F.col("m").isNotNull().alias("parsed"))
 
 
+#: Where an answer is stated, what marks a recording in a question, and where its instruction begins. Fixed values.
+CONCLUSION, RECORDING, INSTRUCTION = r"(?s)<CONCLUSION>(.*?)</CONCLUSION>", "<sound>", "Output the answer with"
+
+
 def conversation_pairs(turns: DataFrame) -> DataFrame:
-    """conv_id, question, answer: the first user turn and the last sentence of the last other turn."""
-    g = turns.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("question"), F.max_by("text", F.when(F.col("role") != "user", F.col("turn"))).alias("_a"))
-    s = F.filter(F.split(F.trim("_a"), r"(?<=[.!?])\s+"), lambda x: x != "")
-    return g.select("conv_id", "question", F.element_at(s, -1).alias("answer"))
+    """conv_id, question, answer: the first user turn up to its instruction, and what the other turns conclude: the text of their first conclusion tag, else their last sentence ('' if they say nothing)."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", F.coalesce("text", F.lit("")).alias("t"))))), lambda x: x["t"]), "\n")
+    g = turns.groupBy("conv_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.when(F.col("role") == "user", F.col("turn"))).alias("_q"), said.alias("_a"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    question = bare(F.split_part(F.replace("_q", F.lit(RECORDING), F.lit("")), F.lit(INSTRUCTION), F.lit(1)))
+    sentence = F.element_at(F.split(bare(F.col("_a")), r"(?<=[.!?])\s+"), -1)
+    return g.select("conv_id", question.alias("question"), F.when(F.col("_a").rlike(CONCLUSION), F.regexp_extract("_a", CONCLUSION, 1)).otherwise(sentence).alias("answer"))
+
+
+#: Names that say nothing by themselves. Fixed values.
+STOP = ["sound", "sounds", "noise", "other", "generic", "specific", "surface", "type", "effect", "background"]
+
 
+def plain(text: Column) -> Column:
+    """Lower case, everything but a-z, 0-9 and spaces blank, no blanks at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9 ]+", " "))
 
-def vocabulary_match(texts: DataFrame, vocab: list[str]) -> DataFrame:
-    """id, name: the names of a bounded vocabulary that occur in a text as whole words, longest first where they overlap. texts: id, text."""
-    import re
 
-    rx = rf"(?<![a-z0-9])({'|'.join(re.escape(v) for v in sorted(vocab, key=lambda v: (-len(v), v)))})(?![a-z0-9])"
-    return texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rx), F.lit(1)))).alias("name"))
+def vocabulary(nodes: DataFrame) -> DataFrame:
+    """name, hits: the names of classes and leaves up to a bracket, and the (attr, value) pairs that each stands for. Stop words and names under three characters have none. nodes: attr, value, leaf ('' or null: none)."""
+    n = nodes.select("attr", "value", F.explode(F.array("value", "leaf")).alias("n")).select("attr", "value", plain(F.split_part("n", F.lit("("), F.lit(1))).alias("name"))
+    n = n.filter((F.length("name") >= 3) & ~F.col("name").isin(STOP))
+    return n.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("attr", "value"))).alias("hits"))
+
+
+def vocabulary_match(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """id, place, name: where names of a vocabulary stand in a text as whole words, read from the left, the longest first; matches don't overlap. place: the number of its first piece. texts: id, text; vocab: name, and what passes through.
+
+    The plain text is cut at its spaces; runs of as many pieces as names have are joined to the names, so work grows with the text and not with the vocabulary. Of the matches, islands that touch are settled
+    one by one. The vocabulary is broadcast where a count proves it small.
+    """
+    v = vocab.select("name").distinct().withColumn("m", F.size(F.split("name", " ")))
+    sizes = sorted(r["m"] for r in v.select("m").distinct().collect())  # lengths of names, a handful
+    if not sizes:
+        return texts.select("id", F.lit(0).alias("place"), F.lit("").alias("name")).limit(0)
+    p = texts.select("id", F.split(plain(F.col("text")), " ").alias("p"))
+    run = lambda i, m: F.when((i + m <= F.size("p") + 1) & (F.get("p", i - 1) != "") & (F.get("p", i + (m - 2)) != ""), F.struct(i.alias("place"), F.lit(m).alias("m"), F.array_join(F.slice("p", i, m), " ").alias("name")))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_compact(F.array(*[run(i, m) for m in sizes]))))
+    hit = attach(p.select("id", F.inline(runs)), v.select("name"), ["name"], "left_semi")
+    # the longest at each place, then islands of matches that touch
+    hit = hit.groupBy("id", "place").agg(F.max_by(F.struct("m", "name"), "m").alias("b")).select("id", "place", "b.m", "b.name")
+    w = W.partitionBy("id").orderBy("place")
+    starts = F.col("place") >= F.coalesce(F.max(F.col("place") + F.col("m")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    hit = hit.withColumn("island", F.sum(starts.cast("int")).over(w))
+    g = hit.groupBy("id", "island").agg(F.array_sort(F.collect_list(F.struct("place", "m", "name"))).alias("o"))
+    kept = F.aggregate(
+        "o", F.struct(F.lit(0).alias("end"), F.slice("o", 1, 0).alias("k")),
+        lambda a, x: F.when(x["place"] >= a["end"], F.struct((x["place"] + x["m"]).alias("end"), F.concat(a["k"], F.array(x)).alias("k"))).otherwise(a),
+    )["k"]
+    return g.select("id", F.inline(kept)).select("id", "place", "name")
+
+
+def asked_attributes(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """id, attrs: the attributes that a text's names stand for, sorted; [] for texts without one. texts: id, text; vocab: as vocabulary() makes it."""
+    m = attach(vocabulary_match(texts, vocab).select("id", "name").distinct(), vocab.select("name", "hits"), ["name"], "inner")
+    a = m.select("id", F.explode("hits").alias("h")).groupBy("id").agg(F.array_sort(F.collect_set("h.attr")).alias("attrs"))
+    return texts.select("id").distinct().join(a.hint("merge"), "id", "left").select("id", F.coalesce("attrs", F.array().cast("array<string>")).alias("attrs"))
 
 
 def attr_space(schema: DataFrame) -> DataFrame:

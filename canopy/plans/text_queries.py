@@ -243,14 +243,48 @@ def parse_verdicts(items):
     return v.unionByName(p.select("id", F.concat(F.coalesce("attr", F.lit("")), F.lit("|"), F.when(F.col("parsed"), "").otherwise("unparsed")).alias("placed")), allowMissingColumns=True)
 
 
-@query("answer_question_text", "qa", sql="with g as (select conv_id, arg_min(text, turn) filter (where role = 'user') question, trim(arg_max(text, turn) filter (where role <> 'user')) a from qa group by 1) select conv_id, question, list_extract(string_split(regexp_replace(a, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), -1) answer from g")
+TALKS = "tk as (select conv_id, turn, role, case when role = 'user' then '<sound> ' || text || ' Output the answer with one letter.' when turn % 4 = 1 then text || ' So <CONCLUSION>' || substr(text, 1, 20) || '</CONCLUSION> it is.' else text end as text from qa)"
+NONSPACE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query("answer_question_text", "qa", sql=f"with {TALKS}, g as (select conv_id, arg_min(text, turn) filter (where role = 'user') q, coalesce(string_agg(text, chr(10) order by turn) filter (where role <> 'user'), '') a from tk group by 1) select conv_id, {NONSPACE.format("split_part(replace(q, '<sound>', ''), 'Output the answer with', 1)")} question, case when regexp_matches(a, '(?s)<CONCLUSION>(.*?)</CONCLUSION>') then regexp_extract(a, '(?s)<CONCLUSION>(.*?)</CONCLUSION>', 1) else list_extract(string_split(regexp_replace({NONSPACE.format('a')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), -1) end answer from g")
 def answer_question_text(qa):
-    return Q.conversation_pairs(qa)
+    """Questions with a recording's mark and an instruction; a part of the answers states its conclusion."""
+    return Q.conversation_pairs(qa.sparkSession.sql(f"with {TALKS} select * from tk".replace("from qa", "from {qa}"), qa=qa))
+
+
+#: A vocabulary of the texts' own first words, alone, in twos with what stands between them, and with a bracket.
+FIRST_WORDS = r"""nd as (select distinct coalesce(lang, 'none') attr, lower(split_part(text, ' ', 1)) as value, case when doc_id % 2 = 0 then split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) else split_part(text, ' ', 4) || ' (of ' || lang || ')' end leaf from text)"""
+VOCAB = rf"""{FIRST_WORDS},
+vn as (select attr, value, trim(regexp_replace(lower(split_part(n, '(', 1)), '[^a-z0-9 ]+', ' ', 'g')) as name from (select attr, value, unnest([value, leaf]) n from nd)),
+vo as (select name, list_sort(list(distinct attr || '/' || value)) hits from vn where length(name) >= 3 and name not in ('sound', 'sounds', 'noise', 'other', 'generic', 'specific', 'surface', 'type', 'effect', 'background') group by 1)"""
+#: All matches of all names, then from the left the longest that starts no earlier than the last one ended.
+MATCHED = rf"""{VOCAB},
+pc as (select doc_id id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g')), ' ') p from text),
+mm as (select distinct len(string_split(name, ' ')) m from vo),
+rn as (select id, i, m, array_to_string(p[i : i + m - 1], ' ') as name from (select id, p, unnest(range(1, len(p) + 1)) i from pc), mm where i + m - 1 <= len(p) and p[i] <> '' and p[i + m - 1] <> ''),
+ht as materialized (select id, i, max(m) m, arg_max(name, m) as name from rn where name in (select name from vo) group by 1, 2),
+kp(id, i, m, name) as (select id, min(i), arg_min(m, i), arg_min(name, i) from ht group by 1 union all select ht.id, min(ht.i), arg_min(ht.m, ht.i), arg_min(ht.name, ht.i) from kp join ht on ht.id = kp.id and ht.i >= kp.i + kp.m group by ht.id)"""
+
 
+def _vocabulary(text):
+    return Q.vocabulary(text.sparkSession.sql(f"with {FIRST_WORDS} select attr, value, leaf from nd".replace("from text", "from {text}"), text=text))
 
-@query("vocabulary_match", "text", sql="select doc_id id, w as name from text, (select unnest(['the', 'der', 'idiot', 'trash']) w) where regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '($|[^a-z0-9])')")
+
+@query("vocabulary", "text", sql=f"with {VOCAB.strip()} select name, array_to_string(hits, ',') hits from vo")
+def vocabulary(text):
+    return _vocabulary(text).select("name", F.array_join(F.array_sort(F.transform("hits", lambda h: F.concat_ws("/", h["attr"], h["value"]))), ",").alias("hits"))
+
+
+@query("vocabulary_match", "text", sql=f"with recursive {MATCHED.strip()} select id, i place, name from kp")
 def vocabulary_match(text):
-    return Q.vocabulary_match(text.select(F.col("doc_id").alias("id"), "text"), ["the", "der", "idiot", "trash"])
+    return Q.vocabulary_match(text.select(F.col("doc_id").alias("id"), "text"), _vocabulary(text))
+
+
+@query("asked_attributes", "text", sql=f"with recursive {MATCHED.strip()}, av as (select kp.id, split_part(unnest(hits), '/', 1) a from kp join vo using (name)) select doc_id id, coalesce((select string_agg(distinct a, ',' order by a) from av where av.id = text.doc_id), '') attrs from text")
+def asked_attributes(text):
+    """The attributes that each text names."""
+    return Q.asked_attributes(text.select(F.col("doc_id").alias("id"), "text"), _vocabulary(text)).select("id", F.array_join("attrs", ",").alias("attrs"))
 
 
 @query("render_form", "schema", sql="with s as (select attr, list(value order by value) vs, bool_or(multi) multi, cast(substr(attr, 7) as int) i from (select distinct * from schema) group by 1), l as (select i % 3 region, i, '- \"' || attr || '\"' || case when i % 2 = 0 then case when multi then ' [a LIST of such objects, one per thing you hear]' else '' end || case when i % 5 = 0 then ' (if any)' else '' end || ': ' || chr(123) || '\"is\": one of ' || array_to_string(vs, ' | ') || ', \"detail\": \"...\"' || chr(125) || case when i % 4 = 0 then ' -- detail = kind' else '' end else case when multi then ' [list ALL that apply]' else '' end || ': ' || array_to_string(vs, ' | ') end l from s) select region, string_agg(l, chr(10) order by i) as \"lines\" from l group by 1")

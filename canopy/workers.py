@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def reachable(spark: SparkSession) -> None:
@@ -37,6 +38,16 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Sides of a join with at most so many (narrow) rows may be broadcast; the number is counted first.
+BROADCAST_ROWS = 200_000
+
+
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """big joined with a small table on `on`: broadcast when a count proves it small, else a sort-merge join, which Spark can split at a hot key."""
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
+
+
 def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read back: a plan doesn't grow, columns are still pruned, sizes are known, and lost executors cost one step. The folder goes when the driver ends, or when `discard` is called.
 

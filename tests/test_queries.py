@@ -238,3 +238,29 @@ def test_stream_closes_open_events(spark, tmp_path):
     flat_ = lambda df: sorted((x.clip, x.label, round(x.t0, 4), round(x.t1, 4), x.peak) for x in df.collect())
     got = flat_(spark.read.schema(s.schema).parquet(str(tmp_path / "out")))
     assert got == flat_(segment_events(f, 0.3, 0.15)) and (9, "z", 0.0, 0.5, 0.9) in got
+
+
+def test_vocabulary_of_many_names(spark):
+    """100,000 names against brute force: overlaps, names inside names, punctuation, and matches that touch."""
+    import random
+    import re
+
+    from canopy.operators.items import vocabulary, vocabulary_match
+
+    r = random.Random(3)
+    words = [a + b + c for a in "ka lo mi ne ru ta wi zu".split() for b in "ban del fir gon hul jam".split() for c in ("", "e", "s", "o")]
+    names = list({" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(140_000)})[:100_000]
+    nodes = spark.createDataFrame([("a.b", n.upper() + " (kind)", None) for n in names] + [("a.b", "Sound", "ox"), ("c.d", names[0], "other")], "attr string, value string, leaf string")
+    texts = [(i, " ".join(r.choice(words) + r.choice(["", "", "", ",", " -", "."]) for _ in range(120))) for i in range(30)] + [(100, None), (101, ""), (102, "...")]
+    v = vocabulary(nodes)
+    assert v.count() == len(names) and len(v.filter(v["name"] == names[0]).first().hits) == 2
+    got = sorted((x.id, x.place, x.name) for x in vocabulary_match(spark.createDataFrame(texts, "id long, text string"), v).collect())
+    known, want = set(names), []
+    for i, t in texts:
+        p, at = re.sub("[^a-z0-9 ]+", " ", (t or "").lower()).strip(" ").split(" "), 0
+        while at < len(p):
+            hit = next((m for m in (4, 3, 2, 1) if " ".join(p[at : at + m]) in known and at + m <= len(p)), None)
+            want += [(i, at + 1, " ".join(p[at : at + hit]))] if hit else []
+            at += hit or 1
+    assert got == sorted(want) and len(want) > 500
+    assert vocabulary_match(spark.createDataFrame(texts, "id long, text string"), v.limit(0)).count() == 0
