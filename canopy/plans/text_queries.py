@@ -631,7 +631,7 @@ def stream_label_ingest(label_rows):
     spark, at = label_rows.sparkSession, _shards(label_rows)
     sink = _folder(spark, "ingested")
     J.label_ingest(spark, f"{at}/*", R.RECORD, sink, _folder(spark, "ingest-state")).awaitTermination()
-    return J.visible(spark.read.schema(R.RECORD).parquet(f"{sink}/*")).select("row_id", "attr", "value", "leaf", "tool")
+    return spark.read.schema(R.RECORD).parquet(f"{sink}/*").select("row_id", "attr", "value", "leaf", "tool")
 
 
 @query("stream_segment_events", "frames", sql=f"with {SEG} select clip, label, round(t0, 4) t0, round(t1, 4) t1, round(peak, 6) peak from events_")
@@ -644,7 +644,9 @@ def stream_segment_events(frames):
     last.write.mode("append").parquet(at)
     s = J.segment_stream(spark.readStream.schema(f.schema).parquet(at), 0.3, 0.15)
     sink = _folder(spark, "segments")
-    s.writeStream.format("parquet").option("checkpointLocation", _folder(spark, "segments-state")).trigger(availableNow=True).start(sink).awaitTermination()
+    with J.state_store(spark):
+        q = s.writeStream.format("parquet").option("checkpointLocation", _folder(spark, "segments-state")).trigger(availableNow=True).start(sink)
+    q.awaitTermination()
     out = spark.read.schema(s.schema).parquet(sink)
     return out.select("clip", "label", F.round("t0", 4).alias("t0"), F.round("t1", 4).alias("t1"), F.round("peak", 6).alias("peak"))
 

@@ -2,26 +2,102 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+
+#: transformWithState keeps its lists and maps in this store.
+PROVIDER, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_RECORD = ("row_id", "attr", "value", "leaf", "tool")
+
+
+@contextmanager
+def state_store(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """Within it, streams that are started use the store of lists, maps and timers; the session's own settings come back. idle false: no batches without data (a stream on processing time would never run out of them)."""
+    new = {PROVIDER: STORE} | ({} if idle else {"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
+    own = {k: spark.conf.get(k) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
+class _Ingest(StatefulProcessor):
+    """Holds a clip's records until its marker arrives, gives them out once and frees them. Until `grace` passes, 64-bit keys of what was given out tell repeated records from new ones, which pass at once."""
+
+    def __init__(self, grace_ms: int) -> None:
+        self.grace = grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", ", ".join(f"{c} string" for c in _RECORD), "score double")
+        self.told = handle.getValueState("told", "keys array<bigint>", ttlDurationMs=self.grace)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new, closed = {}, False
+        for pdf in rows:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            closed |= bool(pdf["done"].notna().any())
+            for r, score in zip(pdf[list(_RECORD)].itertuples(index=False, name=None), pdf["score"], strict=True):
+                if r[0] is not None:
+                    new.setdefault(r, score)
+        told = self.told.get() if self.told.exists() else None
+        if told is None and not closed:
+            for r, score in new.items():
+                if not self.held.containsKey(r):
+                    self.held.updateValue(r, (score,))
+            return
+        known = set(told[0]) if told is not None else set()
+        if self.held.exists():
+            new = {tuple(k): v[0] for k, v in self.held.iterator()} | {r: s for r, s in new.items() if not self.held.containsKey(r)}
+            self.held.clear()
+        out = {k: (*r, s) for r, s in new.items() if (k := _key(r)) not in known}
+        self.told.update(([*known, *out],))
+        if out:
+            yield pd.DataFrame([(*r[:4], r[5], r[4]) for r in out.values()], columns=["row_id", "attr", "value", "leaf", "score", "tool"])
+
+    def close(self) -> None:
+        pass
+
+
+def _key(record: tuple) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(record).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def finished_records(records: DataFrame, grace: str = "1 day") -> DataFrame:
+    """row_id, attr, value, leaf, score, tool: records of a stream of label shards whose clip's marker (a row with `done`, the clip) has arrived, each once, whatever the order of arrival.
+
+    Held records are freed when the marker comes; keys of those given out end after `grace`, so a record that is repeated later than that is given out again if a marker follows it.
+    Start it within state_store(idle=False).
+    """
+    ms = records.sparkSession.sql(f"select cast(interval {grace} as interval day to second) d").first()["d"] // timedelta(milliseconds=1)
+    s = records.withColumn("_clip", F.coalesce("done", F.substring_index("row_id", ":", 1))).filter("_clip is not null")
+    s = s.select("_clip", *_RECORD, F.col("score").cast("double").alias("score"), "done")
+    return s.groupBy("_clip").transformWithStateInPandas(_Ingest(ms), "row_id string, attr string, value string, leaf string, score double, tool string", "append", "ProcessingTime")
 
 
-def label_ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str):
-    """Starts (availableNow) a stream of label shards into a Parquet table, each batch a folder of its own; duplicates go within the stream's state. Returns the query.
+def label_ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, grace: str = "1 day", files: int | None = None):
+    """Starts (availableNow) a stream of label shards into a Parquet table of finished records, each batch a folder of its own. Returns the query. files: at most so many files a batch.
 
     A batch's folder is overwritten if the batch is run again, so a restart repeats nothing.
     """
-    s = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(source)
-    # one row per record; the state keeps keys only
-    s = s.dropDuplicates(["row_id", "attr", "value", "leaf", "tool", "done"])
+    s = spark.readStream.schema(schema).option("mode", "DROPMALFORMED")
+    s = (s.option("maxFilesPerTrigger", files) if files else s).json(source)
 
     def put(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={no}")
 
-    return s.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with state_store(spark, idle=False):
+        return finished_records(s, grace).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def visible(ingested: DataFrame) -> DataFrame:
@@ -38,51 +114,90 @@ def event_sessions(frames: DataFrame, tau: float, gap: str, late: str) -> DataFr
     return g.select("clip", "label", F.col("w.start").alias("t0"), F.col("w.end").alias("t1"), "peak", "n")
 
 
-_OPEN = "ts array<long>, t array<int>, p array<double>, on boolean, a int, b int, peak double"
-
-
-def segment_stream(frames: DataFrame, tau_on: float, tau_off: float, frame_s: float = 0.1, gap: float = 0.3, least: float = 0.2, late: str = "1 hour", idle_ms: int = 60_000) -> DataFrame:
-    """clip, label, t0, t1, peak: segment_events over a stream of frames in any order. frames: clip, label, t (number of the frame), ts, p.
-
-    Frames wait in the state until the watermark has passed them, then go through the hysteresis in order; an event leaves once no later run can join it. A series without frames for `idle_ms` beyond the
-    watermark is closed, its open event included, so a row of any series with a later ts and a null p flushes all others.
+class _Segments(StatefulProcessor):
+    """Frames of a series wait in one of two lists: those up to a due time in the first, later ones in the second. When the watermark reaches the due time, the first is read once, in order, and freed; the second takes
+    its place. No later frame can be due earlier, as the watermark drops it.
     """
 
-    def step(t: int, p: float, on: bool, a: int, b: int, peak: float) -> tuple[bool, int, int, float, tuple | None]:
-        """The state after a frame; a < 0: no event is held. And the event that is complete by it."""
-        now, done = p >= tau_on or (on and p >= tau_off), None
-        if now and a >= 0 and not on and (t - b) * frame_s >= gap:
+    def __init__(self, tau_on: float, tau_off: float, frame_s: float, gap: float, least: float, idle_ms: int) -> None:
+        self.on, self.off, self.frame, self.gap, self.least, self.idle = tau_on, tau_off, frame_s, gap, least, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lists = [handle.getListState(f"frames{i}", "ts bigint, t int, p double") for i in (0, 1)]
+        # the list in use, its due time, the latest frame of the other list, the latest of all (0: none); the run that is open
+        self.at = handle.getValueState("at", "cur int, due bigint, later bigint, newest bigint, ison boolean, a int, b int, peak double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        cur, due, later, newest, *run = self.at.get() if self.at.exists() else (0, 0, 0, 0, False, -1, -1, 0.0)
+        last, began = newest, due
+        for pdf in rows:
+            ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
+            newest = max(newest, int(ms.max()))
+            frames = [(int(m), int(t), float(p)) for m, t, p in zip(ms, pdf["t"], pdf["p"], strict=True) if p == p]
+            if frames and not due:
+                due = max(f[0] for f in frames)
+            early, late = [f for f in frames if f[0] <= due], [f for f in frames if f[0] > due]
+            if early:
+                self.lists[cur].appendList(early)
+            if late:
+                self.lists[1 - cur].appendList(late)
+                later = max(later, *(f[0] for f in late))
+        if due != began:
+            self.handle.registerTimer(due)
+        if newest != last:
+            if last:
+                self.handle.deleteTimer(last + self.idle)
+            self.handle.registerTimer(newest + self.idle)
+        self.at.update((cur, due, later, newest, *run))
+        yield self._rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.at.exists():
+            return
+        cur, due, later, newest, *run = self.at.get()
+        now, mark, events = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(), []
+        ends = newest + self.idle <= now
+        while due and (ends or due <= mark):
+            for _, t, p in sorted(self.lists[cur].get(), key=lambda f: f[1]):
+                *run, done = self._step(t, p, *run)
+                events += [done] if done else []
+            self.lists[cur].clear()
+            cur, due, later = 1 - cur, later, 0
+            if due and not ends and due > mark:
+                self.handle.registerTimer(due)
+        if ends:
+            events += [tuple(run[1:])] if run[1] >= 0 else []
+            self.at.clear()
+        else:
+            self.at.update((cur, due, later, newest, *run))
+        yield self._rows(key, events)
+
+    def _step(self, t: int, p: float, on: bool, a: int, b: int, peak: float) -> tuple:
+        """The run after a frame (a < 0: none is held), and the event that is complete by it."""
+        now, done = p >= self.on or (on and p >= self.off), None
+        if now and a >= 0 and not on and (t - b) * self.frame >= self.gap:
             done, a = (a, b, peak), -1
         if now:
             a, b, peak = (t, t + 1, p) if a < 0 else (a, t + 1, max(peak, p))
-        elif a >= 0 and (t + 1 - b) * frame_s >= gap:
+        elif a >= 0 and (t + 1 - b) * self.frame >= self.gap:
             done, a = (a, b, peak), -1
-        return now, a, b, peak, done
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ts, ft, fp, on, a, b, peak = state.get if state.exists else ([], [], [], False, -1, -1, 0.0)
-        held = list(zip(ts, ft, fp, strict=True))
-        newest = max(ts, default=0)
-        if not state.hasTimedOut:
-            for pdf in batches:
-                newest = max(newest, int(pdf["ts"].max().value // 1_000_000))
-                seen = pdf[pdf["p"].notna()]
-                held += zip((x.value // 1_000_000 for x in seen["ts"]), seen["t"].tolist(), seen["p"].tolist(), strict=True)
-        mark = state.getCurrentWatermarkMs()
-        ready = sorted((x for x in held if state.hasTimedOut or x[0] < mark), key=lambda x: x[1])
-        held = [] if state.hasTimedOut else [x for x in held if x[0] >= mark]
-        events = []
-        for _, t, p in ready:
-            on, a, b, peak, done = step(t, p, on, a, b, peak)
-            events += [done] if done else []
-        if state.hasTimedOut:
-            events += [(a, b, peak)] if a >= 0 else []
-            state.remove()
-        else:
-            state.update(([int(x[0]) for x in held], [int(x[1]) for x in held], [float(x[2]) for x in held], bool(on), int(a), int(b), float(peak)))
-            state.setTimeoutTimestamp(max(newest, mark) + idle_ms)
-        rows = [(*key, x * frame_s, y * frame_s, z) for x, y, z in events if (y - x) * frame_s >= least]
-        yield pd.DataFrame(rows, columns=["clip", "label", "t0", "t1", "peak"])
+        return bool(now), int(a), int(b), float(peak), done
+
+    def _rows(self, key: tuple, events: list) -> pd.DataFrame:
+        rows = [(*key, x * self.frame, y * self.frame, z) for x, y, z in events if (y - x) * self.frame >= self.least]
+        return pd.DataFrame(rows, columns=["clip", "label", "t0", "t1", "peak"])
+
+    def close(self) -> None:
+        pass
+
 
+def segment_stream(frames: DataFrame, tau_on: float, tau_off: float, frame_s: float = 0.1, gap: float = 0.3, least: float = 0.2, late: str = "1 hour", idle_ms: int = 60_000) -> DataFrame:
+    """clip, label, t0, t1, peak: segment_events over a stream of frames in any order. frames: clip, label, t (number of the frame), ts, p. Start it within state_store.
+
+    Frames wait in lists until the watermark has passed them and are read once; an event leaves once no later run can join it. A series without frames for `idle_ms` beyond the
+    watermark is closed, its open event included, so a row of any series with a later ts and a null p flushes all others.
+    """
     f = frames.select("clip", "label", F.col("t").cast("int").alias("t"), "ts", "p").withWatermark("ts", late)
-    return f.groupBy("clip", "label").applyInPandasWithState(run, "clip long, label string, t0 double, t1 double, peak double", _OPEN, "append", "EventTimeTimeout")
+    how = _Segments(tau_on, tau_off, frame_s, gap, least, idle_ms)
+    return f.groupBy("clip", "label").transformWithStateInPandas(how, "clip long, label string, t0 double, t1 double, peak double", "append", "EventTime")

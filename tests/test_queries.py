@@ -224,7 +224,7 @@ def test_stream_closes_open_events(spark, tmp_path):
     from pyspark.sql import functions as F
 
     from canopy.operators.intervals import segment_events
-    from canopy.streaming.jobs import segment_stream
+    from canopy.streaming.jobs import segment_stream, state_store
 
     r = random.Random(1)
     rows = [(c, lab, t, r.choice([0.05, 0.2, 0.4, 0.8])) for c in range(3) for lab in ("x", "y") for t in range(60)] + [(9, "z", t, 0.9) for t in range(5)]
@@ -234,7 +234,9 @@ def test_stream_closes_open_events(spark, tmp_path):
     f.repartition(3).write.parquet(at)
     f.limit(1).select(F.lit(-1).cast("long").alias("clip"), F.lit("").alias("label"), F.lit(0).alias("t"), F.lit(None).cast("double").alias("p"), F.timestamp_millis(F.lit(2 * 10**12)).alias("ts")).write.mode("append").parquet(at)
     s = segment_stream(spark.readStream.schema(f.schema).parquet(at), 0.3, 0.15)
-    s.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    with state_store(spark):
+        q = s.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
     flat_ = lambda df: sorted((x.clip, x.label, round(x.t0, 4), round(x.t1, 4), x.peak) for x in df.collect())
     got = flat_(spark.read.schema(s.schema).parquet(str(tmp_path / "out")))
     assert got == flat_(segment_events(f, 0.3, 0.15)) and (9, "z", 0.0, 0.5, 0.9) in got
