@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +27,28 @@ def chunk_grid(dur: Column, chunk: float, cap: float = 60.0) -> Column:
     return F.when(d < chunk, short).otherwise(F.concat(full, tail))
 
 
+def register_functions(spark: SparkSession) -> None:
+    """Makes the table function chunk_grid(duration, seconds) known to the session's SQL."""
+    from pyspark.sql.functions import udtf
+
+    spark.udtf.register("chunk_grid", udtf(ChunkGridRows, returnType="t0 double, t1 double", useArrow=True))
+
+
+class ChunkGridRows:
+    """chunk_grid of one row as a table function; rows travel in Arrow batches."""
+
+    def eval(self, dur: float, chunk: float) -> Iterator[tuple[float, float]]:
+        if dur is None or chunk is None:
+            return
+        d = min(float(dur), 60.0)
+        n = int((d + 1e-6) // chunk)
+        if d >= chunk:
+            for i in range(n):
+                yield round(i * chunk, 2), round((i + 1) * chunk, 2)
+        if (d >= 0.5) if d < chunk else (d - n * chunk >= chunk / 2):
+            yield (round(n * chunk, 2) if d >= chunk else 0.0), round(d, 2)
+
+
 def _short(t: Column) -> Column:
     """A time as in row ids: without trailing zeros."""
     return F.regexp_replace(F.round(t, 2).cast("string"), r"\.0$", "")

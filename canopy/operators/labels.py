@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -170,6 +170,34 @@ def require(gates: DataFrame) -> None:
         raise ValueError(f"quality gates failed: {', '.join(failed)}")
 
 
+def observed_write(df: DataFrame, path: str, checks: list[tuple[str, Column, str, float]]) -> DataFrame:
+    """Writes df as Parquet at path behind gates that are measured while it is written, in the same pass; name, measured, threshold, ok as quality_gates gives them. Raises if one fails.
+
+    checks: name, an aggregate without distinct, `>=`, `<=` or `=`, limit. Rows go to a folder beside path first and move to it when all gates hold; a table that was there stays where one fails, and the rejected rows lie in
+    `<path>-rejected` with the gates that failed in `_FAILED`.
+    """
+    spark, seen = df.sparkSession, Observation()
+    draft, rejected = f"{path}-draft", f"{path}-rejected"
+    df.observe(seen, *[m.cast("double").alias(f"m{i}") for i, (_, m, _, _) in enumerate(checks)]).write.mode("overwrite").parquet(draft)
+    got, rows = seen.get, []
+    for i, (name, _, op, limit) in enumerate(checks):
+        m = got[f"m{i}"]
+        rows.append((name, m, float(limit), m is not None and {">=": m >= limit, "<=": m <= limit, "=": m == limit}[op]))
+    gates = spark.createDataFrame(rows, "name string, measured double, threshold double, ok boolean")
+    failed = [r[0] for r in rows if not r[3]]
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    to = rejected if failed else path
+    fs.delete(at(to), True)
+    if not fs.rename(at(draft), at(to)):
+        raise OSError(f"{draft} can't be moved to {to}")
+    if failed:
+        fs.create(at(f"{to}/_FAILED")).close()
+        raise ValueError(f"quality gates failed: {', '.join(failed)}")
+    return gates
+
+
 def write_report(report: DataFrame, columns: list[str]) -> DataFrame:
     """One text column `line`: the rows as lines of a Markdown table."""
     return report.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |")).alias("line"))

@@ -10,6 +10,7 @@ from ..operators import entity as E
 from ..operators import intervals as I
 from ..operators import labels as L
 from ..operators import tree as T
+from ..workers import scratch_folder
 from .catalog import STEMS, query, sql_list
 
 GRID = "select clip, i, case when dur_s < {c} then 0.0 else i*{c}.0 end a, case when dur_s < {c} then d else least(i*{c}.0+{c}, d) end b from (select clip, dur_s, least(dur_s, 60) d from clips) x, range(0, 61) r(i) where (d < {c} and i = 0 and d >= 0.5) or (d >= {c} and (i*{c}+{c} <= d + 1e-6 or (i = floor((d + 1e-6)/{c}) and d - i*{c} >= {c}/2.0)))"
@@ -27,6 +28,13 @@ def chunk_grid(clips):
     return clips.select("clip", F.inline(C.chunk_grid(F.col("dur_s"), 3.0)))
 
 
+@query("chunk_grid_sql", "clips", sql=f"with g3 as ({GRID.format(c=3)}) select clip, round(a::double, 2) t0, round(b::double, 2) t1 from g3")
+def chunk_grid_sql(clips):
+    """The table function of the session's SQL in a lateral join."""
+    C.register_functions(clips.sparkSession)
+    return clips.sparkSession.sql("select clip, t0, t1 from {clips} c, lateral chunk_grid(c.dur_s, 3.0D)", clips=clips)
+
+
 @query("clip_rows", "clips", sql=f"with {ROWS} select row_id, clip, grid, t0, t1 from rws")
 def clip_rows(clips):
     return C.clip_rows(clips, GRIDS)
@@ -286,6 +294,13 @@ def quality_gates(label_rows):
     return L.quality_gates([("labels", label_rows.agg(F.count("*").alias("measured")), ">=", 10), ("repeated rows", label_rows.agg((F.count("*") - F.countDistinct("row_id")).alias("measured")), "=", 0)])
 
 
+@query("observed_gates", "label_rows", sql="select 'labels' as name, count(*)::double measured, 10.0::double threshold, count(*) >= 10 ok from label_rows union all select 'greatest score', max(score)::double, 10.0, max(score) <= 10 from label_rows union all select 'rows without a class', sum(case when value is null then 1 else 0 end)::double, 0.0, sum(case when value is null then 1 else 0 end) = 0 from label_rows")
+def observed_gates(label_rows):
+    """Gates that are measured while the table is written."""
+    checks = [("labels", F.count(F.lit(1)), ">=", 10), ("greatest score", F.max("score"), "<=", 10), ("rows without a class", F.count_if(F.col("value").isNull()), "=", 0)]
+    return L.observed_write(label_rows, scratch_folder(label_rows.sparkSession, "gated"), checks)
+
+
 @query("write_report", "label_rows", sql="select '| ' || attr || ' | ' || cast(count(*) as varchar) || ' |' as line from label_rows group by attr")
 def write_report(label_rows):
     return L.write_report(label_rows.groupBy("attr").agg(F.count("*").alias("n")), ["attr", "n"])

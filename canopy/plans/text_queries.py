@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,6 +12,7 @@ from ..operators import entity as E
 from ..operators import items as Q
 from ..operators import tree as G
 from ..sources import readers as R
+from ..sources.features import FeatureStore
 from ..streaming import jobs as J
 from ..workers import scratch_folder as _folder
 from .catalog import STEMS, query, sql_list
@@ -29,12 +32,18 @@ def read_jsonl(events):
     return R.read_jsonl(events.sparkSession, at, "event_id long, event_type string, value double").filter("event_id is not null and event_type is not null")
 
 
-@query("read_manifest", "clips", sql="select audio_path as path, source, lang as gold_is from clips")
+#: Gold answers in all shapes: a string, an object, an object with a leaf, a list of both, nothing, and a number (which is none).
+GOLD_SHAPES = """case n_ % 6 when 0 then concat('"', lang, '"') when 1 then concat('{"is": "', lang, '"}') when 2 then concat('{"is": "', lang, '", "leaf": "a \\\\"b\\\\" ', source, '"}') when 3 then concat('["', lang, '", {"is": "x", "leaf": "', source, '"}]') when 4 then 'null' else '7' end"""
+
+
+@query("read_manifest", "clips", sql="with g as (select audio_path as path, source, lang, ascii(clip) n_, unnest([1, 2]) i from clips) select path, source, i, case when i = 1 then lang else 'x' end gold_is, case when i = 2 then source when n_ % 6 = 2 then 'a \"b\" ' || source end leaf from g where n_ % 6 = 3 or (i = 1 and n_ % 6 < 3)")
 def read_manifest(clips):
     at = _folder(clips.sparkSession, "manifest")
-    plain = F.when(F.length("lang") % 2 == 0, F.create_map(F.lit("lang"), F.concat(F.lit('{"is": "'), "lang", F.lit('"}')))).otherwise(F.create_map(F.lit("lang"), F.col("lang")))
-    clips.select(F.col("audio_path").alias("path"), "source", plain.alias("gold")).write.json(at)
-    return R.read_manifest(clips.sparkSession, at).select("path", "source", F.element_at("gold", "lang")["is"].alias("gold_is"))
+    c = clips.withColumn("n_", F.ascii("clip"))
+    line = F.concat(F.lit('{"path": "'), "audio_path", F.lit('", "source": "'), "source", F.lit('", "gold": {"other": 1, "lang": '), F.expr(GOLD_SHAPES), F.lit("}}"))
+    c.select(line.alias("value")).unionByName(c.limit(1).select(F.lit('{"path": "cut').alias("value"))).write.text(at)
+    m = R.read_manifest(clips.sparkSession, at).filter("path is not null")
+    return m.select("path", "source", F.posexplode(F.element_at("gold", "lang")).alias("i", "g")).select("path", "source", (F.col("i") + 1).alias("i"), F.col("g.is").alias("gold_is"), "g.leaf")
 
 
 def _shards(label_rows):
@@ -47,9 +56,10 @@ def _shards(label_rows):
     return at
 
 
-@query("read_label_shards", "label_rows", sql="select row_id, attr, value, leaf, tool from label_rows")
+@query("read_label_shards", "label_rows", sql="select row_id, attr, value, leaf, tool, tool as shard from label_rows")
 def read_label_shards(label_rows):
-    return R.read_label_shards(label_rows.sparkSession, _shards(label_rows)).select("row_id", "attr", "value", "leaf", "tool")
+    """All shards with a resume point before any of them."""
+    return R.read_label_shards(label_rows.sparkSession, _shards(label_rows), newer_than="2001-01-01 00:00:00").select("row_id", "attr", "value", "leaf", "tool", "shard")
 
 
 @query("repair_shard", "label_rows", sql="select row_id, attr, tool from label_rows where clip % 3 > 0")
@@ -612,18 +622,23 @@ def batch_embed(text):
     return x.select("row_id", (F.abs(x["x"][0] * x["x"][0] + x["x"][1] * x["x"][1] - 1) < 1e-4).alias("unit"), (x["x"][1] <= 16 * x["x"][0] * 1.0001).alias("short"))
 
 
-@query("feature_store_upsert", "text", sql="select doc_id row_id from text")
+@query("feature_store_upsert", "text", sql="with v as (select doc_id, doc_id % 3 s, length(text)::double a, 1 + doc_id % 4 b from text) select doc_id::varchar row_id, 'long' encoder, round(a / sqrt(a * a + 1), 4) x0, round(1 / sqrt(a * a + 1), 4) x1 from v where s <> 2 union all select doc_id::varchar, 'flat', round(1 / sqrt(1 + b * b), 4), round(b / sqrt(1 + b * b), 4) from v union all select doc_id::varchar, 'replaced', 0.6, 0.8 from v where s = 0")
 def feature_store(text):
-    at = _folder(text.sparkSession, "features")
-    rows = text.select(F.col("doc_id").alias("row_id"), "text")
-
-    def lengths(batch):
-        return [[float(len(t or "")), 1.0] for t in batch]
-
-    R.upsert_features(rows.filter("row_id % 2 = 0"), None, lengths).write.parquet(at)
-    stored = text.sparkSession.read.parquet(at)
-    R.upsert_features(rows, stored, lengths).write.mode("append").parquet(at)
-    return text.sparkSession.read.parquet(at).select("row_id")
+    """Two encoders over sets of rows: a first part, then all (those that are there aren't embedded again), and a set that is replaced; read back in the order asked for."""
+    spark = text.sparkSession
+    store = FeatureStore(spark, _folder(spark, "features"), f"features_{uuid.uuid4().hex[:8]}", buckets=8)
+    rows = text.select(F.col("doc_id").cast("string").alias("row_id"), F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("text"), "doc_id")
+    long = lambda batch: [[float(len(t.split(" ", 1)[1])), 1.0] for t in batch]
+    flat = lambda batch: [[1.0, 1.0 + int(t.split(" ", 1)[0]) % 4] for t in batch]
+    first = rows.filter("doc_id % 3 = 0")
+    store.upsert(first, "long", "some", long)
+    store.upsert(rows.filter("doc_id % 3 != 2"), "long", "some", long)
+    store.upsert(first, "replaced", "some", long)
+    store.upsert(rows, "flat", "all", flat)
+    store.replace(first.select("row_id", F.array(F.lit(0.6), F.lit(0.8)).alias("x")), "replaced", "some")
+    asked = rows.select("row_id", F.col("doc_id").alias("ord"))
+    parts = [store.read(asked, e, s).select("row_id", F.lit(e).alias("encoder"), F.round(F.col("x")[0].cast("double"), 4).alias("x0"), F.round(F.col("x")[1].cast("double"), 4).alias("x1")) for e, s in (("long", "some"), ("flat", "all"), ("replaced", "some"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("x0 is not null")
 
 
 @query("stream_label_ingest", "label_rows", sql="select distinct row_id, attr, value, leaf, tool from label_rows where clip in (select clip from label_rows where clip % 3 > 0)")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,9 +20,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_label_shards(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Label records of all shards under path, without done markers; `shard` is the file's folder."""
+def read_label_shards(spark: SparkSession, path: str, glob: str = "*", newer_than: str | None = None) -> DataFrame:
+    """Label records of all shards under path, without done markers, with `shard` (the file's folder) and `seen` (the file's modification time): the greatest `seen` read is where a later call may resume.
+
+    newer_than: only files modified after this time (`2026-01-31 12:00:00`); older ones are left out when files are listed, and never opened.
+    """
     df = spark.read.schema(RECORD).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path)
+    df = df.select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("shard"), F.col("_metadata.file_modification_time").alias("seen"))
+    if newer_than is not None:
+        df = df.filter(F.col("_metadata.file_modification_time") > F.lit(newer_than).cast("timestamp"))
     return df.filter("done is null and row_id is not null").drop("done")
 
 
@@ -36,11 +42,19 @@ def repair_shard(records: DataFrame, markers: DataFrame) -> DataFrame:
     return r.join(markers.select(F.col("clip").cast("string").alias("_c")).hint("merge"), "_c", "left_semi").drop("_c")
 
 
+def gold_answers(gold: Column) -> Column:
+    """array<struct<is, leaf>> of a gold value of type VARIANT: a string, an object {is, leaf}, or a list of either; null and other values have none."""
+    kind = lambda v: F.substring(F.schema_of_variant(v), 1, 5)
+    one = lambda v: F.struct(F.coalesce(F.try_variant_get(v, "$.is", "string"), F.when(kind(v) == "STRIN", F.try_variant_get(v, "$", "string"))).alias("is"), F.try_variant_get(v, "$.leaf", "string").alias("leaf"))
+    every = F.when(kind(gold) == "ARRAY", F.try_variant_get(gold, "$", "array<variant>")).otherwise(F.array(gold))
+    return F.filter(F.transform(every, one), lambda x: x["is"].isNotNull())
+
+
 def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """path, source, gold: gold values are plain strings or objects {is, leaf}; plain ones become `is`."""
-    m = spark.read.schema("path string, source string, gold map<string,string>").option("mode", "DROPMALFORMED").json(path)
-    value = lambda v: F.when(F.startswith(F.trim(v), F.lit("{")), F.from_json(v, "struct<is:string,leaf:string>")).otherwise(F.struct(v.alias("is"), F.lit(None).cast("string").alias("leaf")))
-    m = m.withColumn("gold", F.transform_values("gold", lambda _, v: value(v)))
+    """path, source, gold: a map field -> answers (is, leaf), from values that are strings, objects {is, leaf}, or lists of either, parsed once with their line. A row without gold has an empty map."""
+    m = spark.read.schema("path string, source string, gold variant").option("mode", "DROPMALFORMED").json(path)
+    fields = F.coalesce(F.try_variant_get("gold", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    m = m.withColumn("gold", F.map_from_entries(F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), gold_answers(e["value"]).alias("value")))))
     return m if limit is None else m.limit(limit)
 
 

@@ -112,3 +112,76 @@ def test_heads_edges(spark):
     assert H.fitted(v, t, 0.1) is None
     with pytest.raises(ValueError, match="family"):
         L.NodeHeads([("a", "b", "")], family="odd").fit(spark.createDataFrame([([1.0], [])], "embedding array<double>, targets array<struct<node:int,pos:double,neg:double>>"))
+
+
+def test_feature_store_joins_without_moving_the_store(spark, tmp_path):
+    from canopy.sources.features import FeatureStore
+
+    store = FeatureStore(spark, f"file://{tmp_path}/store", "plan_features", buckets=4)
+    rows = spark.createDataFrame([(f"r{i}", f"t {i}") for i in range(50)], "row_id string, text string")
+    embed = lambda batch: [[float(t.split(" ")[1]), 1.0] for t in batch]
+    store.upsert(rows.filter("row_id < 'r3'"), "e", "s", embed)
+    plan = store.missing(rows, "e", "s")._jdf.queryExecution().executedPlan().toString()
+    scans = [i for i, line in enumerate(plan.splitlines()) if "plan_features" in line]
+    side = plan.splitlines()[scans[0] - 3 : scans[0]]
+    assert len(scans) == 1 and "Bucketed: true" in plan.splitlines()[scans[0]] and not any("Exchange" in x for x in side), plan
+    store.upsert(rows.unionByName(rows), "e", "s", embed)
+    asked = spark.createDataFrame([("r7", 0), ("r41", 1), ("none", 2), ("r7", 3), ("r0", 4)], "row_id string, ord int")
+    got = [(r.row_id, None if r.x is None else round(r.x[0] / r.x[1], 3)) for r in store.read(asked, "e", "s").collect()]
+    assert got == [("r7", 7.0), ("r41", 41.0), ("none", None), ("r7", 7.0), ("r0", 0.0)]
+    assert spark.table("plan_features").count() == 50
+    # another session's view of the same folder
+    spark.sql("drop table plan_features")
+    again = FeatureStore(spark, f"file://{tmp_path}/store", "plan_features", buckets=4)
+    assert again.stored("e", "s").count() == 50 and again.stored("e", "t").count() == 0
+
+
+def test_gates_on_the_write(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from canopy.operators.labels import observed_write
+
+    at = f"file://{tmp_path}/table"
+    few = F.count(F.lit(1))
+    assert observed_write(spark.range(10), at, [("rows", few, ">=", 5)]).collect()[0].measured == 10
+    with pytest.raises(ValueError, match="rows"):
+        observed_write(spark.range(3), at, [("rows", few, ">=", 5), ("greatest", F.max("id"), "<=", 9)])
+    assert spark.read.parquet(at).count() == 10 and spark.read.parquet(f"{at}-rejected").count() == 3 and (tmp_path / "table-rejected" / "_FAILED").exists() and not (tmp_path / "table-draft").exists()
+
+
+def test_shards_newer_than_a_mark(spark, tmp_path):
+    import os
+
+    from canopy.sources import readers as R
+
+    for name, when in (("old", 1_000_000_000), ("new", 1_700_000_000)):
+        (tmp_path / name).mkdir()
+        f = tmp_path / name / "a.jsonl"
+        f.write_text(f'{{"row_id": "{name}:1", "attr": "a.b", "value": "v"}}\n{{"done": "{name}"}}\n{{"row_id": "cut')
+        os.utime(f, (when, when))
+    every = R.read_label_shards(spark, str(tmp_path))
+    assert {(r.row_id, r.shard) for r in every.collect()} == {("old:1", "old"), ("new:1", "new")}
+    later = R.read_label_shards(spark, str(tmp_path), newer_than="2010-01-01 00:00:00")
+    assert [r.shard for r in later.collect()] == ["new"] and len(later.inputFiles()) >= 1
+
+
+def test_registries(spark):
+    from canopy import registry as G
+
+    r = G.Registry("embedder", "embed(texts)")
+
+    @r.register("lengths")
+    def lengths(texts):
+        return [[float(len(t))] for t in texts]
+
+    assert r.get("lengths")(["abc"]) == [[3.0]] and list(r) == ["lengths"] and "lengths" in r
+    with pytest.raises(KeyError, match="lengths"):
+        r.get("other")
+    with pytest.raises(ValueError, match="already"):
+        r.register("lengths", lengths)
+    with pytest.raises(TypeError, match="embed"):
+        r.register("text", "no function")
+    G.ANNOTATORS.register("test-upper", lambda rows: rows.selectExpr("row_id", "'a.b' attr", "upper(row_id) value", "cast(null as string) leaf", "0.123456 score"))
+    got = G.annotate(spark.createDataFrame([("x:1",)], "row_id string"), "test-upper").first()
+    assert (got.value, got.leaf, float(got.score), got.tool) == ("x:1", "", 0.1235, "test-upper")
+    assert G.Domain("birds.kind", "sound", ("a", "none")).abstains and not G.Domain("birds.kind", "sound", ("a",)).abstains
