@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,19 +40,66 @@ def centroids(vectors: DataFrame, group: str = "label", x: str = "embedding") ->
     return c.select(group, l2_normalise(F.col("c")).alias("centroid"))
 
 
-def nearest_centroid(vectors: DataFrame, cents: DataFrame, group: str = "label", options: DataFrame | None = None) -> DataFrame:
-    """vec_id, nearest, cos, margin (over the second): the closest of a bounded table of centroids (one per class), which is broadcast; with options (vec_id, group) among an item's options only."""
-    c = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c")))).alias("cs"))
-    v = vectors.select("vec_id", l2_normalise(F.col("embedding")).alias("x")).join(F.broadcast(c), F.lit(True))
-    if options is not None:
-        o = options.groupBy("vec_id").agg(F.collect_set(group).alias("_o"))
-        v = v.join(o.hint("merge"), "vec_id").withColumn("cs", F.filter("cs", lambda s: F.array_contains("_o", s["g"])))
-    best = F.array_sort(F.transform("cs", lambda s: F.struct((-dot(F.col("x"), s["c"])).alias("d"), s["g"].alias("g"))))
-    v = v.select("vec_id", F.slice(best, 1, 2).alias("b")).filter(F.size("b") > 0)
+#: Bytes of centroids that are broadcast as one row at most; beyond, vectors meet them in blocks.
+CENTROID_BYTES = 16 << 20
+
+
+def nearest_centroid(vectors: DataFrame, cents: DataFrame, group: str = "label", options: DataFrame | None = None, most: int = CENTROID_BYTES) -> DataFrame:
+    """vec_id, nearest, cos, margin (over the second): the closest centroid, ties to the smaller group; with options (vec_id, group) among an item's options only.
+
+    Centroids are counted: a bounded table (one per class) is broadcast; a larger one (leaves of a tree) meets the vectors in blocks, whose two best are all that leaves a block.
+    """
+    n, dim = cents.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    if options is None and n * max(1, dim or 1) * 8 > most:
+        return _nearest_in_blocks(vectors, cents, group, n)
+    if options is not None and n * max(1, dim or 1) * 8 > most:  # a row per option is the size of the answer
+        o = options.select("vec_id", group).distinct().join(cents.select(group, F.col("centroid").alias("c")).hint("merge"), group)
+        j = o.join(vectors.select("vec_id", l2_normalise(F.col("embedding")).alias("x")).hint("merge"), "vec_id").select("vec_id", F.struct((-dot(F.col("x"), F.col("c"))).alias("d"), F.col(group).alias("g")).alias("s"))
+        v = j.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list("s")), 1, 2).alias("b"))
+    else:
+        c = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c")))).alias("cs"))
+        v = vectors.select("vec_id", l2_normalise(F.col("embedding")).alias("x")).join(F.broadcast(c), F.lit(True))
+        if options is not None:
+            o = options.groupBy("vec_id").agg(F.collect_set(group).alias("_o"))
+            v = v.join(o.hint("merge"), "vec_id").withColumn("cs", F.filter("cs", lambda s: F.array_contains("_o", s["g"])))
+        best = F.array_sort(F.transform("cs", lambda s: F.struct((-dot(F.col("x"), s["c"])).alias("d"), s["g"].alias("g"))))
+        v = v.select("vec_id", F.slice(best, 1, 2).alias("b"))
+    v = v.filter(F.size("b") > 0)
     first, second = F.col("b")[0], F.get("b", F.lit(1))
     return v.select("vec_id", first["g"].alias("nearest"), (-first["d"]).alias("cos"), (second["d"] - first["d"]).alias("margin"))
 
 
+def _two_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each vector of a block the two best of a block of centroids; those come in order of their groups."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            x, y = np.frombuffer(r["m"], "<f8").reshape(len(r["ids"]) // 8, -1), _matrix([c["c"] for c in r["cs"]])
+            d = min(x.shape[1], y.shape[1])
+            s = -(x[:, :d] @ y[:, :d].T)
+            at = np.argsort(s, 1, kind="stable")[:, :2]
+            ids = np.repeat(np.frombuffer(r["ids"], "<i8"), at.shape[1])
+            no = np.array([c["g"] for c in r["cs"]], "<i8")[at].ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(no), pa.array(np.take_along_axis(s, at, 1).ravel())], ["vec_id", "no", "d"])
+
+
+def _nearest_in_blocks(vectors: DataFrame, cents: DataFrame, group: str, n: int, block: int = 1024) -> DataFrame:
+    from ..workers import cut
+    from .metrics import running
+
+    numbered = running(cents.select(group, "centroid").withColumn("_one", F.lit(1)), [], [F.col(group)], {"_no": "_one"})
+    numbered = cut(numbered.select(group, "centroid", F.col("_no").cast("long").alias("_no")))
+    blocks = -(-n // block)
+    c = numbered.groupBy(F.floor((F.col("_no") - 1) / block).cast("int").alias("b")).agg(F.array_sort(F.collect_list(F.struct(F.col("_no").alias("g"), F.col("centroid").alias("c")))).alias("cs"))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), l2_normalise(F.col("embedding")).alias("x")).filter("vec_id is not null and x is not null").mapInArrow(_packed, "ids binary, m binary")
+    each = v.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = each.join(c.hint("shuffle_hash"), "b").select("ids", "m", "cs").mapInArrow(_two_best, "vec_id long, no long, d double")
+    best = both.groupBy("vec_id").agg(F.min(F.struct("d", "no")).alias("f"), F.array_sort(F.collect_list(F.struct("d", "no"))).alias("b"))  # two rows of each block of centroids
+    name = numbered.select(F.col("_no").alias("no"), F.col(group).alias("nearest"))
+    best = best.select("vec_id", F.col("f.no").alias("no"), (-F.col("f.d")).alias("cos"), (F.get("b", F.lit(1))["d"] - F.col("f.d")).alias("margin"))
+    return best.join(name.hint("merge"), "no").select("vec_id", "nearest", "cos", "margin")
+
+
 def group_separation(cents: DataFrame, by: tuple[str, ...] = ("cls",)) -> DataFrame:
     """by, grp, inside, outside, separation: the mean cosine between a group's leaves, less that to the class's other leaves. cents: by, grp (null: no group), leaf, centroid (unit vector).
 
@@ -123,6 +171,70 @@ def pairwise_top1(vectors: DataFrame, refs: DataFrame, group_bytes: int = BROADC
     return best.groupBy("vec_id").agg(F.min_by(F.struct("ref_id", "cos"), F.struct(-F.col("cos"), "ref_id")).alias("b")).select("vec_id", "b.ref_id", "b.cos")
 
 
+#: Vectors that meet their pivots at once, and pivots of a group at most.
+CELLS, PIVOTS = 8192, 1024
+#: Slack for rounding in angles, in radians.
+SLACK = 1e-6
+
+
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = min(x.shape[1], y.shape[1])
+    return np.arccos(np.clip(x[:, :d] @ y[:, :d].T, -1, 1))
+
+
+def _to_pivot(key: tuple, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Each vector's nearest pivot and the angle to it."""
+    if not len(rows) or not len(pivots):
+        return pd.DataFrame({"k": [], "id": [], "x": [], "pivot": [], "angle": []})
+    a = _angles(_matrix(rows["x"].to_list()), _matrix(pivots["x"].to_list()))
+    at = a.argmin(1)
+    return pd.DataFrame({"k": rows["k"], "id": rows["id"], "x": rows["x"], "pivot": pivots["id"].to_numpy()[at], "angle": a[np.arange(len(at)), at]})
+
+
+def celled(vectors: DataFrame, block: int, id_type: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors with pivot, angle and sub; pivots): each group's vectors in cells around about one pivot for each `block` of them, PIVOTS at most; cells of more than `block` are dealt into several.
+
+    Pivots are vectors of the group itself, chosen by hash; vectors meet them in salted parts of a group, so that no task holds a group. vectors: k, id, x (unit vectors).
+    """
+    from ..workers import cut
+
+    n = vectors.groupBy("k").agg(F.count("*").alias("n"), F.min(F.xxhash64("id")).alias("least"))
+    v = vectors.join(n.hint("merge"), "k").withColumn("h", F.xxhash64("id"))
+    # the share of hashes that makes as many pivots as wanted, and always the least one
+    want = F.least(F.ceil(F.col("n") / block), F.lit(PIVOTS)) / F.col("n")
+    pivots = cut(v.filter((F.col("h") == F.col("least")) | ((F.col("h").cast("double") + 2.0**63) / 2.0**64 < want)).select("k", "id", "x", "n").dropDuplicates(["k", "id"]))
+    salts = F.ceil(F.col("n") / CELLS).cast("int")
+    left = v.select("k", "id", "x", F.pmod("h", salts).cast("int").alias("salt")).groupBy("k", "salt")
+    right = pivots.select("k", "id", "x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).groupBy("k", "salt")
+    c = cut(left.cogroup(right).applyInPandas(_to_pivot, f"k string, id {id_type}, x array<double>, pivot {id_type}, angle double"))
+    size = c.groupBy("k", "pivot").agg(F.ceil(F.count("*") / block).alias("subs"))
+    return c.join(size.hint("merge"), ["k", "pivot"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")).drop("subs"), pivots.drop("n")
+
+
+def _near_pivots(limit: float):
+    """Pairs of a group's pivots whose cells may hold vectors within `limit` of each other."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, r = _matrix(rows["x"].to_list()), rows["radius"].to_numpy()
+        a = _angles(x, x)
+        i, j = np.nonzero(a - r[:, None] - r[None, :] <= limit + SLACK)
+        ids = rows["id"].to_numpy()
+        return pd.DataFrame({"k": [key[0]] * len(i), "pivot": ids[i], "pivot2": ids[j], "apart": a[i, j]})
+
+    return run
+
+
+def block_pairs(cells: DataFrame, pivots: DataFrame, limit: float, id_type: str) -> DataFrame:
+    """k, pivot, sub, pivot2, sub2: the pairs of blocks in which an angle of at most `limit` is possible: by the triangle inequality, those whose pivots are no farther apart than the limit and both radii."""
+    blocks = cells.groupBy("k", "pivot", "sub").agg(F.max("angle").alias("radius"))
+    cell = blocks.groupBy("k", "pivot").agg(F.max("radius").alias("radius"))
+    p = pivots.withColumnRenamed("id", "pivot").join(cell.hint("merge"), ["k", "pivot"]).withColumnRenamed("pivot", "id")
+    near = p.groupBy("k").applyInPandas(_near_pivots(limit), f"k string, pivot {id_type}, pivot2 {id_type}, apart double")  # at most PIVOTS rows a group
+    two = blocks.select("k", F.col("pivot").alias("pivot2"), F.col("sub").alias("sub2"), F.col("radius").alias("radius2"))
+    both = near.join(blocks.hint("merge"), ["k", "pivot"]).join(two.hint("merge"), ["k", "pivot2"])
+    return both.filter(F.col("apart") - F.col("radius") - F.col("radius2") <= limit + SLACK).select("k", "pivot", "sub", "pivot2", "sub2")
+
+
 def _similar(near: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,29 +252,60 @@ def _similar(near: float):
 
 
 def pairs_within(vectors: DataFrame, by: tuple[str, ...], near: float, block: int = 512) -> DataFrame:
-    """by, a, b, cos: pairs of a group's vectors at cosine >= near, a < b. vectors: by, id (string), x (unit vector).
+    """by, a, b, cos: pairs of a group's vectors at cosine >= near, a < b, exactly. vectors: by, id (string), x (unit vector).
 
-    A group is cut into blocks of about `block`; pairs of blocks are made as numbers first and each fetches its rows by the block's own key, so no key holds a whole group. Only similar pairs leave a block.
+    A group is cut into blocks of about `block` around pivots, and pairs of blocks that the triangle inequality rules out are never compared. The others are made as numbers first and each fetches its rows by the block's own
+    key, so no key holds a whole group. Only similar pairs leave a block.
     """
     from ..workers import cut
 
     kinds = dict(vectors.dtypes)
-    v = vectors.filter("x is not null and id is not null").withColumn("k", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
-    n = v.groupBy("k").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    v = v.join(n.hint("merge"), "k").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    packed = cut(v.groupBy("k", "b").agg(F.collect_list(F.struct("id", "x")).alias("q")))
-    one, two = packed.select("k", "b"), packed.select("k", F.col("b").alias("c"))
-    pairs = cut(one.join(two.hint("merge"), "k"))
-    both = pairs.join(packed.hint("merge"), ["k", "b"]).join(packed.select("k", F.col("b").alias("c"), F.col("q").alias("o")).hint("merge"), ["k", "c"]).select("k", "q", "o")
+    v = vectors.filter("x is not null and id is not null").select(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("k"), "id", F.col("x").cast("array<double>").alias("x"))
+    cells, pivots = celled(v, block, "string")
+    packed = cut(cells.groupBy("k", "pivot", "sub").agg(F.collect_list(F.struct("id", "x")).alias("q")))
+    pairs = cut(block_pairs(cells, pivots, float(np.arccos(min(1.0, max(-1.0, near)))), "string"))
+    two = packed.select("k", F.col("pivot").alias("pivot2"), F.col("sub").alias("sub2"), F.col("q").alias("o"))
+    both = pairs.join(packed.hint("merge"), ["k", "pivot", "sub"]).join(two.hint("merge"), ["k", "pivot2", "sub2"]).select("k", "q", "o")
     out = both.mapInArrow(_similar(near), "k string, a string, b string, cos double")
     shape = ", ".join(f"{c} {kinds[c]}" for c in by)
     return out.withColumn("k", F.from_json("k", shape)).select(*[F.col(f"k.{c}").alias(c) for c in by], "a", "b", "cos")
 
 
+def _reached(near: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                m, o = _matrix([v["x"] for v in r["q"]]), _matrix([v["x"] for v in r["o"]])
+                d = min(m.shape[1], o.shape[1])
+                hit = (m[:, :d] @ o[:, :d].T >= near).any(1)
+                yield pa.RecordBatch.from_arrays([pa.array([v["id"] for v, h in zip(r["q"], hit.tolist(), strict=True) if h], pa.int64())], ["vec_id"])
+
+    return run
+
+
+def contained(cands: DataFrame, evals: DataFrame, tau: float, block: int = 512) -> DataFrame:
+    """vec_id of candidates at cosine >= tau to any evaluation vector, exactly; pairs of blocks that the triangle inequality rules out are never compared. Rows without an id, or with a null vector or part, take no part."""
+    from ..workers import cut
+
+    prep = lambda df, side: df.select(F.lit("all").alias("k"), F.col("vec_id").cast("long").alias("id"), l2_normalise(F.col("embedding")).alias("x"), F.lit(side).alias("side")).filter("id is not null and x is not null")
+    both = prep(cands, 0).unionByName(prep(evals, 1))
+    # one set of cells for both sides: an id stands for a side's vector
+    named = cut(both.withColumn("id", F.col("id") * 2 + F.col("side")).drop("side").dropDuplicates(["id"]))
+    cells, pivots = celled(named, block, "long")
+    cells = cut(cells)
+    packed = cells.withColumn("side", F.pmod("id", F.lit(2))).groupBy("k", "pivot", "sub", "side").agg(F.collect_list(F.struct(F.shiftright("id", 1).alias("id"), "x")).alias("q"))
+    packed = cut(packed)
+    pairs = cut(block_pairs(cells, pivots, float(np.arccos(min(1.0, max(-1.0, tau)))), "long"))
+    q = packed.filter("side = 0").drop("side")
+    o = packed.filter("side = 1").select("k", F.col("pivot").alias("pivot2"), F.col("sub").alias("sub2"), F.col("q").alias("o"))
+    met = pairs.join(q.hint("merge"), ["k", "pivot", "sub"]).join(o.hint("merge"), ["k", "pivot2", "sub2"]).select("q", "o")
+    return met.mapInArrow(_reached(tau), "vec_id long").distinct()
+
+
 def containment_filter(cands: DataFrame, evals: DataFrame, tau: float) -> DataFrame:
-    """Candidates whose best cosine to an evaluation vector stays below tau."""
-    near = pairwise_top1(cands, evals).filter(F.col("cos") >= tau).select("vec_id")
-    return cands.join(near.hint("merge"), "vec_id", "left_anti")
+    """Candidates whose best cosine to an evaluation vector stays below tau; those without a vector stay."""
+    return cands.join(contained(cands, evals, tau).hint("merge"), "vec_id", "left_anti")
 
 
 def containment_counts(cands: DataFrame, evals: DataFrame, cuts: list[float]) -> DataFrame:
