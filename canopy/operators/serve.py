@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workers import cut
+
 
 def region_gate(scores: DataFrame, chunk_at: float = 0.5, clip_at: float = 0.5) -> DataFrame:
     """clip, row_id (null: the clip), region: chunks whose sigmoid reaches chunk_at, and clips whose mean does. scores: clip, row_id, region, logit."""
@@ -190,63 +192,122 @@ def render_context(nodes: DataFrame, timeline: DataFrame, transcript: DataFrame
     return c.select("clip", F.when(F.col("h").isNull(), "").when(quiet, F.col("h")).otherwise(F.concat(full, F.lit("\n\n"))).alias("context"))
 
 
+#: The grid whose chunks have a gate.
+GATED = "g3"
+
+
+def owners(attrs: DataFrame) -> DataFrame:
+    """One row per attribute: that of the router with the greatest `ord`, as a later router takes an attribute over. attrs: attr, router, ord, .."""
+    rest = [c for c in attrs.columns if c != "attr"]
+    return attrs.groupBy("attr").agg(F.max_by(F.struct(*rest), "ord").alias("_o")).select("attr", "_o.*")
+
+
+def open_windows(windows: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """clip, encoder, row_id, by_question: of each clip and encoder the windows that overlap a span in which the gate heard sound; where there is none, all of them if an item asks about sound.
+
+    windows: clip, encoder, row_id, t0, t1; spans: clip, t0, t1; asked: clip, asked. by_question: the clip has no span at all.
+    """
+    sp = spans.groupBy("clip").agg(F.collect_list(F.struct("t0", "t1")).alias("_s"))  # a clip's chunks
+    w = windows.join(sp.hint("merge"), "clip", "left").join(asked.groupBy("clip").agg(F.bool_or("asked").alias("_q")).hint("merge"), "clip", "left")
+    hit = F.coalesce(F.exists("_s", lambda x: (F.col("t0") < x["t1"]) & (x["t0"] < F.col("t1"))), F.lit(False))
+    w = w.withColumn("_hit", hit).withColumn("_any", F.max(F.col("_hit").cast("int")).over(W.partitionBy("clip", "encoder")))
+    return w.filter(F.col("_hit") | ((F.col("_any") == 0) & F.coalesce("_q", F.lit(False)))).select("clip", "encoder", "row_id", F.col("_s").isNull().alias("by_question"))
+
+
+def sound_nodes(sounds: DataFrame, windows: DataFrame, served: DataFrame, classes: int = 2, leaves: int = 2) -> DataFrame:
+    """clip, attr, value, leaf, p, by_question: sound identity of every attribute by its own encoder and threshold: the greatest joint probability over the clip's windows, the top classes that reach the threshold, each
+    with its top leaves that do, else itself. Attributes of context aren't served by a question alone.
+
+    sounds: clip, encoder, row_id, attr, value, leaf ('' for the class), p; windows: as open_windows gives them; served: attr, encoder, tau, context (a row per attribute).
+    """
+    m = sounds.join(F.broadcast(served), ["attr", "encoder"]).join(windows.hint("merge"), ["clip", "encoder", "row_id"]).filter(~(F.col("by_question") & F.col("context")))
+    m = m.groupBy("clip", "attr", "value", "leaf", "by_question").agg(F.max("p").alias("p"), F.first("tau").alias("tau")).filter(F.col("p") >= F.col("tau"))
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("p"), "value", "leaf"))
+    top = m.filter("leaf = ''").withColumn("_r", rank("clip", "attr")).filter(F.col("_r") <= classes)
+    key = ["clip", "attr", "value"]
+    low = m.filter("leaf != ''").join(top.select(*key).hint("merge"), key, "left_semi").withColumn("_r", rank(*key)).filter(F.col("_r") <= leaves)
+    out = top.join(low.select(*key).distinct().hint("merge"), key, "left_anti").unionByName(low)
+    return out.select(*key, "leaf", "p", "by_question")
+
+
+def decided(scores: DataFrame, attrs: DataFrame, none_at: float = 0.995, top: int = 3, top_at: float = 0.2) -> DataFrame:
+    """clip, row_id (null: the clip), grid, attr, value, leaf, p: what the owners of all attributes say of each clip or chunk, before any gate.
+
+    scores: clip, row_id, grid, router, attr, value, leaf ('' for a class's own node), logit; attrs: a row per attribute: attr, router, grid, multi, scope (`clip` or `local`), many, leaves, temperature, floor, threshold, leaf_threshold.
+    Classes weigh the log-sum-exp of their nodes. One choice: softmax at the temperature, the mean log-probability over the unit's rows; the best class if it reaches the floor, with `many` up to `top` classes from
+    top_at on; a best class `none` abstains from none_at on, else the best other counts. Several choices: each class of a chunk at or above the threshold. A leaf is the most probable node of its class if that is a leaf
+    at or above leaf_threshold, else ''; attributes with `leaves` have up to `top` leaves from top_at on.
+    """
+    from ..learn.models import class_logits, within_class
+
+    a = F.broadcast(attrs)  # the schema's attributes
+    own = scores.join(a.select("attr", "router", "grid", "multi", "scope"), ["attr", "router", "grid"])
+    node = own.withColumn("unit", F.when(F.col("multi") | (F.col("scope") == "local"), F.col("row_id")))
+    c = class_logits(node, "clip", "row_id", "unit").join(a, "attr")
+    one = c.filter("not multi").withColumn("_z", F.col("logit") / F.col("temperature"))
+    row = W.partitionBy("clip", "attr", "row_id")
+    one = one.withColumn("_m", F.max("_z").over(row)).withColumn("_lp", F.col("_z") - F.col("_m") - F.log(F.sum(F.exp(F.col("_z") - F.col("_m"))).over(row)))
+    one = one.groupBy("clip", "attr", "unit", "value").agg(F.exp(F.avg("_lp")).alias("p"))
+    order, known = F.struct(-F.col("p"), "value"), F.col("value") != "none"
+    best = one.groupBy("clip", "attr", "unit").agg(F.min_by(F.struct("value", "p"), order).alias("_b"), F.min_by(F.when(known, F.struct("value", "p")), F.when(known, order)).alias("_o"))
+    best = best.filter(~((F.col("_b.value") == "none") & (F.col("_b.p") >= none_at))).withColumn("_c", F.when(F.col("_b.value") == "none", F.col("_o")).otherwise(F.col("_b")))
+    best = best.select("clip", "attr", "unit", F.col("_c.value").alias("value"), F.col("_c.p").alias("p")).join(a, "attr").filter(F.col("p") >= F.col("floor"))
+    r = F.row_number().over(W.partitionBy("clip", "attr", "unit").orderBy(F.desc("p"), "value"))
+    several = one.withColumn("_r", r).filter((F.col("_r") <= top) & ((F.col("_r") == 1) | (F.col("p") >= top_at))).withColumn("_u", F.coalesce("unit", F.lit(-1)))
+    several = several.join(best.filter("many").select("clip", "attr", F.coalesce("unit", F.lit(-1)).alias("_u")).hint("merge"), ["clip", "attr", "_u"], "left_semi")
+    every = c.filter("multi").withColumn("p", 1 / (1 + F.exp(-F.col("logit")))).filter(F.col("p") >= F.greatest("threshold", "floor"))
+    key = ["clip", "attr", "unit", "value"]
+    chosen = best.filter("not many").select(*key, "p").unionByName(several.select(*key, "p")).unionByName(every.select(*key, "p")).withColumn("_u", F.coalesce("unit", F.lit(-1)))
+    # leaves inside the class, pooled over the unit's rows
+    inside = within_class(node, "clip", "unit").withColumn("_u", F.coalesce("unit", F.lit(-1))).drop("unit")
+    inside = inside.join(a.select("attr", "leaves", "leaf_threshold"), "attr").withColumn("_r", F.row_number().over(W.partitionBy("clip", "attr", "_u", "value").orderBy(F.desc("p"), "leaf")))
+    inside = inside.withColumn("_n", F.row_number().over(W.partitionBy("clip", "attr", "_u", "value").orderBy(F.expr("leaf = ''"), F.desc("p"), "leaf")))
+    fits = F.when(F.col("leaves"), (F.col("_n") <= top) & (F.col("p") >= top_at)).otherwise((F.col("_r") == 1) & (F.col("p") >= F.col("leaf_threshold")))
+    leaf = inside.filter((F.col("leaf") != "") & fits).select("clip", "attr", "_u", "value", "leaf")
+    out = chosen.join(leaf.hint("merge"), ["clip", "attr", "_u", "value"], "left").join(a.select("attr", "grid"), "attr")
+    return out.select("clip", F.col("unit").alias("row_id"), "grid", "attr", "value", F.coalesce("leaf", F.lit("")).alias("leaf"), "p")
+
+
 def route_clips(
-    gate: DataFrame, attrs: DataFrame, scores: DataFrame, heads: DataFrame, properties: DataFrame, sounds: DataFrame, asked: DataFrame, *, gate_at: float = 0.5, language: str = "speech.language", language_at: float = 0.5,
-    property_at: float = 0.5, sound_attr: str = "sound.event", sound_at: float = 0.5, none_at: float = 0.995, top: int = 3, top_at: float = 0.2,
+    gate: DataFrame, attrs: DataFrame, scores: DataFrame, heads: DataFrame, properties: DataFrame, sounds: DataFrame, windows: DataFrame, served: DataFrame, asked: DataFrame, *, gate_at: float = 0.5, language: str = "speech.language",
+    language_at: float = 0.5, property_at: float = 0.5, none_at: float = 0.995, top: int = 3, top_at: float = 0.2,
 ) -> DataFrame:
-    """clip, row_id (null: the clip), attr, value, leaf, p, stage: the nodes that all routers serve, in the order of the stages.
+    """clip, row_id (null: the clip), attr, value, leaf, p, stage, by_question: the nodes that all routers serve, in the order of the stages.
 
-    1. gate: regions of chunks and clips (gate: clip, row_id, region, logit). 2. routers: attributes of open regions, decided for the clip or its chunks (attrs: attr, region, multi, scope `clip` or
-    `local`, late, many, domain, temperature, floor, threshold: a row per attribute; scores: clip, row_id, attr, value, logit). 3. language: a sure text head instead, where speech is open (heads: clip, text, value, p).
-    4. properties: the best class of each head, where music is open (properties: clip, head, value, p). 5. sounds: identity over the chunks that hear sound, or over all where an item asks
-    (sounds: clip, row_id, value, leaf, p; asked: clip, asked). 6. a chunk keeps what its own gate opened. 7. late: attributes judged per chunk, of `many` up to `top` classes. 8. domains: attributes with
-    a class `none`, which abstain by themselves whatever the gate says.
+    1. gate: regions of 3 s chunks and of clips (gate: clip, row_id, t0, t1, region, logit). 2. routers: attributes of open regions, decided by their owners on their own grid (attrs: as for `decided`, with region, ord, late,
+    domain and skip, a row per router and attribute; scores: as for `decided`, for instance from loaded heads). 3. language: a sure text head instead, where speech is open (heads: clip, text, value, leaf, p). 4. properties: the best
+    class of each head, where music is open (properties: clip, head, value, p). 5. sounds: identity by attribute, over the windows that overlap chunks which hear sound, or over all where an item asks
+    (sounds, windows, served: as for sound_nodes and open_windows; asked: clip, asked). 6. a 3 s chunk keeps what its own gate opened; chunks of other grids have no gate and keep theirs. 7. late: attributes judged
+    after that, in the chunks that opened their region. 8. domains: attributes with a class `none`, which abstain by themselves whatever the gate says. Attributes with `skip` are left to the sound heads.
     """
-    a = F.broadcast(attrs)  # the schema's attributes
-    opened = region_gate(gate, gate_at, gate_at)
-    node = lambda df, stage, leaf=F.lit(""): df.select("clip", "row_id", "attr", "value", leaf.alias("leaf"), "p", F.lit(stage).alias("stage"))
+    own = owners(attrs).filter("not skip")
+    facts = F.broadcast(own.select("attr", "region", "late", "domain"))  # the schema's attributes
     p = gate.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
     mean = p.groupBy("clip", "region").agg(F.avg("p").alias("p"))
-    first = p.filter(F.col("p") >= gate_at).select("clip", "row_id", "region", "p").unionByName(mean.filter(F.col("p") >= gate_at).select("clip", F.lit(None).cast("long").alias("row_id"), "region", "p"))
-    first = node(first.withColumns({"attr": F.lit("gate"), "value": F.col("region")}), 1)
-    clip_on = opened.filter("row_id is null").select("clip", "region")
-    row_on = opened.filter("row_id is not null").select("row_id", "region").distinct()
+    none = F.lit(None).cast("long")
+    cols = lambda df, stage, leaf=F.lit(""), asked_=F.lit(False): df.select("clip", "row_id", "attr", "value", leaf.alias("leaf"), "p", F.lit(stage).alias("stage"), asked_.alias("by_question"))
+    row_on = p.filter(F.col("p") >= gate_at)
+    first = row_on.select("clip", "row_id", "region", "p").unionByName(mean.filter(F.col("p") >= gate_at).select("clip", none.alias("row_id"), "region", "p"))
+    first = cols(first.withColumns({"attr": F.lit("gate"), "value": F.col("region")}), 1)
+    clip_on = mean.filter(F.col("p") >= gate_at).select("clip", "region")
     shut = mean.filter(F.col("p") < gate_at).select("clip", "region")  # regions without a gate are open
-    s = scores.join(a, "attr")
-    # one class of each unit (the clip, or each of its chunks)
-    one = s.filter("not multi").withColumns({"unit": F.when(F.col("scope") == "local", F.col("row_id")), "_z": F.col("logit") / F.col("temperature")})
-    row = W.partitionBy("clip", "attr", "row_id")
-    one = one.withColumn("_m", F.max("_z").over(row)).withColumn("_lp", F.col("_z") - F.col("_m") - F.log(F.sum(F.exp(F.col("_z") - F.col("_m"))).over(row)))
-    c = one.groupBy("clip", "attr", "unit", "value").agg(F.exp(F.avg("_lp")).alias("p"))
-    order = F.struct(-F.col("p"), "value")
-    known = F.col("value") != "none"
-    best = c.groupBy("clip", "attr", "unit").agg(F.max(F.when(~known, F.col("p"))).alias("_none"), F.min_by(F.struct("value", "p"), order).alias("_b"), F.min_by(F.when(known, F.struct("value", "p")), F.when(known, order)).alias("_o"))
-    best = best.filter(~((F.col("_b.value") == "none") & (F.col("_none") >= none_at))).withColumn("_c", F.when(F.col("_b.value") == "none", F.col("_o")).otherwise(F.col("_b")))
-    best = best.select("clip", "attr", "unit", "_none", F.col("_c.p").alias("p1"), F.col("_c.value").alias("v1")).join(a, "attr").filter(F.col("p1") >= F.col("floor"))
-    few = best.filter("not many").select("clip", F.col("unit").alias("row_id"), "attr", F.col("v1").alias("value"), F.col("p1").alias("p"), "region", "late", "domain")
-    u = W.partitionBy("clip", "attr", "unit").orderBy(F.desc("p"), "value")
-    ranked = c.withColumn("_r", F.row_number().over(u)).filter((F.col("_r") <= top) & ((F.col("_r") == 1) | (F.col("p") >= top_at)))
-    wide = ranked.withColumn("_u", F.coalesce("unit", F.lit(-1))).join(best.filter("many").select("clip", "attr", F.coalesce("unit", F.lit(-1)).alias("_u"), "region", "late").hint("merge"), ["clip", "attr", "_u"])
-    wide = wide.select("clip", F.col("unit").alias("row_id"), "attr", "value", "p", "region", "late", F.lit(False).alias("domain"))
-    every = s.filter("multi").withColumn("p", 1 / (1 + F.exp(-F.col("logit")))).filter(F.col("p") >= F.greatest("threshold", "floor")).select("clip", "row_id", "attr", "value", "p", "region", "late", F.lit(False).alias("domain"))
-    decided = few.unionByName(wide).unionByName(every)
-    open_ = decided.filter("not domain").join(shut.hint("merge"), ["clip", "region"], "left_anti")
-    second = open_.filter("not late")
-    # 3. the text head's language
+    chunk_on = row_on.select("row_id", "region").distinct()
+    said = cut(decided(scores, own, none_at, top, top_at).join(facts, "attr"))  # three stages read it
+    open_ = said.filter("not domain").join(shut.hint("merge"), ["clip", "region"], "left_anti")
+    # 2. and 3.: the text head's language
     speech = heads.join(shut.filter("region = 'speech'").select("clip").hint("merge"), "clip", "left_anti").filter(F.length("text") >= 8)
-    second = second.join(speech.select("clip", F.lit(language).alias("attr")).hint("merge"), ["clip", "attr"], "left_anti")
-    third = speech.filter(F.col("p") >= language_at).select("clip", F.lit(None).cast("long").alias("row_id"), F.lit(language).alias("attr"), "value", "p")
+    second = open_.filter("not late").join(speech.select("clip", F.lit(language).alias("attr")).hint("merge"), ["clip", "attr"], "left_anti")
+    third = speech.filter(F.col("p") >= language_at).select("clip", none.alias("row_id"), F.lit(language).alias("attr"), "value", "leaf", "p")
     # 4. and 5.
-    fourth = threshold_heads(properties, clip_on.filter("region = 'music'"), property_at).select("clip", F.lit(None).cast("long").alias("row_id"), F.col("head").alias("attr"), "value", "p")
-    hears = sounds.select("clip", "row_id").distinct().join(row_on.filter("region = 'sound'").select("row_id", F.lit(True).alias("open")).hint("merge"), "row_id", "left").select("clip", "row_id", F.coalesce("open", F.lit(False)).alias("open"))
-    may = hears.filter("open").select("clip").unionByName(asked.filter("asked").select("clip")).distinct()
-    fifth = sound_identity(sounds, hears.join(may.hint("merge"), "clip", "left_semi"), sound_at).select("clip", F.lit(None).cast("long").alias("row_id"), F.lit(sound_attr).alias("attr"), "value", "leaf", "p")
+    fourth = threshold_heads(properties, clip_on.filter("region = 'music'"), property_at).select("clip", none.alias("row_id"), F.col("head").alias("attr"), "value", "p")
+    spans = row_on.filter("region = 'sound'").select("clip", "t0", "t1")
+    fifth = sound_nodes(sounds, open_windows(windows, spans, asked), served).withColumn("row_id", none)
     # 6. and 7.
-    inside = lambda df: df.join(row_on.hint("merge"), ["row_id", "region"], "left_semi")
-    chunks = inside(second.filter("row_id is not null"))
-    seventh = inside(open_.filter("late and row_id is not null")).unionByName(open_.filter("late and row_id is null"))
-    out = first.unionByName(node(second.filter("row_id is null"), 2)).unionByName(node(chunks, 2)).unionByName(node(third, 3)).unionByName(node(fourth, 4)).unionByName(node(fifth, 5, F.col("leaf")))
-    return out.unionByName(node(seventh, 7)).unionByName(node(decided.filter("domain"), 8))
+    gated = (F.col("grid") == GATED) & F.col("row_id").isNotNull()
+    inside = lambda df: df.filter(~gated).unionByName(df.filter(gated).join(chunk_on.hint("merge"), ["row_id", "region"], "left_semi").select(df.columns))
+    leaf = F.col("leaf")
+    out = first.unionByName(cols(inside(second), 2, leaf)).unionByName(cols(third, 3, leaf)).unionByName(cols(fourth, 4)).unionByName(cols(fifth, 5, leaf, F.col("by_question")))
+    return out.unionByName(cols(inside(open_.filter("late")), 7, leaf)).unionByName(cols(said.filter("domain"), 8, leaf))
 
 
 #: What a reader is told. Fixed values.

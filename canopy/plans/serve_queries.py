@@ -306,55 +306,80 @@ def prompt_text(items):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-ATTRS = [("speech.tone", "speech", False, "clip", False, False, False, 0.5, 0.33, 0.0), ("sound.thing", "sound", True, "local", False, False, False, 1.0, 0.0, 0.55), ("music.mood", "music", False, "local", True, True, False, 1.0, 0.3, 0.0), ("birds.kind", "birds", False, "clip", False, False, True, 1.0, 0.0, 0.0), ("speech.language", "speech", False, "clip", False, False, False, 1.0, 0.0, 0.0)]
-KINDS = "attr string, region string, multi boolean, scope string, late boolean, many boolean, domain boolean, temperature double, floor double, threshold double"
-ATTR_OF = "case when k < 3 then 'speech.tone' when k < 5 then 'sound.thing' when k < 7 then 'music.mood' when k < 9 or vec_id % 2 = 0 then 'birds.kind' end"
-ROUTE = f"""
-l as (select vec_id % 50 clip, vec_id row_id, k, logit, 1 / (1 + exp(-logit)) p, {ATTR_OF} attr, case when k = 9 then 'none' else 'v' || cast(k as varchar) end v from logits),
-g as (select clip, row_id, case k when 1 then 'speech' when 4 then 'sound' else 'music' end region, p from l where k in (1, 4, 6)),
+#: attr, router, ord, region, grid, multi, scope, late, many, leaves, domain, skip, temperature, floor, threshold, leaf_threshold. The second router takes sound.thing over.
+ATTRS = [
+    ("speech.tone", "r1", 1, "speech", "g3", False, "clip", False, False, False, False, False, 0.5, 0.33, 0.0, 0.52), ("sound.thing", "r1", 1, "sound", "g3", True, "local", False, False, False, False, False, 1.0, 0.0, 0.0, 0.0),
+    ("sound.thing", "r2", 2, "sound", "g10", True, "local", False, False, True, False, False, 1.0, 0.0, 0.55, 1.01), ("music.mood", "r1", 1, "music", "g3", False, "local", True, True, False, False, False, 1.0, 0.3, 0.0, 0.5),
+    ("birds.kind", "r3", 3, "birds", "g10", False, "clip", False, False, False, True, False, 1.0, 0.0, 0.0, 0.5), ("speech.language", "r1", 1, "speech", "g3", False, "clip", False, False, False, False, False, 1.0, 0.0, 0.0, 1.01),
+    ("sound.skipped", "r1", 1, "sound", "g3", False, "clip", False, False, False, False, True, 1.0, 0.0, 0.0, 0.0),
+]
+KINDS = "attr string, router string, ord int, region string, grid string, multi boolean, scope string, late boolean, many boolean, leaves boolean, domain boolean, skip boolean, temperature double, floor double, threshold double, leaf_threshold double"
+#: Rows of two grids, whose components stand for node logits; both routers score sound.thing.
+NODES = """
+lg as (select vec_id % 50 clip, vec_id row_id, case when vec_id % 4 = 0 then 'g10' else 'g3' end grid, k, logit, 1 / (1 + exp(-logit)) p, cast(vec_id % 60 as double) t0, cast(vec_id % 60 + case when vec_id % 4 = 0 then 10 else 3 end as double) t1, case when k = 9 then 'none' else concat('v', cast(k - k % 2 as {STR})) end v, case when k % 2 = 1 and k < 9 then concat('l', cast(k as {STR})) else '' end lf from logits),
+nd as (select clip, row_id, grid, 'r1' router, 'speech.tone' attr, v, lf, logit from lg where k < 4 union all select clip, row_id, grid, 'r1', 'sound.thing', v, lf, logit from lg where k < 4 union all select clip, row_id, grid, 'r2', 'sound.thing', v, lf, logit from lg where k between 2 and 7
+  union all select clip, row_id, grid, 'r1', 'music.mood', v, lf, logit from lg where k between 4 and 8 union all select clip, row_id, grid, 'r3', 'birds.kind', v, lf, logit from lg where k >= 6 union all select clip, row_id, grid, 'r1', 'speech.language', v, lf, logit from lg where k in (0, 2) union all select clip, row_id, grid, 'r1', 'sound.skipped', v, lf, logit from lg where k < 2)"""
+SERVED = [("sound.event", "e1", 0.55, False), ("sound.place", "e2", 0.56, True)]
+ROUTE = f"""{NODES.format(STR='varchar').strip()},
+g as (select clip, row_id, t0, t1, case k when 1 then 'speech' when 4 then 'sound' else 'music' end region, p from lg where k in (1, 4, 6) and grid = 'g3'),
 gm as (select clip, region, avg(p) p from g group by 1,2),
-s as (select clip, row_id, attr, v, logit / case when attr = 'speech.tone' then 0.5 else 1.0 end z, p from l where attr is not null union all select clip, row_id, 'speech.language', 'v' || cast(k as varchar), logit, p from l where k in (0, 2)),
-lp as (select *, z - ln(sum(exp(z)) over (partition by clip, attr, row_id)) lp, case when attr = 'music.mood' then row_id end unit from s where attr <> 'sound.thing'),
+ow as (select nd.*, case when attr in ('sound.thing', 'music.mood') then row_id end unit from nd where case attr when 'sound.thing' then router = 'r2' and grid = 'g10' when 'birds.kind' then grid = 'g10' when 'sound.skipped' then false else grid = 'g3' end),
+cs as (select clip, row_id, unit, attr, v, ln(sum(exp(logit))) z from ow group by 1,2,3,4,5),
+lp as (select clip, unit, attr, v, zz - ln(sum(exp(zz)) over (partition by clip, attr, row_id)) lp from (select *, z / case when attr = 'speech.tone' then 0.5 else 1.0 end zz from cs where attr <> 'sound.thing')),
 c as (select clip, attr, unit, v, exp(avg(lp)) p from lp group by 1,2,3,4),
-b as (select clip, attr, unit, max(p) filter (where v = 'none') pn, arg_min(v, (-p, v)) v, max(p) p, arg_min(v, (-p, v)) filter (where v <> 'none') ov, max(p) filter (where v <> 'none') op from c group by 1,2,3),
-d as (select clip, attr, unit, pn, case when v = 'none' then ov else v end v, case when v = 'none' then op else p end p from b where not (v = 'none' and coalesce(pn, 0) >= 0.4)),
-e as (select * from d where p >= case attr when 'speech.tone' then 0.33 when 'music.mood' then 0.3 else 0 end),
-rk as (select *, row_number() over (partition by clip, attr, unit order by p desc, v) r from c where attr = 'music.mood'),
-hd as (select clip, repeat('x', clip % 12) tx, 'lang' v, avg(p) p from l where k = 0 group by 1),
+b as (select clip, attr, unit, arg_min(v, (-p, v)) v, max(p) p, arg_min(v, (-p, v)) filter (where v <> 'none') ov, max(p) filter (where v <> 'none') op from c group by 1,2,3),
+e as (select * from (select clip, attr, unit, case when v = 'none' then ov else v end v, case when v = 'none' then op else p end p from b where not (v = 'none' and p >= 0.4)) where p >= case attr when 'speech.tone' then 0.33 when 'music.mood' then 0.3 else 0 end),
+rk as (select c.*, row_number() over (partition by clip, attr, unit order by p desc, v) r from c where attr = 'music.mood'),
+ch as (select clip, attr, unit, v, p from e where attr <> 'music.mood'
+  union all select rk.clip, rk.attr, rk.unit, rk.v, rk.p from rk join e on e.clip = rk.clip and e.attr = rk.attr and e.unit = rk.unit where r <= 3 and (r = 1 or rk.p >= 0.25)
+  union all select clip, attr, unit, v, 1 / (1 + exp(-z)) from cs where attr = 'sound.thing' and 1 / (1 + exp(-z)) >= 0.55),
+wl as (select clip, unit, attr, v, lf, exp(avg(lp)) q from (select *, logit - ln(sum(exp(logit)) over (partition by row_id, attr, v)) lp from ow) group by 1,2,3,4,5),
+wp as (select *, q / sum(q) over (partition by clip, unit, attr, v) p from wl),
+wr as (select *, row_number() over (partition by clip, unit, attr, v order by p desc, lf) r, row_number() over (partition by clip, unit, attr, v order by lf = '', p desc, lf) n from wp),
+lv as (select clip, coalesce(unit, -1) u, attr, v, lf from wr where lf <> '' and case when attr = 'sound.thing' then n <= 3 and p >= 0.25 else r = 1 and p >= case attr when 'speech.tone' then 0.52 when 'speech.language' then 1.01 else 0.5 end end),
+sd as (select ch.clip, ch.unit row_id, ch.attr, ch.v, coalesce(lv.lf, '') lf, ch.p, split_part(ch.attr, '.', 1) region from ch left join lv on lv.clip = ch.clip and lv.u = coalesce(ch.unit, -1) and lv.attr = ch.attr and lv.v = ch.v),
+op as (select * from sd where attr <> 'birds.kind' and not exists (select 1 from gm where gm.clip = sd.clip and gm.region = sd.region and gm.p < 0.5)),
+hd as (select clip, repeat('x', cast(clip % 12 as int)) tx, 'lang' v, 'dialect' lf, avg(p) p from lg where k = 0 group by 1),
 sp as (select hd.* from hd where length(tx) >= 8 and not exists (select 1 from gm where gm.clip = hd.clip and region = 'speech' and gm.p < 0.5)),
-w as (select distinct l.clip, l.row_id, coalesce(g.p >= 0.5, false) open from l left join g on g.row_id = l.row_id and g.region = 'sound'),
-hr as (select w.* from w where exists (select 1 from w z where z.clip = w.clip and z.open) or w.clip % 4 = 0),
-us as (select clip, row_id from (select *, bool_or(open) over (partition by clip) any_ from hr) where open or not any_),
-sn as (select l.clip, l.row_id, 's' || cast(k % 2 as varchar) v, case when k >= 2 then 'l' || cast(k as varchar) else '' end lf, p from l where k < 6),
-sm as (select sn.clip, v, lf, max(p) p from sn join us on us.row_id = sn.row_id group by 1,2,3 having max(p) >= 0.55),
-st as (select * from (select *, row_number() over (partition by clip order by p desc, v) r from sm where lf = '') where r <= 2),
-sl as (select * from (select sm.*, row_number() over (partition by sm.clip, sm.v order by sm.p desc, sm.lf) r from sm join st on st.clip = sm.clip and st.v = sm.v where sm.lf <> '') where r <= 2),
-pr as (select clip, 'music.h' || cast(k % 2 as varchar) h, arg_min('v' || cast(k as varchar), (-p, k)) v, max(p) p from (select clip, k, avg(p) p from l group by 1,2) where clip in (select clip from gm where region = 'music' and p >= 0.5) group by 1,2 having max(p) >= 0.5),
+pr as (select clip, 'music.h' || cast(k % 2 as varchar) h, arg_min('v' || cast(k as varchar), (-p, k)) v, max(p) p from (select clip, k, avg(p) p from lg group by 1,2) where clip in (select clip from gm where region = 'music' and p >= 0.5) group by 1,2 having max(p) >= 0.5),
+sn as (select clip, case when k < 5 then 'e1' else 'e2' end enc, row_id, case when k < 5 then 'sound.event' else 'sound.place' end attr, 's' || cast(k % 2 as varchar) v, case when k % 5 >= 2 then 'l' || cast(k as varchar) else '' end lf, p from lg where grid = 'g3' or k >= 5),
+wi as (select distinct clip, 'e1' enc, row_id, t0, t1 from lg where grid = 'g3' union all select distinct clip, 'e2', row_id, t0, t1 from lg),
+on_ as (select clip, t0, t1 from g where region = 'sound' and p >= 0.5),
+wh as (select wi.*, exists (select 1 from on_ where on_.clip = wi.clip and wi.t0 < on_.t1 and on_.t0 < wi.t1) hit, not exists (select 1 from on_ where on_.clip = wi.clip) bq from wi),
+wo as (select clip, enc, row_id, bq from (select *, bool_or(hit) over (partition by clip, enc) any_ from wh) where hit or (not any_ and clip % 4 = 0)),
+sm as (select sn.clip, sn.attr, v, lf, bq, max(p) p from sn join wo on wo.clip = sn.clip and wo.enc = sn.enc and wo.row_id = sn.row_id where not (bq and sn.attr = 'sound.place') group by 1,2,3,4,5 having max(p) >= case when attr = 'sound.event' then 0.55 else 0.56 end),
+st as (select * from (select *, row_number() over (partition by clip, attr order by p desc, v) r from sm where lf = '') where r <= 2),
+sl as (select * from (select sm.*, row_number() over (partition by sm.clip, sm.attr, sm.v order by sm.p desc, sm.lf) r from sm join st on st.clip = sm.clip and st.attr = sm.attr and st.v = sm.v where sm.lf <> '') where r <= 2),
 o as (
-  select clip, row_id, 'gate' attr, region v, '' lf, p, 1 stage from g where p >= 0.5 union all select clip, null, 'gate', region, '', p, 1 from gm where p >= 0.5
-  union all select clip, null, attr, v, '', p, 2 from e where attr in ('speech.tone', 'speech.language') and clip not in (select clip from gm where region = 'speech' and p < 0.5) and not (attr = 'speech.language' and clip in (select clip from sp))
-  union all select s.clip, s.row_id, attr, v, '', s.p, 2 from s join g on g.row_id = s.row_id and g.region = 'sound' and g.p >= 0.5 where attr = 'sound.thing' and s.p >= 0.55 and s.clip not in (select clip from gm where region = 'sound' and p < 0.5)
-  union all select clip, null, 'speech.language', v, '', p, 3 from sp where p >= 0.5
-  union all select clip, null, h, v, '', p, 4 from pr
-  union all select clip, null, 'sound.event', v, lf, p, 5 from sl union all select clip, null, 'sound.event', v, '', p, 5 from st where not exists (select 1 from sl where sl.clip = st.clip and sl.v = st.v)
-  union all select rk.clip, rk.unit, rk.attr, rk.v, '', rk.p, 7 from rk join e on e.clip = rk.clip and e.attr = rk.attr and e.unit = rk.unit join g on g.row_id = rk.unit and g.region = 'music' and g.p >= 0.5 where r <= 3 and (r = 1 or rk.p >= 0.45) and rk.clip not in (select clip from gm where region = 'music' and p < 0.5)
-  union all select clip, null, attr, v, '', p, 8 from e where attr = 'birds.kind')
-select clip, row_id, attr, v as value, lf as leaf, round(p, 6) p, stage from o"""
+  select clip, row_id, 'gate' attr, region v, '' lf, p, 1 stage, false bq from g where p >= 0.5 union all select clip, null, 'gate', region, '', p, 1, false from gm where p >= 0.5
+  union all select clip, row_id, attr, v, lf, p, 2, false from op where attr <> 'music.mood' and not (attr = 'speech.language' and clip in (select clip from sp))
+  union all select clip, null, 'speech.language', v, lf, p, 3, false from sp where p >= 0.5
+  union all select clip, null, h, v, '', p, 4, false from pr
+  union all select clip, null, attr, v, lf, p, 5, bq from sl union all select clip, null, attr, v, '', p, 5, bq from st where not exists (select 1 from sl where sl.clip = st.clip and sl.attr = st.attr and sl.v = st.v)
+  union all select op.clip, op.row_id, attr, v, lf, op.p, 7, false from op join g on g.row_id = op.row_id and g.region = 'music' and g.p >= 0.5 where attr = 'music.mood'
+  union all select clip, row_id, attr, v, lf, p, 8, false from sd where attr = 'birds.kind')
+select clip, row_id, attr, v as value, lf as leaf, round(p, 6) p, stage, bq by_question from o"""
+
+
+def _nodes(logits, select):
+    return logits.sparkSession.sql(f"with {NODES.format(STR='string').strip()} {select}".replace("from logits", "from {logits}"), logits=logits)
 
 
 @query("route_clips", "logits", sql=f"with {ROUTE.strip()}")
 def route_clips(logits):
     spark = logits.sparkSession
-    name = F.concat(F.lit("v"), F.col("k").cast("string"))
-    l = logits.select((F.col("vec_id") % 50).alias("clip"), F.col("vec_id").alias("row_id"), "k", "logit", (1 / (1 + F.exp(-F.col("logit")))).alias("p"), F.expr(ATTR_OF).alias("attr"), F.when(F.col("k") == 9, "none").otherwise(name).alias("value"))
-    gate = l.filter("k in (1, 4, 6)").select("clip", "row_id", F.when(F.col("k") == 1, "speech").when(F.col("k") == 4, "sound").otherwise("music").alias("region"), "logit")
-    scores = l.filter("attr is not null").select("clip", "row_id", "attr", "value", "logit").unionByName(l.filter("k in (0, 2)").select("clip", "row_id", F.lit("speech.language").alias("attr"), name.alias("value"), "logit"))
-    heads = l.filter("k = 0").groupBy("clip").agg(F.avg("p").alias("p")).select("clip", F.expr("repeat('x', cast(clip % 12 as int))").alias("text"), F.lit("lang").alias("value"), "p")
-    props = l.groupBy("clip", "k").agg(F.avg("p").alias("p")).select("clip", F.concat(F.lit("music.h"), (F.col("k") % 2).cast("string")).alias("head"), name.alias("value"), "p")
-    sounds = l.filter("k < 6").select("clip", "row_id", F.concat(F.lit("s"), (F.col("k") % 2).cast("string")).alias("value"), F.when(F.col("k") >= 2, F.concat(F.lit("l"), F.col("k").cast("string"))).otherwise("").alias("leaf"), "p")
+    l = _nodes(logits, "select clip, row_id, grid, k, logit, p, t0, t1, concat('v', cast(k as string)) value from lg")
+    gate = l.filter("k in (1, 4, 6) and grid = 'g3'").select("clip", "row_id", "t0", "t1", F.when(F.col("k") == 1, "speech").when(F.col("k") == 4, "sound").otherwise("music").alias("region"), "logit")
+    scores = _nodes(logits, "select clip, row_id, grid, router, attr, v as value, lf as leaf, logit from nd")
+    heads = l.filter("k = 0").groupBy("clip").agg(F.avg("p").alias("p")).select("clip", F.expr("repeat('x', cast(clip % 12 as int))").alias("text"), F.lit("lang").alias("value"), F.lit("dialect").alias("leaf"), "p")
+    props = l.groupBy("clip", "k", "value").agg(F.avg("p").alias("p")).select("clip", F.concat(F.lit("music.h"), (F.col("k") % 2).cast("string")).alias("head"), "value", "p")
+    enc = F.when(F.col("k") < 5, "e1").otherwise("e2")
+    sounds = l.filter("grid = 'g3' or k >= 5").select("clip", enc.alias("encoder"), "row_id", F.when(F.col("k") < 5, "sound.event").otherwise("sound.place").alias("attr"), F.concat(F.lit("s"), (F.col("k") % 2).cast("string")).alias("value"), F.when(F.col("k") % 5 >= 2, F.concat(F.lit("l"), F.col("k").cast("string"))).otherwise("").alias("leaf"), "p")
+    rows = l.select("clip", "row_id", "grid", "t0", "t1").distinct()
+    windows = rows.filter("grid = 'g3'").withColumn("encoder", F.lit("e1")).unionByName(rows.withColumn("encoder", F.lit("e2"))).drop("grid")
     asked = l.select("clip", (F.col("clip") % 4 == 0).alias("asked")).distinct()
-    out = S.route_clips(gate, spark.createDataFrame(ATTRS, KINDS), scores, heads, props, sounds, asked, none_at=0.4, sound_at=0.55, top_at=0.45)
-    return _r(out, "p")
+    served = spark.createDataFrame(SERVED, "attr string, encoder string, tau double, context boolean")
+    return _r(S.route_clips(gate, spark.createDataFrame(ATTRS, KINDS), scores, heads, props, sounds, windows, served, asked, none_at=0.4, top_at=0.25), "p")
 
 
 # vectors -----------------------------------------------------------------------------------------

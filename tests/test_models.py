@@ -185,3 +185,32 @@ def test_registries(spark):
     got = G.annotate(spark.createDataFrame([("x:1",)], "row_id string"), "test-upper").first()
     assert (got.value, got.leaf, float(got.score), got.tool) == ("x:1", "", 0.1235, "test-upper")
     assert G.Domain("birds.kind", "sound", ("a", "none")).abstains and not G.Domain("birds.kind", "sound", ("a",)).abstains
+
+
+def test_loaded_heads_serve(spark, tmp_path):
+    """Heads are fitted, calibrated, saved and loaded; the loaded ones and their calibration drive the router's decisions on rows that the fit never saw."""
+    from pyspark.sql import functions as F
+
+    from canopy.operators import serve as S
+
+    r = np.random.default_rng(8)
+    base = r.normal(size=(6, 8)) * 2
+    x = [(i, (base[i % 6] + r.normal(size=8) * 0.5).tolist(), i % 6) for i in range(360)]
+    v = spark.createDataFrame(x, "vec_id long, embedding array<double>, label int")
+    gold = v.select("vec_id", F.lit("sound.kind").alias("attr"), F.concat(F.lit("c"), F.floor(F.col("label") / 2).cast("string")).alias("value"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("leaf"), F.lit(1.0).alias("y"))
+    train = v.filter("vec_id % 5 > 1")
+    bare = gold.withColumn("leaf", F.when(F.col("vec_id") % 10 == 0, "").otherwise(F.col("leaf")))
+    m = H.fitted(train, bare, 1e-3, "softmax", maxIter=60)
+    held = v.filter("vec_id % 5 = 0")
+    m = L.calibrated(m, L.calibrate(m.node_scores(held, "vec_id"), gold.join(held.select("vec_id"), "vec_id", "left_semi")))
+    m.write().save(str(tmp_path / "m"))
+    again = L.NodeHeadsModel.load(str(tmp_path / "m"))
+    cal = again.calibration[0]
+    assert cal["skill"] > 0.9 and cal["floor"] == 0.0 and cal["leaf_threshold"] < 1
+    rows = v.filter("vec_id % 5 = 1").select(F.col("vec_id").alias("clip"), F.col("vec_id").alias("row_id"), F.lit("g3").alias("grid"), F.lit("r").alias("router"), "embedding")
+    scores = again.node_scores(rows, "clip", "row_id", "grid", "router")
+    attrs = spark.createDataFrame([("sound.kind", "r", "g3", False, "clip", False, False, cal["temperature"], cal["floor"], 0.0, cal["leaf_threshold"])], "attr string, router string, grid string, multi boolean, scope string, many boolean, leaves boolean, temperature double, floor double, threshold double, leaf_threshold double")
+    got = S.decided(scores, attrs).collect()
+    assert len(got) == 72 and np.mean([g.value == f"c{g.clip % 6 // 2}" for g in got]) > 0.95
+    served = [g for g in got if g.leaf]
+    assert len(served) > 40 and np.mean([g.leaf == f"l{g.clip % 6}" for g in served]) > 0.9
