@@ -206,8 +206,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     reachable(spark)
     piece = [F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")]
     text = spark.read.schema("value string")
-    zipped = text.option("lineSep", SEPARATOR.decode()).option("pathGlobFilter", "*.gz").text(path).select(piece)
-    plain = text.option("wholetext", True).option("pathGlobFilter", "*[!z]").text(path).select(piece)
+    packed = F.endswith(F.col("_metadata.file_name"), F.lit(".gz"))  # decides when files are listed
+    zipped = text.option("lineSep", SEPARATOR.decode()).text(path).filter(packed).select(piece)
+    plain = text.option("wholetext", True).text(path).filter(~packed).select(piece)
     seen = stage(zipped.unionByName(plain).mapInArrow(_read, _SEEN), "warc-records")
     out = ["record_id", "record_type", "refers_to", "digest", "payload_bytes", "payload", "complete"]
     part = F.struct("number", F.col("payload").alias("block"))

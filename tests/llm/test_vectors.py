@@ -150,3 +150,19 @@ def test_codes_edges(spark):
     assert sorted(map(tuple, codes.vector_codes(rows_of(spark, only)).collect()), key=str) == brute_codes(only)
     with pytest.raises(ValueError, match="256"):
         codes.vector_codes(rows_of(spark, only), entries=257)
+
+
+def test_archives_by_any_name(spark, tmp_path):
+    """Plain archives whose names end in z, and compressed ones, are all read."""
+    import gzip
+
+    from canopy.llm import warc
+
+    warc.write_archives(spark.createDataFrame([(1, "u", "<p>one</p>")], "page_id long, url string, html string"), f"file://{tmp_path}/made")
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "made").iterdir()) if p.name.endswith(".gz"))
+    (tmp_path / "in").mkdir()
+    for name in ("part-a", "part-z", "part-gz", "x.warc"):
+        (tmp_path / "in" / name).write_bytes(raw)
+    (tmp_path / "in" / "packed.warc.gz").write_bytes(gzip.compress(raw))
+    got = warc.read_archives(spark, f"file://{tmp_path}/in").collect()
+    assert len(got) == 5 and {(r.record_type, bytes(r.payload), r.complete) for r in got} == {("response", b"<p>one</p>", True)}
