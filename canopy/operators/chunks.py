@@ -97,6 +97,25 @@ def event_window(first: Column, dur: Column, size: float, lead: float = 0.5) ->
     return F.greatest(F.lit(0.0), F.least(F.greatest(first - lead, F.lit(0.0)), dur - size))
 
 
+def hash_remainder(key: Column, n: int) -> Column:
+    """The whole MD5 of a key as a number, modulo n (below 2^31); null counts as an empty key."""
+    h = F.md5(F.coalesce(key, F.lit("")).cast("binary"))
+    r = F.lit(0).cast("long")
+    for i in range(4):  # eight hexadecimal digits at a time
+        r = (r * (2**32 % n) + F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")) % n
+    return r
+
+
+def held_out_fold(key: Column, folds: int = 5) -> Column:
+    """Whether a key falls in the fold that is held out, by its whole MD5."""
+    return hash_remainder(key, folds) == 0
+
+
+def validation_slice(clip: Column, share: float = 0.1, salt: str = "|val") -> Column:
+    """Whether a clip of the training side is kept for validation: thousandths of a salted MD5, independent of the split itself."""
+    return hash_bucket(F.concat(clip.cast("string"), F.lit(salt)), 1000) < F.lit(share) * 1000
+
+
 def hash_bucket(key: Column, modulus: int) -> Column:
     """The first eight hexadecimal digits of the key's MD5, modulo `modulus`."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % modulus

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,27 +92,112 @@ def generic_links(names: DataFrame, by: tuple[str, ...] = ("attr", "value"), key
     return p.groupBy(*by, "leaf").agg(F.min_by("generic", order).alias("generic"))
 
 
-def rule_folds(names: DataFrame, filler: list[str], by: tuple[str, ...] = ("attr", "value"), identity: Column | None = None, links: DataFrame | None = None, key: Column | None = None) -> DataFrame:
+def rule_folds(names: DataFrame, filler: list[str], by: tuple[str, ...] = ("attr", "value"), identity: Column | None = None, links: DataFrame | None = None, key: Column | None = None, done: DataFrame | None = None) -> DataFrame:
     """by, leaf, into: a leaf that is a sibling plus one word folds into it, by its first such word, where the guards of may_merge allow it; where `identity` holds (by default everywhere) only if the
     word is a filler. Elsewhere a linked specific (links: by, leaf, generic) folds into its generic. Chains end at their last name. names: by, leaf; words are those of `key`, by default as written.
+
+    With a key, whose words are stems, fillers count by their stems, and the guards judge the keys. done (by, leaf, to_leaf): leaves that groups have merged already; they neither fold nor take folds in, and chains run on through them.
     """
     from .graph import resolve_chains
 
     identity = F.lit(True) if identity is None else identity
-    k = F.array_distinct(F.split(F.col("leaf") if key is None else key, " "))
-    w = names.select(*by, "leaf", k.alias("w")).withColumn("bag", F.array_join(F.array_sort("w"), " "))
+    named = F.col("leaf") if key is None else key
+    fillers = F.array(*[F.lit(f) if key is None else X.stem(F.lit(f)) for f in filler])
+    free = names if done is None else names.join(done.select(*by, "leaf").distinct().hint("merge"), [*by, "leaf"], "left_anti")
+    w = free.select(*by, "leaf", named.alias("k"), F.array_distinct(F.split(named, " ")).alias("w")).withColumn("bag", F.array_join(F.array_sort("w"), " "))
     cut_ = F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.array_join(F.array_sort(F.array_remove("w", x)), " ").alias("bag")))
-    less = w.filter(F.size("w") > 1).select(*by, "leaf", F.inline(cut_)).filter(~identity | F.col("x").isin(filler))
-    p = less.join(w.select(*by, F.col("leaf").alias("into"), "bag").hint("merge"), [*by, "bag"]).filter((F.col("leaf") != F.col("into")) & X.may_merge(F.col("leaf"), F.col("into")).isNull())
+    less = w.filter(F.size("w") > 1).select(*by, "leaf", "k", F.inline(cut_)).filter(~identity | F.array_contains(fillers, F.col("x")))
+    into = w.select(*by, F.col("leaf").alias("into"), F.col("k").alias("k2"), "bag")
+    judged = (F.col("leaf"), F.col("into")) if key is None else (X.guard_normalise(F.col("k")), X.guard_normalise(F.col("k2")))
+    p = less.join(into.hint("merge"), [*by, "bag"]).filter((F.col("leaf") != F.col("into")) & X.may_merge(*judged).isNull())
     f = p.groupBy(*by, "leaf").agg(F.min_by("into", F.struct("i", "into")).alias("into"))
     if links is not None:
         more = links.filter(~identity).groupBy(*by, "leaf").agg(F.min("generic").alias("into"))
+        more = more if done is None else more.join(done.select(*by, "leaf").distinct().hint("merge"), [*by, "leaf"], "left_anti")
         f = f.unionByName(more.join(f.select(*by, "leaf").hint("merge"), [*by, "leaf"], "left_anti"))
     f = cut(f)
     name = lambda c: F.to_json(F.struct(*by, F.col(c).alias("leaf")))
-    end = resolve_chains(f.select(name("leaf").alias("name"), name("into").alias("to")))
+    chain = f if done is None else f.unionByName(done.select(*by, "leaf", F.col("to_leaf").alias("into")).distinct())
+    end = resolve_chains(chain.select(name("leaf").alias("name"), name("into").alias("to")))
     shape = ", ".join(f"{b} {dict(names.dtypes)[b]}" for b in by) + ", leaf string"
-    return end.select(F.from_json("name", shape).alias("n"), F.from_json("target", shape).alias("t")).select("n.*", F.col("t.leaf").alias("into"))
+    out = end.select(F.from_json("name", shape).alias("n"), F.from_json("target", shape).alias("t")).select("n.*", F.col("t.leaf").alias("into"))
+    return out if done is None else out.join(f.select(*by, "leaf").hint("merge"), [*by, "leaf"], "left_semi")
+
+
+#: What a name that a model wrote is taken for.
+_SAID = r"^[ .]+|[ .]+$"
+_PROPOSED = ["attr", "value", "group_id"]
+
+
+def _settled(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The groups of one class in order of their clips: each takes the members that no earlier one took, and stands if its name and another member are left."""
+    taken: set[str] = set()
+    out = []
+    for _, g in rows.sort_values(["clips_all", "group_id", "leaf"], ascending=[False, True, True]).groupby("group_id", sort=False):
+        left = g[~g["leaf"].isin(taken)]
+        if len(left) >= 2 and (left["leaf"] == left["name"]).any():
+            taken |= set(left["leaf"])
+            out.append(left)
+    cols = [*_PROPOSED, "name", "leaf"]
+    return pd.concat(out)[cols] if out else rows.iloc[:0][cols]
+
+
+def checked_proposals(groups: DataFrame, generic: DataFrame, misplaced: DataFrame, names: DataFrame, values: DataFrame, key, shares, identity: list[str], axes: list | None = None) -> dict[str, DataFrame]:
+    """What a model proposed for the leaves of classes, after the checks: `groups` (attr, value, group_id, name, leaf), `generic` (attr, value, generic, leaf), `moved` (attr, value, leaf, to), `dropped` (attr, value, leaf).
+
+    groups: attr, value, group_id, name, members; generic: attr, value, generic, specifics; misplaced: attr, value, leaf, move_to; names: attr, value, leaf, clips, admitted (one row a leaf); values: attr, value.
+    key(leaf): the column that guards judge; shares(a, b): whether two names share a source, asked for the attributes of `identity`.
+
+    Names are known apart from case and dots. A group needs two known members; its name is one of them, else the best one (admitted first, then by clips, then name). Members stay that may be one with the name and share its
+    source; nodes of generic links go, but the name. Of groups of a class that hold a leaf, the one with more clips (then the smaller id) keeps it. A misplaced leaf is dropped on `drop`, moved to another
+    known value of its attribute, else left alone.
+    """
+    said = lambda c: F.regexp_replace(F.lower(F.trim(c)), _SAID, "")
+    known = names.select("attr", "value", F.lower("leaf").alias("_low"), "leaf", "clips", "admitted")
+
+    def find(df: DataFrame, said_col: Column, to: str) -> DataFrame:
+        """df with the known leaf `to` that a column names; rows without one have null."""
+        k = known.select("attr", "value", F.col("_low").alias("_said"), F.col("leaf").alias(to))
+        return df.withColumn("_said", said(said_col)).join(k.hint("merge"), ["attr", "value", "_said"], "left").drop("_said")
+
+    # generic links
+    g = find(generic.select("attr", "value", "generic", F.explode_outer("specifics").alias("_s")), F.col("generic"), "_g")
+    g = find(g, F.col("_s"), "leaf").filter(F.col("_g").isNotNull() & F.col("leaf").isNotNull() & (F.col("leaf") != F.col("_g")))
+    links = cut(g.select("attr", "value", F.col("_g").alias("generic"), "leaf").distinct())
+    # groups: known members, then the name among them
+    m = find(groups.select(*_PROPOSED, "name", F.explode("members").alias("_m")), F.col("_m"), "leaf").filter("leaf is not null")
+    m = find(m.select(*_PROPOSED, F.col("name").alias("_n"), "leaf").distinct(), F.col("_n"), "_named").drop("_n")
+    m = m.join(known.select("attr", "value", "leaf", "clips", "admitted").hint("merge"), ["attr", "value", "leaf"])
+    of = W.partitionBy(*_PROPOSED)
+    best = F.first("leaf").over(of.orderBy(F.desc("admitted"), F.desc("clips"), "leaf").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    m = m.withColumns({"_size": F.count("*").over(of), "_in": F.max((F.col("leaf") == F.col("_named")).cast("int")).over(of), "_best": best}).filter("_size >= 2")
+    m = m.withColumn("name", F.when(F.col("_in") == 1, F.col("_named")).otherwise(F.col("_best")))
+    why = X.may_merge(X.guard_normalise(key(F.col("leaf"))), X.guard_normalise(key(F.col("name"))), X.AXES if axes is None else axes)
+    fits = why.isNull() & (~F.col("attr").isin(identity) | shares(F.col("leaf"), F.col("name")))
+    m = m.filter((F.col("leaf") == F.col("name")) | fits).select(*_PROPOSED, "name", "leaf", "clips")
+    m = m.withColumns({"_n": F.count("*").over(of), "clips_all": F.sum("clips").over(of)}).filter("_n >= 2")
+    nodes = links.select("attr", "value", "leaf").unionByName(links.select("attr", "value", F.col("generic").alias("leaf"))).distinct().withColumn("_link", F.lit(True))
+    m = m.join(nodes.hint("merge"), ["attr", "value", "leaf"], "left").filter(F.col("_link").isNull() | (F.col("leaf") == F.col("name")))
+    m = m.withColumn("_n", F.count("*").over(of)).filter("_n >= 2").select(*_PROPOSED, "name", "leaf", "clips_all")
+    kind = dict(groups.dtypes)["group_id"]
+    kept = m.groupBy("attr", "value").applyInPandas(_settled, f"attr string, value string, group_id {kind}, name string, leaf string")  # what a model said of one class
+    # leaves in a wrong place
+    x = find(misplaced.select("attr", "value", F.col("leaf").alias("_l"), F.lower(F.trim("move_to")).alias("to")), F.col("_l"), "leaf").filter("leaf is not null")
+    there = values.select("attr", F.col("value").alias("to")).distinct()
+    moved = x.filter((F.col("to") != "drop") & (F.col("to") != F.col("value"))).join(there.hint("merge"), ["attr", "to"], "left_semi").select("attr", "value", "leaf", "to").distinct()
+    return {"groups": kept, "generic": links, "moved": moved, "dropped": x.filter("to = 'drop'").select("attr", "value", "leaf").distinct()}
+
+
+def cleaning_table(checked: dict[str, DataFrame], separation: DataFrame, judged: list[str], identity: list[str], folds, pruned: list[str]) -> DataFrame:
+    """kind, attr, value, leaf, to: what the tree applies. `canon`: members of groups to the group's name, unless the vectors speak against it (separation: attr, value, group_id, separation; attributes of `judged` need a positive one, others
+    go by the checks), and the folds; `generic`: links of identity attributes; `pruned`: attributes that go. folds(done): rule_folds with the leaves that groups merged."""
+    g = checked["groups"].filter("leaf != name").join(separation.hint("merge"), _PROPOSED, "left")
+    g = cut(g.filter(~F.col("attr").isin(judged) | F.coalesce(F.col("separation") > 0, F.lit(False))).groupBy("attr", "value", "leaf").agg(F.min("name").alias("to_leaf")))
+    f = folds(g)
+    row = lambda df, kind, to: df.select(F.lit(kind).alias("kind"), "attr", "value", "leaf", F.col(to).alias("to"))
+    out = row(g, "canon", "to_leaf").unionByName(row(f, "canon", "into")).unionByName(row(checked["generic"].filter(F.col("attr").isin(identity)), "generic", "generic"))
+    gone = g.sparkSession.createDataFrame([("pruned", a, None, None, None) for a in pruned], "kind string, attr string, value string, leaf string, to string")
+    return out.unionByName(gone)
 
 
 def proposal_guards(groups: DataFrame, names: DataFrame, why: Column, by: tuple[str, ...] = (), links: DataFrame | None = None) -> DataFrame:

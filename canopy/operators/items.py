@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import aspects as A
 from ..functions import text as X
 from ..workers import attach
 
@@ -76,9 +77,13 @@ def form_labels(valid: DataFrame) -> DataFrame:
     return valid.filter("status = 'ok'").select("form_id", "attr", F.inline(every))
 
 
-def form_filter(forms: DataFrame, least: int, drop: str = "$^") -> DataFrame:
-    """The latest form of each key, without those that match `drop`, of classes with at least `least` forms. forms: key, ord, cls, text."""
-    last = forms.groupBy("key").agg(F.max_by(F.struct("cls", "text"), "ord").alias("f")).select("key", "f.*").filter(~F.col("text").rlike(drop))
+#: Answers that are never classes of a music form. Fixed values.
+NEVER = ["unclear", "unsure", "not music"]
+
+
+def form_filter(forms: DataFrame, least: int, drop: str = "$^", never: list[str] = NEVER) -> DataFrame:
+    """The latest form of each key, without those that match `drop` or answer one of `never`, of classes with at least `least` forms. forms: key, ord, cls, text."""
+    last = forms.groupBy("key").agg(F.max_by(F.struct("cls", "text"), "ord").alias("f")).select("key", "f.*").filter(~F.col("text").rlike(drop) & ~F.lower(F.trim("cls")).isin(never))
     return last.withColumn("_n", F.count("*").over(W.partitionBy("cls"))).filter(F.col("_n") >= least).drop("_n")
 
 
@@ -213,6 +218,40 @@ def aspect_rules(aspects: DataFrame, rules: list[tuple[str, str, str, str]]) ->
     return hit.withColumn("_r", r).filter((F.col("mode") == "all") | (F.col("_r") == 1)).select("id", "attr", "cls")
 
 
+def music_labels(aspects: DataFrame) -> DataFrame:
+    """id, attr, cls: the labels that a clip's free-text aspects give it, by the rules of `functions.aspects`. aspects: id, ord, aspect; a clip's aspects are gathered, a short list each.
+
+    instrument and vocal style: every class that is named. vocals: rap, choir, mixed, male, female, in this order, else none where it is said and no voice is. mood: the class of most aspects that don't speak of a
+    voice, ties to the earliest. production and fidelity: the first rule that matches; without either, the recording is clean.
+    """
+    g = aspects.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.trim(F.lower("aspect")).alias("a")))), lambda x: x["a"]).alias("a"))
+    g = g.withColumn("all", F.array_join("a", " | "))
+    says = lambda words: lambda x: x.rlike(A.words(*words))
+    voiced = F.filter("a", lambda x: (~F.startswith(x, F.lit("no ")) & x.rlike(A.VOICE)) | x.rlike(A.words("rap", "rapping", "choir", "choral")))
+    g = g.withColumn("v", voiced)
+    any_ = lambda col, *words: F.exists(col, says(words))
+    named = lambda rules: F.array_compact(F.array(*[F.when(F.col("all").rlike(A.words(*ws)), c) for c, ws in rules]))
+    male, female = any_("v", "male", "man", "men", "boy", "boys"), any_("v", "female", "woman", "women", "girl", "girls")
+    duet = F.exists("a", lambda x: F.contains(x, F.lit("duet")))
+    vocals = (
+        F.when(any_("v", "rap", "rapping", "rapper"), "rap vocals").when(any_("v", "choir", "choral"), "choir").when((male & female) | duet, "mixed vocals").when(male, "male vocals").when(female, "female vocals")
+        .when((F.size("v") == 0) & F.arrays_overlap("a", F.array(*[F.lit(x) for x in A.NO_VOCALS])), "no vocals")
+    )
+    mood_of = lambda x: F.array_compact(F.array(*[F.when(x.rlike(A.words(*ws)), c) for c, ws in A.MOOD]))
+    moods = F.flatten(F.transform("a", lambda x: F.when(x.rlike(A.VOICE_ANYWHERE), F.array().cast("array<string>")).otherwise(mood_of(x))))
+    count = lambda m: F.size(F.filter("_moods", lambda y: y == m))
+    ranked = F.array_sort(F.transform(F.array_distinct("_moods"), lambda m: F.struct((-count(m)).alias("n"), F.array_position("_first", m).alias("at"), m.alias("m"))))
+    g = g.withColumn("_moods", moods).withColumn("_first", F.col("_moods"))
+    production = F.get(named(A.PRODUCTION), F.lit(0))
+    fidelity = F.coalesce(F.get(named(A.FIDELITY), F.lit(0)), F.when(production.isNull(), F.lit("clean recording")))
+    style = F.array_compact(F.array(*[F.when(F.exists("v", says(ws)), c) for c, ws in A.VOCAL_STYLE]))
+    one = lambda c: F.array_compact(F.array(c))
+    labels = {"music.instrument": named(A.INSTRUMENT), "music.vocals": one(vocals), "music.mood": one(F.get(ranked, F.lit(0))["m"]), "music.production": one(production), "music.fidelity": one(fidelity), "music.vocal_style": style}
+    of = lambda attr: lambda c: F.struct(F.lit(attr).alias("attr"), c.alias("cls"))
+    rows = F.flatten(F.array(*[F.transform(cs, of(attr)) for attr, cs in labels.items()]))
+    return g.select("id", F.inline(rows))
+
+
 def align_external(by_id: DataFrame, by_category: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """item, value, leaf of two labelled corpora: by class name to the leaf's node, by category to the class. by_id: item, name; by_category: item, category; nodes: name, value, leaf; classes: category, value."""
     a = by_id.join(nodes.hint("merge"), "name").select("item", "value", "leaf")

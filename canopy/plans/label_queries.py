@@ -59,6 +59,16 @@ def hash_split(clips):
     return clips.select("clip", C.hash_split(F.col("clip")).alias("split"))
 
 
+PIECE = "cast(concat('0x', substr(md5(coalesce({c}, '')), {i}, 8)) as bigint)"
+WHOLE = "(((({0} % 5) * 4294967296 + {1}) % 5 * 4294967296 + {2}) % 5 * 4294967296 + {3}) % 5"
+
+
+@query("split_variants", "clips", sql=f"select clip, {WHOLE.format(*[PIECE.format(c='source', i=8 * i + 1) for i in range(4)])} = 0 held, cast(concat('0x', substr(md5(clip || '|val'), 1, 8)) as bigint) % 1000 < 100 val from clips")
+def split_variants(clips):
+    """A fold by the whole MD5 of a clip's source, and a validation slice by a salted one."""
+    return clips.select("clip", C.held_out_fold(F.col("source")).alias("held"), C.validation_slice(F.col("clip")).alias("val"))
+
+
 @query("audible_rows", "spans", sql="select span_id, t0, t1 from spans where t1 - t0 >= 1.0")
 def audible_rows(spans):
     return C.audible(spans, 1.0).select("span_id", "t0", "t1")
