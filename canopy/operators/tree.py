@@ -192,30 +192,86 @@ def admit_nodes(
     return s.withColumn("refused", why.when(F.col("clips") < min_clips, "seen on one clip").when(one_source, "seen in one source")).select(*nodes, "refused")
 
 
+def tree_key(extra: dict[str, list[str]] | None = None) -> Column:
+    """The norm_key of `leaf`, with further filler words for some attributes."""
+    leaf, out = F.col("leaf"), None
+    for attr, ws in (extra or {}).items():
+        own = X.norm_key(leaf, extra=tuple(ws))
+        out = F.when(F.col("attr") == attr, own) if out is None else out.when(F.col("attr") == attr, own)
+    return X.norm_key(leaf) if out is None else out.otherwise(X.norm_key(leaf))
+
+
+def merge_by_meaning(canon: DataFrame, leaves: DataFrame, vectors: DataFrame, k: Column, apart: list[str], near: float, sure: float) -> tuple[DataFrame, DataFrame]:
+    """(canon, links): canonical leaves merged further where their vectors and the guards agree, and each specific's closest generic at cosine `near`. Attributes of `apart` are neither merged nor linked.
+
+    canon: attr, value, leaf, canon; leaves: attr, value, leaf, clips; vectors: name, x (unit vectors; a leaf without one is left alone).
+    """
+    from .entity import generic_links, synonym_merge
+    from .vectors import pairs_within
+
+    by = ["attr", "value"]
+    heads = canon.filter("leaf = canon").select(*by, F.col("leaf").alias("name")).join(leaves.select(*by, F.col("leaf").alias("name"), F.col("clips").alias("support")).hint("merge"), [*by, "name"])
+    named = cut(heads.filter(~F.col("attr").isin(apart)).join(vectors.select("name", "x").hint("merge"), "name").select(*by, "name", "support", "x"))
+    merged = cut(synonym_merge(named, tuple(by), near, sure))
+    out = canon.join(merged.select(*by, F.col("name").alias("canon"), "head").hint("merge"), [*by, "canon"], "left").select(*by, "leaf", F.coalesce("head", "canon").alias("canon"))
+    kept = named.join(merged.filter("name = head").select(*by, "name").hint("merge"), [*by, "name"], "left_semi")
+    p = pairs_within(kept.select(*by, F.col("name").alias("id"), "x"), tuple(by), near)
+    both = p.select(*by, F.col("a").alias("leaf"), F.col("b").alias("generic"), "cos").unionByName(p.select(*by, F.col("b").alias("leaf"), F.col("a").alias("generic"), "cos"))
+    return out, generic_links(kept.select(*by, F.col("name").alias("leaf")), tuple(by), key=k, cosines=cut(both), least=near)
+
+
+def checked_tree(nodes: DataFrame, min_clips: int) -> None:
+    """Raises unless every admitted node has clips, no admitted leaf has a digit or too few clips, and each leaf of an attribute has one class. nodes: attr, value, leaf, clips."""
+    leaf = nodes.filter("leaf != ''")
+    bad = nodes.agg(F.count_if(F.coalesce("clips", F.lit(0)) <= 0).alias("nodes without clips"), F.count_if((F.col("leaf") != "") & F.col("leaf").rlike("[0-9]")).alias("leaves with a digit"), F.count_if((F.col("leaf") != "") & (F.col("clips") < min_clips)).alias("leaves with too few clips"))
+    twice = leaf.groupBy("attr", "leaf").agg(F.countDistinct("value").alias("n")).filter("n > 1").agg(F.count("*").alias("leaves under several classes"))
+    found = [f"{n} {what}" for what, n in {**bad.first().asDict(), **twice.first().asDict()}.items() if n]
+    if found:
+        raise ValueError(f"the tree breaks its rules: {', '.join(found)}")
+
+
 def build_tree(
     labels: DataFrame, floor: float, multi: DataFrame, region: Column, identity: list[str], *, names: dict[str, str] | None = None, ancestors: DataFrame | None = None, pruned: list[str] | None = None, vocab: DataFrame | None = None,
-    role: str | None = None, annotator: str = "annotator", expert: str = "expert", **admission,
+    role: str | None = None, annotator: str = "annotator", expert: str = "expert", experts: dict[str, tuple[str, float]] | None = None, extra: dict[str, list[str]] | None = None, vectors: DataFrame | None = None,
+    apart: list[str] | None = None, near: float = 0.8, sure: float = 0.93, table: DataFrame | None = None, check: bool = True, **admission,
 ) -> dict[str, DataFrame]:
     """The chain vote, alias, move, re-parent, merge, link, admit over labels (row_id, clip, source, attr, value, leaf, tool, score, seq).
 
     nodes (attr, value, leaf, clips, sources, chunks, forms, parent: the nearest admitted generic), refused (with the reason), members (node, row_id), canon (attr, value, leaf, canon), links (attr, value,
     leaf, generic), labels (row_id, attr, value, leaf: see clean_labels), aliases, moves. Leaves are one where their norm_key is. Experts' leaves are renamed by `names`, then by what the annotator says of the same row (cofire_aliases). A node's rows
     count for every generic above it. Intermediate tables are written to the shared folder.
+
+    experts: the expert's tool and floor of an attribute, where it isn't `expert` and `floor`. extra: further filler words of an attribute. vectors (name, x): leaves are merged and linked by meaning (merge_by_meaning, but for
+    attributes of `apart`); without them by words alone. table (kind, attr, value, leaf, to): what cleaning found, matched by key: `pruned` attributes go, `dropped` leaves fall back to their class, `moved` ones change it,
+    `canon` composes on the merges and `generic` adds links where there is none. check: raise where the result breaks the tree's rules (checked_tree).
     """
     from .entity import generic_links, light_canon
     from .graph import closure
     from .labels import vote_multi, vote_single
 
-    key, k = ("row_id", "attr"), X.norm_key(F.col("leaf"))
+    key, k = ("row_id", "attr"), tree_key(extra)
+    if experts:
+        own = lambda i: F.create_map(*[F.lit(x) for a, v in experts.items() for x in (a, v[i])])[F.col("attr")]
+        floor, who = F.coalesce(own(1), F.lit(floor)), F.coalesce(own(0), F.lit(expert))
+    else:
+        who = F.lit(expert)
+    found = {kind: cut(table.filter(F.col("kind") == kind).select("attr", "value", tree_key(extra).alias("_key"), "to").distinct()) for kind in ("dropped", "moved", "canon", "generic")} if table is not None else {}
     many = multi.filter("multi").select("attr").distinct()  # the schema's attributes
-    one = vote_single(labels.join(F.broadcast(many), "attr", "left_anti"), floor, key, expert, annotator).select(*key, "value", "leaf", "tools")
-    voted = one.unionByName(vote_multi(labels.join(F.broadcast(many), "attr", "left_semi"), floor, key, expert))
+    one = vote_single(labels.join(F.broadcast(many), "attr", "left_anti"), floor, key, who, annotator).select(*key, "value", "leaf", "tools")
+    voted = one.unionByName(vote_multi(labels.join(F.broadcast(many), "attr", "left_semi"), floor, key, who))
+    if table is not None:
+        voted = voted.join(F.broadcast(table.filter("kind = 'pruned'").select("attr").distinct()), "attr", "left_anti")  # attributes of the schema
     if pruned:
         voted = voted.filter(~F.col("attr").isin(pruned))
     if names:
         voted = static_alias(voted, names, ~F.array_contains("tools", annotator))
-    aliases = cut(cofire_aliases(labels.join(F.broadcast(many), "attr", "left_semi").select("row_id", "attr", "value", "leaf", "tool"), ancestors, expert, annotator, ("row_id", "attr", "value")))
+    aliases = cut(cofire_aliases(labels.join(F.broadcast(many), "attr", "left_semi").select("row_id", "attr", "value", "leaf", "tool"), ancestors, who, annotator, ("row_id", "attr", "value")))
     voted = voted.join(aliases.hint("merge"), ["attr", "value", "leaf"], "left").withColumn("leaf", F.coalesce("alias", "leaf")).drop("alias")
+    if found:
+        at = ["attr", "value", "_key"]
+        voted = voted.withColumn("_key", F.when(F.col("leaf") != "", k))
+        voted = voted.join(found["dropped"].select(*at, F.lit(True).alias("_drop")).hint("merge"), at, "left").join(found["moved"].select(*at, F.col("to").alias("_to")).hint("merge"), at, "left")
+        voted = voted.withColumns({"leaf": F.when(F.col("_drop"), "").otherwise(F.col("leaf")), "value": F.when(F.col("_drop"), F.col("value")).otherwise(F.coalesce("_to", "value"))}).drop("_key", "_drop", "_to")
     of = labels.groupBy("row_id").agg(F.min("clip").alias("clip"), F.min("source").alias("source"))
     voted = cut(voted.groupBy(*key, "value", "leaf").agg(F.array_distinct(F.flatten(F.collect_set("tools"))).alias("tools")).join(of.hint("merge"), "row_id"))
     moves = cut(plan_moves(voted, region, identity, k, vocab, role))
@@ -225,7 +281,20 @@ def build_tree(
     # merge forms of one name, link specifics to generics
     leaves = placed.filter("leaf != ''").groupBy("attr", "value", "leaf").agg(F.countDistinct("clip").alias("clips"))
     canon = cut(light_canon(leaves, k))
-    links = cut(generic_links(canon.select("attr", "value", F.col("canon").alias("leaf")).distinct(), key=k))
+    if vectors is not None:
+        canon, links = (cut(x) for x in merge_by_meaning(canon, cut(leaves), vectors, k, apart or [], near, sure))
+    else:
+        links = cut(generic_links(canon.select("attr", "value", F.col("canon").alias("leaf")).distinct(), key=k))
+    if found:
+        at = ["attr", "value", "_key"]
+        to = lambda df, name: found["canon"].select(*at, F.col("to").alias(name)).hint("merge")
+        keyed = lambda df, col: df.join(df.select("attr", "value", F.col(col).alias("leaf")).distinct().withColumn("_key", k).withColumnRenamed("leaf", col).hint("merge"), ["attr", "value", col])
+        c = keyed(canon, "canon").join(to(canon, "_far"), at, "left").drop("_key").withColumn("_key", k).join(to(canon, "_own"), at, "left")
+        canon = cut(c.select("attr", "value", "leaf", F.coalesce("_far", "_own", "canon").alias("canon")))
+        left = canon.select("attr", "value", F.col("canon").alias("leaf")).distinct()
+        more = left.withColumn("_key", k).join(found["generic"].hint("merge"), at).filter("leaf != to").select("attr", "value", "leaf", F.col("to").alias("generic"))
+        kept = links.join(left.hint("merge"), ["attr", "value", "leaf"], "left_semi")
+        links = cut(kept.unionByName(more.join(kept.select("attr", "value", "leaf").hint("merge"), ["attr", "value", "leaf"], "left_anti")))
     own = placed.join(canon.hint("merge"), ["attr", "value", "leaf"], "left").select("attr", "value", F.coalesce("canon", F.lit("")).alias("leaf"), "row_id", "clip", "source", "tools")
     name = lambda leaf: F.to_json(F.struct("attr", "value", F.col(leaf).alias("leaf")))
     up = closure(links.select(name("leaf").alias("child"), name("generic").alias("parent")))
@@ -238,6 +307,8 @@ def build_tree(
     support = support.join(marks.hint("merge"), ["attr", "value", "leaf"], "left").join(forms.hint("merge"), ["attr", "value", "leaf"], "left")
     nodes = cut(admit_nodes(support, expert_only=~F.coalesce("_an", F.lit(False)), region=region, identity=identity, role=role, vocab=vocab, **admission))
     good = nodes.filter("refused is null")
+    if check:
+        checked_tree(good, admission.get("min_clips", 2))
     parent = up.join(good.select("attr", "value", F.col("leaf").alias("up")).hint("merge"), ["attr", "value", "up"], "left_semi").groupBy("attr", "value", "leaf").agg(F.min_by("up", F.struct("depth", "up")).alias("parent"))
     shape = ["attr", "value", "leaf", "clips", "sources", "chunks", F.coalesce("forms", F.array().cast("array<string>")).alias("forms")]
     return {
