@@ -140,17 +140,22 @@ def vocabulary(nodes: DataFrame) -> DataFrame:
 def vocabulary_match(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     """id, place, name: where names of a vocabulary stand in a text as whole words, read from the left, the longest first; matches don't overlap. place: the number of its first piece. texts: id, text; vocab: name, and what passes through.
 
-    The plain text is cut at its spaces; runs of as many pieces as names have are joined to the names, so work grows with the text and not with the vocabulary. Of the matches, islands that touch are settled
-    one by one. The vocabulary is broadcast where a count proves it small.
+    The plain text is cut at its spaces; where a piece begins a name, runs of as many pieces as such names have are joined to the names, so work grows with the text and not with the vocabulary. Of the matches, islands that
+    touch are settled one by one. The vocabulary, and the first pieces of its names, are broadcast where a count proves them small.
     """
-    v = vocab.select("name").distinct().withColumn("m", F.size(F.split("name", " ")))
-    sizes = sorted(r["m"] for r in v.select("m").distinct().collect())  # lengths of names, a handful
-    if not sizes:
+    v = vocab.select("name").distinct()
+    # the first piece of a name, and how many pieces names that begin with it have
+    first = v.select(F.split_part("name", F.lit(" "), F.lit(1)).alias("w"), F.size(F.split("name", " ")).alias("m")).groupBy("w").agg(F.sort_array(F.collect_set("m")).alias("ms"))
+    longest = v.agg(F.max(F.size(F.split("name", " ")))).first()[0]
+    if longest is None:
         return texts.select("id", F.lit(0).alias("place"), F.lit("").alias("name")).limit(0)
     p = texts.select("id", F.split(plain(F.col("text")), " ").alias("p"))
-    run = lambda i, m: F.when((i + m <= F.size("p") + 1) & (F.get("p", i - 1) != "") & (F.get("p", i + (m - 2)) != ""), F.struct(i.alias("place"), F.lit(m).alias("m"), F.array_join(F.slice("p", i, m), " ").alias("name")))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_compact(F.array(*[run(i, m) for m in sizes]))))
-    hit = attach(p.select("id", F.inline(runs)), v.select("name"), ["name"], "left_semi")
+    # each place with the few pieces that a name there can have: rows don't carry the text
+    at = p.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.slice("p", i, longest))).alias("i", "s")).filter(F.col("s")[0] != "")
+    at = attach(at.withColumn("w", F.col("s")[0]), first, ["w"], "inner")
+    fits = F.filter("ms", lambda m: (m <= F.size("s")) & (F.get("s", m - 1) != ""))
+    runs = F.transform(fits, lambda m: F.struct((F.col("i") + 1).alias("place"), m.alias("m"), F.array_join(F.slice("s", 1, m), " ").alias("name")))
+    hit = attach(at.select("id", F.inline(runs)), v, ["name"], "left_semi")
     # the longest at each place, then islands of matches that touch
     hit = hit.groupBy("id", "place").agg(F.max_by(F.struct("m", "name"), "m").alias("b")).select("id", "place", "b.m", "b.name")
     w = W.partitionBy("id").orderBy("place")

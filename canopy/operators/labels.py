@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -178,8 +180,19 @@ def observed_write(df: DataFrame, path: str, checks: list[tuple[str, Column, str
     """
     spark, seen = df.sparkSession, Observation()
     draft, rejected = f"{path}-draft", f"{path}-rejected"
-    df.observe(seen, *[m.cast("double").alias(f"m{i}") for i, (_, m, _, _) in enumerate(checks)]).write.mode("overwrite").parquet(draft)
-    got, rows = seen.get, []
+    # in a session of its own: one that has observed anything can't be part of a fitted classifier any more, and those hold their session
+    view, apart = f"gated_{uuid.uuid4().hex}", spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            apart.conf.set(k, v)
+    df.createGlobalTempView(view)
+    try:
+        rows = apart.table(f"global_temp.{view}")
+        rows.observe(seen, *[m.cast("double").alias(f"m{i}") for i, (_, m, _, _) in enumerate(checks)]).write.mode("overwrite").parquet(draft)
+        got = seen.get
+    finally:
+        spark.catalog.dropGlobalTempView(view)
+    rows = []
     for i, (name, _, op, limit) in enumerate(checks):
         m = got[f"m{i}"]
         rows.append((name, m, float(limit), m is not None and {">=": m >= limit, "<=": m <= limit, "=": m == limit}[op]))

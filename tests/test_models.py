@@ -149,6 +149,18 @@ def test_gates_on_the_write(spark, tmp_path):
     assert spark.read.parquet(at).count() == 10 and spark.read.parquet(f"{at}-rejected").count() == 3 and (tmp_path / "table-rejected" / "_FAILED").exists() and not (tmp_path / "table-draft").exists()
 
 
+def test_gates_leave_the_session_as_it_was(spark, tmp_path):
+    """Classifiers that are fitted after a gated write can still be applied."""
+    from pyspark.sql import functions as F
+
+    from canopy.operators.labels import observed_write
+
+    observed_write(spark.range(10), f"file://{tmp_path}/t", [("rows", F.count(F.lit(1)), ">=", 5)])
+    r = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, (r.normal(size=4) + i % 2 * 3).tolist(), i % 2) for i in range(40)], "vec_id long, embedding array<double>, label int")
+    assert H.vector_head(v, "label", F.col("vec_id") % 5 == 0).count() == 40
+
+
 def test_shards_newer_than_a_mark(spark, tmp_path):
     import os
 
