@@ -6,8 +6,9 @@
 3. In each list every class is compared with the list's hub, its least id: as many pairs as list entries, however long the list is. The sketch of the union estimates the similarity and
    drops most pairs; the full sets give the exact one.
 4. Hubs and what resembles them at least at `cloud` form clouds; by the triangle inequality of the Jaccard distance a link between two classes of which one is linked to the hub lies inside its cloud.
-   Clouds that the links found so far leave in parts are compared in blocks, the members outside the largest part against all. Lists' members in different clouds are compared by size band:
-   pairs of rows in short lists, in blocks of sketches in others, which only survivors leave.
+   Clouds that the links found so far leave in parts get lists of their own, of the exact prefix of full sets, values that are rare in the cloud first, so that pages which share a template alone
+   meet in none. Lists' members in different clouds or different parts are compared by size band: pairs of rows in short lists, in blocks in others (of sketches between clouds, of full sets
+   inside one, each pair of blocks once), which only survivors leave.
 5. Connected components over all verified links.
 """
 
@@ -28,6 +29,8 @@ from .textstats import mixed, windows, word_hashes
 K, OVERLAP, CLOUD = 96, 0.62, 0.5
 #: Members in a block at most on average, and bytes of their full sets; values in one matrix; members of a list that are paired as rows.
 BLOCK, BLOCK_BYTES, COLUMNS, SHORT = 256, 1 << 20, 1 << 14, 16
+#: Members of a cloud that tell which of its values are frequent, their largest sets, and how many frequent values are told apart; shares of a hot key.
+SAMPLE, SAMPLE_N, COMMON, SALTS = 16, 20_000, 4096, 8
 
 
 def fingerprints(text: str | None, width: int) -> np.ndarray:
@@ -207,11 +210,92 @@ def _compared(q: DataFrame, x: DataFrame, on: list[str], steps: tuple[int, ...],
     return stage(pairs.mapInArrow(run, "a long, b long, sure boolean"), "dedup-compared", rows=64)
 
 
+def _salted(big: DataFrame, small: DataFrame, on: str, by: str) -> DataFrame:
+    """Inner join on a column with hot keys: small's rows stand once for each of SALTS shares of big, which `by` tells."""
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(small.hint("merge"), [on, "_salt"]).drop("_salt")
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cloud, members, common): the values that several sets of a cloud's sample hold, rarest first."""
+    for batch in batches:
+        out = []
+        for sets in batch.column("sets").to_pylist():
+            v, n = np.unique(np.concatenate([np.frombuffer(s, np.int64) for s in sets]), return_counts=True)
+            v, n = v[n > 1], n[n > 1]
+            out.append(v[np.argsort(-n, kind="stable")[:COMMON]][::-1].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("cloud"), batch.column("members"), pa.array(out, pa.binary())], ["cloud", "members", "common"])
+
+
+def _prefixes(similarity: int):
+    """(cloud, v, id): the values that a set must share one of with each set it links with, those its cloud's sample holds least first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for s, common in zip(batch.column("s").to_pylist(), batch.column("common").to_pylist(), strict=True):
+                s, common = np.frombuffer(s, np.int64), np.frombuffer(common or b"", np.int64)
+                place = np.zeros(len(s), np.int64)
+                if len(common):
+                    by = np.argsort(common)
+                    at = np.minimum(np.searchsorted(common[by], s), len(common) - 1)
+                    place = np.where(common[by][at] == s, by[at] + 1, 0)
+                kept.append(s[np.lexsort((s, place))][: len(s) - -(-len(s) * similarity // 100) + 1])
+            rows = pa.array(np.repeat(np.arange(len(kept)), [len(x) for x in kept]))
+            own = [batch.column(c).take(rows) for c in ("cloud", "id", "n", "comp", "block", "pure")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)), *own], ["v", "cloud", "id", "n", "comp", "block", "pure"])
+
+    return run
+
+
+def _inside(own: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame] | None:
+    """Lists (v, id, n, cloud, block, pure) inside the clouds that are in parts, where `cloud` is the part, and the members (block, m) with their full sets; None without such clouds.
+
+    A small cloud is a list. In others two sets that link share a value of the exact prefix of both, in any order of values that the cloud's members agree on; here those that few members of
+    a sample hold come first, so what a template gives all its pages is in no list. The order decides about work alone, not about results. Blocks hold members of one part (`pure`) or whole small parts.
+    """
+    sizes = own.groupBy("cloud", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
+    split = stage(sizes.groupBy("cloud").agg(F.sum("m").alias("members"), F.sum("held").alias("all"), F.count("*").alias("parts")).filter("parts > 1").drop("parts"), "dedup-split")
+    if not split.limit(1).count():
+        return None
+    blocks = lambda m, held: F.ceil(F.greatest(F.col(m) / BLOCK, F.col(held) * 8 / BLOCK_BYTES))
+    parts = _salted(sizes, split, "cloud", "comp").select("comp", "members", blocks("m", "held").alias("k"), blocks("members", "all").alias("ks"), ((F.col("m") * 2 > BLOCK) | (F.col("held") * 16 > BLOCK_BYTES)).alias("large"))
+    of = _salted(own, stage(parts, "dedup-split-parts"), "comp", "id")
+    number = F.when(F.col("large"), F.pmod(F.xxhash64("id"), F.col("k"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("ks")))
+    of = of.withColumns({"pure": F.when(F.col("large"), F.col("comp")), "block": F.concat_ws("-", "cloud", F.when(F.col("large"), F.col("comp").cast("string")).otherwise(F.lit("")), number)})
+    few = of.filter(F.col("members") <= SHORT // 2).select(F.xxhash64(F.lit("cloud"), "cloud").alias("v"), "id", "n", F.col("comp").alias("cloud"), F.lit(None).cast("string").alias("block"), F.lit(None).cast("long").alias("pure"))
+    of = stage(of.filter(F.col("members") > SHORT // 2).join(sets.hint("merge"), "id").select("cloud", "members", "id", "n", "comp", "block", "pure", "s"), "dedup-split-members", "uncompressed")
+    sample = of.filter((F.col("n") <= SAMPLE_N) & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("members")) < SAMPLE))
+    sample = sample.groupBy("cloud").agg(F.first("members").alias("members"), F.collect_list("s").alias("sets")).mapInArrow(_frequent, "cloud long, members long, common binary")
+    salts = F.ceil(F.col("members") / BLOCK).cast("int")
+    sample = stage(sample, "dedup-frequent").select("cloud", "common", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    lists = of.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(sample.hint("merge"), ["cloud", "salt"], "left").drop("salt", "members")
+    lists = stage(lists.mapInArrow(_prefixes(similarity), "v long, cloud long, id long, n long, comp long, block string, pure long"), "dedup-inside", rows=256)
+    lists = lists.select(F.xxhash64("cloud", "v").alias("v"), "id", "n", F.col("comp").alias("cloud"), "block", "pure")
+    return few.unionByName(lists), of.select("block", F.struct("id", "n", "comp", "s").alias("m"))
+
+
+def _compared_whole(lists: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): links between blocks that share a list, each pair of blocks once, on full sets. Blocks of one and the same part aren't compared."""
+    lists = stage(lists.distinct(), "dedup-inside-long")
+    q, x = (lists.select("v", F.col("block").alias(f"{c}b"), F.col("pure").alias(f"{c}p")) for c in "qx")
+    pairs = q.join(x.hint("merge"), "v").filter((F.col("qb") <= F.col("xb")) & ~F.coalesce(F.col("qp") == F.col("xp"), F.lit(False)))
+    pairs = stage(pairs.select("qb", "xb").distinct(), "dedup-block-pairs")
+    if not pairs.limit(1).count():
+        return pairs.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    need = pairs.select(F.col("qb").alias("block")).unionByName(pairs.select(F.col("xb").alias("block"))).distinct()
+    packed = stage(members.join(need.hint("merge"), "block", "left_semi").groupBy("block").agg(F.collect_list("m").alias("ms")), "dedup-blocks", "uncompressed")
+    q, x = (packed.select(F.col("block").alias(f"{c}b"), F.col("ms").alias(c)) for c in "qx")
+    both = pairs.join(q.hint("merge"), "qb").join(x.hint("merge"), "xb").select("q", "x")
+    return stage(both.mapInArrow(_blocks(similarity, None, 0.0), "a long, b long, sure boolean"), "dedup-compared", rows=64).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, k: int = K, cloud: float = CLOUD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Links: 100 * intersection >= similarity * union of the shingle sets (of `width` words), confirmed on full sets. component_id is the least id reachable; kept where it is the document's own.
     Texts that are null or without words have an empty set and link with nothing. Documents with a null id are returned with a null component, kept, and link with nothing.
+    Sets of over k * similarity / 100 shingles are candidates by an estimate (see OVERLAP); a `k` of at least the largest set makes every list an exact prefix of full sets and every estimate exact.
     Rows that repeat an id belong together only through their texts, but share a component then; an id whose texts differ joins their components. Only doc_id and text are read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -256,19 +340,15 @@ def _finish(docs, sk, head, reps, lists, star, sets, width, similarity, k, cloud
     links = exact.filter(linked).select("a", "b")
     part = components(links, "dedup-parts").withColumnRenamed("comp", "part")
     clouds = components(exact, "dedup-clouds").withColumnRenamed("comp", "cloud")
-    own = stage(clouds.join(part.hint("merge"), "id", "left").select("id", "cloud", F.coalesce("part", "id").alias("comp")), "dedup-members")
-    # 4a. clouds in parts, in blocks
-    sizes = own.groupBy("cloud", "comp").agg(F.count("*").alias("m"))
-    main = stage(sizes.groupBy("cloud").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1").select("cloud", F.col("t.comp").alias("main"), "all"), "dedup-split")
-    if main.limit(1).count():
-        of = own.join(main.hint("merge"), "cloud").join(sets.hint("merge"), "id")
-        of = stage(of.select("cloud", "main", "all", F.struct("id", (F.length("s") / 8).cast("long").alias("n"), "comp", "s").alias("m")), "dedup-split-members", "uncompressed")
-        bulk = of.groupBy("cloud").agg(F.sum(F.length("m.s")).alias("bytes"))
-        of = of.join(stage(bulk, "dedup-bulk").hint("merge"), "cloud")
-        of = of.withColumn("block", F.pmod(F.xxhash64("m.id"), F.ceil(F.greatest(F.col("all") / BLOCK, F.col("bytes") / BLOCK_BYTES))))
-        links = links.unionByName(_compared(of.filter("m.comp != main"), of, ["cloud"], (0,), _blocks(similarity, None, 0.0)).select("a", "b"))
-    # 4b. members of one list in different clouds, by size band
-    at = lists.join(own.hint("merge"), "id", "left").select("v", "id", "n", F.coalesce("cloud", "id").alias("cloud"))
+    own = clouds.join(part.hint("merge"), "id", "left").join(reps.select("id", "n").hint("merge"), "id")
+    own = stage(own.select("id", "n", "cloud", F.coalesce("part", "id").alias("comp")), "dedup-members")
+    # 4a. lists inside clouds in parts
+    inside = _inside(own, sets, similarity)
+    # 4b. members of one list in different clouds, or in different parts of one, by size band
+    at = lists.join(own.select("id", "cloud").hint("merge"), "id", "left").select("v", "id", "n", F.coalesce("cloud", "id").alias("cloud"))
+    if inside is not None:
+        inside, whole = inside
+        at = at.withColumns({"block": F.lit(None).cast("string"), "pure": F.lit(None).cast("long")}).unionByName(inside)
     apart = at.groupBy("v").agg(F.min("cloud").alias("c0"), F.max("cloud").alias("c1")).filter("c0 != c1").select("v")
     at = at.join(stage(apart, "dedup-apart").hint("merge"), "v", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / similarity))).cast("int"))
     at = stage(at, "dedup-rest")
@@ -281,9 +361,11 @@ def _finish(docs, sk, head, reps, lists, star, sets, width, similarity, k, cloud
     two = few.select("v", "band", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("cloud").alias("c2"))
     rest = one.join(two.hint("merge"), ["v", "band"]).filter((F.col("c1") != F.col("c2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))) & (100 * F.col("n1") >= similarity * F.col("n2")))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    many = at.filter("most is not null").join(reps.select("id", "sketch").hint("merge"), "id")
+    many = at.filter("most is not null" if inside is None else "most is not null and block is null").join(reps.select("id", "sketch").hint("merge"), "id")
     many = many.select("v", "band", F.pmod(F.xxhash64("v", "id"), F.ceil(F.col("most") / BLOCK)).alias("block"), F.struct("id", "n", F.col("cloud").alias("comp"), F.col("sketch").alias("s")).alias("m"))
-    low = similarity / 100 - 0.2
+    low = similarity / 100 - 0.3
+    if inside is not None:
+        links = links.unionByName(_compared_whole(at.filter("most is not null and block is not null").select("v", "block", "pure"), whole, similarity))
     found = _compared(many, many, ["v", "band"], (0, 1), _blocks(similarity, k, low))
     links = links.unionByName(found.filter("sure").select("a", "b"))
     rest = rest.unionByName(found.filter("not sure").select("a", "b")).distinct().join(star.hint("merge"), ["a", "b"], "left_anti")

@@ -88,6 +88,37 @@ def test_clouds_in_parts(spark):
     assert got == components(texts, 2, 80)
 
 
+def test_links_inside_clouds(spark, monkeypatch):
+    """Pages of one template, which link with nothing or with pages far from the hub, in clouds larger than a block, with lists long and short; and the same without an estimate."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    compared = []
+    whole = near_dedup._compared_whole
+    monkeypatch.setattr(near_dedup, "_compared_whole", lambda lists, members, similarity: compared.append((lists.select("block").distinct().count(), members.count())) or whole(lists, members, similarity))
+    r = random.Random(11)
+    template = [f"t{i}" for i in range(100)]
+    page = lambda i, own: " ".join(template + [f"p{i}_{j}" for j in range(own)])
+    texts = {i: page(i, 40) for i in range(80)}
+    for i in range(80, 140):  # links between pages that no hub has
+        w = texts[i % 20].split()
+        w[r.randrange(100, 140)] = f"x{i}"
+        texts[i] = " ".join(w)
+    for i in range(140, 200):  # two groups at 0.7 from each other
+        w = texts[79].split()
+        w = w + [f"g{i % 2}_{j}" for j in range(30)]
+        w[r.randrange(100)] = f"x{i}"
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame([row(i, t) for i, t in texts.items()], SCHEMA)
+    want = components(texts, 2, 80)
+    for k in (near_dedup.K, 1 << 30):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(df, width=2, k=k).collect()} == want
+    assert compared and all(blocks * 16 < 200 for blocks, members in compared if members >= 200)
+    # pages that share a template alone meet in no list
+    alone = spark.createDataFrame([row(i, page(i, 40)) for i in range(80)], SCHEMA)
+    compared.clear()
+    assert near_dedup.near_duplicates(alone, width=2).filter("kept").count() == 80
+    assert compared == [(0, 80)]
+
+
 def test_mixing(spark, docs, texts):
     rows = mixing.mix(docs).collect()
     size = {i: len((t or "").split()) for i, t in texts.items()}
