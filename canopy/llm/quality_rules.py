@@ -20,6 +20,8 @@ COMMON = 40
 CHAR_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS = 0.14, 0.45, 200, 50
 #: A language has a reference from so many documents and words on (of documents long enough to be compared); all others share one.
 REFERENCE_DOCS, REFERENCE_WORDS = 20, 2000
+#: A reference must look like language: letters make up such a share of what isn't space in its median document, and, where at least SPACED of the characters are spaces, common words make up a share of all words.
+LETTERS, SPACED, COVERED = 0.5, 0.08, 0.05
 #: Bins of the character histogram; letters and digits are one, so that names, numbers and addresses in prose don't count against it.
 BINS = ("letter", "upper", "space", "stop", "mark")
 #: Distinct words that a task counts before it hands its counts on.
@@ -31,6 +33,17 @@ def char_histogram(b: bytes) -> np.ndarray:
     return np.array([c["lower"] + c["wide"] + c["digit"], *[c[k] for k in BINS[1:]]])
 
 
+def letter_share(b: bytes) -> float:
+    """Letters of either case and bytes beyond ASCII among all that isn't white space."""
+    c = dict(zip(CLASSES, char_classes(b).tolist(), strict=True))
+    return (c["lower"] + c["upper"] + c["wide"]) / max(1, len(b) - c["space"])
+
+
+def like_language(letters: float, space: float, covered: float) -> bool:
+    """Whether a reference's median share of letters, share of spaces and share of common words are those of a language; scripts that don't part words by spaces need no common words."""
+    return letters >= LETTERS and (space < SPACED or covered >= COVERED)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (lang, key, n) of words, and of all words and documents under keys that no word can have."""
     held: dict = {}
@@ -56,18 +69,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shares of the character classes in each text of at least MIN_CHARS bytes."""
+    """Shares of the character classes, and of letters in what isn't space, in each text of at least MIN_CHARS bytes."""
     for batch in batches:
         raw = [(lang, (t or "").encode()) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        raw = [(lang, char_histogram(b)) for lang, b in raw if len(b) >= MIN_CHARS]
-        x = np.array([c for _, c in raw], float).reshape(-1, len(BINS))
-        yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in raw], pa.string()), *[pa.array(x[:, j]) for j in range(len(BINS))]], ["lang", *BINS])
+        raw = [(lang, [*char_histogram(b), letter_share(b)]) for lang, b in raw if len(b) >= MIN_CHARS]
+        x = np.array([c for _, c in raw], float).reshape(-1, len(BINS) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in raw], pa.string()), *[pa.array(x[:, j]) for j in range(len(BINS) + 1)]], ["lang", *BINS, "letters"])
 
 
 def references(docs: DataFrame, common: int = COMMON) -> list[tuple[tuple[str | None] | None, np.ndarray, list[bytes], np.ndarray]]:
     """For each language of the corpus with REFERENCE_DOCS documents and REFERENCE_WORDS words: (language,), its character-class histogram, its most common words, and their histogram.
 
-    The languages with less are pooled, and have one such reference together, with None for the language, if the pool is large enough.
+    The languages with less are pooled, and have one such reference together, with None for the language, if the pool is large enough. A reference that doesn't look like language
+    (like_language) is none, so that junk under a tag of its own, however much of it, is held against the references of the others.
 
     The character histogram is the median share of each class over the language's documents, so that a minority of junk doesn't bend it; word counts are over all
     documents of at least MIN_WORDS words. Only `common` words and the classes of each language reach the driver: a table whose size depends on the number of
@@ -85,9 +99,10 @@ def references(docs: DataFrame, common: int = COMMON) -> list[tuple[tuple[str |
         df = attach(df, enough, ["_null", "_lang"]).withColumn("pool", F.coalesce("pool", F.lit(True)))
         return df.withColumn("lang", F.when(~F.col("pool"), F.col("lang"))).drop("_null", "_lang")
 
-    shares = pooled(docs.select("lang", "text").mapInArrow(_shares, "lang string, " + ", ".join(f"`{c}` double" for c in BINS)))
+    shares = pooled(docs.select("lang", "text").mapInArrow(_shares, "lang string, " + ", ".join(f"`{c}` double" for c in (*BINS, "letters"))))
     of = lambda r: None if r["pool"] else (r["lang"],)
-    middle = {of(r): np.array([r[c] for c in BINS]) for r in shares.groupBy("pool", "lang").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in BINS]).collect()}
+    half = shares.groupBy("pool", "lang").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in (*BINS, "letters")]).collect()
+    middle = {of(r): (np.array([r[c] for c in BINS]), r["letters"]) for r in half}
     n = pooled(n).groupBy("pool", "lang", "key", "own").agg(F.sum("n").alias("n"))
     top = n.withColumn("r", F.row_number().over(W.partitionBy("pool", "lang", "own").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= max(common, 2))
     by: dict = {}
@@ -101,8 +116,10 @@ def references(docs: DataFrame, common: int = COMMON) -> list[tuple[tuple[str |
             continue
         words = sorted(((-v, k) for k, v, o in by[lang] if not o))[:common]
         hist = np.array([-v for v, _ in words] + [total + sum(v for v, _ in words)], float)
-        if lang in middle and middle[lang].sum() > 0:
-            refs.append((lang, middle[lang] / middle[lang].sum(), [k for _, k in words], hist / hist.sum()))
+        hist /= hist.sum()
+        chars, letters = middle.get(lang, (np.zeros(len(BINS)), 0.0))
+        if chars.sum() > 0 and like_language(letters, chars[BINS.index("space")] / chars.sum(), 1 - hist[-1]):
+            refs.append((lang, chars / chars.sum(), [k for _, k in words], hist))
     return refs
 
 
@@ -153,7 +170,7 @@ def quality_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: f
     """One row per document: base counts, base_failed, kept, and the two distances to the language reference.
 
     A text goes when it fails the base rules, or when it is farther than a limit from its own language's reference: in its character classes, or in its common words.
-    Texts whose language has too little support for a reference are held against the nearest of all. Without any reference the distances are null.
+    Texts whose language has too little support for a reference, or one that doesn't look like language, are held against the nearest of all. Without any reference the distances are null.
     Distances are null below the minimum lengths and then decide nothing. Null texts count as empty (and fail for want of words); null ids stay; repeated rows give
     repeated results; an empty table gives an empty one. Only doc_id, text and lang are read.
     """

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -317,12 +318,51 @@ def test_divergence_rare_tags(spark):
     rows += [row(200 + i, junk(), "en") for i in range(5)] + [row(300 + i, junk(), f"x{i % 3}") for i in range(5)] + [row(400, prose(), "y")]
     kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [i for i, k in kept.items() if k != (i < 200 or i == 400)] == []
-    # many junk texts of one tag have their own reference only
+    # many junk texts of one tag make no reference either: of random words, and of a few repeated ones; digits are no letters
     rows += [row(500 + i, junk(), "zz") for i in range(30)]
+    rows += [row(600 + i, " ".join(r.choice(["#$%", "&&&", "@@", "%%|", "12"]) + str(r.randrange(9)) for _ in range(100)), "yy") for i in range(30)]
+    rows += [row(700 + i, " ".join("".join(r.choice("qxzjkw") for _ in range(7)) for _ in range(80)), "ww") for i in range(30)]
+    rows += [row(800 + i, " ".join(str(r.randrange(10**6)) for _ in range(80)), "nn") for i in range(30)]
     more = spark.createDataFrame(rows, SCHEMA)
-    assert [lang for lang, *_ in quality_rules.references(more)] == [("en",), ("zz",), (None,)]
+    assert [lang for lang, *_ in quality_rules.references(more)] == [("en",), (None,)]
     kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(more).collect()}
-    assert not any(kept[200 + i] for i in range(5)) and all(kept[i] for i in range(60))
+    assert {i for i, k in kept.items() if k} == {i for i in kept if i < 200 or i == 400}
+
+
+def test_divergence_of_scripts(spark):
+    """A script without spaces between words keeps its reference; distances and verdicts are those of a plain version."""
+    r = random.Random(7)
+    prose = lambda: ". ".join(" ".join(r.choice(WORDS[:25]) for _ in range(10)) for _ in range(8))
+    signs = lambda: " ".join("".join(chr(0x4E00 + r.randrange(2000)) for _ in range(20)) for _ in range(60))
+    rows = [row(i, prose(), "en") for i in range(40)] + [row(100 + i, signs(), "zh") for i in range(40)]
+    rows += [row(200 + i, prose().upper(), "en") for i in range(3)] + [row(300, "a b", "en"), row(301, None, "zh"), row(302, prose()[:150], "en")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    refs = {lang: (chars, words, hist) for lang, chars, words, hist in quality_rules.references(df)}
+    assert set(refs) == {("en",), ("zh",)}
+
+    def distance(p, q):
+        kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x > 0)
+        m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+        return math.sqrt(max(0.0, (kl(p, m) + kl(q, m)) / 2))
+
+    texts = {x["doc_id"] if isinstance(x, dict) else x[0]: x for x in map(tuple, df.select("doc_id", "text", "lang").collect())}
+    for x in quality_rules.quality_rules(df).collect():
+        _, text, lang = texts[x.doc_id]
+        b = (text or "").encode()
+        chars, words, hist = refs[lang,]
+        if len(b) < 200:
+            assert x.char_distance is None
+        else:
+            n = Counter("letter" if 97 <= c <= 122 or c > 127 or 48 <= c <= 57 else "upper" if 65 <= c <= 90 else "space" if c in b" \t\n\x0b\x0c\r" else "stop" if c in b".,;:'\"?()-" else "mark" for c in b)
+            assert x.char_distance == pytest.approx(distance([n[k] / len(b) for k in quality_rules.BINS], list(chars)), abs=1e-6)
+        own = b.lower().split()
+        if len(own) < 50:
+            assert x.word_distance is None
+        else:
+            c = Counter(words.index(w) if w in words else -1 for w in own)
+            assert x.word_distance == pytest.approx(distance([c[j] / len(own) for j in [*range(len(words)), -1]], list(hist)), abs=1e-6)
+        far = (x.char_distance or 0) > quality_rules.CHAR_LIMIT or (x.word_distance or 0) > quality_rules.WORD_LIMIT
+        assert x.kept == (not x.base_failed and not far)
 
 
 def test_packing(spark, docs, texts):
