@@ -266,3 +266,25 @@ def test_vocabulary_of_many_names(spark):
             at += hit or 1
     assert got == sorted(want) and len(want) > 500
     assert vocabulary_match(spark.createDataFrame(texts, "id long, text string"), v.limit(0)).count() == 0
+
+
+def test_vocabulary_match_shuffles_texts_only(spark):
+    """Matches stay in their text's task: texts are dealt once by id, and no exchange of matches follows; long texts in which names run into each other are settled whole."""
+    import re
+
+    from canopy.operators.items import asked_attributes, vocabulary_match
+
+    names = ["aa", "bb", "aa bb", "bb aa cc", "cc"]
+    words = [["aa", "bb", "cc", "dd"][(i * i + i // 7) % 4] for i in range(3000)]
+    v = spark.createDataFrame([(n, [(f"k{i % 2}", n)]) for i, n in enumerate(names)], "name string, hits array<struct<attr:string,value:string>>")
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "dd")], "id long, text string")
+    got = vocabulary_match(texts, v)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want, i = [], 0
+    while i < len(words):
+        m = max((len(n.split()) for n in names if words[i : i + len(n.split())] == n.split()), default=0)
+        want += [(1, i + 1, " ".join(words[i : i + m]))] if m else []
+        i += m or 1
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert re.findall(r"Exchange hashpartitioning\((?:id|place|name)#", plan) == ["Exchange hashpartitioning(id#"]
+    assert sorted((r.id, r.attrs) for r in asked_attributes(texts, v).collect()) == [(1, ["k0", "k1"]), (2, []), (3, [])]
