@@ -288,3 +288,16 @@ def test_vocabulary_match_shuffles_texts_only(spark):
     assert sorted(tuple(r) for r in got.collect()) == want
     assert re.findall(r"Exchange hashpartitioning\((?:id|place|name)#", plan) == ["Exchange hashpartitioning(id#"]
     assert sorted((r.id, r.attrs) for r in asked_attributes(texts, v).collect()) == [(1, ["k0", "k1"]), (2, []), (3, [])]
+
+
+@pytest.mark.parametrize("name", ["label_durations", "node_time_spans", "derived_lines"])
+def test_interval_sql_leaves_ties_no_choice(spark, con, tmp_path, name):
+    """Many spans of equal times: SQL and query give the same rows on a table that DuckDB sorts in several threads."""
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute("create table events as select i event_id, timestamp '2026-01-01' ts, (hash(i) % 9000)::bigint user_id, ['click','view','buy','add','look'][1 + (hash(i + 1000000) % 5)::int] event_type, 0.5::double as value, '' props from range(0, 600000) r(i)")
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    want = c.execute(catalog.ORACLES[name])
+    cols = [d[0] for d in want.description]
+    rows = sorted(tuple(map(flat, r)) for r in want.fetchall())
+    assert rows == sorted(tuple(flat(r[k]) for k in cols) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
