@@ -326,12 +326,13 @@ def tree_agreement(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def publish_manifest(labels: DataFrame, support: DataFrame) -> DataFrame:
-    """One row: clips, rows, attributes, classes, leaves, refused, by_source (`source=clips`) and by_reason (`reason=leaves`), both by name."""
+    """One row: clips, rows, attributes, classes, leaves, refused, by_source (`source=clips`) and by_reason (`reason=leaves`), both by name, null where there are none."""
     line = lambda k, n: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(k).cast("string").alias("k"), F.col(n).alias("n")))), lambda x: F.concat(x["k"], F.lit("="), x["n"].cast("string"))), "; ")
+    listed = lambda k, n: F.nullif(line(k, n), F.lit(""))
     a = labels.agg(F.countDistinct("clip").alias("clips"), F.countDistinct("row_id").alias("n_rows"), F.countDistinct("attr").alias("attributes"))
     b = support.agg(F.count_if(F.col("leaf") == "").alias("classes"), F.count_if((F.col("leaf") != "") & F.col("refused").isNull()).alias("leaves"), F.count_if(F.col("refused").isNotNull()).alias("refused"))
-    c = labels.groupBy("source").agg(F.countDistinct("clip").alias("n")).agg(line("source", "n").alias("by_source"))  # a row per source
-    d = support.filter("refused is not null").groupBy("refused").agg(F.count("*").alias("n")).agg(line("refused", "n").alias("by_reason"))  # a row per reason
+    c = labels.groupBy("source").agg(F.countDistinct("clip").alias("n")).agg(listed("source", "n").alias("by_source"))  # a row per source
+    d = support.filter("refused is not null").groupBy("refused").agg(F.count("*").alias("n")).agg(listed("refused", "n").alias("by_reason"))  # a row per reason
     out = a
     for one in (b, c, d):
         out = out.join(F.broadcast(one), F.lit(True))

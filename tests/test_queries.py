@@ -301,3 +301,14 @@ def test_interval_sql_leaves_ties_no_choice(spark, con, tmp_path, name):
     cols = [d[0] for d in want.description]
     rows = sorted(tuple(map(flat, r)) for r in want.fetchall())
     assert rows == sorted(tuple(flat(r[k]) for k in cols) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+
+
+def test_manifest_without_refusals(spark):
+    """A list of reasons is null where nothing is refused, as in the SQL, and that of sources where there are no rows."""
+    from canopy.operators.tree import publish_manifest
+
+    labels = spark.createDataFrame([("1:1", 1, 3, "a")], "row_id string, clip long, source long, attr string")
+    nodes = spark.createDataFrame([("v", "", None), ("v", "l", None)], "value string, leaf string, refused string")
+    r = publish_manifest(labels, nodes).first()
+    assert (r.clips, r.classes, r.leaves, r.refused, r.by_source, r.by_reason) == (1, 1, 1, 0, "3=1", None)
+    assert publish_manifest(labels.limit(0), nodes).first().by_source is None
