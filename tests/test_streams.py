@@ -57,3 +57,16 @@ def test_segments_over_many_batches(spark, tmp_path):
     flat = lambda df: sorted((x.clip, x.label, round(x.t0, 4), round(x.t1, 4), x.peak) for x in df.collect())
     assert flat(spark.read.schema(s.schema).parquet(sink)) == flat(segment_events(f, 0.3, 0.15))
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1  # the row that closes the others
+
+
+def test_ingest_settles_many_clips_in_a_call(spark, tmp_path):
+    """Clips share calls by their bucket, so calls don't grow with the clips, and each clip keeps records, marker and repeats of its own."""
+    rows = [(f"{c}:{i}", "a.b", "v", None, 0.5, "t", None) for c in range(300) for i in range(2)] + [(None,) * 6 + (str(c),) for c in range(0, 300, 2)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows, R.RECORD).repartition(3).write.json(src)
+    s = J.finished_records(spark.readStream.schema(R.RECORD).json(src), buckets=2)
+    with J.state_store(spark, idle=False):
+        q = s.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    got = sorted(x.row_id for x in spark.read.schema(s.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(f"{c}:{i}" for c in range(0, 300, 2) for i in range(2))
