@@ -132,17 +132,32 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()])], ["ids", "m"])
 
 
+#: Rows of a block that meet another block in one product; their scores are what a task holds besides its two blocks.
+STRIP = 512
+
+
+def dealt(vectors: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """vectors dealt by hash to about one partition for each half block of n rows, so that what a task packs and meets doesn't grow with the table."""
+    return vectors.repartition(max(1, -(-n // (BLOCK // 2))), *by)
+
+
+def _met(r: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A pair of blocks in strips: ids of a strip, ids of the reference, in order, and their cosines."""
+    ids, ref = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["r_ids"], "<i8")
+    x, y = np.frombuffer(r["m"], "<f8").reshape(len(ids), -1), np.frombuffer(r["r_m"], "<f8").reshape(len(ref), -1)
+    d = min(x.shape[1], y.shape[1])
+    by = np.argsort(ref, kind="stable")
+    ref, y = ref[by], y[by, :d].T
+    for lo in range(0, len(ids), STRIP):
+        yield ids[lo : lo + STRIP], ref, x[lo : lo + STRIP, :d] @ y
+
+
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            r = batch.slice(i, 1).to_pylist()[0]
-            ids, ref = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["r_ids"], "<i8")
-            x, y = np.frombuffer(r["m"], "<f8").reshape(len(ids), -1), np.frombuffer(r["r_m"], "<f8").reshape(len(ref), -1)
-            d = min(x.shape[1], y.shape[1])
-            by = np.argsort(ref, kind="stable")
-            s = x[:, :d] @ y[by, :d].T
-            at = s.argmax(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ref[by][at]), pa.array(s[np.arange(len(ids)), at])], ["vec_id", "ref_id", "cos"])
+            for ids, ref, s in _met(batch.slice(i, 1).to_pylist()[0]):
+                at = s.argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ref[at]), pa.array(s[np.arange(len(ids)), at])], ["vec_id", "ref_id", "cos"])
 
 
 def pairwise_top1(vectors: DataFrame, refs: DataFrame, group_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -153,10 +168,11 @@ def pairwise_top1(vectors: DataFrame, refs: DataFrame, group_bytes: int = BROADC
     """
     prep = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), l2_normalise(F.col("embedding")).alias("x")).filter("vec_id is not null and x is not null")
     n, dim = prep(refs).agg(F.count("*"), F.max(F.size("x"))).first()
+    rows = prep(vectors).count()
     blocks = max(1, -(-n // BLOCK))
     each = max(1, group_bytes // (BLOCK * 8 * max(1, dim or 1)))  # blocks in a group
     r = prep(refs).withColumn("b", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int"))
-    v = prep(vectors).mapInArrow(_packed, "ids binary, m binary")
+    v = dealt(prep(vectors), rows, ["vec_id"]).mapInArrow(_packed, "ids binary, m binary")
 
     def found(lo: int) -> DataFrame:
         hi = min(lo + each, blocks)
@@ -271,36 +287,80 @@ def pairs_within(vectors: DataFrame, by: tuple[str, ...], near: float, block: in
     return out.withColumn("k", F.from_json("k", shape)).select(*[F.col(f"k.{c}").alias(c) for c in by], "a", "b", "cos")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of one group each."""
+    for batch in batches:
+        k = np.array(batch.column("k").to_pylist(), object)
+        for key in sorted(set(k)):
+            own = batch.filter(pa.array(k == key))
+            for r in _packed(iter([own.select(["vec_id", "x"])])):
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), *r.columns], ["k", "ids", "m"])
+
+
+def meeting(vectors: DataFrame, refs: DataFrame, group_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """Pairs of blocks (ids, m, r_ids, r_m) of vectors and references of one group, in passes over the vectors: references are broadcast in parts of bounded bytes, and no vector is shuffled for each block that it meets.
+
+    vectors, refs: k (the group, a string), vec_id, x, cut, as they are read for every pass.
+    """
+    n, dim = refs.agg(F.count("*"), F.max(F.size("x"))).first()
+    parts = max(1, -(-n * 8 * max(1, dim or 1) // group_bytes))
+    v = dealt(vectors, vectors.count(), ["vec_id"]).mapInArrow(_keyed, "k string, ids binary, m binary")
+    out = []
+    for no in range(parts):
+        r = dealt(refs.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == no), -(-n // parts), ["vec_id"]).mapInArrow(_keyed, "k string, r_ids binary, r_m binary")
+        out.append(v.join(F.broadcast(r), "k").select("ids", "m", "r_ids", "r_m"))
+    return out
+
+
+def similar(near: float):
+    """Pairs at cosine >= near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for ids, ref, s in _met(batch.slice(i, 1).to_pylist()[0]):
+                    a, b = np.nonzero(s >= near)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ref[b]), pa.array(s[a, b])], ["vec_id", "ref_id", "cos"])
+
+    return run
+
+
 def _reached(near: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                m, o = _matrix([v["x"] for v in r["q"]]), _matrix([v["x"] for v in r["o"]])
-                d = min(m.shape[1], o.shape[1])
-                hit = (m[:, :d] @ o[:, :d].T >= near).any(1)
-                yield pa.RecordBatch.from_arrays([pa.array([v["id"] for v, h in zip(r["q"], hit.tolist(), strict=True) if h], pa.int64())], ["vec_id"])
+                for ids, _, s in _met(batch.slice(i, 1).to_pylist()[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[(s >= near).any(1)])], ["vec_id"])
 
     return run
 
 
-def contained(cands: DataFrame, evals: DataFrame, tau: float, block: int = 512) -> DataFrame:
-    """vec_id of candidates at cosine >= tau to any evaluation vector, exactly; pairs of blocks that the triangle inequality rules out are never compared. Rows without an id, or with a null vector or part, take no part."""
+def contained(cands: DataFrame, evals: DataFrame, tau: float, block: int = BLOCK, group_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """vec_id of candidates at cosine >= tau to any evaluation vector, exactly. Rows without an id, or with a null vector or part, take no part.
+
+    A first part of the evaluation vectors (about `block`, by hash) meets all candidates; the others meet those that it left alone only, so where most candidates are contained the work is about candidates times `block`, and where none is
+    it is all pairs. Nothing but the candidates themselves is shuffled; evaluation vectors are broadcast in parts of bounded bytes.
+    """
     from ..workers import cut
 
-    prep = lambda df, side: df.select(F.lit("all").alias("k"), F.col("vec_id").cast("long").alias("id"), l2_normalise(F.col("embedding")).alias("x"), F.lit(side).alias("side")).filter("id is not null and x is not null")
-    both = prep(cands, 0).unionByName(prep(evals, 1))
-    # one set of cells for both sides: an id stands for a side's vector
-    named = cut(both.withColumn("id", F.col("id") * 2 + F.col("side")).drop("side").dropDuplicates(["id"]))
-    cells, pivots = celled(named, block, "long")
-    cells = cut(cells)
-    packed = cells.withColumn("side", F.pmod("id", F.lit(2))).groupBy("k", "pivot", "sub", "side").agg(F.collect_list(F.struct(F.shiftright("id", 1).alias("id"), "x")).alias("q"))
-    packed = cut(packed)
-    pairs = cut(block_pairs(cells, pivots, float(np.arccos(min(1.0, max(-1.0, tau)))), "long"))
-    q = packed.filter("side = 0").drop("side")
-    o = packed.filter("side = 1").select("k", F.col("pivot").alias("pivot2"), F.col("sub").alias("sub2"), F.col("q").alias("o"))
-    met = pairs.join(q.hint("merge"), ["k", "pivot", "sub"]).join(o.hint("merge"), ["k", "pivot2", "sub2"]).select("q", "o")
-    return met.mapInArrow(_reached(tau), "vec_id long").distinct()
+    prep = lambda df: cut(df.select(F.lit("all").alias("k"), F.col("vec_id").cast("long").alias("vec_id"), l2_normalise(F.col("embedding")).alias("x")).filter("vec_id is not null and x is not null"))
+    c, e = prep(cands), prep(evals)
+    n = e.count()
+    first = (F.xxhash64("vec_id", F.lit(0)).cast("double") + 2.0**63) / 2.0**64 < min(1.0, block / max(n, 1))
+    hit = cut(_reach(c, e.filter(first), tau, group_bytes))
+    if n > block:
+        c = cut(c.join(hit.hint("merge"), "vec_id", "left_anti"))
+        if c.limit(1).count():
+            hit = cut(hit.unionByName(_reach(c, e.filter(~first), tau, group_bytes)))
+    return hit
+
+
+def _reach(cands: DataFrame, evals: DataFrame, tau: float, group_bytes: int) -> DataFrame:
+    out = [both.mapInArrow(_reached(tau), "vec_id long") for both in meeting(cands, evals, group_bytes)]
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
 
 
 def containment_filter(cands: DataFrame, evals: DataFrame, tau: float) -> DataFrame:
