@@ -153,18 +153,18 @@ def merge_features(name: Column, axes: list[tuple[list[str], list[str]]] = AXES)
     return F.struct(F.regexp_extract_all(spelt, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)).alias("numbers"), name.rlike(rf"(?:^|[\s-])({'|'.join(NEGATIONS)})(?=$|[\s-])").alias("negated"), poles.alias("poles"))
 
 
-def may_merge(a: Column, b: Column, axes: list[tuple[list[str], list[str]]] = AXES) -> Column:
-    """Null if two names may be one, else the reason: numeric, negation, or polarity (on an axis that both name they don't take the same sides)."""
+def merge_why(x: Column, y: Column) -> Column:
+    """Why two names with these merge_features may not be one, or null."""
     axis = lambda p: F.split_part(p, F.lit(":"), F.lit(1))
+    on = lambda ps, i: F.filter(ps, lambda p: axis(p) == i)
+    both = F.array_intersect(F.transform(x["poles"], axis), F.transform(y["poles"], axis))
+    apart = F.exists(both, lambda i: on(x["poles"], i) != on(y["poles"], i))
+    return F.when(x["numbers"] != y["numbers"], "numeric").when(x["negated"] != y["negated"], "negation").when(apart, "polarity")
 
-    def why(f: Column) -> Column:
-        x, y = f["x"], f["y"]
-        on = lambda ps, i: F.filter(ps, lambda p: axis(p) == i)
-        both = F.array_intersect(F.transform(x["poles"], axis), F.transform(y["poles"], axis))
-        apart = F.exists(both, lambda i: on(x["poles"], i) != on(y["poles"], i))
-        return F.when(x["numbers"] != y["numbers"], "numeric").when(x["negated"] != y["negated"], "negation").when(apart, "polarity")
 
-    return F.get(F.transform(F.array(F.struct(merge_features(a, axes).alias("x"), merge_features(b, axes).alias("y"))), why), F.lit(0))
+def may_merge(a: Column, b: Column, axes: list[tuple[list[str], list[str]]] = AXES) -> Column:
+    """Null if two names may be one, else the reason: numeric, negation, or polarity (on an axis that both name they don't take the same sides)."""
+    return F.get(F.transform(F.array(F.struct(merge_features(a, axes).alias("x"), merge_features(b, axes).alias("y"))), lambda f: merge_why(f["x"], f["y"])), F.lit(0))
 
 
 def content_words(text: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..workers import cut
-from .vectors import pairs_within
+from .metrics import running
+from .vectors import meeting, pairs_within, similar
 
 
 def light_canon(names: DataFrame, key: Column, by: tuple[str, ...] = ("attr", "value")) -> DataFrame:
@@ -45,25 +46,70 @@ def similar_names(names: DataFrame, by: tuple[str, ...], near: float, axes: list
     return p.withColumn("why", F.coalesce(guard, F.when((words("a") != words("b")) | (F.col("cos") < sure), "not synonyms")))
 
 
-def synonym_merge(names: DataFrame, by: tuple[str, ...] = ("grp",), near: float = 0.8, sure: float = 0.93) -> DataFrame:
-    """by, name, head: names in order of support (then name) join the first head before them with which they may be one (similar_names); else they are heads.
+#: Names that are settled at first; each round takes four times as many places of the order.
+PREFIX = 8192
 
-    Pairs are found in blocks and only similar ones become rows; heads are settled in rounds: a name without a possible head before it is a head, one with a sure head isn't.
-    names: by, name, support, x (unit vector), one row per name.
-    """
-    e = cut(similar_names(names, by, near, sure=sure).filter("why is null").select(*by, "a", "b", "ra"))
-    state = cut(names.select(*by, "name", F.lit(None).cast("boolean").alias("head")))
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _synonyms(names: DataFrame, before: DataFrame, near: float) -> DataFrame:
+    """a, b: pairs of names (b) with those of `before` (a) that come earlier and with which they may be one. names, before: no, k, name, x, f, w."""
+    side = lambda df: df.filter("k is not null and x is not null").select("k", F.col("no").alias("vec_id"), "x")
+    p = _union([both.mapInArrow(similar(near), "vec_id long, ref_id long, cos double") for both in meeting(side(names), side(before))]).filter("ref_id < vec_id").select(F.col("ref_id").alias("a"), F.col("vec_id").alias("b"))
+    fact = lambda df, s: df.select(F.col("no").alias(s), F.col("f").alias(f"f{s}"), F.col("w").alias(f"w{s}"))
+    p = p.join(fact(before, "a").hint("merge"), "a").join(fact(names, "b").hint("merge"), "b")
+    return p.filter(X.merge_why(F.col("fa"), F.col("fb")).isNull() & (F.col("wa") == F.col("wb"))).select("a", "b")
+
+
+def _heads(nos: DataFrame, e: DataFrame) -> DataFrame:
+    """no, head: each of some names and its first head among them, by the pairs a, b (a before b). A name without a possible head before it is a head, one with a sure head isn't."""
+    state = cut(nos.select("no", F.lit(None).cast("boolean").alias("head")))
     while True:
-        before = e.join(state.select(*by, F.col("name").alias("a"), F.col("head").alias("ha")).hint("merge"), [*by, "a"]).groupBy(*by, F.col("b").alias("name")).agg(F.coalesce(F.bool_or("ha"), F.lit(False)).alias("_taken"), F.bool_or(F.col("ha").isNull()).alias("_open"))
-        new = state.join(before.hint("merge"), [*by, "name"], "left")
+        before = e.join(state.select(F.col("no").alias("a"), F.col("head").alias("ha")).hint("merge"), "a").groupBy(F.col("b").alias("no")).agg(F.coalesce(F.bool_or("ha"), F.lit(False)).alias("_taken"), F.bool_or(F.col("ha").isNull()).alias("_open"))
+        new = state.join(before.hint("merge"), "no", "left")
         taken, free = F.coalesce("_taken", F.lit(False)), ~F.coalesce("_open", F.lit(False))
-        state = cut(new.select(*by, "name", F.when(F.col("head").isNotNull(), F.col("head")).when(taken, False).when(free, True).alias("head")), state)
+        state = cut(new.select("no", F.when(F.col("head").isNotNull(), F.col("head")).when(taken, False).when(free, True).alias("head")), state)
         if not state.filter("head is null").limit(1).count():
             break
-    heads = state.filter("head").select(*by, F.col("name").alias("a"))
-    to = e.join(heads.hint("merge"), [*by, "a"], "left_semi").groupBy(*by, F.col("b").alias("name")).agg(F.min_by("a", "ra").alias("_h"))
-    out = state.join(to.hint("merge"), [*by, "name"], "left")
-    return out.select(*by, "name", F.when(F.col("head"), F.col("name")).otherwise(F.col("_h")).alias("head"))
+    to = e.join(state.filter("head").select(F.col("no").alias("a")).hint("merge"), "a", "left_semi").groupBy(F.col("b").alias("no")).agg(F.min("a").alias("_h"))
+    return cut(state.join(to.hint("merge"), "no", "left").select("no", F.when(F.col("head"), F.col("no")).otherwise(F.col("_h")).alias("head")), state)
+
+
+def synonym_merge(names: DataFrame, by: tuple[str, ...] = ("grp",), near: float = 0.8, sure: float = 0.93, first: int = PREFIX) -> DataFrame:
+    """by, name, head: names in order of support (then name) join the first head before them with which they may be one (similar_names); else they are heads.
+
+    The order is worked off in ranges, each four times as long as all before. A range's names are settled among themselves, then its heads take what they may of all later names; only names that no head took enter the next range. So pairs
+    become rows with heads, and inside a range of names that are left, but never between all names that are similar. Vectors meet in blocks, all names and the heads of a range at a time.
+    names: by, name, support, x (unit vector), one row per name.
+    """
+    least = max(near, sure)
+    key = F.when(F.forall(F.array(*[F.col(c).isNotNull() for c in by]), lambda c: c), F.to_json(F.struct(*by)))
+    facts = {"k": key, "x": F.col("x").cast("array<double>"), "f": X.merge_features(F.col("name"), X.AXES), "w": F.size(F.split(X.norm_key(F.col("name")), " ")), "_one": F.lit(1)}
+    order = [(-F.col("support")).asc(), F.col("name").asc()]
+    n = cut(running(names.select(*by, "name", "support", "x").withColumns(facts), [], order, {"no": "_one"}).withColumn("no", F.col("no").cast("long")).drop("_one", "support"))
+    left, total, hi, parts = n, n.count(), first, []
+    open_ = total
+    while open_:
+        hi = total if open_ <= first else min(hi, total)
+        now = left.filter(F.col("no") <= hi)
+        parts.append(_heads(now, cut(_synonyms(now, now, least))))
+        if hi >= total:
+            break
+        later = left.filter(F.col("no") > hi)
+        heads = cut(now.join(parts[-1].filter("no = head").select("no").hint("merge"), "no", "left_semi"))
+        parts.append(cut(_synonyms(later, heads, least).groupBy(F.col("b").alias("no")).agg(F.min("a").alias("head"))))
+        left = cut(later.join(parts[-1].select("no").hint("merge"), "no", "left_anti"), *([left] if left is not n else []))
+        open_, hi = left.count(), 4 * hi
+    if not parts:
+        return names.select(*by, "name", F.col("name").alias("head"))
+    named = n.select(F.col("no").alias("head"), F.col("name").alias("_h"))
+    out = n.select("no", *by, "name").join(_union(parts).hint("merge"), "no").join(named.hint("merge"), "head")
+    return out.select(*by, "name", F.col("_h").alias("head"))
 
 
 def near_misses(names: DataFrame, by: tuple[str, ...] = ("grp",), near: float = 0.8, below: float = 0.12, sure: float = 0.93) -> DataFrame:

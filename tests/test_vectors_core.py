@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from canopy.operators import vectors as V
 
@@ -58,3 +59,43 @@ def test_nearest_centroid_beyond_a_broadcast(spark, clustered):
     assert flat(V.nearest_centroid(v, c, options=o)) == flat(V.nearest_centroid(v, c, options=o, most=0))
     s = clustered @ clustered[::2].T
     assert [r[1] for r in few] == [f"c{k:03d}" for k in s.argmax(1)]
+
+
+def test_contained_meets_the_rest_only(spark, clustered, monkeypatch):
+    """Equal to all pairs over several broadcast parts; evaluation vectors after the first part meet only candidates that it left alone, and no vector is shuffled once a block that it meets."""
+    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(clustered[:400])], "vec_id long, embedding array<double>")
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(clustered[400:])], "vec_id long, embedding array<double>")
+    met, own = [], V._reach
+    monkeypatch.setattr(V, "_reach", lambda c, e, *a: met.append((c.count(), e.count())) or own(c, e, *a))
+    got = {r.vec_id for r in V.contained(c, e, 0.3, block=20, group_bytes=4096).collect()}
+    assert got == {i for i in range(400) if (clustered[400:] @ clustered[i]).max() >= 0.3}
+    assert len(met) == 2 and met[0][0] == 400 and met[0][1] + met[1][1] == 200 and met[1][0] < 400
+    both = V.meeting(*[df.selectExpr("'all' k", "vec_id", "embedding x") for df in (c, e)])
+    assert all("BroadcastHashJoin" in (plan := b._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan for b in both)
+
+
+def test_a_task_packs_about_a_block(spark):
+    """Partitions of vectors that meet others grow in number, not in size, however the table's files lie."""
+    v = spark.range(3 * V.BLOCK).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding")).coalesce(1)
+    sizes = V.dealt(v, 3 * V.BLOCK, ["vec_id"]).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(sizes) == 6 and max(r["count"] for r in sizes) < V.BLOCK
+    top = {r.vec_id: r.ref_id for r in V.pairwise_top1(v.limit(3000), v.filter("vec_id between 5000 and 5003")).collect()}
+    assert len(top) == 3000 and set(top.values()) == {5000}
+
+
+def test_synonym_merge_in_ranges(spark, clustered):
+    """Equal to one name after another, in many ranges; names of no group are left alone."""
+    from canopy.operators.entity import synonym_merge
+
+    names = [(("g" if i % 3 else "h") if i % 50 else None, "n" + "".join("abcdefghij"[int(d)] for d in str(i)), i % 7, x.tolist()) for i, x in enumerate(clustered[::2])]
+    df = spark.createDataFrame(names, "grp string, name string, support int, x array<double>")
+    heads, want = [], {}
+    for g, n, s, x in sorted(names, key=lambda r: (-r[2], r[1])):
+        to = next((h for k, h, y in heads if k == g and g is not None and float(np.dot(x, y)) >= 0.6), n)
+        want[g, n] = to
+        if to == n:
+            heads.append((g, n, x))
+    assert 20 < len(heads) < 250
+    for first in (16, 10_000):
+        assert {(r.grp, r["name"]): r["head"] for r in synonym_merge(df, ("grp",), 0.6, 0.6, first).collect()} == want
+    assert synonym_merge(df.limit(0)).count() == 0
