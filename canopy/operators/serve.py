@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..workers import cut
+from ..workers import attach, cut
 
 
 def region_gate(scores: DataFrame, chunk_at: float = 0.5, clip_at: float = 0.5) -> DataFrame:
@@ -207,11 +207,20 @@ def open_windows(windows: DataFrame, spans: DataFrame, asked: DataFrame) -> Data
 
     windows: clip, encoder, row_id, t0, t1; spans: clip, t0, t1; asked: clip, asked. by_question: the clip has no span at all.
     """
-    sp = spans.groupBy("clip").agg(F.collect_list(F.struct("t0", "t1")).alias("_s"))  # a clip's chunks
-    w = windows.join(sp.hint("merge"), "clip", "left").join(asked.groupBy("clip").agg(F.bool_or("asked").alias("_q")).hint("merge"), "clip", "left")
-    hit = F.coalesce(F.exists("_s", lambda x: (F.col("t0") < x["t1"]) & (x["t0"] < F.col("t1"))), F.lit(False))
-    w = w.withColumn("_hit", hit).withColumn("_any", F.max(F.col("_hit").cast("int")).over(W.partitionBy("clip", "encoder")))
-    return w.filter(F.col("_hit") | ((F.col("_any") == 0) & F.coalesce("_q", F.lit(False)))).select("clip", "encoder", "row_id", F.col("_s").isNull().alias("by_question"))
+    cell = F.explode(F.sequence(F.floor("t0"), F.floor("t1"))).alias("_b")
+    windows = cut(windows.select("clip", "encoder", "row_id", "t0", "t1"))  # three steps read them
+    spans = cut(spans.select("clip", "t0", "t1").distinct())
+    # distinct times meet in seconds that both touch; no row holds a clip's spans
+    mine = windows.select("clip", "t0", "t1").distinct().select("clip", "t0", "t1", cell)
+    theirs = spans.select("clip", F.col("t0").alias("_0"), F.col("t1").alias("_1"), cell)
+    met = mine.join(theirs.hint("merge"), ["clip", "_b"]).filter((F.col("t0") < F.col("_1")) & (F.col("_0") < F.col("t1")))
+    hit = cut(met.select("clip", "t0", "t1", F.lit(True).alias("_hit")).distinct())
+    some = spans.select("clip", F.lit(True).alias("_span")).distinct()
+    q = asked.groupBy("clip").agg(F.bool_or("asked").alias("_q"))
+    any_ = windows.join(hit.drop("_hit").hint("merge"), ["clip", "t0", "t1"], "left_semi").select("clip", "encoder", F.lit(True).alias("_any")).distinct()
+    facts = cut(windows.select("clip", "encoder").distinct().join(some.hint("merge"), "clip", "left").join(q.hint("merge"), "clip", "left").join(any_.hint("merge"), ["clip", "encoder"], "left"))
+    w = attach(attach(windows, hit, ["clip", "t0", "t1"]), facts, ["clip", "encoder"])
+    return w.filter(F.col("_hit").isNotNull() | (F.col("_any").isNull() & F.coalesce("_q", F.lit(False)))).select("clip", "encoder", "row_id", F.col("_span").isNull().alias("by_question"))
 
 
 def sound_nodes(sounds: DataFrame, windows: DataFrame, served: DataFrame, classes: int = 2, leaves: int = 2) -> DataFrame:

@@ -312,3 +312,19 @@ def test_manifest_without_refusals(spark):
     r = publish_manifest(labels, nodes).first()
     assert (r.clips, r.classes, r.leaves, r.refused, r.by_source, r.by_reason) == (1, 1, 1, 0, "3=1", None)
     assert publish_manifest(labels.limit(0), nodes).first().by_source is None
+
+
+def test_open_windows_hold_no_spans(spark):
+    """Equal to a loop, on a clip with many windows and spans; no row or group holds a clip's spans."""
+    from canopy.operators import serve as S
+
+    windows = [(i % 3 if i % 7 else 3, f"e{i % 2}", i, float(i % 40), float(i % 40 + 3 + i % 2)) for i in range(300)]
+    spans = [(0, float(i), i + 1.5) for i in range(2, 30, 9)] * 3 + [(1, 5.0, 5.0), (1, 100.0, 101.0), (2, 60.0, 61.0)]
+    asked = [(0, True), (1, False), (2, True), (3, True), (3, None)]
+    out = S.open_windows(spark.createDataFrame(windows, "clip long, encoder string, row_id long, t0 double, t1 double"), spark.createDataFrame(spans, "clip long, t0 double, t1 double"), spark.createDataFrame(asked, "clip long, asked boolean"))
+    hit = {w for w in windows if any(c == w[0] and w[3] < b and a < w[4] for c, a, b in spans)}
+    some = {w[:2] for w in hit}
+    want = {(w[0], w[1], w[2], w[0] == 3) for w in windows if w in hit or (w[:2] not in some and w[0] in (0, 2, 3))}
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want) and 0 < len(hit) < 200
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
