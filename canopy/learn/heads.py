@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml import Pipeline
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from ..workers import cut
 from .models import NodeHeads, NodeHeadsModel, identity_pairs, joint_scores, training_table
 
 
@@ -22,20 +26,58 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(c.join(F.broadcast(total), F.lit(True))), label).withColumn("weight", F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
 
 
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype("<i4"), pa.array(np.concatenate(rows) if rows else [], kind))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the distinct characters and pairs of characters of each lower-cased text, in order, and how often each occurs."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part, gs, ns = batch.slice(lo, 500), [], []
+            for text in part.column("text").to_pylist():
+                a = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype("<i8")
+                g, n = np.unique(np.concatenate([a, (a[:-1] + 1 << 21) | a[1:]]), return_counts=True)
+                gs.append(g)
+                ns.append(n.astype("<i4"))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], _lists(gs, pa.int64()), _lists(ns, pa.int32())], ["id", "lang", "label", "held", "g", "n"])
+
+
+def _weighed(known: np.ndarray):
+    """Places of a text's grams in the vocabulary, in order, and their log frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, n = (pa.chunked_array([batch.column(c)]).combine_chunks() for c in ("g", "n"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(g.offsets.to_numpy()))
+            g, n = g.flatten().to_numpy(), n.flatten().to_numpy()
+            i = np.searchsorted(known, g)
+            hit = i < len(known)
+            hit[hit] = known[i[hit]] == g[hit]
+            ends = np.cumsum([0, *np.bincount(row[hit], minlength=batch.num_rows)]).astype("<i4")
+            own = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (i[hit].astype("<i4"), 1 + np.log(n[hit]))]
+            kind = [pa.array(np.full(batch.num_rows, v), t) for v, t in ((0, pa.int8()), (len(known), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.StructArray.from_arrays([*kind, *own], ["type", "size", "indices", "values"])], ["id", "lang", "label", "held", "tf"])
+
+    return run
+
+
 def language_head(texts: DataFrame, held_out: Column, features: int = 40_000, min_docs: int = 2) -> tuple[DataFrame, float]:
     """(id, lang, pred, held) and the held-out accuracy: character 1- and 2-grams, log term frequency, IDF, logistic regression. texts: id, text, lang."""
     names = [r[0] for r in texts.select("lang").filter("lang is not null").distinct().orderBy("lang").collect()]  # one row per language
     at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang")) - 1
     df = texts.filter("lang is not null").withColumns({"label": at.cast("double"), "held": held_out})
-    chars = RegexTokenizer(inputCol="text", outputCol="c1", pattern="", gaps=True, minTokenLength=1)
-    both = SQLTransformer(statement="SELECT *, concat(c1, c2) AS grams FROM __THIS__")
-    stages = [chars, NGram(n=2, inputCol="c1", outputCol="c2"), both, CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features, minDF=min_docs)]
-    counts = Pipeline(stages=stages).fit(df.filter("not held"))
-    logs = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())  # one short sparse vector a text; no built-in reaches into vectors
-    z = counts.transform(df).select("id", "lang", "label", "held", logs("tf").alias("tf"))
-    z = IDF(inputCol="tf", outputCol="x").fit(z.filter("not held")).transform(z).select("id", "lang", "label", "held", "x")
+    shape = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in ("id", "lang", "label", "held"))
+    # texts are read once; vocabulary, vectors and fit go by what each text counts
+    grams = cut(df.select("id", "lang", "label", "held", "text").mapInArrow(_grams, f"{shape}, g array<long>, n array<int>"))
+    each = grams.filter("not held").select(F.inline(F.arrays_zip("g", "n"))).groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    known = np.array(sorted(r[0] for r in each.orderBy(F.desc("n"), "g").limit(features).collect()), "<i8")  # `features` rows at most
+    # a sparse vector's own fields, read back as vectors: no built-in makes one from arrays
+    rows = cut(grams.mapInArrow(_weighed(known), f"{shape}, tf struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"), grams)
+    tf = df.sparkSession.read.schema(StructType([*rows.schema.fields[:4], StructField("tf", VectorUDT())])).parquet(rows._cut_at)
+    z = IDF(inputCol="tf", outputCol="x").fit(tf.filter("not held")).transform(tf).select("id", "lang", "label", "held", "x")
     model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=30, regParam=1e-4).fit(z.filter("not held"))
-    p = model.transform(z).select("id", "lang", "label", "held", "prediction")
+    p = cut(model.transform(z).select("id", "lang", "label", "held", "prediction"), rows)
     acc = p.filter("held").agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
     return p.select("id", "lang", F.get(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int")).alias("pred"), "held"), acc or 0.0
 

@@ -226,3 +226,27 @@ def test_loaded_heads_serve(spark, tmp_path):
     assert len(got) == 72 and np.mean([g.value == f"c{g.clip % 6 // 2}" for g in got]) > 0.95
     served = [g for g in got if g.leaf]
     assert len(served) > 40 and np.mean([g.leaf == f"l{g.clip % 6}" for g in served]) > 0.9
+
+
+def test_language_head_counts_grams_once(spark):
+    """Grams and weights against a plain count; a text that is null or empty has none and is answered all the same."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from canopy.learn import heads as H
+
+    texts = ["Abab a", "", None, "x", "\U0001f600\U0001f600b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["l"] * 5), pa.array([0.0] * 5), pa.array([False] * 5), pa.array(texts)], ["id", "lang", "label", "held", "text"])
+    (out,) = H._grams(iter([batch]))
+    for text, g, n in zip(texts, out.column("g").to_pylist(), out.column("n").to_pylist(), strict=True):
+        a = [ord(c) for c in (text or "").lower()]
+        assert dict(zip(g, n, strict=True)) == Counter(a + [(x + 1 << 21) | y for x, y in zip(a, a[1:])]) and g == sorted(g)
+    known = np.array(sorted([ord("a"), ord("b"), (ord("a") + 1 << 21) | ord("b")]), "<i8")
+    (w,) = H._weighed(known)(iter([out]))
+    rows = w.column("tf").to_pylist()
+    assert [r["indices"] for r in rows] == [[0, 1, 2], [], [], [], [1]] and np.allclose(rows[0]["values"], 1 + np.log([3, 2, 2])) and {r["size"] for r in rows} == {3}
+    t = spark.createDataFrame([(i, ("abc " if i % 2 else "xyz ") * 3 if i else None, "ab" if i % 2 else "xy") for i in range(40)], "id long, text string, lang string")
+    p, acc = H.language_head(t, t.id % 7 == 0)
+    assert p.count() == 40 and acc > 0.8
