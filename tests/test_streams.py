@@ -1,5 +1,7 @@
 """Streams with state that ends."""
 
+import random
+
 from canopy.sources import readers as R
 from canopy.streaming import jobs as J
 
@@ -59,6 +61,30 @@ def test_segments_over_many_batches(spark, tmp_path):
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1  # the row that closes the others
 
 
+def test_segments_of_many_series_in_a_call(spark, tmp_path):
+    """Series share calls by their bucket. One that ends gives its events out and is freed while frames of its bucket's other series, of the same batch, are not due yet."""
+    from pyspark.sql import functions as F
+
+    from canopy.operators.intervals import segment_events
+
+    r = random.Random(5)
+    rows = [(c, "xy"[c % 2], t, r.choice([0.05, 0.2, 0.4, 0.8])) for c in range(40) for t in range(30)] + [(40, "x", t, 0.8 if t % 9 > 3 else 0.0) for t in range(3000)] + [(41, 'a "b" \\é', t, 0.8) for t in range(5)]
+    r.shuffle(rows)
+    f = spark.createDataFrame(rows, "clip long, label string, t int, p double").withColumn("ts", F.timestamp_millis(F.col("t") * 100 + 10**12))
+    src, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    f.repartition(3).write.parquet(src)
+    s = J.segment_stream(spark.readStream.schema(f.schema).parquet(src), 0.3, 0.15, late="100 seconds", buckets=2)
+    with J.state_store(spark):
+        q = s.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(sink)
+    q.awaitTermination()
+    flat = lambda df: sorted((x.clip, x.label, round(x.t0, 4), round(x.t1, 4), x.peak) for x in df.collect())
+    got = flat(spark.read.schema(s.schema).parquet(sink))
+    want = flat(segment_events(f, 0.3, 0.15))
+    assert [e for e in got if e[0] != 40] == [e for e in want if e[0] != 40]
+    assert 0 < len([e for e in got if e[0] == 40]) < len([e for e in want if e[0] == 40])  # the last 100 seconds still wait
+    assert set(got) <= set(want)
+
+
 def test_ingest_settles_many_clips_in_a_call(spark, tmp_path):
     """Clips share calls by their bucket, so calls don't grow with the clips, and each clip keeps records, marker and repeats of its own."""
     rows = [(f"{c}:{i}", "a.b", "v", None, 0.5, "t", None) for c in range(300) for i in range(2)] + [(None,) * 6 + (str(c),) for c in range(0, 300, 2)]
