@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..workers import cut
+from ..workers import attach, cut
 
 #: Words too general to tell a leaf from its class. Fixed values.
 GENERIC = ["clear", "clean", "normal", "standard", "regular", "general", "plain", "typical", "good", "simple", "basic", "audio", "voice", "sound", "speech", "music", "tone", "style", "quality", "weather", "recording", "background", "noise"]
@@ -403,11 +403,15 @@ def clean_labels(labels: DataFrame, canon: DataFrame, admitted: DataFrame, links
     """
     from .graph import closure
 
-    l = apply_groups(labels, canon)
-    ok = admitted.filter("leaf != ''").select("attr", "value", "leaf", F.lit(True).alias("_ok")).distinct()
-    l = l.join(ok.hint("merge"), ["attr", "value", "leaf"], "left").withColumn("leaf", F.when(F.col("_ok"), F.col("leaf")).otherwise("")).select("row_id", "attr", "value", "leaf")
+    # what becomes of a node is found once for each distinct node, so rows meet one table
+    node = ["attr", "value", "leaf"]
+    l = apply_groups(cut(labels.select(*node).distinct()).withColumn("_own", F.col("leaf")), canon)
+    ok = admitted.filter("leaf != ''").select(*node, F.lit(True).alias("_ok")).distinct()
+    l = cut(l.join(ok.hint("merge"), node, "left").withColumn("leaf", F.when(F.col("_ok"), F.col("leaf")).otherwise("")).select("attr", "value", "_own", "leaf"))
     name = lambda leaf: F.to_json(F.struct("attr", "value", F.col(leaf).alias("leaf")))
     up = closure(links.select(name("leaf").alias("child"), name("generic").alias("parent")))
-    far = l.withColumn("child", name("leaf")).join(up.hint("merge"), "child").select("row_id", F.from_json("ancestor", "attr string, value string, leaf string").alias("a")).select("row_id", "a.*")
-    far = far.join(ok.drop("_ok").hint("merge"), ["attr", "value", "leaf"], "left_semi").select("row_id", "attr", "value", "leaf")
-    return l.unionByName(far).distinct()
+    far = l.withColumn("child", name("leaf")).join(up.hint("merge"), "child").select("_own", F.from_json("ancestor", "attr string, value string, leaf string").alias("a")).select("_own", "a.*")
+    far = far.join(ok.drop("_ok").hint("merge"), node, "left_semi").select("attr", "value", "_own", "leaf")
+    to = cut(l.unionByName(far).filter("attr is not null and value is not null and _own is not null").groupBy("attr", "value", F.col("_own").alias("leaf")).agg(F.collect_set("leaf").alias("_to")))
+    out = attach(labels.select("row_id", *node), to, node).withColumn("_to", F.coalesce("_to", F.array(F.lit(""))))
+    return out.select("row_id", "attr", "value", F.explode("_to").alias("leaf")).distinct()

@@ -15,6 +15,7 @@ from ..operators import tree as G
 from ..sources import readers as R
 from ..sources.features import FeatureStore
 from ..streaming import jobs as J
+from ..workers import cut
 from ..workers import scratch_folder as _folder
 from .catalog import STEMS, query, sql_list
 from .label_queries import SEG
@@ -568,7 +569,7 @@ def align_external_labels(tags):
 def clean_labels(label_rows):
     from ..operators.tree import clean_labels as op
 
-    n = label_rows.groupBy("attr", "value", "leaf").agg(F.countDistinct("clip").alias("n"))
+    n = cut(label_rows.groupBy("attr", "value", "leaf").agg(F.countDistinct("clip").alias("n")))
     links = n.filter("leaf rlike ' [a-z]$'").select("attr", "value", "leaf", F.regexp_replace("leaf", " [a-z]$", "").alias("generic"))
     canon = n.filter("1 = 0").select("attr", "value", "leaf", F.col("leaf").alias("to_leaf"))
     return op(label_rows, canon, n.filter("n >= 2"), links)

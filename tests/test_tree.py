@@ -64,3 +64,16 @@ def test_tree_rules_are_checked(spark):
     for rows, what in (([("a.b", "v", "", 0)], "without clips"), ([("a.b", "v", "x 2", 5)], "digit"), ([("a.b", "v", "x", 1)], "too few"), ([("a.b", "v", "x", 2), ("a.b", "w", "x", 2)], "several classes")):
         with pytest.raises(ValueError, match=what):
             T.checked_tree(n(rows), 2)
+
+
+def test_clean_labels_meets_rows_once(spark):
+    """What becomes of a node is found for distinct nodes, and rows meet that in one join; leaves that are null or not admitted fall back to the class."""
+    rows = spark.createDataFrame([("r1", "a", "v", "x one"), ("r1", "a", "v", "x one"), ("r2", "a", "v", "y"), ("r3", "a", "v", None), ("r4", None, "v", "x"), ("r5", "a", "v", "z"), ("r6", "a", "w", "x one")], "row_id string, attr string, value string, leaf string")
+    canon = spark.createDataFrame([("a", "v", "z", "x one"), ("a", "v", "z", "x")], "attr string, value string, leaf string, to_leaf string")
+    ok = spark.createDataFrame([("a", "v", "x one"), ("a", "v", "x"), ("a", "v", "")], "attr string, value string, leaf string")
+    links = spark.createDataFrame([("a", "v", "x one", "y"), ("a", "v", "y", "x")], "attr string, value string, leaf string, generic string")
+    out = T.clean_labels(rows, canon, ok, links)
+    assert {tuple(x) for x in out.collect()} == {("r1", "a", "v", "x one"), ("r1", "a", "v", "x"), ("r2", "a", "v", ""), ("r3", "a", "v", ""), ("r4", None, "v", ""), ("r5", "a", "v", "x one"), ("r5", "a", "v", "x"), ("r6", "a", "w", "")}
+    assert out.count() == 8
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "to_json" not in plan
