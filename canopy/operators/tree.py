@@ -22,6 +22,11 @@ def static_alias(labels: DataFrame, names: dict[str, str], only: Column | None =
     return labels.withColumn("leaf", new if only is None else F.when(only, new).otherwise(F.col("leaf")))
 
 
+def per_name(df: DataFrame, on: list[str], cols: dict[str, Column]) -> DataFrame:
+    """df with columns that depend on its columns `on` alone (rows with nulls there have none): computed for each distinct name, not for each row."""
+    return attach(df, cut(df.select(*on).distinct().withColumns(cols)), on)
+
+
 def stems(name: Column) -> Column:
     """Distinct stems of a name's words."""
     return F.array_distinct(F.transform(X.words(name), lambda w: X.stem(w)))
@@ -35,13 +40,15 @@ def cofire_aliases(labels: DataFrame, ancestors: DataFrame | None = None, expert
     t = labels.filter("leaf != ''").select(*key, "leaf", "tool").distinct()
     e, a = t.filter(F.col("tool") == expert), t.filter(F.col("tool") == annotator)
     e = e.join(a.select(*key, "leaf").hint("merge"), [*key, "leaf"], "left_anti")
-    own = stems(F.col("leaf"))
+    p = cut(e.select(*key, "leaf").join(a.select(*key, F.col("leaf").alias("alias")).hint("merge"), list(key)))
+    # words are those of distinct names, not of rows
+    own, w = stems(F.col("leaf")), p.select("value", "leaf").distinct()
     if ancestors is not None:
         up = ancestors.groupBy(F.lower("child").alias("_c")).agg(F.array_distinct(F.flatten(F.collect_set(stems(F.col("ancestor"))))).alias("_up"))
-        e = e.join(up.hint("merge"), F.lower("leaf") == F.col("_c"), "left")
+        w = w.join(up.hint("merge"), F.lower("leaf") == F.col("_c"), "left")
         own = F.array_union(own, F.coalesce("_up", F.array().cast("array<string>")))
-    e = e.select(*key, "leaf", F.array_except(own, stems(F.col("value"))).alias("w"))
-    p = e.join(a.select(*key, F.col("leaf").alias("alias"), stems(F.col("leaf")).alias("w2")).hint("merge"), list(key))
+    p = attach(p, cut(w.select("value", "leaf", F.array_except(own, stems(F.col("value"))).alias("w"))), ["value", "leaf"])
+    p = per_name(p, ["alias"], {"w2": stems(F.col("alias"))})
     p = p.withColumn("s", F.size(F.array_intersect("w", "w2"))).filter("s > 0")
     best = p.groupBy(*key, "leaf").agg(F.max_by("alias", "s").alias("alias"), F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 2).alias("top"))
     best = best.filter((F.size("top") == 1) | (F.get("top", F.lit(0)) > F.get("top", F.lit(1))))
@@ -70,9 +77,9 @@ def plan_moves(labels: DataFrame, region: Column, identity: list[str], key: Colu
     ties by name. Leaves with equal `key` (by default the leaf) are one. A leaf that stays, but is a closed value of another attribute of its region (vocab: attr, value), becomes that value.
     """
     x = labels.filter("leaf != ''").withColumns({"region": region, "key": F.col("leaf") if key is None else key})
-    # one table of distinct clips gives all counts
+    # one table of distinct clips gives all counts, one of nodes what needs no clips
     x = cut(x.groupBy("region", "key", "attr", "value", "leaf", "clip").agg(F.count("*").alias("n")))
-    every = x.groupBy("region", "key", "attr", "value", "leaf").agg(F.sum("n").alias("n"))
+    every = cut(x.groupBy("region", "key", "attr", "value", "leaf").agg(F.sum("n").alias("n")))
     c = x.groupBy("region", "key", "attr").agg(F.countDistinct("clip").alias("n"))
     v = x.groupBy("region", "key", F.col("attr").alias("to_attr"), "value").agg(F.countDistinct("clip").alias("n"))
     hv = v.groupBy("region", "key", "to_attr").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("to_value"))
@@ -82,6 +89,7 @@ def plan_moves(labels: DataFrame, region: Column, identity: list[str], key: Colu
     out = out.join(hv.hint("merge"), ["region", "key", "to_attr"]).join(hf.hint("merge"), ["region", "key", "to_attr"]).select("attr", "value", "leaf", "to_attr", "to_value", "to_leaf")
     if vocab is None:
         return out
+    out = cut(out)
     closed = vocab.select("attr", F.col("value").alias("leaf")).distinct().withColumn("region", region).withColumnRenamed("attr", "_a")
     named = every.join(closed.hint("merge"), ["region", "leaf"]).filter(F.col("attr") != F.col("_a")).groupBy("attr", "value", "leaf").agg(F.min("_a").alias("to_attr"))
     named = named.join(out.select("attr", "value", "leaf").hint("merge"), ["attr", "value", "leaf"], "left_anti")
@@ -250,6 +258,8 @@ def build_tree(
     from .labels import vote_multi, vote_single
 
     key, k = ("row_id", "attr"), tree_key(extra)
+    by = ["attr", "leaf"] if extra else ["leaf"]  # what the key of a leaf depends on
+    labels = cut(labels.select("row_id", "clip", "source", "attr", "value", "leaf", "tool", "score", "seq"))  # read several times
     if experts:
         own = lambda i: F.create_map(*[F.lit(x) for a, v in experts.items() for x in (a, v[i])])[F.col("attr")]
         floor, who = F.coalesce(own(1), F.lit(floor)), F.coalesce(own(0), F.lit(expert))
@@ -274,10 +284,11 @@ def build_tree(
         voted = voted.withColumns({"leaf": F.when(F.col("_drop"), "").otherwise(F.col("leaf")), "value": F.when(F.col("_drop"), F.col("value")).otherwise(F.coalesce("_to", "value"))}).drop("_key", "_drop", "_to")
     of = labels.groupBy("row_id").agg(F.min("clip").alias("clip"), F.min("source").alias("source"))
     voted = cut(voted.groupBy(*key, "value", "leaf").agg(F.array_distinct(F.flatten(F.collect_set("tools"))).alias("tools")).join(of.hint("merge"), "row_id"))
-    moves = cut(plan_moves(voted, region, identity, k, vocab, role))
+    moves = cut(plan_moves(per_name(voted, by, {"_key": k}), region, identity, F.col("_key"), vocab, role))
     moved = apply_moves(voted, moves, multi, "row_id")
     tools = voted.select("row_id", F.explode("tools").alias("tool")).groupBy("row_id").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
-    placed = cut(reparent(moved.join(of.hint("merge"), "row_id").join(tools.hint("merge"), "row_id"), k))
+    moved = cut(moved.join(of.hint("merge"), "row_id").join(tools.hint("merge"), "row_id"))
+    placed = cut(reparent(per_name(moved, by, {"_key": k}), F.col("_key")).drop("_key"), moved)
     # merge forms of one name, link specifics to generics
     leaves = placed.filter("leaf != ''").groupBy("attr", "value", "leaf").agg(F.countDistinct("clip").alias("clips"))
     canon = cut(light_canon(leaves, k))

@@ -77,3 +77,15 @@ def test_clean_labels_meets_rows_once(spark):
     assert out.count() == 8
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "to_json" not in plan
+
+
+def test_names_cost_once_not_by_row(spark):
+    """Words and stems are those of distinct names, so no plan over rows has them, and only counts of distinct clips read the table of clips."""
+    rows = frame(spark, [(f"c{i}", "a.x", "v", leaf, tool, None) for i in range(4) for leaf, tool in (("barking dogs", "expert"), ("dog bark", "annotator"))] + [("c9", "a.y", "w", "dog bark", "annotator", None)])
+    out = T.cofire_aliases(rows)
+    assert [tuple(x) for x in out.collect()] == [("a.x", "v", "barking dogs", "dog bark")]
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    moves = T.plan_moves(rows, F.lit("a"), [])
+    assert [tuple(x) for x in moves.collect()] == [("a.y", "w", "dog bark", "a.x", "v", "dog bark")]
+    plan = moves._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len([p for p in plan if "Relation [" in p and "clip#" in p]) <= 2
