@@ -290,6 +290,37 @@ def test_vocabulary_match_shuffles_texts_only(spark):
     assert sorted((r.id, r.attrs) for r in asked_attributes(texts, v).collect()) == [(1, ["k0", "k1"]), (2, []), (3, [])]
 
 
+@pytest.mark.parametrize("most", [0, 5, 60, 150])
+def test_vocabulary_beyond_the_broadcast(spark, monkeypatch, most):
+    """Names above the limit give the rows of a loop, too, and no exchange deals places: only texts, and runs that are marked as names left over, are shuffled."""
+    import random
+    import re
+
+    from canopy.operators import items as Q
+
+    r = random.Random(5)
+    words = [a + b for a in "ka lo mi ne ru".split() for b in "ban del fir gon".split()]
+    names = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(200)})
+    texts = [(i, " ".join(r.choice(words) for _ in range(150))) for i in range(20)] + [(100, None), (101, "")]
+    want = []
+    for i, t in texts:
+        p, at = (t or "").split(" "), 0
+        while at < len(p):
+            hit = next((m for m in (4, 3, 2, 1) if at + m <= len(p) and " ".join(p[at : at + m]) in names), None)
+            want += [(i, at + 1, " ".join(p[at : at + hit]))] if hit else []
+            at += hit or 1
+    monkeypatch.setattr(Q, "NAMES", most)
+    v = spark.createDataFrame([(n, [(f"k{i % 3}", n)]) for i, n in enumerate(names)], "name string, hits array<struct<attr:string,value:string>>")
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = Q.vocabulary_match(df, v)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 300
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "hashpartitioning(w#" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(id#\d+L, \d+\), REPARTITION_BY_NUM", plan)) == plan.count("Exchange hashpartitioning(id#") <= 3
+    kept = {x.name for x in Q._marked(v.select("name"), v.filter("name >= 'm'").select("name")).collect()}
+    assert {n for n in names if n >= "m"} <= kept
+
+
 @pytest.mark.parametrize("name", ["label_durations", "node_time_spans", "derived_lines"])
 def test_interval_sql_leaves_ties_no_choice(spark, con, tmp_path, name):
     """Many spans of equal times: SQL and query give the same rows on a table that DuckDB sorts in several threads."""
