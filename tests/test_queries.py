@@ -317,6 +317,9 @@ def test_vocabulary_beyond_the_broadcast(spark, monkeypatch, most):
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert "hashpartitioning(w#" not in plan
     assert len(re.findall(r"Exchange hashpartitioning\(id#\d+L, \d+\), REPARTITION_BY_NUM", plan)) == plan.count("Exchange hashpartitioning(id#") <= 3
+    kinds = {n: f"k{i % 3}" for i, n in enumerate(names)}
+    attrs = {i: sorted({kinds[n] for j, _, n in want if j == i}) for i, _ in texts}
+    assert {x.id: x.attrs for x in Q.asked_attributes(df, v).collect()} == attrs
     kept = {x.name for x in Q._marked(v.select("name"), v.filter("name >= 'm'").select("name")).collect()}
     assert {n for n in names if n >= "m"} <= kept
 
