@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..workers import attach, cut
+from ..workers import BROADCAST_ROWS, attach, cut, dealt
 
 #: Words too general to tell a leaf from its class. Fixed values.
 GENERIC = ["clear", "clean", "normal", "standard", "regular", "general", "plain", "typical", "good", "simple", "basic", "audio", "voice", "sound", "speech", "music", "tone", "style", "quality", "weather", "recording", "background", "noise"]
 #: Ending of the last word of a name that says who acts. Fixed value.
 AGENT = r"(er|or|ist|ian|ant|ee|man|woman|person|host|guide|coach|judge|chef|pilot)$"
+#: What names a node; label rows in a bucket of a tree's tables.
+NODE, BUCKET_ROWS = ["attr", "value", "leaf"], 500_000
 
 
 def static_alias(labels: DataFrame, names: dict[str, str], only: Column | None = None) -> DataFrame:
@@ -37,12 +39,23 @@ def cofire_aliases(labels: DataFrame, ancestors: DataFrame | None = None, expert
 
     The expert leaf's stems are those of its own and its ancestors' words (ancestors: child, ancestor), without those of its class.
     """
-    t = labels.filter("leaf != ''").select(*key, "leaf", "tool").distinct()
-    e, a = t.filter(F.col("tool") == expert), t.filter(F.col("tool") == annotator)
-    e = e.join(a.select(*key, "leaf").hint("merge"), [*key, "leaf"], "left_anti")
-    p = cut(e.select(*key, "leaf").join(a.select(*key, F.col("leaf").alias("alias")).hint("merge"), list(key)))
+    t = labels.filter("leaf != ''").dropna(subset=list(key))
+    by = lambda tool: F.collect_set(F.when(F.col("tool") == tool, F.col("leaf")))
+    g = t.groupBy(*key).agg(by(expert).alias("e"), F.array_sort(by(annotator)).alias("others")).withColumn("e", F.array_except("e", "others"))
+    return _aliases(_said(g), ancestors)
+
+
+def _said(keys: DataFrame) -> DataFrame:
+    """attr, value, leaf, others, n: on how many keys experts alone give a leaf and the annotator these others. keys: attr, value, e (the experts' leaves), others."""
+    return keys.filter((F.size("e") > 0) & (F.size("others") > 0)).select("attr", "value", F.explode("e").alias("leaf"), "others").groupBy("attr", "value", "leaf", "others").agg(F.count("*").alias("n"))
+
+
+def _aliases(said: DataFrame, ancestors: DataFrame | None) -> DataFrame:
+    """The aliases of cofire_aliases from what was said of equal keys (_said)."""
+    said = cut(said)
+    p = said.withColumn("alias", F.explode("others"))
     # words are those of distinct names, not of rows
-    own, w = stems(F.col("leaf")), p.select("value", "leaf").distinct()
+    own, w = stems(F.col("leaf")), said.select("value", "leaf").distinct()
     if ancestors is not None:
         up = ancestors.groupBy(F.lower("child").alias("_c")).agg(F.array_distinct(F.flatten(F.collect_set(stems(F.col("ancestor"))))).alias("_up"))
         w = w.join(up.hint("merge"), F.lower("leaf") == F.col("_c"), "left")
@@ -50,9 +63,9 @@ def cofire_aliases(labels: DataFrame, ancestors: DataFrame | None = None, expert
     p = attach(p, cut(w.select("value", "leaf", F.array_except(own, stems(F.col("value"))).alias("w"))), ["value", "leaf"])
     p = per_name(p, ["alias"], {"w2": stems(F.col("alias"))})
     p = p.withColumn("s", F.size(F.array_intersect("w", "w2"))).filter("s > 0")
-    best = p.groupBy(*key, "leaf").agg(F.max_by("alias", "s").alias("alias"), F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 2).alias("top"))
+    best = p.groupBy("attr", "value", "leaf", "others", "n").agg(F.max_by("alias", "s").alias("alias"), F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 2).alias("top"))
     best = best.filter((F.size("top") == 1) | (F.get("top", F.lit(0)) > F.get("top", F.lit(1))))
-    v = best.groupBy("attr", "value", "leaf", "alias").agg(F.count("*").alias("n"))
+    v = best.groupBy("attr", "value", "leaf", "alias").agg(F.sum("n").alias("n"))
     h = W.partitionBy("attr", "value", "leaf")
     v = v.withColumns({"all": F.sum("n").over(h), "r": F.row_number().over(h.orderBy(F.desc("n"), "alias"))})
     return v.filter("r = 1 and n >= 0.5 * all").select("attr", "value", "leaf", "alias")
@@ -81,7 +94,13 @@ def plan_moves(labels: DataFrame, region: Column, identity: list[str], key: Colu
     x = cut(x.groupBy("region", "key", "attr", "value", "leaf", "clip").agg(F.count("*").alias("n")))
     every = cut(x.groupBy("region", "key", "attr", "value", "leaf").agg(F.sum("n").alias("n")))
     c = x.groupBy("region", "key", "attr").agg(F.countDistinct("clip").alias("n"))
-    v = x.groupBy("region", "key", F.col("attr").alias("to_attr"), "value").agg(F.countDistinct("clip").alias("n"))
+    v = x.groupBy("region", "key", "attr", "value").agg(F.countDistinct("clip").alias("n"))
+    return _planned(every, c, v, region, identity, vocab, role)
+
+
+def _planned(every: DataFrame, c: DataFrame, v: DataFrame, region: Column, identity: list[str], vocab: DataFrame | None, role: str | None) -> DataFrame:
+    """The moves of plan_moves from counts n: rows of region, key, attr, value, leaf (every), clips of region, key, attr (c) and with the value (v)."""
+    v = v.withColumnRenamed("attr", "to_attr")
     hv = v.groupBy("region", "key", "to_attr").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("to_value"))
     f = every.groupBy("region", "key", F.col("attr").alias("to_attr"), "leaf").agg(F.sum("n").alias("n"))
     hf = f.groupBy("region", "key", "to_attr").agg(F.min_by("leaf", F.struct(-F.col("n"), "leaf")).alias("to_leaf"))
@@ -112,9 +131,13 @@ def apply_moves(labels: DataFrame, plan: DataFrame, multi: DataFrame, key: str =
 def reparent(labels: DataFrame, key: Column | None = None) -> DataFrame:
     """Each leaf of an attribute (all with equal `key`, by default the leaf) under one class: that with most clips, ties by name."""
     l = labels.withColumn("_k", F.col("leaf") if key is None else key)
-    c = l.filter("leaf != ''").groupBy("attr", "_k", "value").agg(F.countDistinct("clip").alias("n"))
+    return _under(l, l.filter("leaf != ''").groupBy("attr", "_k", "value").agg(F.countDistinct("clip").alias("n"))).drop("_k")
+
+
+def _under(l: DataFrame, c: DataFrame) -> DataFrame:
+    """Names (attr, _k, value, leaf) under the class with most clips of their attr and _k. c: attr, _k, value, n."""
     best = c.groupBy("attr", "_k").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("_v"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    return l.join(best.hint("merge"), ["attr", "_k"], "left").withColumn("value", F.when(F.col("leaf") != "", F.coalesce("_v", "value")).otherwise(F.col("value"))).drop("_v", "_k")
+    return l.join(best.hint("merge"), ["attr", "_k"], "left").withColumn("value", F.when(F.col("leaf") != "", F.coalesce("_v", "value")).otherwise(F.col("value"))).drop("_v")
 
 
 def node_support(labels: DataFrame) -> DataFrame:
@@ -238,6 +261,52 @@ def checked_tree(nodes: DataFrame, min_clips: int) -> None:
         raise ValueError(f"the tree breaks its rules: {', '.join(found)}")
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """attr, value, leaf, id: distinct nodes, each with a number; rows carry the numbers and not the names."""
+    return cut(nodes.select(*NODE).distinct().withColumn("id", F.monotonically_increasing_id()))
+
+
+def _met(df: DataFrame, nodes: DataFrame, name: str, names: list[str] = NODE, *more: str) -> DataFrame:
+    """df with the number of the node that its columns `names` state, nulls too, and further columns of nodes."""
+    n = nodes.select(*[F.col(c).alias(f"_{c}") for c in NODE], F.col("id").alias(name), *more)
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    on = [F.col(c).eqNullSafe(F.col(f"_{k}")) for c, k in zip(names, NODE, strict=True)]
+    return df.join(F.broadcast(n) if few else n.hint("merge"), on[0] & on[1] & on[2]).drop(*[f"_{c}" for c in NODE])
+
+
+def _first_of(cols: list[str]) -> Column:
+    """The least number among nodes with equal columns: a number for their group."""
+    return F.min("id").over(W.partitionBy(*cols))
+
+
+def _clips(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups (id, g and what goes with g), one row each, with n: distinct clips of their nodes' rows. rows: clip, nodes, dealt by clip, so that no pair of them is shuffled."""
+    n = attach(rows.select("clip", F.explode("nodes").alias("id")), groups.select("id", "g"), ["id"], "inner").select("g", "clip").distinct().groupBy("g").agg(F.count("clip").alias("n"))
+    return groups.drop("id").distinct().join(n.hint("merge"), "g").drop("g")
+
+
+def _voted(labels: DataFrame, nodes: DataFrame, floor: Column, who: Column, annotator: str, parts: int) -> DataFrame:
+    """row_id, clip, source, id, tools, kept, expert, annotator, dealt by clip: a row's nodes, with the tools that count, if the vote keeps them (vote_single, or vote_multi where `many`); expert and annotator mark who named those of
+    many-valued attributes, kept or not. A row's clip and source are its least. labels: row_id, clip, source, attr, value, leaf, tool, score, seq; nodes: attr, value, leaf, id, many.
+
+    Labels are shuffled once by row and what is left once by clip, with numbers instead of names; labels, and the files of the first shuffle, go before the second.
+    """
+    l = _met(labels.filter("row_id is not null"), nodes, "id").select("row_id", "clip", "source", "id", "tool", "score", "seq").repartition(parts, "row_id")
+    l = attach(l, nodes, ["id"], "inner")
+    enough, an = F.coalesce("score", F.lit(0.0)) >= floor, F.col("tool") == annotator
+    ok, row = (F.col("tool") == who) & enough, W.partitionBy("row_id", "attr")
+    best = lambda on, *by: F.min(F.when(on, F.struct(*by, F.col("value").alias("v")))).over(row)["v"]
+    l = l.withColumn("_v", F.coalesce(best(ok, (-F.col("score")).alias("s"), "seq"), best(an, "seq")))
+    l = l.withColumns({"clip": F.min("clip").over(W.partitionBy("row_id")), "source": F.min("source").over(W.partitionBy("row_id"))})
+    counts = F.coalesce(F.col("attr").isNotNull() & F.when(F.col("many"), (F.col("tool") != who) | enough).otherwise(F.col("value") == F.col("_v")), F.lit(False))
+    said = lambda c: F.coalesce(F.bool_or(F.col("many") & c), F.lit(False))
+    l = l.withColumn("_in", counts).groupBy("row_id", "clip", "source", "id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("_in"), F.col("tool")))).alias("tools"), F.bool_or("_in").alias("kept"), said(F.col("tool") == who).alias("expert"), said(an).alias("annotator")
+    )
+    l = cut(l.filter("kept or expert or annotator"), labels)
+    return dealt(l, "clip", parts, l)
+
+
 def build_tree(
     labels: DataFrame, floor: float, multi: DataFrame, region: Column, identity: list[str], *, names: dict[str, str] | None = None, ancestors: DataFrame | None = None, pruned: list[str] | None = None, vocab: DataFrame | None = None,
     role: str | None = None, annotator: str = "annotator", expert: str = "expert", experts: dict[str, tuple[str, float]] | None = None, extra: dict[str, list[str]] | None = None, vectors: DataFrame | None = None,
@@ -255,45 +324,69 @@ def build_tree(
     """
     from .entity import generic_links, light_canon
     from .graph import closure
-    from .labels import vote_multi, vote_single
 
-    key, k = ("row_id", "attr"), tree_key(extra)
-    by = ["attr", "leaf"] if extra else ["leaf"]  # what the key of a leaf depends on
-    labels = cut(labels.select("row_id", "clip", "source", "attr", "value", "leaf", "tool", "score", "seq"))  # read several times
+    k = tree_key(extra)
+    labels = cut(labels.select("row_id", "clip", "source", *NODE, "tool", "score", "seq"))
+    parts = max(labels.sparkSession.sparkContext.defaultParallelism, labels.count() // BUCKET_ROWS + 1)
+    floor, who = F.lit(floor), F.lit(expert)
     if experts:
         own = lambda i: F.create_map(*[F.lit(x) for a, v in experts.items() for x in (a, v[i])])[F.col("attr")]
-        floor, who = F.coalesce(own(1), F.lit(floor)), F.coalesce(own(0), F.lit(expert))
-    else:
-        who = F.lit(expert)
+        floor, who = F.coalesce(own(1), floor), F.coalesce(own(0), who)
     found = {kind: cut(table.filter(F.col("kind") == kind).select("attr", "value", tree_key(extra).alias("_key"), "to").distinct()) for kind in ("dropped", "moved", "canon", "generic")} if table is not None else {}
-    many = multi.filter("multi").select("attr").distinct()  # the schema's attributes
-    one = vote_single(labels.join(F.broadcast(many), "attr", "left_anti"), floor, key, who, annotator).select(*key, "value", "leaf", "tools")
-    voted = one.unionByName(vote_multi(labels.join(F.broadcast(many), "attr", "left_semi"), floor, key, who))
+    many = cut(multi.filter("multi").select("attr", F.lit(True).alias("many")).distinct())  # the schema's attributes
+    nodes = cut(numbered(labels).join(F.broadcast(many), "attr", "left").select(*NODE, "id", F.coalesce("many", F.lit(False)).alias("many")))
+    voted = _voted(labels, nodes, floor, who, annotator, parts)
+    said = attach(voted.filter("expert or annotator"), nodes, ["id"], "inner").filter("leaf != '' and value is not null")
+    said = said.groupBy("clip", "row_id", "attr", "value").agg(F.collect_set(F.when(F.col("expert") & ~F.col("annotator"), F.col("leaf"))).alias("e"), F.array_sort(F.collect_set(F.when(F.col("annotator"), F.col("leaf")))).alias("others"))
+    aliases = cut(_aliases(_said(said), ancestors))
+    # what becomes of a node, with (an) or without the annotator among its tools
+    m = nodes.select("id", F.explode(F.array(F.lit(True), F.lit(False))).alias("an"), *NODE)
     if table is not None:
-        voted = voted.join(F.broadcast(table.filter("kind = 'pruned'").select("attr").distinct()), "attr", "left_anti")  # attributes of the schema
+        m = m.join(F.broadcast(table.filter("kind = 'pruned'").select("attr").distinct()), "attr", "left_anti")  # attributes of the schema
     if pruned:
-        voted = voted.filter(~F.col("attr").isin(pruned))
+        m = m.filter(~F.col("attr").isin(pruned))
     if names:
-        voted = static_alias(voted, names, ~F.array_contains("tools", annotator))
-    aliases = cut(cofire_aliases(labels.join(F.broadcast(many), "attr", "left_semi").select("row_id", "attr", "value", "leaf", "tool"), ancestors, who, annotator, ("row_id", "attr", "value")))
-    voted = voted.join(aliases.hint("merge"), ["attr", "value", "leaf"], "left").withColumn("leaf", F.coalesce("alias", "leaf")).drop("alias")
+        m = static_alias(m, names, ~F.col("an"))
+    m = m.join(aliases.hint("merge"), NODE, "left").withColumn("leaf", F.coalesce("alias", "leaf")).drop("alias")
     if found:
         at = ["attr", "value", "_key"]
-        voted = voted.withColumn("_key", F.when(F.col("leaf") != "", k))
-        voted = voted.join(found["dropped"].select(*at, F.lit(True).alias("_drop")).hint("merge"), at, "left").join(found["moved"].select(*at, F.col("to").alias("_to")).hint("merge"), at, "left")
-        voted = voted.withColumns({"leaf": F.when(F.col("_drop"), "").otherwise(F.col("leaf")), "value": F.when(F.col("_drop"), F.col("value")).otherwise(F.coalesce("_to", "value"))}).drop("_key", "_drop", "_to")
-    of = labels.groupBy("row_id").agg(F.min("clip").alias("clip"), F.min("source").alias("source"))
-    voted = cut(voted.groupBy(*key, "value", "leaf").agg(F.array_distinct(F.flatten(F.collect_set("tools"))).alias("tools")).join(of.hint("merge"), "row_id"))
-    moves = cut(plan_moves(per_name(voted, by, {"_key": k}), region, identity, F.col("_key"), vocab, role))
-    moved = apply_moves(voted, moves, multi, "row_id")
-    tools = voted.select("row_id", F.explode("tools").alias("tool")).groupBy("row_id").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
-    moved = cut(moved.join(of.hint("merge"), "row_id").join(tools.hint("merge"), "row_id"))
-    placed = cut(reparent(per_name(moved, by, {"_key": k}), F.col("_key")).drop("_key"), moved)
+        m = m.withColumn("_key", F.when(F.col("leaf") != "", k))
+        m = m.join(found["dropped"].select(*at, F.lit(True).alias("_drop")).hint("merge"), at, "left").join(found["moved"].select(*at, F.col("to").alias("_to")).hint("merge"), at, "left")
+        m = m.withColumns({"leaf": F.when(F.col("_drop"), "").otherwise(F.col("leaf")), "value": F.when(F.col("_drop"), F.col("value")).otherwise(F.coalesce("_to", "value"))})
+    m = cut(m.select("id", "an", *NODE).distinct())
+    nodes = numbered(m)
+    becomes = cut(_met(m, nodes, "node").select("id", "an", "node"))
+    # a row of voted is a row of the tree from here on: its clip, source, tools and nodes; the tables of rows lie by clip, so no step shuffles them
+    voted = dealt(
+        attach(voted.filter("kept").withColumn("an", F.array_contains("tools", annotator)), becomes, ["id", "an"], "inner").groupBy("clip", "row_id", "source")
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tools")))).alias("tools"), F.collect_set("node").alias("nodes")),
+        "clip", parts, voted, again=False,
+    )
+    keyed = cut(nodes.filter("leaf != ''").withColumns({"region": region, "key": k}))
+    n = voted.select(F.explode("nodes").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    of = lambda *cols: _clips(voted, cut(keyed.select("id", _first_of(cols).alias("g"), *cols)))
+    moves = cut(_planned(cut(keyed.join(n.hint("merge"), "id")), of("region", "key", "attr"), of("region", "key", "attr", "value"), region, identity, vocab, role))
+    # what becomes of a node that stays or goes (apply_moves): where it lands, the group of that attribute and class, the bare class that it leaves
+    to = ["to_attr", "to_value", "to_leaf"]
+    bare = moves.dropna(subset=NODE).withColumn("_bare", F.lit(""))  # rows of a node without a class stay
+    places = numbered(nodes.select(*NODE).unionByName(moves.select(*[F.col(c).alias(n) for c, n in zip(to, NODE, strict=True)])).unionByName(moves.select("attr", "value", F.lit("").alias("leaf"))))
+    places = cut(places.withColumns({"a": _first_of(["attr"]), "c": F.when(F.col("value").isNotNull(), _first_of(["attr", "value"]))}))
+    go = _met(_met(_met(bare, nodes, "id"), places, "land", to, "a", "c"), places, "bare", ["attr", "value", "_bare"])
+    go = go.join(F.broadcast(many.withColumnRenamed("attr", "to_attr")), "to_attr", "left").select("id", "land", "a", "c", "bare", F.coalesce("many", F.lit(False)).alias("many"))
+    stay = _met(nodes.join(moves.select(*NODE).hint("merge"), NODE, "left_anti"), places, "land", NODE, "a", "c").select("id", "land", "a", "c", F.lit(None).cast("long").alias("bare"), F.lit(False).alias("many"))
+    row, left = W.partitionBy("clip", "row_id", "a"), F.when(F.col("bare").isNull(), F.col("c"))
+    moved = attach(voted.select("clip", "row_id", "source", "tools", F.explode("nodes").alias("id")), cut(go.unionByName(stay)), ["id"], "inner").withColumns({"lo": F.min(left).over(row), "hi": F.max(left).over(row)})
+    fits = F.col("many") | F.col("lo").isNull() | ((F.col("lo") == F.col("c")) & (F.col("hi") == F.col("c")))
+    moved = moved.withColumn("nodes", F.when(F.col("bare").isNull(), F.array("land")).when(fits, F.array("land", "bare")).otherwise(F.array("bare")))
+    rows = dealt(moved.groupBy("clip", "row_id", "source", "tools").agg(F.array_distinct(F.flatten(F.collect_set("nodes"))).alias("nodes")).filter(F.size("tools") > 0), "clip", parts, voted, again=False)
+    # each leaf of an attribute under one class
+    named = cut(places.withColumn("_k", k))
+    placed = cut(_under(named, _clips(rows, cut(named.filter("leaf != ''").select("id", _first_of(["attr", "_k", "value"]).alias("g"), "attr", "_k", "value")))).select("id", *NODE))
     # merge forms of one name, link specifics to generics
-    leaves = placed.filter("leaf != ''").groupBy("attr", "value", "leaf").agg(F.countDistinct("clip").alias("clips"))
+    leaves = cut(_clips(rows, cut(placed.filter("leaf != ''").select("id", _first_of(NODE).alias("g"), *NODE))).select(*NODE, F.col("n").alias("clips")))
     canon = cut(light_canon(leaves, k))
     if vectors is not None:
-        canon, links = (cut(x) for x in merge_by_meaning(canon, cut(leaves), vectors, k, apart or [], near, sure))
+        canon, links = (cut(x) for x in merge_by_meaning(canon, leaves, vectors, k, apart or [], near, sure))
     else:
         links = cut(generic_links(canon.select("attr", "value", F.col("canon").alias("leaf")).distinct(), key=k))
     if found:
@@ -306,29 +399,48 @@ def build_tree(
         more = left.withColumn("_key", k).join(found["generic"].hint("merge"), at).filter("leaf != to").select("attr", "value", "leaf", F.col("to").alias("generic"))
         kept = links.join(left.hint("merge"), ["attr", "value", "leaf"], "left_semi")
         links = cut(kept.unionByName(more.join(kept.select("attr", "value", "leaf").hint("merge"), ["attr", "value", "leaf"], "left_anti")))
-    own = placed.join(canon.hint("merge"), ["attr", "value", "leaf"], "left").select("attr", "value", F.coalesce("canon", F.lit("")).alias("leaf"), "row_id", "clip", "source", "tools")
-    name = lambda leaf: F.to_json(F.struct("attr", "value", F.col(leaf).alias("leaf")))
-    up = closure(links.select(name("leaf").alias("child"), name("generic").alias("parent")))
-    up = up.select(F.from_json("child", "attr string, value string, leaf string").alias("c"), F.from_json("ancestor", "attr string, value string, leaf string").alias("a"), "depth").select("c.*", F.col("a.leaf").alias("up"), "depth")
-    far = own.join(up.hint("merge"), ["attr", "value", "leaf"]).select("attr", "value", F.col("up").alias("leaf"), "row_id", "clip", "source", "tools")
-    every = cut(own.unionByName(far).withColumn("tool", F.explode("tools")).drop("tools"))
-    support = node_support(every)
-    marks = every.groupBy("attr", "value", "leaf").agg(F.bool_or(F.col("tool") == annotator).alias("_an"), F.bool_or(F.col("tool") != annotator).alias("expert"))
+    # the nodes that a row counts for: its own, and the generics above them
+    own = placed.join(canon.hint("merge"), NODE, "left").select("id", "attr", "value", F.coalesce("canon", F.lit("")).alias("leaf"))
+    above = closure(links.select(_named("leaf").alias("child"), _named("generic").alias("parent")))
+    up = above.select(F.from_json("child", "attr string, value string, leaf string").alias("c"), F.from_json("ancestor", "attr string, value string, leaf string").alias("a"), "depth").select("c.*", F.col("a.leaf").alias("up"), "depth")
+    every = cut(own.unionByName(own.join(up.hint("merge"), NODE).select("id", "attr", "value", F.col("up").alias("leaf"))).distinct())
+    support = _support(rows, every, annotator)
     forms = canon.groupBy("attr", "value", F.col("canon").alias("leaf")).agg(F.array_sort(F.collect_set("leaf")).alias("forms"))
-    support = support.join(marks.hint("merge"), ["attr", "value", "leaf"], "left").join(forms.hint("merge"), ["attr", "value", "leaf"], "left")
+    support = support.join(forms.hint("merge"), NODE, "left")
     nodes = cut(admit_nodes(support, expert_only=~F.coalesce("_an", F.lit(False)), region=region, identity=identity, role=role, vocab=vocab, **admission))
     good = nodes.filter("refused is null")
     if check:
         checked_tree(good, admission.get("min_clips", 2))
     parent = up.join(good.select("attr", "value", F.col("leaf").alias("up")).hint("merge"), ["attr", "value", "up"], "left_semi").groupBy("attr", "value", "leaf").agg(F.min_by("up", F.struct("depth", "up")).alias("parent"))
     shape = ["attr", "value", "leaf", "clips", "sources", "chunks", F.coalesce("forms", F.array().cast("array<string>")).alias("forms")]
+    per_row = rows.select("clip", "row_id", F.explode("nodes").alias("id"))
+    last = _cleaned(placed.select(*NODE).distinct(), canon.withColumnRenamed("canon", "to_leaf"), good, above)
+    last = cut(placed.join(last.hint("merge"), NODE, "left").select("id", "attr", "value", F.explode(F.coalesce("_to", F.array(F.lit("")))).alias("leaf")).distinct())
+    held = every.join(good.hint("merge"), NODE, "left_semi")
+    top = F.concat_ws("/", "attr", "value")
+    held = cut(held.select("id", F.explode(F.array_distinct(F.array(top, F.when(F.col("leaf") != "", F.concat_ws("/", "attr", "value", "leaf")).otherwise(top)))).alias("node")).distinct())
     return {
         "nodes": good.join(parent.hint("merge"), ["attr", "value", "leaf"], "left").select(*shape, "parent"), "refused": nodes.filter("refused is not null").select(*shape, "refused"),
-        "labels": clean_labels(placed.select("row_id", "attr", "value", "leaf"), canon.withColumnRenamed("canon", "to_leaf"), good, links),
-        "members": members(every.join(good.hint("merge"), ["attr", "value", "leaf"], "left_semi")), "canon": canon, "links": links, "aliases": aliases, "moves": moves,
+        "labels": attach(per_row, last, ["id"], "inner").select("clip", "row_id", *NODE).distinct().drop("clip"),
+        "members": attach(per_row, held, ["id"], "inner").select("clip", "row_id", "node").distinct().select("node", "row_id"),
+        "canon": canon, "links": links, "aliases": aliases, "moves": moves,
     }
 
 
+def _support(rows: DataFrame, every: DataFrame, annotator: str) -> DataFrame:
+    """node_support of a tree's rows, with _an and expert: whether the annotator or others named a row of the node. rows: clip, row_id, source, tools, nodes, dealt by clip; every: id, and the nodes that it counts for."""
+    both = F.array_compact(F.array(F.lit(""), F.when(F.col("leaf") != "", F.col("leaf"))))
+    t = cut(every.filter("attr is not null and value is not null").select("id", "attr", "value", F.explode(both).alias("leaf")).distinct())
+    named = numbered(t)
+    x = attach(rows.select("clip", "row_id", "source", "tools", F.explode("nodes").alias("id")), cut(_met(t, named, "g").select("id", "g")), ["id"], "inner")
+    n = x.select("g", "clip", "row_id").distinct().groupBy("g", "clip").agg(F.count("*").alias("n")).groupBy("g").agg(F.count("*").alias("clips"), F.sum("n").alias("chunks"))
+    few = cut(x.select("g", "source", "tools").distinct())
+    tool = F.col("tool")
+    by = few.select("g", F.explode("tools").alias("tool")).groupBy("g").agg(F.countDistinct(tool).alias("tools"), F.bool_or(tool == annotator).alias("_an"), F.bool_or(tool != annotator).alias("expert"))
+    out = named.withColumnRenamed("id", "g").join(n.hint("merge"), "g").join(few.groupBy("g").agg(F.countDistinct("source").alias("sources")).hint("merge"), "g").join(by.hint("merge"), "g")
+    return out.select(*NODE, "clips", "sources", "tools", "chunks", "_an", "expert")
+
+
 def tree_agreement(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """attr, value, leaf, node_clips, table_clips where the tree and the label table differ; null where one of them lacks the node."""
     t = node_support(labels).select("attr", "value", "leaf", F.col("clips").alias("table_clips"))
@@ -415,14 +527,21 @@ def clean_labels(labels: DataFrame, canon: DataFrame, admitted: DataFrame, links
     from .graph import closure
 
     # what becomes of a node is found once for each distinct node, so rows meet one table
-    node = ["attr", "value", "leaf"]
-    l = apply_groups(cut(labels.select(*node).distinct()).withColumn("_own", F.col("leaf")), canon)
-    ok = admitted.filter("leaf != ''").select(*node, F.lit(True).alias("_ok")).distinct()
-    l = cut(l.join(ok.hint("merge"), node, "left").withColumn("leaf", F.when(F.col("_ok"), F.col("leaf")).otherwise("")).select("attr", "value", "_own", "leaf"))
-    name = lambda leaf: F.to_json(F.struct("attr", "value", F.col(leaf).alias("leaf")))
-    up = closure(links.select(name("leaf").alias("child"), name("generic").alias("parent")))
-    far = l.withColumn("child", name("leaf")).join(up.hint("merge"), "child").select("_own", F.from_json("ancestor", "attr string, value string, leaf string").alias("a")).select("_own", "a.*")
-    far = far.join(ok.drop("_ok").hint("merge"), node, "left_semi").select("attr", "value", "_own", "leaf")
-    to = cut(l.unionByName(far).filter("attr is not null and value is not null and _own is not null").groupBy("attr", "value", F.col("_own").alias("leaf")).agg(F.collect_set("leaf").alias("_to")))
-    out = attach(labels.select("row_id", *node), to, node).withColumn("_to", F.coalesce("_to", F.array(F.lit(""))))
+    to = _cleaned(cut(labels.select(*NODE).distinct()), canon, admitted, closure(links.select(_named("leaf").alias("child"), _named("generic").alias("parent"))))
+    out = attach(labels.select("row_id", *NODE), to, NODE).withColumn("_to", F.coalesce("_to", F.array(F.lit(""))))
     return out.select("row_id", "attr", "value", F.explode("_to").alias("leaf")).distinct()
+
+
+def _named(leaf: str) -> Column:
+    """A node as one string."""
+    return F.to_json(F.struct("attr", "value", F.col(leaf).alias("leaf")))
+
+
+def _cleaned(nodes: DataFrame, canon: DataFrame, admitted: DataFrame, up: DataFrame) -> DataFrame:
+    """attr, value, leaf, _to: the leaves that clean_labels gives a node. nodes: attr, value, leaf; up: the closure of links between nodes as strings."""
+    l = apply_groups(nodes.withColumn("_own", F.col("leaf")), canon)
+    ok = admitted.filter("leaf != ''").select(*NODE, F.lit(True).alias("_ok")).distinct()
+    l = cut(l.join(ok.hint("merge"), NODE, "left").withColumn("leaf", F.when(F.col("_ok"), F.col("leaf")).otherwise("")).select("attr", "value", "_own", "leaf"))
+    far = l.withColumn("child", _named("leaf")).join(up.hint("merge"), "child").select("_own", F.from_json("ancestor", "attr string, value string, leaf string").alias("a")).select("_own", "a.*")
+    far = far.join(ok.drop("_ok").hint("merge"), NODE, "left_semi").select("attr", "value", "_own", "leaf")
+    return cut(l.unionByName(far).filter("attr is not null and value is not null and _own is not null").groupBy("attr", "value", F.col("_own").alias("leaf")).agg(F.collect_set("leaf").alias("_to")))

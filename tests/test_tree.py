@@ -1,5 +1,7 @@
 """The whole tree with meaning, cleaning, experts by attribute and its own rules."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +91,40 @@ def test_names_cost_once_not_by_row(spark):
     assert [tuple(x) for x in moves.collect()] == [("a.y", "w", "dog bark", "a.x", "v", "dog bark")]
     plan = moves._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert len([p for p in plan if "Relation [" in p and "clip#" in p]) <= 2
+
+
+def test_tree_rows_are_dealt_once(spark):
+    """Rows lie by clip once the votes are in: no plan over them has an exchange, and the shuffle files of the steps are gone. A row's clip is its least, labels without a class stay where they are."""
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if x.endswith(".data") and "shuffle_" in x}
+    rows = [(f"r{i}", f"c{i // 2}", "s", "a.x", "v", leaf, tool, 0.9, j) for i in range(40) for j, (leaf, tool) in enumerate((("barking dogs", "expert"), ("dog bark", "annotator"), ("", "annotator")))]
+    rows += [("r0", "c00", "s", "a.y", "w", "dog bark", "annotator", None, 9), ("r1", "c0", "s", "a.x", None, "", "annotator", None, 9), (None, "c1", "s", "a.x", "v", "dog bark", "annotator", None, 9)]
+    multi = spark.createDataFrame([("a.x", True), ("a.y", False)], "attr string, multi boolean")
+    before = files()
+    t = T.build_tree(spark.createDataFrame(rows, LABEL), 0.3, multi, F.lit("a"), [], min_sources=1)
+    left = sum(os.path.getsize(x) for x in files() - before if os.path.exists(x))
+    for name, col in (("labels", "leaf"), ("members", "node")):
+        plan = t[name]._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+        assert t[name].filter(F.col(col).isNull()).count() == 0
+    assert left < 20_000
+    assert [tuple(r) for r in t["aliases"].collect()] == [("a.x", "v", "barking dogs", "dog bark")]
+    assert {tuple(r) for r in t["moves"].collect()} == {("a.y", "w", "dog bark", "a.x", "v", "dog bark")}
+    nodes = {(r.attr, r.value, r.leaf): (r.clips, r.chunks) for r in t["nodes"].unionByName(t["refused"], allowMissingColumns=True).collect()}
+    # r0 has the clips c0 and c00, of which c0 counts; the row without an id counts nowhere
+    assert nodes["a.x", "v", ""] == nodes["a.x", "v", "dog bark"] == (20, 40) and nodes["a.y", "w", ""] == (1, 1)
+    assert ("r1", "a.x", None, "") in {tuple(r) for r in t["labels"].collect()} and t["labels"].filter("row_id is null").count() == 0
+
+
+def test_dealt_and_cut_free_their_shuffles(spark):
+    """Buckets are known when read, a table made from them stays in them, the setting is put back, and discarded tables are gone."""
+    from canopy import workers as K
+
+    df = spark.range(1000).select((F.col("id") % 50).alias("clip"), "id")
+    was = spark.conf.get(K.FREES, None)
+    a = K.dealt(df, "clip", 3)
+    b = K.dealt(a.groupBy("clip", "id").agg(F.count("*").alias("n")), "clip", 3, again=False)
+    assert "Exchange" not in b.groupBy("clip").count()._jdf.queryExecution().executedPlan().toString()
+    assert b.count() == 1000 and spark.conf.get(K.FREES, None) == was
+    K.discard(b)
+    assert not spark.catalog.tableExists(b._named) and not os.path.exists(b._cut_at.removeprefix("file://"))
+    assert K.cut(a.groupBy("id").count()).count() == 1000 and spark.conf.get(K.FREES, None) == was
